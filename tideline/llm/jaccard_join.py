@@ -36,7 +36,8 @@ BUCKET_KEYS = 1 << 21
 FLUSH_KEYS = 1 << 21
 BLOCK = 2048
 FANOUT = 16
-MIN_DIMS, MAX_DIMS = 64, 4096
+#: Boxes have COARSE coordinates; points have up to MAX_DIMS, about one for each element.
+COARSE, MAX_DIMS = 64, 4096
 
 
 # ---- sets ----------------------------------------------------------------------------------
@@ -121,25 +122,34 @@ class Bands:
 
 def count_vector(s: np.ndarray) -> np.ndarray:
     """How many of the set's hashes lie in each of equal ranges of values; more ranges for larger sets."""
-    dims = min(MAX_DIMS, max(MIN_DIMS, 1 << max(0, (len(s) // 16).bit_length())))
-    return np.bincount(((s >> _U(32)) * _U(dims) >> _U(32)).astype(np.int64), minlength=dims).astype(np.uint32)
+    dims = min(MAX_DIMS, max(COARSE, 1 << len(s).bit_length()))
+    return np.bincount(((s >> _U(32)) * _U(dims) >> _U(32)).astype(np.int64), minlength=dims).astype(np.uint16)
 
 
 # ---- the tree ------------------------------------------------------------------------------
 
 
 class CountRTree:
-    """A bulk-loaded R-tree over count vectors; only boxes' upper corners matter for the bound."""
+    """A bulk-loaded R-tree over count vectors; only boxes' upper corners matter for the bound.
+
+    Boxes are of the vectors folded to COARSE coordinates. Points that their box and their folded
+    vector let through are bounded once more by all their coordinates, which is nearly exact.
+    """
 
     def __init__(self, vectors: np.ndarray, sizes: np.ndarray, percent: int = PERCENT, fanout: int = FANOUT):
-        self.percent, self.fanout = percent, fanout
-        self.order = self._tile(vectors, sizes)
-        self.levels = [(vectors[self.order].astype(np.int32), sizes[self.order])]
+        self.percent, self.fanout, self.vectors, self.sizes = percent, fanout, vectors, sizes
+        coarse = self._coarse(vectors)
+        self.order = self._tile(coarse, sizes)
+        self.levels = [(coarse[self.order], sizes[self.order])]
         while len(self.levels[-1][1]) > fanout:
             upper, least = self.levels[-1]
             at = np.arange(0, len(least), fanout)
             self.levels.append((np.maximum.reduceat(upper, at, axis=0), np.minimum.reduceat(least, at)))
 
+    @staticmethod
+    def _coarse(vectors: np.ndarray) -> np.ndarray:
+        return vectors.reshape(len(vectors), COARSE, -1).sum(axis=2, dtype=np.int32)
+
     def _tile(self, vectors: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Sort-tile order: by size, then slabs of that order by the two most spread coordinates."""
         n = len(sizes)
@@ -151,7 +161,7 @@ class CountRTree:
 
     def query(self, vector: np.ndarray, size: int) -> np.ndarray:
         """Rows whose bound allows the overlap that the threshold asks for."""
-        vector = vector.astype(np.int32)
+        fine, vector = vector, self._coarse(vector[None])[0]
         at = np.arange(len(self.levels[-1][1]))
         for depth in range(len(self.levels) - 1, -1, -1):
             upper, least = self.levels[depth]
@@ -160,20 +170,22 @@ class CountRTree:
             if depth:
                 at = (at[:, None] * self.fanout + np.arange(self.fanout)).ravel()
                 at = at[at < len(self.levels[depth - 1][1])]
-        return self.order[at]
+        at = self.order[at]
+        bound = np.minimum(self.vectors[at], fine).sum(axis=1, dtype=np.int64)
+        return at[bound * (100 + self.percent) >= self.percent * (size + self.sizes[at])]
 
 
 def _fold(vectors: list[np.ndarray]) -> np.ndarray:
     """Count vectors with the least number of ranges among them: neighbouring ranges add up."""
     dims = min(map(len, vectors))
-    return np.stack([v if len(v) == dims else v.reshape(dims, -1).sum(axis=1) for v in vectors])
+    return np.stack([v if len(v) == dims else v.reshape(dims, -1).sum(axis=1, dtype=np.uint16) for v in vectors])
 
 
 def leader_pairs(vectors: list[np.ndarray], sizes: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[int, int]]:
     """(leader, member) until each row has a leader or leads: pairs linear in the list's length."""
     if len(sizes) == 2:
         v = _fold(vectors)
-        if np.minimum(v[0], v[1]).sum() * (100 + percent) >= percent * sizes.sum():
+        if int(np.minimum(v[0], v[1]).sum(dtype=np.int64)) * (100 + percent) >= percent * sizes.sum():
             yield 0, 1
         return
     tree = CountRTree(_fold(vectors), sizes, percent)
@@ -316,7 +328,7 @@ def _in_lists(members: DataFrame, pick) -> DataFrame:
             if len(rows) > 1:
                 rows.sort(key=lambda r: (r[1], r[0]))
                 sizes = np.array([r[1] for r in rows], dtype=np.int64)
-                vectors = [np.frombuffer(r[2], dtype=np.uint32) for r in rows]
+                vectors = [np.frombuffer(r[2], dtype=np.uint16) for r in rows]
                 for i, j in pick(vectors, sizes, np.array([r[3] for r in rows], dtype=np.int64)):
                     x, y = rows[i][0], rows[j][0]
                     a.append(min(x, y))

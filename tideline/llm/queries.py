@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, jaccard_join, mixing, quality_rules, secret_scan
+from . import chat_format, jaccard_join, mixing, quality_rules, repeat_removal, secret_scan
 from .common import documents
 
 
@@ -27,11 +27,15 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_quality_rules(documents(spark, sf_dir), labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum", "rejected_by")
 
 
+def op8_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_removal.remove_repeats(documents(spark, sf_dir))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return chat_format.conversation_digests(chat_format.format_turns(chat_format.with_tricky(spark, conversations)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op4_ngram_jaccard, op6_secret_scan, op7_quality_rules, op10_chat_format)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op4_ngram_jaccard, op6_secret_scan, op7_quality_rules, op8_repeat_removal, op10_chat_format)}
 
 ORACLE_SQL: dict[str, str] = {}
