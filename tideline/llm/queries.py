@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, jaccard_join, mixing, quality_rules, repeat_removal, secret_scan
+from . import chat_format, decontaminate, jaccard_join, language_id, mixing, packing, quality_rules, repeat_removal, secret_scan
 from .common import documents
 
 
@@ -14,6 +14,14 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_query(documents(spark, sf_dir))
+
+
+def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_tokens(documents(spark, sf_dir))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicate_components(documents(spark, sf_dir))
 
@@ -31,11 +39,15 @@ def op8_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_removal.remove_repeats(documents(spark, sf_dir))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_pairs(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return chat_format.conversation_digests(chat_format.format_turns(chat_format.with_tricky(spark, conversations)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op4_ngram_jaccard, op6_secret_scan, op7_quality_rules, op8_repeat_removal, op10_chat_format)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_language_id, op3_token_packing, op4_ngram_jaccard, op6_secret_scan, op7_quality_rules, op8_repeat_removal, op9_decontamination, op10_chat_format)}
 
 ORACLE_SQL: dict[str, str] = {}
