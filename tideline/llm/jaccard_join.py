@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import _U, SpanHasher, blob, mix64, stage_table, text_chunks
 from .graph import connected_components
 
-WIDTH = 4
-PERCENT = 85
+WIDTH = 5
+PERCENT = 80
 #: Sets below this size are dealt by hash prefix.
 SMALL = 25
 BUCKET_KEYS = 1 << 21
@@ -428,3 +428,13 @@ def near_duplicate_components(docs: DataFrame, width: int = WIDTH, percent: int
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_class = named.join(least, "component").select("fp", "component_id")
     return found.join(by_class, "fp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """docs with one document of each component: the one that names it, and once if its row repeats.
+
+    Rows with a null doc_id can't name a group and stay.
+    """
+    named = near_duplicate_components(docs, width, percent).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    return kept.unionByName(docs.filter("doc_id is null"))

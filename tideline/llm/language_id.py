@@ -202,6 +202,16 @@ def language_query(docs: DataFrame) -> DataFrame:
     return identify_languages(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+#: Below this a prediction is no better than a coin in both levels.
+LEAST_SCORE = 0.25
+
+
+def identified_documents(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
+    """docs without the texts whose language can't be told."""
+    model = fit_language_model(docs, ~held_out())
+    return identify_languages(docs, model).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select(*docs.columns)
+
+
 def accuracy_by_language(predicted: DataFrame, truth: DataFrame) -> pd.DataFrame:
     """Share of held-out rows predicted right, by language (a report of a row a language)."""
     both = predicted.filter("held_out").join(truth.select("doc_id", "lang"), "doc_id")

@@ -93,17 +93,8 @@ def default_weights(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS) ->
     return sources.withColumn("weight", F.element_at(table, (n % len(weights) + 1).cast("int")))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = EPOCHS, repeats: int = REPEATS, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, shard_texts: int = SHARD_TEXTS, seed: int = SEED) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, taken.
-
-    docs: doc_id, text, source; more columns are ignored. A null or empty text has size 0 and is
-    taken 0 times; a null source is a source of its own, after all others; rows that repeat a
-    doc_id are texts of their own (their order in a shard is by text hash, and equal rows are
-    interchangeable). An empty table gives no rows. Texts are read once: their ids, sources and
-    sizes are staged in the shared folder. No task ever holds a source, only a shard of
-    shard_words words or shard_texts texts, so a hot source is spread over as many tasks as it has
-    shards; the windows over sources hold one row a source.
-    """
+def _pieces(docs: DataFrame, weights: tuple[float, ...], share: float, repeats: int, block_words: int, shard_words: int, shard_texts: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The parts of texts that fall in one block each, with how often it is taken; and texts without words."""
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("text_crc"))
     sized = stage_table(sized, "mix-sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("texts"))
@@ -135,11 +126,47 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     placed = full.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(order)).withColumn("start", F.col("end") - F.col("size"))
     pieces = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("end") - 1) / block_words))))
     overlap = F.least(F.col("end"), (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)
-    taken = (
-        pieces.withColumn("overlap", overlap)
-        .join(blocks, [*in_shard, "block"], "left")
-        .groupBy(*in_shard, "nth", "doc_id", "source", "size", "source_size", "target")
-        .agg(F.sum(F.coalesce(F.col("overlap") * F.col("times"), F.lit(0))).cast("long").alias("taken"))
-    )
+    pieces = pieces.withColumn("overlap", overlap).join(blocks, [*in_shard, "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    return pieces, dealt.filter(F.col("size") == 0)
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = EPOCHS, repeats: int = REPEATS, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, shard_texts: int = SHARD_TEXTS, seed: int = SEED) -> DataFrame:
+    """One row per row of docs: doc_id, source, size, source_size, target, taken.
+
+    docs: doc_id, text, source; more columns are ignored. A null or empty text has size 0 and is
+    taken 0 times; a null source is a source of its own, after all others; rows that repeat a
+    doc_id are texts of their own (their order in a shard is by text hash, and equal rows are
+    interchangeable). An empty table gives no rows. Texts are read once: their ids, sources and
+    sizes are staged in the shared folder. No task ever holds a source, only a shard of
+    shard_words words or shard_texts texts, so a hot source is spread over as many tasks as it has
+    shards; the windows over sources hold one row a source.
+    """
+    pieces, empty = _pieces(docs, weights, share, repeats, block_words, shard_words, shard_texts, seed)
+    key = ["no_source", "source_key", "shard", "nth", "doc_id", "source", "size", "source_size", "target"]
+    taken = pieces.groupBy(*key).agg(F.sum(F.col("overlap") * F.col("times")).cast("long").alias("taken"))
     cols = ["doc_id", "source", "size", "source_size", "target", "taken"]
-    return taken.select(*cols).unionByName(dealt.filter(F.col("size") == 0).withColumn("taken", F.lit(0).cast("long")).select(*cols))
+    return taken.select(*cols).unionByName(empty.withColumn("taken", F.lit(0).cast("long")).select(*cols))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = EPOCHS, repeats: int = REPEATS, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, shard_texts: int = SHARD_TEXTS, seed: int = SEED) -> DataFrame:
+    """The mix itself, with the columns of docs: a row for each round in which a text is taken.
+
+    A row's text holds the taken blocks' words in order, with the white space before each; a text
+    taken whole is kept as it is. n_chars, if docs has it, follows the new text. Texts without
+    words are in no mix. Rows with equal doc_id and text share one selection.
+    """
+    pieces, _ = _pieces(docs, weights, share, repeats, block_words, shard_words, shard_texts, seed)
+    at = F.struct((F.greatest(F.col("start"), F.col("block") * block_words) - F.col("start")).cast("int").alias("at"), F.col("overlap").cast("int").alias("n"), F.col("times").cast("int").alias("times"))
+    lists = pieces.filter("times > 0").groupBy("no_source", "source_key", "shard", "nth", "doc_id", "text_crc").agg(F.collect_list(at).alias("parts"))
+    lists = lists.groupBy(F.col("doc_id").alias("_id"), F.col("text_crc").alias("_crc")).agg(F.min_by("parts", F.struct("source_key", "shard", "nth")).alias("_parts"))
+    joined = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.crc32(F.col("text").cast("binary")) == F.col("_crc")))
+    rounds = joined.withColumn("_round", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("_parts", lambda p: p["times"])))))
+    rounds = rounds.withColumn("_mine", F.array_sort(F.filter("_parts", lambda p: p["times"] >= F.col("_round"))))
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    rounds = rounds.withColumn("_words", words)
+    part = F.array_join(F.transform("_mine", lambda p: F.array_join(F.slice("_words", p["at"] + 1, p["n"]), "")), "")
+    whole = F.aggregate("_mine", F.lit(0), lambda a, p: a + p["n"]) == F.size("_words")
+    out = rounds.withColumn("text", F.when(whole, F.col("text")).otherwise(F.regexp_replace(part, r"^[\x20\x09-\x0D]+", "")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)

@@ -23,7 +23,7 @@ def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_duplicate_components(documents(spark, sf_dir))
+    return jaccard_join.near_duplicate_components(documents(spark, sf_dir), width=4, percent=85)
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
