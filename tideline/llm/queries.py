@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, html_extract, jaccard_join, language_id, mixing, packing, quality_rules, repeat_removal, secret_scan
 from .common import documents
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(documents(spark, sf_dir))
+    return mixing.mix_sources(documents(spark, sf_dir)).withColumn("target", F.round("target", 6))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,4 +56,44 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_language_id, op3_token_packing, op4_ngram_jaccard, op5_html_extraction, op6_secret_scan, op7_quality_rules, op8_repeat_removal, op9_decontamination, op10_chat_format)}
 
-ORACLE_SQL: dict[str, str] = {}
+_MIX_SQL = r"""
+WITH sized AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+per_source AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS texts FROM sized GROUP BY source),
+weighed AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM per_source),
+ranked AS (SELECT *, source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS total, row_number() OVER (ORDER BY source_size * 2.0::DOUBLE / weight, source NULLS LAST) AS nth FROM weighed),
+levels AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM ranked),
+opened AS (SELECT arg_min(level, nth) AS level FROM levels WHERE level <= cap / weight),
+targets AS (SELECT l.* EXCLUDE (level), coalesce(least(cap, weight * o.level), cap) AS target FROM levels l LEFT JOIN opened o ON true),
+plan AS (SELECT *, round(sum(target) OVER () / 64)::BIGINT AS n, greatest(1, ceil(source_size / 1048576.0::DOUBLE), ceil(texts / 65536.0::DOUBLE))::BIGINT AS shards FROM targets),
+cut AS (SELECT *, sum(target) OVER () AS votes, count(*) OVER () AS parties, ceil(source_size / 64.0::DOUBLE)::BIGINT * 2 + shards * 2 AS most FROM plan),
+spread AS (SELECT *, CASE WHEN votes > 0 THEN target / votes * n ELSE 0 END AS exact, CASE WHEN votes > 0 THEN target / votes * parties ELSE 0 END + 2 AS slack FROM cut),
+ends AS (SELECT *, least(greatest(floor(exact - slack), 0), most)::BIGINT AS lo, least(ceil(exact + slack) + 2, most)::BIGINT AS hi FROM spread),
+rest AS (SELECT *, n - sum(lo) OVER () AS rest FROM ends),
+quotients AS (SELECT source, target, lo, rest, target / (2 * k + 1) AS q, k FROM (SELECT *, unnest(CASE WHEN hi > lo THEN range(lo, hi) ELSE [NULL] END) AS k FROM rest)),
+won AS (SELECT source, any_value(lo) + count(*) FILTER (nth <= rest AND k IS NOT NULL AND target > 0) AS seats FROM (SELECT *, row_number() OVER (ORDER BY q DESC NULLS LAST, source NULLS LAST, k) AS nth FROM quotients) GROUP BY source),
+dealt AS (SELECT s.*, p.source_size, p.target, w.seats, ('0x' || substr(md5('17|' || coalesce(doc_id, -1)), 1, 8))::BIGINT % p.shards AS shard FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source JOIN won w ON s.source IS NOT DISTINCT FROM w.source),
+placed AS (SELECT *, sum(size) OVER (PARTITION BY source, shard ORDER BY md5('18|' || coalesce(doc_id, -1)), doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS fin FROM dealt WHERE size > 0),
+shards AS (SELECT source, shard, sum(size)::BIGINT AS shard_size, any_value(seats) AS n, ceil(sum(size) / 64.0::DOUBLE)::BIGINT AS blocks FROM placed GROUP BY source, shard),
+s1 AS (SELECT *, sum(shard_size) OVER (PARTITION BY source) AS votes, count(*) OVER (PARTITION BY source) AS parties, blocks * 2 AS most FROM shards),
+s2 AS (SELECT *, shard_size::DOUBLE / votes * n AS exact, shard_size::DOUBLE / votes * parties + 2 AS slack FROM s1),
+s3 AS (SELECT *, least(greatest(floor(exact - slack), 0), most)::BIGINT AS lo, least(ceil(exact + slack) + 2, most)::BIGINT AS hi FROM s2),
+s4 AS (SELECT *, n - sum(lo) OVER (PARTITION BY source) AS rest FROM s3),
+s5 AS (SELECT *, unnest(CASE WHEN hi > lo THEN range(lo, hi) ELSE [NULL] END) AS k FROM s4),
+s6 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY shard_size::DOUBLE / (2 * k + 1) DESC NULLS LAST, shard, k) AS nth FROM s5),
+s7 AS (SELECT source, shard, blocks, any_value(lo) + count(*) FILTER (nth <= rest AND k IS NOT NULL) AS seats FROM s6 GROUP BY source, shard, blocks),
+b1 AS (SELECT *, unnest(range(0, blocks)) AS block FROM s7),
+b2 AS (SELECT source, shard, block, seats // blocks + (row_number() OVER (PARTITION BY source, shard ORDER BY md5('17|' || coalesce(source, '') || '|' || shard || '|' || block), block) <= seats % blocks)::BIGINT AS times FROM b1),
+pieces AS (SELECT p.*, unnest(range((fin - size) // 64, (fin - 1) // 64 + 1)) AS block FROM placed p),
+got AS (SELECT p.doc_id, p.source, p.fin, p.shard, p.size, p.source_size, p.target, sum((least(p.fin, (p.block + 1) * 64) - greatest(p.fin - p.size, p.block * 64)) * b.times)::BIGINT AS taken FROM pieces p JOIN b2 b ON p.source IS NOT DISTINCT FROM b.source AND p.shard = b.shard AND p.block = b.block GROUP BY ALL)
+SELECT doc_id, source, size, source_size, round(target, 6) AS target, taken FROM got UNION ALL SELECT doc_id, source, size, source_size, round(target, 6), 0 FROM dealt WHERE size = 0
+"""
+
+_CHAT_SQL = r"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ sum(4 + 2 + 8 + length(regexp_replace(role, '(\\|###|</turn>|: )', '\\\1', 'g')) + length(regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g')))::BIGINT AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_source_mixing": _MIX_SQL, "op10_chat_format": _CHAT_SQL}
