@@ -121,8 +121,8 @@ class TextChunk:
         return c[self.offs[1:]] - c[self.offs[:-1]]
 
 
-def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[TextChunk]:
-    """The texts of an Arrow string column, nulls as empty texts, in chunks of about limit bytes."""
+def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES, most: int = 1 << 13) -> Iterator[TextChunk]:
+    """The texts of an Arrow string column, nulls as empty texts, in chunks of about limit bytes and at most `most` texts."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
@@ -137,7 +137,7 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[TextChun
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + most)
         yield TextChunk(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], lo)
         lo = hi
 
@@ -152,3 +152,45 @@ def sha256_hex(data: bytes) -> str:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+BITMAP_BITS = 26
+_BITMAP_CUT = 16
+
+
+def id_bitmap(ids: DataFrame, column: str) -> bytes:
+    """A bitmap of the hashed longs in a column: fixed in size, made by tasks, joined in pieces.
+
+    It only saves work. Something not in the table passes it with a chance that grows with the
+    table, so whoever uses it joins or checks afterwards.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << (BITMAP_BITS - 3), dtype=np.uint8)
+        for batch in batches:
+            at = bitmap_places(np.asarray(batch.column(0).drop_null()))
+            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        rows = bits.reshape(-1, 1 << _BITMAP_CUT)
+        some = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([rows[k].tobytes() for k in some], pa.binary())], ["part", "bits"])
+
+    def join(table: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << _BITMAP_CUT, dtype=np.uint8)
+        for x in table.column("bits"):
+            bits |= np.frombuffer(x.as_py(), dtype=np.uint8)
+        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    parts = ids.selectExpr(f"cast({column} as long)").mapInArrow(run, "part long, bits binary").groupBy("part").applyInArrow(join, "part long, bits binary")
+    bits = bytearray(1 << (BITMAP_BITS - 3))
+    for r in parts.collect():
+        bits[r["part"] << _BITMAP_CUT : (r["part"] + 1) << _BITMAP_CUT] = r["bits"]
+    return bytes(bits)
+
+
+def bitmap_places(ids: np.ndarray) -> np.ndarray:
+    return (mix64(ids.astype(np.int64).view(_U)) >> _U(64 - BITMAP_BITS)).astype(np.int64)
+
+
+def in_bitmap(bits: bytes, ids: np.ndarray) -> np.ndarray:
+    at = bitmap_places(ids)
+    return (np.frombuffer(bits, dtype=np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0

@@ -25,19 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, SpanHasher, blob, mix64, stage_table, text_chunks
+from .common import _U, SpanHasher, blob, id_bitmap, in_bitmap, mix64, stage_table, text_chunks
 from .graph import connected_components
 
 WIDTH = 5
 PERCENT = 80
 #: Sets below this size are dealt by hash prefix.
 SMALL = 25
-BUCKET_KEYS = 1 << 21
-FLUSH_KEYS = 1 << 21
+BUCKET_KEYS = 1 << 20
+FLUSH_KEYS = 1 << 20
 BLOCK = 2048
 FANOUT = 16
-#: Boxes have COARSE coordinates; points have up to MAX_DIMS, about one for each element.
-COARSE, MAX_DIMS = 64, 4096
+#: Boxes have COARSE coordinates; points have at least as many, about one for four elements.
+COARSE = 64
 
 
 # ---- sets ----------------------------------------------------------------------------------
@@ -122,8 +122,12 @@ class Bands:
 
 def count_vector(s: np.ndarray) -> np.ndarray:
     """How many of the set's hashes lie in each of equal ranges of values; more ranges for larger sets."""
-    dims = min(MAX_DIMS, max(COARSE, 1 << len(s).bit_length()))
-    return np.bincount(((s >> _U(32)) * _U(dims) >> _U(32)).astype(np.int64), minlength=dims).astype(np.uint16)
+    dims = max(COARSE, 1 << (len(s) // 4).bit_length())
+    while True:
+        counts = np.bincount(((s >> _U(32)) * _U(dims) >> _U(32)).astype(np.int64), minlength=dims)
+        if counts.max(initial=0) < 256:
+            return counts.astype(np.uint8)
+        dims *= 2
 
 
 # ---- the tree ------------------------------------------------------------------------------
@@ -178,7 +182,7 @@ class CountRTree:
 def _fold(vectors: list[np.ndarray]) -> np.ndarray:
     """Count vectors with the least number of ranges among them: neighbouring ranges add up."""
     dims = min(map(len, vectors))
-    return np.stack([v if len(v) == dims else v.reshape(dims, -1).sum(axis=1, dtype=np.uint16) for v in vectors])
+    return np.stack([v.astype(np.uint16) if len(v) == dims else v.reshape(dims, -1).sum(axis=1, dtype=np.uint16) for v in vectors])
 
 
 def leader_pairs(vectors: list[np.ndarray], sizes: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[int, int]]:
@@ -302,19 +306,32 @@ def candidate_lists(docs: DataFrame, buckets: int, width: int = WIDTH, percent:
     return _key_blobs(docs, buckets, width, percent).groupBy("bucket").applyInArrow(group, "list long, fp long").distinct()
 
 
-def set_table(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFrame:
-    """fp, n, counts and hashes (both packed) of the wanted fps, from one document each."""
+HASH_BYTES = 6
+
+
+def set_table(docs: DataFrame, classes: DataFrame, wanted: DataFrame, hashes: bool, width: int = WIDTH) -> DataFrame:
+    """fp, n and the count vector, or fp and the top 48 bits of each hash, for the wanted fps.
+
+    Read from one document of each class, in a pass over the texts that a bitmap of those
+    documents' ids narrows. A few rows nobody wants come along, and an fp can come twice if its
+    row repeats; the joins that follow on fp aren't hurt by either.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(id_bitmap(classes.join(wanted.select("fp").distinct(), "fp", "left_semi"), "rep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            sets = list(shingle_sets(batch.column(1), width))
-            cols = [pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([blob(count_vector(s)) for s in sets], pa.binary()), pa.array([blob(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["fp", "n", "counts", "hashes"])
+            ids = batch.column(0)
+            batch = batch.filter(pa.array(in_bitmap(bits.value, np.asarray(ids.fill_null(0))) & np.asarray(ids.is_valid())))
+            for lo in range(0, batch.num_rows, 1000):
+                rows = []
+                for s in shingle_sets(batch.column(1).slice(lo, 1000), width):
+                    if len(s) and (name := fingerprint(s)) not in seen:
+                        seen.add(name)
+                        rows.append((name, len(s), np.ascontiguousarray(s).view(np.uint8).reshape(-1, 8)[:, 8 - HASH_BYTES :].tobytes() if hashes else blob(count_vector(s))))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["fp", "n", "packed"])
 
-    ids = classes.join(wanted.select("fp").distinct(), "fp", "left_semi").select(F.col("rep").alias("doc_id"))
-    chosen = _rows(docs).join(ids, "doc_id", "left_semi")
-    # A doc_id that repeats with another text brings sets nobody asked for; the last join drops them.
-    return chosen.mapInArrow(run, "fp long, n long, counts binary, hashes binary").dropDuplicates(["fp"])
+    return _rows(docs).mapInArrow(run, "fp long, n long, packed binary")
 
 
 def _in_lists(members: DataFrame, pick) -> DataFrame:
@@ -328,7 +345,7 @@ def _in_lists(members: DataFrame, pick) -> DataFrame:
             if len(rows) > 1:
                 rows.sort(key=lambda r: (r[1], r[0]))
                 sizes = np.array([r[1] for r in rows], dtype=np.int64)
-                vectors = [np.frombuffer(r[2], dtype=np.uint16) for r in rows]
+                vectors = [np.frombuffer(r[2], dtype=np.uint8) for r in rows]
                 for i, j in pick(vectors, sizes, np.array([r[3] for r in rows], dtype=np.int64)):
                     x, y = rows[i][0], rows[j][0]
                     a.append(min(x, y))
@@ -351,22 +368,34 @@ def _in_lists(members: DataFrame, pick) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs whose sets reach the threshold, by exact intersection."""
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The pairs whose sets reach the threshold, by exact intersection. pairs is read twice: stage it."""
+
+    def read(x) -> np.ndarray:
+        out = np.zeros((len(x) // HASH_BYTES, 8), dtype=np.uint8)
+        out[:, 8 - HASH_BYTES :] = np.frombuffer(x, dtype=np.uint8).reshape(-1, HASH_BYTES)
+        return out.view(_U).ravel()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), dtype=_U), np.frombuffer(y.as_py(), dtype=_U)
-                z = np.sort(np.concatenate((x, y)), kind="stable")
-                common = int((z[1:] == z[:-1]).sum())
-                ok.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            out: tuple[list[int], list[int]] = ([], [])
+            for a, b, fp, packed in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                if (a, b) != last:
+                    last, held = (a, b), (fp, packed)
+                elif held and fp != held[0]:
+                    x, y = read(held[1].as_py()), read(packed.as_py())
+                    z = np.sort(np.concatenate((x, y)), kind="stable")
+                    common = int((z[1:] == z[:-1]).sum())
+                    held = None
+                    if 100 * common >= percent * (len(x) + len(y) - common):
+                        out[0].append(a)
+                        out[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
-    s = sets.select("fp", "hashes")
-    both = pairs.join(s.withColumnsRenamed({"fp": "a", "hashes": "x"}), "a").join(s.withColumnsRenamed({"fp": "b", "hashes": "y"}), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    sides = pairs.filter("a <> b").select("a", "b", F.explode(F.array("a", "b")).alias("fp"))
+    both = sides.join(set_table(docs, classes, sides, True, width).select("fp", "packed"), "fp")
+    return both.select("a", "b", "fp", "packed").repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(run, "a long, b long")
 
 
 def jaccard_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -385,9 +414,7 @@ def jaccard_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
     buckets = max(1, math.ceil(keys / BUCKET_KEYS))
     lists = stage_table(candidate_lists(docs, buckets, width, percent), "jaccard-lists")
     classes = found.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    sets = stage_table(set_table(docs, classes, lists, width), "jaccard-hashes")
-
-    points = sets.select("fp", "n", "counts")
+    points = stage_table(set_table(docs, classes, lists, False, width).withColumnRenamed("packed", "counts"), "jaccard-points")
     blocks = lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("int").alias("blocks"))
     members = lists.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
 
@@ -397,8 +424,8 @@ def jaccard_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
 
     # First, leaders: in lists longer than a block each block is led by itself.
     first = members.withColumn("list", F.when(F.col("blocks") > 1, F.xxhash64("list", "block")).otherwise(F.col("list")))
-    pairs = _in_lists(listed(None, first), lambda v, n, c: leader_pairs(v, n, percent))
-    links = stage_table(verified(pairs, sets, percent), "jaccard-links")
+    pairs = stage_table(_in_lists(listed(None, first), lambda v, n, c: leader_pairs(v, n, percent)), "jaccard-pairs")
+    links = stage_table(verified(docs, classes, pairs, width, percent), "jaccard-links")
     components = connected_components(links)
 
     # Then whatever lists still hold more than one component, in pairs of blocks, all of it.
@@ -408,8 +435,9 @@ def jaccard_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     paired = rest.withColumn("other", other).withColumn("list", F.when(F.col("blocks") > 1, F.xxhash64("list", F.least("block", "other"), F.greatest("block", "other"))).otherwise(F.col("list")))
     more = _in_lists(listed(components, paired.drop("other").distinct()), lambda v, n, c: crossing_pairs(v, n, c, percent))
-    more = stage_table(verified(more, sets, percent), "jaccard-more-links")
+    more = stage_table(more.join(pairs, ["a", "b"], "left_anti"), "jaccard-more-pairs")
     if not more.isEmpty():
+        more = stage_table(verified(docs, classes, more, width, percent), "jaccard-more-links")
         links = stage_table(links.unionByName(more).distinct(), "jaccard-all-links")
         components = connected_components(links)
     return found, links, components

@@ -150,7 +150,7 @@ def fit_language_model(docs: DataFrame, learn: Column, per_language: int = SAMPL
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = []
-            for ch in text_chunks(batch.column(1)):
+            for ch in text_chunks(batch.column(1), most=128):
                 for row in gram_features(ch.data, ch.offs):
                     at = np.flatnonzero(row)
                     packed.append(blob(at.astype(np.uint16)) + blob(row[at]))
@@ -178,7 +178,7 @@ def identify_languages(docs: DataFrame, model: Model) -> DataFrame:
             column = batch.column(batch.schema.get_field_index("text"))
             langs: list[str] = []
             scores: list[np.ndarray] = []
-            for ch in text_chunks(column):
+            for ch in text_chunks(column, most=128):
                 found, score = model.predict(scaled(gram_features(ch.data, ch.offs)))
                 ascii_letters = ch.per_text((ch.data | 32) - 97 < 26)
                 for i in np.flatnonzero(ascii_letters == 0):
