@@ -241,6 +241,18 @@ def test_tree_finds_all_that_the_bound_allows():
         assert sorted(tree.query(v[i], int(n[i]))) == want.tolist()
 
 
+def test_fine_bound_is_a_bound_and_close():
+    r = np.random.default_rng(9)
+    for n in (3, 40, 600, 5000):
+        a = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate((a[: int(n * 0.8)], r.integers(0, 2**64, n - int(n * 0.8), dtype=np.uint64))))
+        common = len(np.intersect1d(a, b))
+        (ca, fa, ea), (cb, fb, eb) = (jaccard_join.read_point(jaccard_join.pack_point(x)) for x in (a, b))
+        assert np.minimum(*jaccard_join._fold([ca, cb])).sum() >= common
+        fine = int(np.minimum(*jaccard_join._fold([fa, fb])).sum()) + ea + eb
+        assert common <= fine <= common + 2 + n * 0.03
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}

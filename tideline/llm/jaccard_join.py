@@ -130,6 +130,35 @@ def count_vector(s: np.ndarray) -> np.ndarray:
         dims *= 2
 
 
+def fine_vector(s: np.ndarray) -> tuple[bytes, int]:
+    """Counts in about four ranges an element, at most 3 each, in two bits; and what exceeds 3 in all.
+
+    With the excess of both sets added, the sum of minima still bounds the overlap, within a few
+    elements of it.
+    """
+    dims = max(COARSE, 1 << (4 * len(s)).bit_length())
+    counts = np.bincount(((s >> _U(32)) * _U(dims) >> _U(32)).astype(np.int64), minlength=dims)
+    low = np.minimum(counts, 3).astype(np.uint8).reshape(-1, 4)
+    return blob(low[:, 0] | low[:, 1] << 2 | low[:, 2] << 4 | low[:, 3] << 6), int(counts.sum() - low.sum())
+
+
+def read_fine(packed: bytes) -> np.ndarray:
+    b = np.frombuffer(packed, dtype=np.uint8)
+    return np.stack((b & 3, b >> 2 & 3, b >> 4 & 3, b >> 6), axis=1).ravel()
+
+
+def pack_point(s: np.ndarray) -> bytes:
+    """A set as a point: excess, count vector and fine vector."""
+    fine, excess = fine_vector(s)
+    counts = blob(count_vector(s))
+    return np.array([excess, len(counts)], dtype=np.uint32).tobytes() + counts + fine
+
+
+def read_point(packed: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    excess, n = np.frombuffer(packed, dtype=np.uint32, count=2).tolist()
+    return np.frombuffer(packed, dtype=np.uint8, count=n, offset=8), read_fine(packed[8 + n :]), excess
+
+
 # ---- the tree ------------------------------------------------------------------------------
 
 
@@ -137,9 +166,13 @@ class CountRTree:
     """A bulk-loaded R-tree over count vectors; only boxes' upper corners matter for the bound.
 
     Boxes are of the vectors folded to COARSE coordinates. Points that their box and their folded
-    vector let through are bounded once more by all their coordinates, which is nearly exact.
+    vector let through are bounded once more by all their coordinates, and then by their fine
+    vectors if given, which is nearly exact.
     """
 
+    fine: np.ndarray | None = None
+    excess: np.ndarray | None = None
+
     def __init__(self, vectors: np.ndarray, sizes: np.ndarray, percent: int = PERCENT, fanout: int = FANOUT):
         self.percent, self.fanout, self.vectors, self.sizes = percent, fanout, vectors, sizes
         coarse = self._coarse(vectors)
@@ -163,8 +196,24 @@ class CountRTree:
         rank[np.lexsort((vectors[:, a], sizes))] = np.arange(n)
         return np.lexsort((vectors[:, b], vectors[:, a], rank // slab))
 
+    def with_fine(self, fine: np.ndarray, excess: np.ndarray) -> CountRTree:
+        self.fine, self.excess = fine, excess
+        return self
+
+    def neighbours(self, i: int) -> np.ndarray:
+        """Rows whose bounds against row i allow the overlap that the threshold asks for, i among them."""
+        at = self.query(self.vectors[i], int(self.sizes[i]))
+        if self.fine is None:
+            return at
+        out = []
+        for lo in range(0, len(at), 512):
+            part = at[lo : lo + 512]
+            bound = np.minimum(self.fine[part], self.fine[i]).sum(axis=1, dtype=np.int64) + self.excess[part] + self.excess[i]
+            out.append(part[bound * (100 + self.percent) >= self.percent * (self.sizes[i] + self.sizes[part])])
+        return np.concatenate(out) if out else at
+
     def query(self, vector: np.ndarray, size: int) -> np.ndarray:
-        """Rows whose bound allows the overlap that the threshold asks for."""
+        """Rows whose count vectors allow the overlap that the threshold asks for."""
         fine, vector = vector, self._coarse(vector[None])[0]
         at = np.arange(len(self.levels[-1][1]))
         for depth in range(len(self.levels) - 1, -1, -1):
@@ -185,35 +234,33 @@ def _fold(vectors: list[np.ndarray]) -> np.ndarray:
     return np.stack([v.astype(np.uint16) if len(v) == dims else v.reshape(dims, -1).sum(axis=1, dtype=np.uint16) for v in vectors])
 
 
-def leader_pairs(vectors: list[np.ndarray], sizes: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[int, int]]:
+def _tree(points: list[tuple[np.ndarray, np.ndarray, int]], sizes: np.ndarray, percent: int) -> CountRTree:
+    counts, fine, excess = zip(*points, strict=True)
+    return CountRTree(_fold(list(counts)), sizes, percent).with_fine(_fold(list(fine)), np.array(excess, dtype=np.int64))
+
+
+def leader_pairs(points: list[tuple[np.ndarray, np.ndarray, int]], sizes: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[int, int]]:
     """(leader, member) until each row has a leader or leads: pairs linear in the list's length."""
-    if len(sizes) == 2:
-        v = _fold(vectors)
-        if int(np.minimum(v[0], v[1]).sum(dtype=np.int64)) * (100 + percent) >= percent * sizes.sum():
-            yield 0, 1
-        return
-    tree = CountRTree(_fold(vectors), sizes, percent)
-    folded = _fold(vectors)
+    tree = _tree(points, sizes, percent)
     free = np.ones(len(sizes), dtype=bool)
     for i in range(len(sizes)):
         if free[i]:
             free[i] = False
-            mine = tree.query(folded[i], int(sizes[i]))
+            mine = tree.neighbours(i)
             mine = mine[free[mine]]
             free[mine] = False
             yield from ((i, int(j)) for j in mine)
 
 
-def crossing_pairs(vectors: list[np.ndarray], sizes: np.ndarray, component: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[int, int]]:
-    """All pairs of different components that the bound allows."""
+def crossing_pairs(points: list[tuple[np.ndarray, np.ndarray, int]], sizes: np.ndarray, component: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[int, int]]:
+    """All pairs of different components that the bounds allow."""
     names, inverse, count = np.unique(component, return_inverse=True, return_counts=True)
     if len(names) < 2:
         return
-    folded = _fold(vectors)
-    tree = CountRTree(folded, sizes, percent)
+    tree = _tree(points, sizes, percent)
     largest = int(np.argmax(count))
     for i in np.flatnonzero(inverse != largest):
-        for j in tree.query(folded[i], int(sizes[i])):
+        for j in tree.neighbours(int(i)):
             if inverse[j] != inverse[i] and (inverse[j] == largest or j > i):
                 yield int(i), int(j)
 
@@ -310,7 +357,7 @@ HASH_BYTES = 6
 
 
 def set_table(docs: DataFrame, classes: DataFrame, wanted: DataFrame, hashes: bool, width: int = WIDTH) -> DataFrame:
-    """fp, n and the count vector, or fp and the top 48 bits of each hash, for the wanted fps.
+    """fp, n and the point, or fp and the top 48 bits of each hash, for the wanted fps.
 
     Read from one document of each class, in a pass over the texts that a bitmap of those
     documents' ids narrows. A few rows nobody wants come along, and an fp can come twice if its
@@ -328,14 +375,14 @@ def set_table(docs: DataFrame, classes: DataFrame, wanted: DataFrame, hashes: bo
                 for s in shingle_sets(batch.column(1).slice(lo, 1000), width):
                     if len(s) and (name := fingerprint(s)) not in seen:
                         seen.add(name)
-                        rows.append((name, len(s), np.ascontiguousarray(s).view(np.uint8).reshape(-1, 8)[:, 8 - HASH_BYTES :].tobytes() if hashes else blob(count_vector(s))))
+                        rows.append((name, len(s), np.ascontiguousarray(s).view(np.uint8).reshape(-1, 8)[:, 8 - HASH_BYTES :].tobytes() if hashes else pack_point(s)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["fp", "n", "packed"])
 
     return _rows(docs).mapInArrow(run, "fp long, n long, packed binary")
 
 
 def _in_lists(members: DataFrame, pick) -> DataFrame:
-    """Pairs (a, b) from each list by pick(vectors, sizes, components); lists arrive sorted, one by one."""
+    """Pairs (a, b) from each list by pick(points, sizes, components); lists arrive sorted, one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
@@ -345,8 +392,8 @@ def _in_lists(members: DataFrame, pick) -> DataFrame:
             if len(rows) > 1:
                 rows.sort(key=lambda r: (r[1], r[0]))
                 sizes = np.array([r[1] for r in rows], dtype=np.int64)
-                vectors = [np.frombuffer(r[2], dtype=np.uint8) for r in rows]
-                for i, j in pick(vectors, sizes, np.array([r[3] for r in rows], dtype=np.int64)):
+                points = [read_point(r[2]) for r in rows]
+                for i, j in pick(points, sizes, np.array([r[3] for r in rows], dtype=np.int64)):
                     x, y = rows[i][0], rows[j][0]
                     a.append(min(x, y))
                     b.append(max(x, y))
@@ -424,7 +471,7 @@ def jaccard_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
 
     # First, leaders: in lists longer than a block each block is led by itself.
     first = members.withColumn("list", F.when(F.col("blocks") > 1, F.xxhash64("list", "block")).otherwise(F.col("list")))
-    pairs = stage_table(_in_lists(listed(None, first), lambda v, n, c: leader_pairs(v, n, percent)), "jaccard-pairs")
+    pairs = stage_table(_in_lists(listed(None, first), lambda p, n, c: leader_pairs(p, n, percent)), "jaccard-pairs")
     links = stage_table(verified(docs, classes, pairs, width, percent), "jaccard-links")
     components = connected_components(links)
 
@@ -434,7 +481,7 @@ def jaccard_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
     rest = members.join(open_lists, "list", "left_semi")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     paired = rest.withColumn("other", other).withColumn("list", F.when(F.col("blocks") > 1, F.xxhash64("list", F.least("block", "other"), F.greatest("block", "other"))).otherwise(F.col("list")))
-    more = _in_lists(listed(components, paired.drop("other").distinct()), lambda v, n, c: crossing_pairs(v, n, c, percent))
+    more = _in_lists(listed(components, paired.drop("other").distinct()), lambda p, n, c: crossing_pairs(p, n, c, percent))
     more = stage_table(more.join(pairs, ["a", "b"], "left_anti"), "jaccard-more-pairs")
     if not more.isEmpty():
         more = stage_table(verified(docs, classes, more, width, percent), "jaccard-more-links")
