@@ -126,7 +126,8 @@ def _pieces(docs: DataFrame, weights: tuple[float, ...], share: float, repeats:
     placed = full.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(order)).withColumn("start", F.col("end") - F.col("size"))
     pieces = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("end") - 1) / block_words))))
     overlap = F.least(F.col("end"), (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)
-    pieces = pieces.withColumn("overlap", overlap).join(blocks, [*in_shard, "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    # Blocks grow with the words; Spark's estimate for exploded rows doesn't tell, so no broadcast here.
+    pieces = pieces.withColumn("overlap", overlap).join(blocks.hint("merge"), [*in_shard, "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
     return pieces, dealt.filter(F.col("size") == 0)
 
 
@@ -159,7 +160,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     at = F.struct((F.greatest(F.col("start"), F.col("block") * block_words) - F.col("start")).cast("int").alias("at"), F.col("overlap").cast("int").alias("n"), F.col("times").cast("int").alias("times"))
     lists = pieces.filter("times > 0").groupBy("no_source", "source_key", "shard", "nth", "doc_id", "text_crc").agg(F.collect_list(at).alias("parts"))
     lists = lists.groupBy(F.col("doc_id").alias("_id"), F.col("text_crc").alias("_crc")).agg(F.min_by("parts", F.struct("source_key", "shard", "nth")).alias("_parts"))
-    joined = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.crc32(F.col("text").cast("binary")) == F.col("_crc")))
+    joined = docs.join(lists.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.crc32(F.col("text").cast("binary")) == F.col("_crc")))
     rounds = joined.withColumn("_round", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("_parts", lambda p: p["times"])))))
     rounds = rounds.withColumn("_mine", F.array_sort(F.filter("_parts", lambda p: p["times"] >= F.col("_round"))))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
