@@ -21,7 +21,7 @@ from .decontaminate import lower_latin
 
 DIMS = 4096
 #: At most so many labelled texts of a language, and of all languages, are sampled to fit machines.
-SAMPLE_PER_LANGUAGE, SAMPLE = 1000, 4000
+SAMPLE_PER_LANGUAGE, SAMPLE = 500, 2000
 #: Public classification of languages. A language that isn't listed is a family of its own.
 FAMILIES = {"germanic": "en de nl sv da no nb nn is af", "romance": "fr es it pt ro ca gl oc", "slavic": "ru uk pl cs sk bg sr hr sl be mk", "indic": "hi bn mr ne ur pa gu", "semitic": "ar he mt am", "turkic": "tr az kk uz", "uralic": "fi et hu"}
 _FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
@@ -59,9 +59,10 @@ def gram_features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
-    """Square roots of frequencies: rows of unit length."""
-    x = np.sqrt(counts.astype(np.float32))
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    """Square roots of frequencies: rows of unit length. Works in place."""
+    np.sqrt(counts, out=counts)
+    counts /= np.maximum(np.sqrt(np.einsum("ij,ij->i", counts, counts)), 1e-9)[:, None]
+    return counts
 
 
 def has_letter(text: str | None) -> bool:
@@ -156,13 +157,15 @@ def fit_language_model(docs: DataFrame, learn: Column, per_language: int = SAMPL
                     packed.append(blob(at.astype(np.uint16)) + blob(row[at]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["lang", "packed"])
 
-    got = sample.mapInArrow(run, "lang string, packed binary").toPandas().sort_values(["lang", "packed"], kind="stable").groupby("lang").head(bound)
-    got = got[got["packed"].map(len) > 0]
+    got = sample.mapInArrow(run, "lang string, packed binary").toPandas()
+    got = got[got["packed"].map(len) > 0].sort_values(["lang", "packed"], kind="stable").groupby("lang").head(bound)
     x = np.zeros((len(got), DIMS), dtype=np.float32)
     for i, raw in enumerate(got["packed"]):
         n = len(raw) // 6
         x[i, np.frombuffer(raw, dtype=np.uint16, count=n)] = np.frombuffer(raw, dtype=np.float32, offset=2 * n)
-    return Model(scaled(x), got["lang"].to_numpy(dtype=object))
+    langs = got["lang"].to_numpy(dtype=object)
+    del got
+    return Model(scaled(x), langs)
 
 
 def identify_languages(docs: DataFrame, model: Model) -> DataFrame:
