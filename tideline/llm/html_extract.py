@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 _RAW = "script|style|noscript|template|textarea|svg|math|iframe|object|select|title"
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.I | re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_WHITE = re.compile(r"\s+")
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag closes open elements of these kinds first, up to the barrier.
@@ -67,7 +66,7 @@ def page_blocks(page: str | None) -> list[Block]:
     def close() -> None:
         nonlocal linked
         if parts:
-            text = _WHITE.sub(" ", html.unescape("".join(parts))).strip()
+            text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 blocks.append(Block(text, tuple(m for m in stack if m[0] not in INLINE), linked))
             parts.clear()
@@ -127,10 +126,18 @@ def _path_vector(path: tuple) -> np.ndarray:
     return np.clip(v, -3, 3) / 2
 
 
-@lru_cache(maxsize=1 << 17)
-def _word_slot(word: str) -> tuple[int, float]:
-    h = zlib.crc32(word.lower().encode())
-    return h % WORD_DIMS, 1.0 if h & 0x10000 else -1.0
+class _WordSlots(dict):
+    """Slot of a word, upper half for a negative sign; a cache that starts anew when full."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        h = zlib.crc32(word.lower().encode())
+        self[word] = slot = h % WORD_DIMS + (0 if h & 0x10000 else WORD_DIMS)
+        return slot
+
+
+_word_slots = _WordSlots()
 
 
 def block_vectors(blocks: list[Block]) -> np.ndarray:
@@ -138,11 +145,9 @@ def block_vectors(blocks: list[Block]) -> np.ndarray:
     for i, b in enumerate(blocks):
         x[i, :PATH_DIMS] = _path_vector(b.path)
         words = b.text.split(" ")
-        v = x[i, PATH_DIMS : PATH_DIMS + WORD_DIMS]
-        for w in words:
-            k, sign = _word_slot(w)
-            v[k] += sign
-        v /= max(1.0, float(np.sqrt((v * v).sum())))
+        seen = np.bincount([_word_slots[w] for w in words], minlength=2 * WORD_DIMS)
+        v = seen[:WORD_DIMS] - seen[WORD_DIMS:]
+        x[i, PATH_DIMS : PATH_DIMS + WORD_DIMS] = v / max(1.0, float(np.sqrt((v * v).sum())))
         n = len(b.text)
         x[i, -COUNT_DIMS:] = (np.log1p(n) / 6, min(1.0, b.linked / n), len(words) / 50 if len(words) < 50 else 1.0, sum(map(b.text.count, ".!?")) / (1 + len(words)), len(b.path) / 8, i / max(1, len(blocks) - 1))
     x[:, PATH_DIMS : PATH_DIMS + WORD_DIMS] *= 0.3
