@@ -46,6 +46,23 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Arrow batches between the JVM and Python hold at most so many rows and bytes: texts are long, and
+#: each batch stands in memory on both sides at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches bounded; call it on what goes to mapInArrow."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    try:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    except Exception:  # noqa: BLE001  a Spark without this setting still has the bound on rows
+        pass
+    return df
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes so that every input bit reaches every output bit."""
     x = x ^ (x >> _U(30))

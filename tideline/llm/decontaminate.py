@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, SpanHasher, mix64, stage_table, text_chunks
+from .common import _U, SpanHasher, bounded_batches, mix64, stage_table, text_chunks
 
 WINDOW = 8
 #: Shorter items are one window of their own length; below this they are too common to tell.
@@ -162,7 +162,7 @@ def template_windows(rows: DataFrame, widths: list[int], bitmap: bytes | None =
                 values = np.concatenate(slots) if slots else np.zeros(0, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(ch.lo + text)), pa.array(w.view(np.int64)), pa.array((at - first[text]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.array(offsets, dtype=np.int32)), pa.array(values))], ["id", "window", "pos", "slots"])
 
-    return rows.selectExpr("cast(id as long) id", "cast(text as string) text").mapInArrow(run, SCHEMA)
+    return bounded_batches(rows).selectExpr("cast(id as long) id", "cast(text as string) text").mapInArrow(run, SCHEMA)
 
 
 def _bitmap(windows: DataFrame) -> bytes | None:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 # ---- pages to blocks -----------------------------------------------------------------------
 
 _RAW = "script|style|noscript|template|textarea|svg|math|iframe|object|select|title"
@@ -407,4 +409,4 @@ def extract_main_text(pages: DataFrame, net: BiLstm) -> DataFrame:
                 cols = [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(b) for b in found], pa.int64()), pa.array(margins, pa.float64())]
                 yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in PAGES_SCHEMA.split(", ")])
 
-    return pages.selectExpr("cast(page_id as long) page_id", "cast(url as string) url", "cast(html as string) html").mapInArrow(run, PAGES_SCHEMA)
+    return bounded_batches(pages).selectExpr("cast(page_id as long) page_id", "cast(url as string) url", "cast(html as string) html").mapInArrow(run, PAGES_SCHEMA)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, SpanHasher, blob, id_bitmap, in_bitmap, mix64, stage_table, text_chunks
+from .common import _U, SpanHasher, blob, bounded_batches, id_bitmap, in_bitmap, mix64, stage_table, text_chunks
 from .graph import connected_components
 
 WIDTH = 5
@@ -280,7 +280,7 @@ def document_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    return bounded_batches(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
 
 
 def _key_blobs(docs: DataFrame, buckets: int, width: int, percent: int) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blob, text_chunks
+from .common import blob, bounded_batches, text_chunks
 from .decontaminate import lower_latin
 
 DIMS = 4096
@@ -157,7 +157,7 @@ def fit_language_model(docs: DataFrame, learn: Column, per_language: int = SAMPL
                     packed.append(blob(at.astype(np.uint16)) + blob(row[at]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["lang", "packed"])
 
-    got = sample.mapInArrow(run, "lang string, packed binary").toPandas()
+    got = bounded_batches(sample).mapInArrow(run, "lang string, packed binary").toPandas()
     got = got[got["packed"].map(len) > 0].sort_values(["lang", "packed"], kind="stable").groupby("lang").head(bound)
     x = np.zeros((len(got), DIMS), dtype=np.float32)
     for i, raw in enumerate(got["packed"]):
@@ -192,7 +192,7 @@ def identify_languages(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], [*batch.schema.names, "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return bounded_batches(docs).mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
 def held_out() -> Column:

@@ -15,6 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .chat_format import VOCABULARY, load_encoding
+from .common import bounded_batches
 
 ROW = 2048
 BUFFER_TOKENS = 1 << 21
@@ -147,4 +148,4 @@ def pack_tokens(docs: DataFrame, row: int = ROW, buffer_tokens: int = BUFFER_TOK
         if ids:
             yield pack_rows(ids, names, row, pad, next_row, kind)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, PACKED_SCHEMA)
+    return bounded_batches(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, PACKED_SCHEMA)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, SpanHasher, mix64, stage_table, text_chunks
+from .common import _U, SpanHasher, bounded_batches, mix64, stage_table, text_chunks
 
 SYMBOLS = b"#*$%&|<>"  # fixed value
 MIN_WORDS = 50
@@ -97,7 +97,7 @@ def document_features(docs: DataFrame, stratum: str = "lang") -> DataFrame:
             counts = count_features(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(counts[c]) for c in COUNTS]], ["doc_id", "stratum", *COUNTS])
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.col("text").cast("string")).mapInArrow(run, FEATURES_SCHEMA)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.col("text").cast("string")).mapInArrow(run, FEATURES_SCHEMA)
 
 
 def rule_bins(features: DataFrame) -> DataFrame:

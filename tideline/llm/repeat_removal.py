@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, SpanHasher, blob, stage_table, text_chunks
+from .common import _U, SpanHasher, blob, bounded_batches, stage_table, text_chunks
 from .run_index import RunIndex
 
 LONG = 100
@@ -142,7 +142,7 @@ def _region_blobs(docs: DataFrame, buckets: int, long: int, gram: int) -> DataFr
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    return bounded_batches(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
 
 
 def _merge(ranges: np.ndarray) -> np.ndarray:
