@@ -23,6 +23,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 64
 SHARD_WORDS = 1 << 20
 SHARD_TEXTS = 1 << 16
+#: Blocks are listed by tasks of so many shards; beyond so many tasks, by larger ones, which spill.
+SHARDS_PER_TASK, MOST_PARTITIONS = 16, 20_000
 EPOCHS = 1.5
 REPEATS = 2
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -116,6 +118,9 @@ def _pieces(docs: DataFrame, weights: tuple[float, ...], share: float, repeats:
     shards = shards.withColumn("blocks", F.ceil(F.col("shard_size") / F.lit(float(block_words))).cast("long"))
     shards = highest_quotients(shards, ["no_source", "source_key"], ["shard"], F.col("shard_size"), F.col("source_seats"), F.col("blocks") * repeats)
     in_shard = ["no_source", "source_key", "shard"]
+    # A few rows become all blocks: without a count of partitions, Spark would put them in one task.
+    n_shards = plan.agg(F.sum("shards").alias("n")).first()["n"] or 0
+    shards = shards.repartition(min(max(n_shards // SHARDS_PER_TASK, 1), MOST_PARTITIONS), *in_shard)
     blocks = shards.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     luck = Window.partitionBy(*in_shard).orderBy(_seeded(seed, F.col("source_key"), F.col("shard"), F.col("block")), "block")
     rounds = F.floor(F.col("seats_won") / F.col("blocks"))
