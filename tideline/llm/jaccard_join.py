@@ -18,6 +18,7 @@ Sets that are equal are one class from the start, so copies cost one key each an
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,43 +121,41 @@ class Bands:
         return np.concatenate(out)
 
 
-def count_vector(s: np.ndarray) -> np.ndarray:
-    """How many of the set's hashes lie in each of equal ranges of values; more ranges for larger sets."""
-    dims = max(COARSE, 1 << (len(s) // 4).bit_length())
-    while True:
-        counts = np.bincount(((s >> _U(32)) * _U(dims) >> _U(32)).astype(np.int64), minlength=dims)
-        if counts.max(initial=0) < 256:
-            return counts.astype(np.uint8)
-        dims *= 2
+def fine_counts(s: np.ndarray) -> np.ndarray:
+    """How many of the set's hashes lie in each of equal ranges of values, four to eight an element."""
+    dims = max(COARSE, 1 << (4 * len(s)).bit_length())
+    return np.bincount(((s >> _U(32)) * _U(dims) >> _U(32)).astype(np.int64), minlength=dims)
 
 
-def fine_vector(s: np.ndarray) -> tuple[bytes, int]:
-    """Counts in about four ranges an element, at most 3 each, in two bits; and what exceeds 3 in all.
+def pack_point(s: np.ndarray) -> bytes:
+    """A set as a point: the ranges whose counts exceed 3 and by how much, then all counts in two bits.
 
-    With the excess of both sets added, the sum of minima still bounds the overlap, within a few
-    elements of it.
+    A point is shuffled once for each of its set's lists, so it is coded by the frequency of its
+    bytes: most ranges are empty.
     """
-    dims = max(COARSE, 1 << (4 * len(s)).bit_length())
-    counts = np.bincount(((s >> _U(32)) * _U(dims) >> _U(32)).astype(np.int64), minlength=dims)
+    counts = fine_counts(s)
+    over = np.flatnonzero(counts > 3)
     low = np.minimum(counts, 3).astype(np.uint8).reshape(-1, 4)
-    return blob(low[:, 0] | low[:, 1] << 2 | low[:, 2] << 4 | low[:, 3] << 6), int(counts.sum() - low.sum())
-
-
-def read_fine(packed: bytes) -> np.ndarray:
-    b = np.frombuffer(packed, dtype=np.uint8)
-    return np.stack((b & 3, b >> 2 & 3, b >> 4 & 3, b >> 6), axis=1).ravel()
-
-
-def pack_point(s: np.ndarray) -> bytes:
-    """A set as a point: excess, count vector and fine vector."""
-    fine, excess = fine_vector(s)
-    counts = blob(count_vector(s))
-    return np.array([excess, len(counts)], dtype=np.uint32).tobytes() + counts + fine
+    z = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    coded = z.compress(blob(low[:, 0] | low[:, 1] << 2 | low[:, 2] << 4 | low[:, 3] << 6)) + z.flush()
+    return np.concatenate(([len(over)], over, counts[over] - 3)).astype(np.uint32).tobytes() + coded
 
 
 def read_point(packed: bytes) -> tuple[np.ndarray, np.ndarray, int]:
-    excess, n = np.frombuffer(packed, dtype=np.uint32, count=2).tolist()
-    return np.frombuffer(packed, dtype=np.uint8, count=n, offset=8), read_fine(packed[8 + n :]), excess
+    """Count vector (a range for every 16 fine ones, COARSE at least), fine vector and excess.
+
+    The fine vector's counts are at most 3; excess is what lies above that in all. With the excess
+    of both sets added, the sum of fine minima still bounds the overlap, within a few elements.
+    """
+    n = int(np.frombuffer(packed, dtype=np.uint32, count=1)[0])
+    over, extra = np.frombuffer(packed, dtype=np.uint32, count=2 * n, offset=4).reshape(2, n)
+    b = np.frombuffer(zlib.decompress(packed[4 + 8 * n :], -15), dtype=np.uint8)
+    fine = np.stack((b & 3, b >> 2 & 3, b >> 4 & 3, b >> 6), axis=1).ravel()
+    dims = max(COARSE, len(fine) // 16)
+    counts = fine.reshape(dims, -1).sum(axis=1, dtype=np.uint16)
+    if n:
+        np.add.at(counts, over // (len(fine) // dims), extra.astype(np.uint16))
+    return counts, fine, int(extra.sum())
 
 
 # ---- the tree ------------------------------------------------------------------------------
