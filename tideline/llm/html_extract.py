@@ -371,7 +371,10 @@ def layout_pages(words: list[str], n: int = LAYOUT_PAGES, seed: int = 11) -> Ite
 
 def fit_labeller(pages: DataFrame, sample: int = SAMPLE_PAGES) -> BiLstm:
     """A labeller fitted on at most `sample` pages, by hash of their id, and LAYOUT_PAGES layouts."""
-    got = [r["html"] for r in pages.filter("html is not null").orderBy(F.xxhash64("page_id", F.length("html"))).limit(sample).select("html").collect()]
+    # First the sample's largest hash, then the pages up to it: tasks send the driver hashes, not whole pages by the hundred.
+    hashed = pages.filter("html is not null").select("html", F.xxhash64("page_id", F.length("html")).alias("h"))
+    least = hashed.select("h").orderBy("h").limit(sample).collect()
+    got = [r["html"] for r in hashed.filter(F.col("h") <= least[-1]["h"]).orderBy("h").limit(sample).collect()] if least else []
     learn, words = [], []
     for text in got:
         blocks = page_blocks(text)[:LEARN_BLOCKS]
