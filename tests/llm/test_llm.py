@@ -443,6 +443,18 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contaminated_pairs(empty, bench).count() == 0 and decontaminate.contaminated_pairs(docs, bench.limit(0)).count() == 0
 
 
+def pairs_of(spark, items, texts):
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated_pairs(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), bench).collect()}
+
+
+def test_decontamination_of_number_heavy_items(spark):
+    items = {1: "What is 12.5 percent of 1,250?", 2: "Compute 12 + 7 * 3 - 5 / 2", 3: "Add 3.5 and 4", 4: "is 3.5", 5: "The sum of the two numbers on the left page is one of these 1 2 3 4 5 6 7 8 9 10 11 12 13 14"}
+    pad = "Nothing to see in this text which speaks of other things entirely. "
+    texts = {1: pad + items[1] + " " + pad, 2: pad + items[2] + ". " + pad, 3: pad + items[3] + ". " + pad, 4: pad + items[4], 5: pad + "what is 4 percent of 80? " + pad, 6: pad + "Compute 12 + 7 * 3 - 5 / 9. " + pad, 7: pad + items[5], 8: pad + re.sub(r"\d+", lambda m: str(int(m[0]) + 20), items[5]), 9: pad}
+    assert pairs_of(spark, items, texts) == {(1, 1), (2, 2), (3, 3), (5, 1), (7, 5), (8, 5)}
+
+
 # ---- chat ----------------------------------------------------------------------------------
 
 

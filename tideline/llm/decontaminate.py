@@ -2,7 +2,8 @@
 
 Texts become token sequences in which numbers, units after numbers and names are typed slots; all
 else is lower-cased and without punctuation. Windows of tokens are hashed, once with names as slots
-and once with names as words (a text in capitals has no names to tell). Windows of documents meet
+and once with names as words (a text in capitals has no names to tell); windows that are mostly
+numbers are hashed literally, so only exact copies of them match. Windows of documents meet
 those of benchmark items by a hash join. A diagonal, that is hits of one document and item at the
 same distance, counts only if slot values correspond one to one along it: the same question with
 other numbers does, a question of like wording about unrelated things doesn't.
@@ -22,7 +23,7 @@ from .common import _U, SpanHasher, bounded_batches, mix64, stage_table, text_ch
 WINDOW = 8
 #: Shorter items are one window of their own length; below this they are too common to tell.
 LEAST_TOKENS = 4
-#: At least this share of a window must be words.
+#: At least this share of a window must be words; others have no slots.
 LEAST_WORDS = 0.5
 COVERAGE = 0.5
 #: Benchmarks of up to this many windows are first looked up in a bitmap of 2 ** BITMAP_BITS bits,
@@ -42,6 +43,9 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[*b".!?:;\n\"("]] = True
 NUM, UNIT, NAME, LITERAL = 1, 2, 3, 0
+#: Ways to hash a window: without slots, names as words, names as slots; and which kinds are slots in each.
+EXACT, WORDS, NAMES = 0, 1, 2
+_SLOTS = np.array([[0, 0, 0, 0], [0, 1, 1, 0], [0, 1, 1, 1]], dtype=bool)
 _SLOT_HASH = mix64(np.arange(11, 15, dtype=_U))
 
 
@@ -105,30 +109,31 @@ def template_tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.
     return hashes, kind, first
 
 
-def windows_of(hashes: np.ndarray, kind: np.ndarray, first: np.ndarray, width: int, names: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first token of each window within a text that has words enough."""
+def windows_of(hashes: np.ndarray, kind: np.ndarray, first: np.ndarray, width: int, variant: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first token of each window within a text that has words enough; for EXACT, of each that has too few."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=_U), np.zeros(0, dtype=np.int64)
-    slot = kind > 0 if names else (kind == NUM) | (kind == UNIT)
+    slot = _SLOTS[variant][kind]
     h = np.where(slot, _SLOT_HASH[kind], hashes)
-    words = np.concatenate(([0], np.cumsum(~slot)))
-    w = np.full(n, width * 2 + names, dtype=_U)
+    words = np.concatenate(([0], np.cumsum(~_SLOTS[max(variant, WORDS)][kind])))
+    w = np.full(n, width * 4 + variant, dtype=_U)
     for k in range(width):
         w = mix64(w * _U(0x2545F4914F6CDD1D) + h[k : n + k])
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    ok = (text[:n] == text[width - 1 :]) & (words[width:] - words[:-width] >= LEAST_WORDS * width)
-    at = np.flatnonzero(ok)
+    enough = words[width:] - words[:-width] >= LEAST_WORDS * width
+    at = np.flatnonzero((text[:n] == text[width - 1 :]) & (enough if variant else ~enough))
     return w[at], at
 
 
-SCHEMA = "id long, window long, pos int, slots array<long>"
+SCHEMA = "id long, window long, pos int, slots array<long>, exact boolean, width int"
 
 
-def template_windows(rows: DataFrame, widths: list[int], bitmap: bytes | None = None) -> DataFrame:
-    """id, window (hash), pos (first token) and slot values of the windows in rows(id, text).
+def template_windows(rows: DataFrame, widths: list[int], bitmap: bytes | None = None, own_width: bool = False) -> DataFrame:
+    """id, window (hash), pos (first token), slot values, exact and width of the windows in rows(id, text).
 
-    bitmap: only windows whose bit is set.
+    bitmap: only windows whose bit is set. own_width: of each text only the windows of its own
+    width, the largest of widths or all its tokens if it has fewer.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,29 +143,32 @@ def template_windows(rows: DataFrame, widths: list[int], bitmap: bytes | None =
             for ch in text_chunks(batch.column(1)):
                 hashes, kind, first = template_tokens(ch.data, ch.offs)
                 found = []
+                own = np.minimum(np.diff(first), max(widths))
                 for width in widths:
-                    for names in (False, True):
-                        w, at = windows_of(hashes, kind, first, width, names)
+                    for variant in (EXACT, WORDS, NAMES):
+                        w, at = windows_of(hashes, kind, first, width, variant)
+                        if own_width and len(w):
+                            hit = own[np.searchsorted(first, at, "right") - 1] == width
+                            w, at = w[hit], at[hit]
                         if bits is not None and len(w):
                             place = (w >> _U(64 - BITMAP_BITS)).astype(np.int64)
                             hit = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1
                             w, at = w[hit > 0], at[hit > 0]
                         if len(at):
-                            found.append((w, at, np.full(len(at), width), np.full(len(at), names)))
+                            found.append((w, at, np.full(len(at), width), np.full(len(at), variant)))
                 if not found:
                     continue
-                w, at, width, names = (np.concatenate(x) for x in zip(*found, strict=True))
+                w, at, width, variant = (np.concatenate(x) for x in zip(*found, strict=True))
                 text = np.searchsorted(first, at, "right") - 1
                 slots, offsets = [], [0]
                 slot_places = np.flatnonzero(kind > 0)
-                for a, n, with_names in zip(at, width, names, strict=True):
+                for a, n, v in zip(at, width, variant, strict=True):
                     inside = slot_places[np.searchsorted(slot_places, a) : np.searchsorted(slot_places, a + n)]
-                    if not with_names:
-                        inside = inside[kind[inside] != NAME]
+                    inside = inside[_SLOTS[v][kind[inside]]]
                     slots.append(hashes[inside].view(np.int64))
                     offsets.append(offsets[-1] + len(inside))
                 values = np.concatenate(slots) if slots else np.zeros(0, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(ch.lo + text)), pa.array(w.view(np.int64)), pa.array((at - first[text]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.array(offsets, dtype=np.int32)), pa.array(values))], ["id", "window", "pos", "slots"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(ch.lo + text)), pa.array(w.view(np.int64)), pa.array((at - first[text]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.array(offsets, dtype=np.int32)), pa.array(values)), pa.array(variant == EXACT), pa.array(width.astype(np.int32))], ["id", "window", "pos", "slots", "exact", "width"])
 
     return bounded_batches(rows).selectExpr("cast(id as long) id", "cast(text as string) text").mapInArrow(run, SCHEMA)
 
@@ -179,29 +187,28 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """doc_id, item_id, n_windows, n_matched, coverage for each document that holds an item.
 
     docs: doc_id, text. benchmark: item_id, text. More columns are ignored. At least `coverage` of
-    an item's windows must stand in the document with consistent slots. Null or empty texts match
+    an item's windows, or of those that have words enough (whichever share is larger is returned),
+    must stand in the document with consistent slots. Null or empty texts match
     nothing, nor do items under LEAST_TOKENS tokens. Rows that repeat a doc_id count as one
     document, rows that repeat an item_id as one item. Empty tables give no rows.
     """
     items = benchmark.select(F.col("item_id").alias("id"), "text")
-    n_tokens = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[A-Za-z0-9\x80-\x{10FFFF}]+"))
-    short = [r["n"] for r in items.select(F.least(n_tokens, F.lit(window)).alias("n")).filter(F.col("n").between(LEAST_TOKENS, window - 1)).distinct().collect()]
-    table = template_windows(items.filter(n_tokens >= window), [window])
-    for n in short:
-        table = table.unionByName(template_windows(items.filter(n_tokens == n), [n]))
-    table = stage_table(table.distinct(), "benchmark-windows")
-    sizes = table.groupBy("id").agg(F.countDistinct("pos").cast("long").alias("n_windows"))
-    lookup = table.select(F.col("id").alias("item_id"), "window", F.col("pos").alias("ipos"), F.col("slots").alias("islots"))
-
-    hits = template_windows(docs.select(F.col("doc_id").alias("id"), "text"), [window, *short], _bitmap(table))
+    table = stage_table(template_windows(items, [*range(LEAST_TOKENS, window), window], own_width=True).distinct(), "benchmark-windows")
+    short = [r["width"] for r in table.select("width").distinct().collect() if r["width"] < window]
+    sizes = table.groupBy("id").agg(F.countDistinct("pos").cast("long").alias("n_all"), F.countDistinct(F.when(~F.col("exact"), F.col("pos"))).cast("long").alias("n_typed"))
+    lookup = table.select(F.col("id").alias("item_id"), "window", F.col("pos").alias("ipos"), F.col("slots").alias("islots"), "exact")
+
+    hits = template_windows(docs.select(F.col("doc_id").alias("id"), "text"), [window, *short], _bitmap(table)).drop("exact", "width")
     hits = hits.withColumnRenamed("id", "doc_id").join(lookup, "window").filter(F.size("slots") == F.size("islots"))
     zipped = F.flatten(F.collect_set(F.transform(F.arrays_zip("slots", "islots"), lambda s: F.struct(s["islots"].alias("i"), s["slots"].alias("d")))))
-    lines = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("diagonal")).agg(F.array_distinct(zipped).alias("pairs"), F.collect_set("ipos").alias("places"))
+    lines = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("diagonal")).agg(F.array_distinct(zipped).alias("pairs"), F.collect_set(F.struct("ipos", "exact")).alias("places"))
     count = F.size("pairs")
     consistent = (count == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))) & (count == F.size(F.array_distinct(F.transform("pairs", lambda p: p["d"]))))
-    matched = lines.filter(consistent).groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_matched"))
-    share = F.col("n_matched") / F.col("n_windows")
-    return matched.join(sizes.withColumnRenamed("id", "item_id"), "item_id").select("doc_id", "item_id", "n_windows", "n_matched", share.alias("coverage")).filter(F.col("coverage") >= coverage)
+    places = F.array_distinct(F.flatten(F.collect_set("places")))
+    matched = lines.filter(consistent).groupBy("doc_id", "item_id").agg(F.size(places).cast("long").alias("m_all"), F.size(F.filter(places, lambda p: ~p["exact"])).cast("long").alias("m_typed"))
+    shares = [F.struct(F.coalesce(F.try_divide(f"m_{k}", f"n_{k}"), F.lit(0.0)).alias("coverage"), F.col(f"n_{k}").alias("n_windows"), F.col(f"m_{k}").alias("n_matched")) for k in ("all", "typed")]
+    joined = matched.join(sizes.withColumnRenamed("id", "item_id"), "item_id").withColumn("share", F.greatest(*shares))
+    return joined.select("doc_id", "item_id", "share.n_windows", "share.n_matched", "share.coverage").filter(F.col("coverage") >= coverage)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
