@@ -455,6 +455,13 @@ def test_decontamination_of_number_heavy_items(spark):
     assert pairs_of(spark, items, texts) == {(1, 1), (2, 2), (3, 3), (5, 1), (7, 5), (8, 5)}
 
 
+def test_decontamination_of_names_that_open_sentences(spark):
+    items = {1: "Alice has 12 apples. Alice gives 5 to Bob. How many are left?", 2: "Peter buys 3 green apples at the market. Peter eats one of them at home."}
+    pad = "nothing to see in this text which speaks of other things entirely. "
+    texts = {1: pad + "Carol has 30 apples. Carol gives 7 to Dave. How many are left?", 2: pad + items[2].replace("Peter", "Maria").replace("3", "8") + " " + pad, 3: pad + "as we know, Carol has 30 apples. Carol gives 7 to Dave. How many are left?", 4: pad + "Carol has 30 apples. Carol gives 30 to Carol. How many are left?", 5: pad}
+    assert pairs_of(spark, items, texts) == {(1, 1), (2, 2), (3, 1)}
+
+
 # ---- chat ----------------------------------------------------------------------------------
 
 

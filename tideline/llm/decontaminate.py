@@ -1,8 +1,9 @@
 """Benchmark decontamination by template windows.
 
 Texts become token sequences in which numbers, units after numbers and names are typed slots; all
-else is lower-cased and without punctuation. Windows of tokens are hashed, once with names as slots
-and once with names as words (a text in capitals has no names to tell); windows that are mostly
+else is lower-cased and without punctuation. Windows of tokens are hashed, with names as slots,
+with capitalised words that open a sentence as names too (they may be one or not), and with names as
+words (a text in capitals has no names to tell); windows that are mostly
 numbers are hashed literally, so only exact copies of them match. Windows of documents meet
 those of benchmark items by a hash join. A diagonal, that is hits of one document and item at the
 same distance, counts only if slot values correspond one to one along it: the same question with
@@ -42,11 +43,11 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[*b".!?:;\n\"("]] = True
-NUM, UNIT, NAME, LITERAL = 1, 2, 3, 0
-#: Ways to hash a window: without slots, names as words, names as slots; and which kinds are slots in each.
-EXACT, WORDS, NAMES = 0, 1, 2
-_SLOTS = np.array([[0, 0, 0, 0], [0, 1, 1, 0], [0, 1, 1, 1]], dtype=bool)
-_SLOT_HASH = mix64(np.arange(11, 15, dtype=_U))
+NUM, UNIT, NAME, OPENER, LITERAL = 1, 2, 3, 4, 0
+#: Ways to hash a window: without slots, names as words, names as slots, names and openers as slots; and which kinds are slots in each.
+EXACT, WORDS, NAMES, OPENERS = 0, 1, 2, 3
+_SLOTS = np.array([[0, 0, 0, 0, 0], [0, 1, 1, 0, 0], [0, 1, 1, 1, 0], [0, 1, 1, 1, 1]], dtype=bool)
+_SLOT_HASH = mix64(np.array([11, 12, 13, 14, 14], dtype=_U))
 
 
 def lower_latin(data: np.ndarray) -> np.ndarray:
@@ -73,7 +74,7 @@ def template_tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.
     """Of joined texts: hash of each token, its slot type, and each text's first token (n + 1 long).
 
     A '.' or ',' between digits belongs to the number. A name is a capitalised word that doesn't
-    open a sentence.
+    open a sentence, an opener one that does.
     """
     token = _TOKEN[data]
     inner = np.flatnonzero((data == 46) | (data == 44))
@@ -105,24 +106,33 @@ def template_tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.
         capital = _UPPER[data[starts]] | ((data[starts] == 0xC3) & (data[np.minimum(starts + 1, len(data) - 1)] <= 0x9E))
         stops = np.concatenate(([0], np.cumsum(_STOP[data])))
         opens[1:] |= stops[starts[1:]] > stops[ends[:-1]]
-        kind[capital & ~opens & (kind == LITERAL)] = NAME
+        named = capital & (kind == LITERAL)
+        kind[named] = np.where(opens[named], OPENER, NAME)
     return hashes, kind, first
 
 
 def windows_of(hashes: np.ndarray, kind: np.ndarray, first: np.ndarray, width: int, variant: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first token of each window within a text that has words enough; for EXACT, of each that has too few."""
+    """Hash and first token of each window within a text that has words enough; for EXACT, of each that has too few.
+
+    NAMES and OPENERS hash alike, as a name may open a sentence in one text only; OPENERS gives just
+    the windows that have an opener.
+    """
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=_U), np.zeros(0, dtype=np.int64)
     slot = _SLOTS[variant][kind]
     h = np.where(slot, _SLOT_HASH[kind], hashes)
     words = np.concatenate(([0], np.cumsum(~_SLOTS[max(variant, WORDS)][kind])))
-    w = np.full(n, width * 4 + variant, dtype=_U)
+    w = np.full(n, width * 4 + min(variant, NAMES), dtype=_U)
     for k in range(width):
         w = mix64(w * _U(0x2545F4914F6CDD1D) + h[k : n + k])
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     enough = words[width:] - words[:-width] >= LEAST_WORDS * width
-    at = np.flatnonzero((text[:n] == text[width - 1 :]) & (enough if variant else ~enough))
+    ok = (text[:n] == text[width - 1 :]) & (enough if variant else ~enough)
+    if variant == OPENERS:
+        openers = np.concatenate(([0], np.cumsum(kind == OPENER)))
+        ok &= openers[width:] > openers[:-width]
+    at = np.flatnonzero(ok)
     return w[at], at
 
 
@@ -145,7 +155,7 @@ def template_windows(rows: DataFrame, widths: list[int], bitmap: bytes | None =
                 found = []
                 own = np.minimum(np.diff(first), max(widths))
                 for width in widths:
-                    for variant in (EXACT, WORDS, NAMES):
+                    for variant in (EXACT, WORDS, NAMES, OPENERS):
                         w, at = windows_of(hashes, kind, first, width, variant)
                         if own_width and len(w):
                             hit = own[np.searchsorted(first, at, "right") - 1] == width
