@@ -462,6 +462,22 @@ def test_decontamination_of_names_that_open_sentences(spark):
     assert pairs_of(spark, items, texts) == {(1, 1), (2, 2), (3, 1)}
 
 
+def test_decontamination_of_items_with_equal_numbers(spark):
+    item = "With 12 wagons a train leaves the station and travels 340 km while Maria counts 12 signals along the way to town"
+    pad = "Nothing to see in this text which speaks of other things entirely. "
+    other = item.replace("12 wagons", "30 wagons").replace("340", "7").replace("Maria", "Jonas")
+    texts = {1: pad + item.replace("12 wagons", "57 wagons"), 2: pad + other.replace("12 signals", "9 signals"), 3: pad + other.replace("7 km", "9 km").replace("12 signals", "9 signals"), 4: pad}
+    # 3: 340 and the second 12 both turn to 9.
+    assert pairs_of(spark, {1: item}, texts) == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_one_to_one():
+    keep = lambda *rows: decontaminate._one_to_one(*np.array(rows).T).tolist()
+    assert keep((1, 1, 7), (1, 2, 2), (3, 3, 1)) == [True, False, True]
+    assert keep((1, 1, 7), (1, 2, 7), (1, 3, 5)) == [False, False, False]
+    assert keep((1, 1, 3), (1, 2, 4), (2, 2, 5)) == [True, False, True]
+
+
 # ---- chat ----------------------------------------------------------------------------------
 
 

@@ -5,13 +5,15 @@ else is lower-cased and without punctuation. Windows of tokens are hashed, with
 with capitalised words that open a sentence as names too (they may be one or not), and with names as
 words (a text in capitals has no names to tell); windows that are mostly
 numbers are hashed literally, so only exact copies of them match. Windows of documents meet
-those of benchmark items by a hash join. A diagonal, that is hits of one document and item at the
-same distance, counts only if slot values correspond one to one along it: the same question with
-other numbers does, a question of like wording about unrelated things doesn't.
+those of benchmark items by a hash join. Along a diagonal, that is hits of one document and item at
+the same distance, slot values must correspond one to one: they do in the same question with other
+numbers, not in a question of like wording about unrelated things. Where they don't, windows count
+that keep to the correspondence which most windows support.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,11 +138,11 @@ def windows_of(hashes: np.ndarray, kind: np.ndarray, first: np.ndarray, width: i
     return w[at], at
 
 
-SCHEMA = "id long, window long, pos int, slots array<long>, exact boolean, width int"
+SCHEMA = "id long, window long, pos int, slots array<long>, exact boolean, opener boolean, width int"
 
 
 def template_windows(rows: DataFrame, widths: list[int], bitmap: bytes | None = None, own_width: bool = False) -> DataFrame:
-    """id, window (hash), pos (first token), slot values, exact and width of the windows in rows(id, text).
+    """id, window (hash), pos (first token), slot values, exact, opener (a slot is one) and width of the windows in rows(id, text).
 
     bitmap: only windows whose bit is set. own_width: of each text only the windows of its own
     width, the largest of widths or all its tokens if it has fewer.
@@ -178,7 +180,7 @@ def template_windows(rows: DataFrame, widths: list[int], bitmap: bytes | None =
                     slots.append(hashes[inside].view(np.int64))
                     offsets.append(offsets[-1] + len(inside))
                 values = np.concatenate(slots) if slots else np.zeros(0, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(ch.lo + text)), pa.array(w.view(np.int64)), pa.array((at - first[text]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.array(offsets, dtype=np.int32)), pa.array(values)), pa.array(variant == EXACT), pa.array(width.astype(np.int32))], ["id", "window", "pos", "slots", "exact", "width"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(ch.lo + text)), pa.array(w.view(np.int64)), pa.array((at - first[text]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.array(offsets, dtype=np.int32)), pa.array(values)), pa.array(variant == EXACT), pa.array(variant == OPENERS), pa.array(width.astype(np.int32))], ["id", "window", "pos", "slots", "exact", "opener", "width"])
 
     return bounded_batches(rows).selectExpr("cast(id as long) id", "cast(text as string) text").mapInArrow(run, SCHEMA)
 
@@ -193,29 +195,91 @@ def _bitmap(windows: DataFrame) -> bytes | None:
     return np.packbits(flags, bitorder="little").tobytes()
 
 
+def _one_to_one(item: np.ndarray, doc: np.ndarray, support: np.ndarray) -> np.ndarray:
+    """Which of a diagonal's distinct pairs of values are kept: the best supported first, none of equals that contradict each other."""
+    keep = np.zeros(len(item), dtype=bool)
+    left, right = set(), set()
+    order = np.argsort(-support, kind="stable")
+    for group in np.split(order, np.flatnonzero(np.diff(support[order])) + 1):
+        free = [k for k in group.tolist() if item[k] not in left and doc[k] not in right]
+        n_left, n_right = Counter(item[free].tolist()), Counter(doc[free].tolist())
+        for k in free:
+            keep[k] = n_left[int(item[k])] == 1 and n_right[int(doc[k])] == 1
+        left.update(n_left)
+        right.update(n_right)
+    return keep
+
+
+def _ranks(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row of each distinct tuple, and each row's tuple by number."""
+    _, at, number = np.unique(np.column_stack(columns), axis=0, return_index=True, return_inverse=True)
+    return at, number.reshape(-1)
+
+
+def _agreeing(line: np.ndarray, ipos: np.ndarray, of: np.ndarray, item: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which windows (line, ipos) hold only kept pairs; of: the window of each pair (item, doc)."""
+    ok = np.ones(len(line), dtype=bool)
+    if len(of):
+        at, pair = _ranks(line[of], item, doc)
+        keep = np.ones(len(at), dtype=bool)
+        support = np.bincount(pair[_ranks(pair, ipos[of])[0]], minlength=len(at))
+        owner = line[of[at]]
+        clash = np.zeros(len(at), dtype=bool)
+        for value in (item, doc):
+            _, same = _ranks(owner, value[at])
+            clash |= np.bincount(same)[same] > 1
+        for k in np.unique(owner[clash]):
+            mine = np.arange(*np.searchsorted(owner, [k, k + 1]))
+            keep[mine] = _one_to_one(item[at[mine]], doc[at[mine]], support[mine])
+        ok[of[~keep[pair]]] = False
+    return ok
+
+
+def consistent_places(lines: DataFrame) -> DataFrame:
+    """doc_id, item_id and places (ipos, exact) of the windows that don't contradict their diagonal.
+
+    lines: doc_id, item_id and windows (ipos, exact, opener, islots, slots), a row a diagonal. An
+    opener may be no name, so windows without such slots need only agree among themselves.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            windows = batch.column(2)
+            flat = windows.flatten()
+            ipos, exact, opener, islots, slots = (flat.field(k) for k in range(5))
+            line = np.repeat(np.arange(batch.num_rows), np.diff(windows.offsets.to_numpy()))
+            of = np.repeat(np.arange(len(flat)), np.diff(slots.offsets.to_numpy()))
+            item, doc, pos, opens = islots.flatten().to_numpy(zero_copy_only=False), slots.flatten().to_numpy(zero_copy_only=False), ipos.to_numpy(zero_copy_only=False), opener.to_numpy(zero_copy_only=False)
+            plain = ~opens[of]
+            ok = _agreeing(line, pos, of, item, doc) | (_agreeing(line, pos, of[plain], item[plain], doc[plain]) & ~opens)
+            kept = np.flatnonzero(ok)
+            ends = np.searchsorted(line[kept], np.arange(batch.num_rows + 1)).astype(np.int32)
+            places = pa.StructArray.from_arrays([ipos.take(pa.array(kept)), exact.take(pa.array(kept))], ["ipos", "exact"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), places)], ["doc_id", "item_id", "places"])
+
+    return lines.select("doc_id", "item_id", "windows").mapInArrow(run, "doc_id long, item_id long, places array<struct<ipos: int, exact: boolean>>")
+
+
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, n_windows, n_matched, coverage for each document that holds an item.
 
     docs: doc_id, text. benchmark: item_id, text. More columns are ignored. At least `coverage` of
     an item's windows, or of those that have words enough (whichever share is larger is returned),
-    must stand in the document with consistent slots. Null or empty texts match
+    must stand in the document, in windows that don't contradict their diagonal. Null or empty texts match
     nothing, nor do items under LEAST_TOKENS tokens. Rows that repeat a doc_id count as one
     document, rows that repeat an item_id as one item. Empty tables give no rows.
     """
     items = benchmark.select(F.col("item_id").alias("id"), "text")
     table = stage_table(template_windows(items, [*range(LEAST_TOKENS, window), window], own_width=True).distinct(), "benchmark-windows")
     short = [r["width"] for r in table.select("width").distinct().collect() if r["width"] < window]
-    sizes = table.groupBy("id").agg(F.countDistinct("pos").cast("long").alias("n_all"), F.countDistinct(F.when(~F.col("exact"), F.col("pos"))).cast("long").alias("n_typed"))
-    lookup = table.select(F.col("id").alias("item_id"), "window", F.col("pos").alias("ipos"), F.col("slots").alias("islots"), "exact")
+    sizes = table.groupBy("id").agg(F.countDistinct("pos", "exact").cast("long").alias("n_all"), F.countDistinct(F.when(~F.col("exact"), F.col("pos"))).cast("long").alias("n_typed"))
+    lookup = table.select(F.col("id").alias("item_id"), "window", F.col("pos").alias("ipos"), F.col("slots").alias("islots"), "exact", F.col("opener").alias("iopener"))
 
     hits = template_windows(docs.select(F.col("doc_id").alias("id"), "text"), [window, *short], _bitmap(table)).drop("exact", "width")
     hits = hits.withColumnRenamed("id", "doc_id").join(lookup, "window").filter(F.size("slots") == F.size("islots"))
-    zipped = F.flatten(F.collect_set(F.transform(F.arrays_zip("slots", "islots"), lambda s: F.struct(s["islots"].alias("i"), s["slots"].alias("d")))))
-    lines = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("diagonal")).agg(F.array_distinct(zipped).alias("pairs"), F.collect_set(F.struct("ipos", "exact")).alias("places"))
-    count = F.size("pairs")
-    consistent = (count == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))) & (count == F.size(F.array_distinct(F.transform("pairs", lambda p: p["d"]))))
+    lines = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("diagonal")).agg(F.collect_set(F.struct("ipos", "exact", (F.col("opener") | F.col("iopener")).alias("opener"), "islots", "slots")).alias("windows"))
     places = F.array_distinct(F.flatten(F.collect_set("places")))
-    matched = lines.filter(consistent).groupBy("doc_id", "item_id").agg(F.size(places).cast("long").alias("m_all"), F.size(F.filter(places, lambda p: ~p["exact"])).cast("long").alias("m_typed"))
+    matched = consistent_places(lines).groupBy("doc_id", "item_id").agg(F.size(places).cast("long").alias("m_all"), F.size(F.filter(places, lambda p: ~p["exact"])).cast("long").alias("m_typed"))
     shares = [F.struct(F.coalesce(F.try_divide(f"m_{k}", f"n_{k}"), F.lit(0.0)).alias("coverage"), F.col(f"n_{k}").alias("n_windows"), F.col(f"m_{k}").alias("n_matched")) for k in ("all", "typed")]
     joined = matched.join(sizes.withColumnRenamed("id", "item_id"), "item_id").withColumn("share", F.greatest(*shares))
     return joined.select("doc_id", "item_id", "share.n_windows", "share.n_matched", "share.coverage").filter(F.col("coverage") >= coverage)
