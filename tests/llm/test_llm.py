@@ -280,6 +280,19 @@ def test_pages(spark):
     assert html_extract.extract_main_text(none, html_extract.fit_labeller(none)).count() == 0
 
 
+def test_page_blocks_keep_text_after_raw_elements():
+    blocks = lambda x: [b.text for b in html_extract.page_blocks(x)]
+    for raw in ('<svg class="i" />', "<math/>", "<svg-icon></svg-icon>", "<select-menu>", "<template-x></template-x>", "<title-bar/>", "<iframe src='x'>", "<object data=x>", "<svg>", "<noscript>"):
+        assert blocks(f"<article><p>one</p>{raw}<p>two</p></article><footer>three</footer>") == ["one", "two", "three"], raw
+    for raw in ("<script>x", "<style>x"):
+        assert blocks(f"<p>one</p>{raw}<p>two</p>") == ["one"], raw
+    for raw in ("<SVG><text>x</text></svg >", "<script>'<p>'</script\n>", "<textarea>x</textarea>", "<select><option>x</select>", "<template><p>x</template>", "<title>x</title>"):
+        assert blocks(f"<p>one</p>{raw}<p>two</p>") == ["one", "two"], raw
+    assert blocks("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><object data=x><p>map</p></object><noscript>plain</noscript>") == ["so x=2 holds", "map", "plain"]
+    assert blocks("<svg>" * 20000 + "<p>one</p>") == ["one"]
+
+
+
 def test_labeller_on_layouts_it_has_not_seen():
     words = [f"w{i}" for i in range(300)]
     net = html_extract.BiLstm()

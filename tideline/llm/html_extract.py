@@ -27,10 +27,12 @@ from .common import bounded_batches
 
 # ---- pages to blocks -----------------------------------------------------------------------
 
-_RAW = "script|style|noscript|template|textarea|svg|math|iframe|object|select|title"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.I | re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+#: Elements whose inside is no text; those in _TO_END last to the end of the page if nothing ends them, others are then mere tags.
+_RAW = {t: re.compile(rf"</{t}(?:[\s/][^>]*)?>", re.I) for t in "script style template textarea svg iframe select title".split()}
+_TO_END = frozenset(("script", "style"))
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag closes open elements of these kinds first, up to the barrier.
 _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
@@ -58,7 +60,7 @@ def _marks(tag: str, attributes: str) -> tuple:
 
 
 def page_blocks(page: str | None) -> list[Block]:
-    """Leaf blocks with text, in page order. Scripts, styles and comments are no text."""
+    """Leaf blocks with text, in page order. Comments and what _RAW names are no text."""
     page = page or ""
     blocks: list[Block] = []
     stack: list[tuple] = []
@@ -75,27 +77,33 @@ def page_blocks(page: str | None) -> list[Block]:
         linked = 0
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    unended = set()
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             parts.append(page[at : m.start()])
             if in_link:
                 linked += m.start() - at
         at = m.end()
-        tag = m[3]
-        if not tag:
-            if m[1]:
-                parts.append(" ")
+        if not m[2]:
             continue
-        tag = tag.lower()
+        tag = m[2].lower()
+        if tag in _RAW and not m[1] and tag not in unended:
+            empty = tag == "svg" and m[3].endswith("/")
+            end = None if empty else _RAW[tag].search(page, at)
+            if empty or end or tag in _TO_END:
+                at = at if empty else end.end() if end else len(page)
+                parts.append(" ")
+                continue
+            unended.add(tag)
         if tag in INLINE:
             if tag == "a":
-                in_link = 0 if m[2] else 1
+                in_link = 0 if m[1] else 1
             elif tag in ("br", "wbr", "img"):
                 parts.append(" ")
             continue
         close()
         in_link = 0
-        if m[2]:
+        if m[1]:
             if any(s[0] == tag for s in stack):
                 while stack.pop()[0] != tag:
                     pass
@@ -103,8 +111,8 @@ def page_blocks(page: str | None) -> list[Block]:
         closes = _CLOSES.get(tag, ("p",) if tag in _ENDS_P else ())
         while stack and stack[-1][0] in closes:
             stack.pop()
-        if tag not in VOID and not m[4].endswith("/"):
-            stack.append(_marks(tag, m[4]))
+        if tag not in VOID and not m[3].endswith("/"):
+            stack.append(_marks(tag, m[3]))
     if at < len(page):
         parts.append(page[at:])
     close()
