@@ -237,3 +237,20 @@ def test_hourly_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r["ts"].hour, r["x"]) for r in spark.table("hourly_out").collect()} == {(0, 3.0), (9, 4.0)}
+
+
+def test_gbm_backtest_fits_all_folds_with_the_whole_grid(spark, monkeypatch):
+    from tideline.plans import queries
+
+    fit, seen = models.fit_gbm, []
+
+    def small(rows, columns, target, fold, **cut):
+        seen.append((fold, cut))
+        return fit(rows, columns, target, fold, grid=((0.1, 2),), max_depth=2)
+
+    monkeypatch.setattr(queries.models, "fit_gbm", small)
+    d = "/root/testdata/sf0.001"
+    got = {(r["series_id"], r["fold"]): r["n"] for r in queries.QUERIES["gbm_backtest"](spark, d).collect()}
+    want = {(r["series_id"], r["fold"]): r["n"] for r in queries.QUERIES["ridge_backtest"](spark, d).collect()}
+    assert seen == [(f, {}) for f in sorted({f for _, f in want})] and len(seen) > 1
+    assert got == want

@@ -487,6 +487,10 @@ def ridge_backtest(spark, d):
 @query
 def gbm_backtest(spark, d):
     rows, columns = _daily_features(spark, d)
-    model, _ = models.fit_gbm(rows, columns, "x", 1, grid=((0.1, 5), (0.2, 5)), max_depth=3)
-    pred = models.predict_trees(rows.filter("role = 'test' and fold = 1"), model, columns, least=0.0)
-    return pred.groupBy("series_id").agg(F.avg(F.abs(F.col("pred") - F.col("x"))).alias("mae"), F.count(F.lit(1)).alias("n"))
+    out = None
+    for fold in sorted(r["fold"] for r in _folds(base.daily_orders(spark, d)).select("fold").collect()):
+        model, _ = models.fit_gbm(rows, columns, "x", fold)
+        pred = models.predict_trees(rows.filter((F.col("role") == "test") & (F.col("fold") == fold)), model, columns, least=0.0)
+        out = pred if out is None else out.unionByName(pred)
+    out = rows.limit(0).withColumn("pred", F.lit(0.0)) if out is None else out
+    return out.groupBy("series_id", "fold").agg(F.avg(F.abs(F.col("pred") - F.col("x"))).alias("mae"), F.count(F.lit(1)).alias("n"))
