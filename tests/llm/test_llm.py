@@ -391,19 +391,21 @@ def test_cutoff_keeps_its_promise():
 
 
 def brute_repeats(rows, long):
-    seen, out, same = {}, {}, collections.defaultdict(list)
-    for d, t in rows:
-        same[d].append((t or "").encode())
-    for d in sorted(same):
-        raw = same[d][0]
-        mask = np.zeros(len(raw), bool)
-        for i in range(len(raw) - long + 1):
-            s = raw[i : i + long]
-            if s in seen and seen[s] != (d, i):
-                mask[i : i + long] = True
-            seen.setdefault(s, (d, i))
-        kept = bytes(np.frombuffer(raw, np.uint8)[~mask])
-        out[d] = (len(raw), int(mask.sum()), int((np.diff(np.concatenate(([0], mask.astype(int)))) == 1).sum()), hashlib.sha256(kept).hexdigest())
+    """(doc_id, text) to the figures: an id's texts are documents of their own, none before the others; no id comes last."""
+    seen, out = {}, {}
+    for d in sorted({d for d, _ in rows}, key=lambda d: (d is None, d)):
+        before = set(seen)
+        for text in {t for e, t in rows if e == d}:
+            raw, own = (text or "").encode(), set()
+            mask = np.zeros(len(raw), bool)
+            for i in range(len(raw) - long + 1):
+                s = raw[i : i + long]
+                if s in before or s in own:
+                    mask[i : i + long] = True
+                own.add(s)
+                seen[s] = d
+            kept = bytes(np.frombuffer(raw, np.uint8)[~mask])
+            out[d, text] = (len(raw), int(mask.sum()), int((np.diff(np.concatenate(([0], mask.astype(int)))) == 1).sum()), hashlib.sha256(kept).hexdigest())
     return out
 
 
@@ -414,7 +416,22 @@ def test_repeats(spark, seed):
     rows = [(i, "".join(pool[k] for k in r.integers(0, 12, int(r.integers(0, 5))))) for i in range(60)]
     rows += [(60 + i, t) for i, t in enumerate(TEXTS)] + [(6, rows[6][1])]
     got = by_id(repeat_removal.remove_repeats(spark.createDataFrame([(*x, "clash") for x in rows], "doc_id long, text string, marks string").repartition(4)))
-    assert {d: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for d, x in got.items()} == brute_repeats(rows, 100)
+    assert {d: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for d, x in got.items()} == {d: v for (d, _), v in brute_repeats(rows, 100).items()}
+
+
+@pytest.mark.parametrize("seed,group_bytes", [(3, 1 << 20), (4, 2000)])
+def test_repeats_of_rows_that_share_an_id(spark, monkeypatch, seed, group_bytes):
+    """Ids that repeat or are missing, with other texts and with the same; in small groups rows are dealt out too."""
+    monkeypatch.setattr(repeat_removal, "GROUP_BYTES", group_bytes)
+    r = np.random.default_rng(seed)
+    pool = ["".join(r.choice(list("abcdefgh é"), int(n))) for n in r.integers(40, 300, 8)]
+    rows = [([None, 1, 5, 5, 9][int(r.integers(5))], "".join(pool[k] for k in r.integers(0, 8, int(r.integers(1, 5))))) for _ in range(40)]
+    rows += [(None, pool[0] * 3)] * 9 + [(5, pool[1] + pool[2])] * 12 + [(1, pool[3] + "P" * 150), (5, pool[3] + "P" * 150), (5, "quite another text " * 9), (None, None), (None, None), (7, None)]
+    want = brute_repeats(rows, 100)
+    for parts in (1, 5):
+        got = repeat_removal.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), with_text=True).collect()
+        figures = collections.Counter((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got)
+        assert figures == collections.Counter((d, *want[d, t]) for d, t in rows)
 
 
 def test_repeats_edges(spark, docs, empty):

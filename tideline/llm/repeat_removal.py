@@ -9,6 +9,8 @@ windows with one anchor form a region, and regions are dealt to buckets by their
   go, as bytes, to shards by anchor; a run-length index of each shard, with the shard's regions
   streamed through it, finds the windows that occur earlier.
 The marked ranges then meet the texts again. Both times texts travel in groups of bounded size.
+
+A document is told by its doc_id and text together, so rows that share an id don't share marks.
 """
 
 from __future__ import annotations
@@ -32,10 +34,13 @@ FLUSH_REGIONS = 1 << 20
 SHARD_BYTES = 1 << 20
 GROUP_BYTES = 16 << 20
 #: A region in a bucket: what it hangs on, what it holds, where it is and how far it reaches.
-REGION = np.dtype([("anchor", "<u4"), ("held", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("back", "u1"), ("more", "u1")])
+#: (doc: its id, row: hash of id and text; both together tell a document.)
+REGION = np.dtype([("anchor", "<u4"), ("held", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("lo", "<u4"), ("back", "u1"), ("more", "u1")])
 #: A region that must be looked at by bytes, and a marked range of bytes.
-PLACE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("back", "u1"), ("more", "u1")])
-RANGE = np.dtype([("doc", "<i8"), ("lo", "<u4"), ("hi", "<u4")])
+PLACE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("lo", "<u4"), ("back", "u1"), ("more", "u1")])
+RANGE = np.dtype([("doc", "<i8"), ("row", "<i8"), ("lo", "<u4"), ("hi", "<u4")])
+#: A missing doc_id counts as this one: it comes last.
+NO_ID = np.iinfo(np.int64).max
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -106,6 +111,30 @@ def _unpacked(table: pa.Table, name: str, dtype: np.dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype=dtype)
 
 
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """The first of equal regions among sorted ones: copies of a row bring the same regions again."""
+    keep = np.ones(len(rows), dtype=bool)
+    if len(rows):
+        keep[1:] = rows[1:] != rows[:-1]
+    return keep
+
+
+def _repeats(rows: np.ndarray, bucket: np.ndarray | None = None) -> np.ndarray:
+    """Which sorted regions equal an earlier one: of a smaller id, or further ahead in the same document.
+
+    Regions of other documents of the same id, and copies of the row itself, aren't earlier.
+    """
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = (rows["anchor"][1:] != rows["anchor"][:-1]) | (rows["held"][1:] != rows["held"][:-1])
+    if bucket is not None:
+        new[1:] |= bucket[1:] != bucket[:-1]
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    own = np.zeros(len(rows), dtype=bool)
+    own[1:] = ~new[1:] & (rows["doc"][1:] == rows["doc"][:-1]) & (rows["row"][1:] == rows["row"][:-1])
+    start = np.maximum.accumulate(np.where(own, 0, np.arange(len(rows)))) if len(rows) else first
+    return (rows["doc"] != rows["doc"][first]) | (rows["lo"] != rows["lo"][start])
+
+
 def _region_blobs(docs: DataFrame, buckets: int, long: int, gram: int) -> DataFrame:
     """Regions packed by bucket. Regions that repeat within a task's buffer travel to buckets of
     their own (numbered from `buckets`), since they are settled: a text held by a third of all
@@ -118,17 +147,19 @@ def _region_blobs(docs: DataFrame, buckets: int, long: int, gram: int) -> DataFr
         def flush() -> pa.RecordBatch:
             bucket, rows = (np.concatenate(x) for x in zip(*kept, strict=True))
             kept.clear()
-            order = np.lexsort((rows["lo"], rows["doc"], rows["held"], rows["anchor"], bucket))
+            order = np.lexsort((rows["lo"], rows["row"], rows["doc"], rows["held"], rows["anchor"], bucket))
             bucket, rows = bucket[order], rows[order]
-            again = np.concatenate(([False], (bucket[1:] == bucket[:-1]) & (rows["anchor"][1:] == rows["anchor"][:-1]) & (rows["held"][1:] == rows["held"][:-1]) & ((rows["doc"][1:] != rows["doc"][:-1]) | (rows["lo"][1:] != rows["lo"][:-1]))))
+            once = _distinct(rows)
+            bucket, rows = bucket[once], rows[once]
+            again = _repeats(rows, bucket)
             return _packed("regions", np.where(again, bucket + buckets, bucket), rows)
 
         for batch in batches:
-            ids = np.asarray(batch.column(0).fill_null(-1))
+            ids, row = np.asarray(batch.column(0).fill_null(NO_ID)), np.asarray(batch.column(2))
             for data, offs, first, at in _cut_texts(batch.column(1), long):
                 anchor, region, text, lo, back, more = regions_of(data, offs, long, gram)
                 rows = np.empty(len(lo), dtype=REGION)
-                rows["anchor"], rows["held"], rows["doc"] = (anchor // _U(buckets)).astype(np.uint32), region, ids[first + text]
+                rows["anchor"], rows["held"], rows["doc"], rows["row"] = (anchor // _U(buckets)).astype(np.uint32), region, ids[first + text], row[first + text]
                 rows["lo"], rows["back"], rows["more"] = lo + at, back, more
                 kept.append(((anchor % _U(buckets)).astype(np.int64), rows))
                 held += len(rows)
@@ -142,15 +173,15 @@ def _region_blobs(docs: DataFrame, buckets: int, long: int, gram: int) -> DataFr
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return bounded_batches(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    return bounded_batches(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "xxhash64(cast(doc_id as long), cast(text as string)) row")
 
 
 def _merge(ranges: np.ndarray) -> np.ndarray:
-    """Ranges by doc, those that touch or overlap joined."""
-    r = ranges[np.lexsort((ranges["lo"], ranges["doc"]))]
+    """Ranges by document, those that touch or overlap joined."""
+    r = ranges[np.lexsort((ranges["lo"], ranges["row"], ranges["doc"]))]
     if not len(r):
         return r
-    new = np.concatenate(([True], r["doc"][1:] != r["doc"][:-1]))
+    new = np.concatenate(([True], (r["doc"][1:] != r["doc"][:-1]) | (r["row"][1:] != r["row"][:-1])))
     # Within a doc, the furthest end so far: offset docs so that one running maximum serves all.
     nth = np.cumsum(new).astype(np.int64) << 33
     reach = np.maximum.accumulate(nth + r["hi"])
@@ -170,75 +201,101 @@ def settle_regions(regions: DataFrame, buckets: int, groups: int, shards: int |
         if bucket >= buckets:
             again, open_ = np.ones(len(rows), dtype=bool), np.zeros(len(rows), dtype=bool)
         else:
-            rows = rows[np.lexsort((rows["lo"], rows["doc"], rows["held"], rows["anchor"]))]
-            same = np.zeros(len(rows), dtype=bool)
+            rows = rows[np.lexsort((rows["lo"], rows["row"], rows["doc"], rows["held"], rows["anchor"]))]
+            rows = rows[_distinct(rows)]
+            again = _repeats(rows)
             a, h = rows["anchor"], rows["held"]
-            place = np.concatenate(([True], (a[1:] != a[:-1]) | (h[1:] != h[:-1]) | (rows["doc"][1:] != rows["doc"][:-1]) | (rows["lo"][1:] != rows["lo"][:-1])))
-            rows = rows[place]  # rows that repeat a doc_id bring the same regions twice
-            a, h = rows["anchor"], rows["held"]
-            same = np.zeros(len(rows), dtype=bool)
-            same[1:] = (a[1:] == a[:-1]) & (h[1:] == h[:-1])
-            again = same
-            first = np.flatnonzero(~same)
-            fa = a[first]
-            beside = np.zeros(len(first), dtype=bool)
-            beside[1:] |= fa[1:] == fa[:-1]
-            beside[:-1] |= fa[1:] == fa[:-1]
-            open_ = np.zeros(len(rows), dtype=bool)
-            open_[first[beside]] = True
+            new = np.ones(len(rows), dtype=bool)
+            new[1:] = a[1:] != a[:-1]
+            differs = ~new
+            differs[1:] &= h[1:] != h[:-1]
+            several = np.logical_or.reduceat(differs, np.flatnonzero(new)) if len(rows) else new
+            open_ = several[np.cumsum(new) - 1] & ~again
         marks = np.empty(int(again.sum()), dtype=RANGE)
-        marks["doc"], marks["lo"] = rows["doc"][again], rows["lo"][again]
+        for c in ("doc", "row", "lo"):
+            marks[c] = rows[c][again]
         marks["hi"] = rows["lo"][again] + rows["more"][again].astype(np.uint32) + np.uint32(long)
         marks = _merge(marks)
         places = np.empty(int(open_.sum()), dtype=PLACE)
-        for c in ("doc", "lo", "back", "more"):
+        for c in ("doc", "row", "lo", "back", "more"):
             places[c] = rows[c][open_]
         places["key"] = rows["anchor"][open_].astype(_U) * _U(buckets) + _U(bucket % buckets)
-        out = [_packed("marks", np.mod(marks["doc"], groups), marks), _packed("places", np.mod(places["doc"], groups), places)]
+        out = [_packed("marks", np.mod(marks["row"], groups), marks), _packed("places", np.mod(places["row"], groups), places)]
         full = [pa.table({"grp": b.column(0), "marks": b.column(1) if i == 0 else pa.nulls(b.num_rows, pa.binary()), "places": b.column(1) if i else pa.nulls(b.num_rows, pa.binary())}) for i, b in enumerate(out)]
         return pa.concat_tables(full)
 
     return regions.groupBy("grp").applyInArrow(run, "grp long, marks binary, places binary")
 
 
-def _doc_group(groups: int):
-    return F.pmod(F.coalesce("doc_id", F.lit(-1)), F.lit(groups)).cast("long").alias("grp")
+def _dealt(docs: DataFrame, groups: int, long: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Texts of at least `long` bytes by group; one of each document; and the groups that take part of another's rows.
+
+    A document's group follows from its row hash. Copies of one row (equal id, or none, and equal
+    text) all have one hash: where they exceed GROUP_BYTES they are dealt to groups of their own,
+    which get their marks from the group they come from.
+    """
+    texts = _texts(docs).filter(F.octet_length("text") >= long)
+    grp = F.pmod("row", F.lit(groups)).cast("long")
+    size = F.count(F.lit(1)) * F.max(F.octet_length("text"))
+    hot = stage_table(texts.groupBy("doc_id", "row").agg(F.ceil(size / F.lit(float(GROUP_BYTES))).cast("long").alias("parts"), F.count(F.lit(1)).alias("n")).filter("parts > 1 and n > 1").drop("n"), "repeat-copies")
+    if hot.isEmpty():
+        texts = texts.withColumn("grp", grp)
+        return texts, texts, None
+    same = [F.col("doc_id").eqNullSafe(F.col("_d")), F.col("row") == F.col("_r")]
+    hot = hot.withColumnsRenamed({"doc_id": "_d", "row": "_r"})
+    parts = hot.select("_r", "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select(F.pmod("_r", F.lit(groups)).cast("long").alias("grp"), own_group("_r", "part", groups).alias("to"))
+    mixed = texts.join(hot, same, "left").withColumn("part", F.floor(F.rand(17) * F.col("parts")))
+    spread = mixed.withColumn("grp", F.when(F.col("parts").isNull(), grp).otherwise(own_group("row", "part", groups))).drop("_d", "_r", "parts", "part")
+    once = mixed.filter("parts is not null").groupBy("doc_id", "row").agg(F.first("text").alias("text")).select("doc_id", "text", "row")
+    one_each = mixed.filter("parts is null").select("doc_id", "text", "row").unionByName(once).withColumn("grp", grp)
+    return spread, one_each, parts.distinct()
+
+
+def own_group(row: str, part: str, groups: int):
+    return F.lit(groups) + F.shiftrightunsigned(F.xxhash64(row, part), 2)
+
+
+def _by_document(packed: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+    """Places or ranges of each document, from an array sorted by document."""
+    new = np.flatnonzero(np.concatenate(([True], (packed["doc"][1:] != packed["doc"][:-1]) | (packed["row"][1:] != packed["row"][:-1])))) if len(packed) else []
+    ends = [*new[1:], len(packed)]
+    return {(int(packed["doc"][a]), int(packed["row"][a])): packed[a:b] for a, b in zip(new, ends, strict=False)}
 
 
-def region_bytes(docs: DataFrame, places: DataFrame, groups: int, shards: int, long: int = LONG) -> DataFrame:
-    """shard, key, doc, lo, back and the bytes of each region to look at."""
+def _documents(texts: pa.Table) -> Iterator[tuple[int | None, tuple[int, int], pa.Scalar]]:
+    for d, row, text in zip(texts.column("doc_id").to_pylist(), texts.column("row").to_pylist(), texts.column("text"), strict=True):
+        yield d, (NO_ID if d is None else d, row), text
+
+
+def region_bytes(texts: DataFrame, places: DataFrame, shards: int, long: int = LONG) -> DataFrame:
+    """shard, key, doc, row, lo, back and the bytes of each region to look at. texts: each document once, by group."""
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         todo = _unpacked(found, "places", PLACE)
-        todo = todo[np.argsort(todo["doc"], kind="stable")]
+        wanted = _by_document(todo[np.lexsort((todo["row"], todo["doc"]))])
         out = {"shard": [], "packed": []}
-        if len(todo) and texts.num_rows:
-            ids = texts.column("doc_id").fill_null(-1).to_pylist()
+        if wanted and texts.num_rows:
             rows, parts = [], []
-            done = set()
-            for i, d in enumerate(ids):
-                a, b = np.searchsorted(todo["doc"], [d, d + 1])
-                if a < b and d not in done:
-                    done.add(d)
-                    text = (texts.column("text")[i].as_py() or "").encode()
-                    for p in todo[a:b]:
-                        lo = int(p["lo"])
-                        piece = text[lo : lo + int(p["more"]) + long]
-                        rows.append((int(p["key"]), d, lo, int(p["back"]), len(piece)))
+            for _, key, text in _documents(texts):
+                mine = wanted.pop(key, None)  # a copy of the row has the same places
+                if mine is not None:
+                    raw = (text.as_py() or "").encode()
+                    for k, lo, back, more in mine[["key", "lo", "back", "more"]].tolist():
+                        piece = raw[lo : lo + more + long]
+                        rows.append((k, *key, lo, back, len(piece)))
                         parts.append(piece)
             shard = np.array([r[0] % shards for r in rows], dtype=np.int64)
-            head = np.array([(r[0], r[1], r[2], r[3], r[4]) for r in rows], dtype=_PIECE)
+            head = np.array(rows, dtype=_PIECE)
             for s in np.unique(shard):
                 mine = np.flatnonzero(shard == s)
                 out["shard"].append(int(s))
                 out["packed"].append(len(mine).to_bytes(4, "little") + blob(head[mine]) + b"".join(parts[k] for k in mine))
         return pa.table({"shard": pa.array(out["shard"], pa.int64()), "packed": pa.array(out["packed"], pa.binary())})
 
-    left = _texts(docs).select("*", _doc_group(groups)).groupBy("grp")
-    return left.cogroup(places.select("grp", "places").filter("places is not null").groupBy("grp")).applyInArrow(run, "shard long, packed binary")
+    return texts.groupBy("grp").cogroup(places.select("grp", "places").filter("places is not null").groupBy("grp")).applyInArrow(run, "shard long, packed binary")
 
 
-_PIECE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("back", "u1"), ("size", "<u2")])
+_PIECE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("lo", "<u4"), ("back", "u1"), ("size", "<u2")])
 
 
 def index_shards(pieces: DataFrame, groups: int, long: int = LONG) -> DataFrame:
@@ -255,54 +312,68 @@ def index_shards(pieces: DataFrame, groups: int, long: int = LONG) -> DataFrame:
             heads.append(head)
             texts += [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
         head = np.concatenate(heads)
-        order = np.lexsort((head["lo"], head["doc"]))
+        order = np.lexsort((head["lo"], head["row"], head["doc"]))
         head, texts = head[order], [texts[i] for i in order]
         index = RunIndex(texts, long)
         ends = index.starts + head["size"]
         row, length = index.matching_statistics(index.text, index.starts, ends)
         place = np.flatnonzero(length >= long)
-        # Places in the joined texts follow (doc, lo), so an earlier place is an earlier start.
+        # Places in the joined texts follow (doc, row, lo), so an earlier place is an earlier start.
         # Pieces of a document overlap, and the same start may stand in two of them: compare starts.
         piece = np.searchsorted(index.starts, place, "right") - 1
         first = index.first_place(row[place])
         other = np.searchsorted(index.starts, first, "right") - 1
         own = head["lo"][piece].astype(np.int64) + place - index.starts[piece]
         was = head["lo"][other].astype(np.int64) + first - index.starts[other]
-        earlier = (head["doc"][other] < head["doc"][piece]) | ((head["doc"][other] == head["doc"][piece]) & (was < own))
+        doc, row_ = head["doc"][piece], head["row"][piece]
+        same_id = head["doc"][other] == doc
+        earlier = ~same_id | ((head["row"][other] == row_) & (was < own))
+        # The first place may be in another document of the same id: then an earlier one in the own document counts.
+        unsure = np.flatnonzero(same_id & (head["row"][other] != row_))
+        if len(unsure):
+            unsure = unsure[np.lexsort((own[unsure], row_[unsure], first[unsure]))]
+            new = np.concatenate(([True], (first[unsure][1:] != first[unsure][:-1]) | (row_[unsure][1:] != row_[unsure][:-1])))
+            earlier[unsure] = own[unsure] > own[unsure][np.flatnonzero(new)[np.cumsum(new) - 1]]
         marks = np.empty(int(earlier.sum()), dtype=RANGE)
-        marks["doc"], marks["lo"] = head["doc"][piece][earlier], own[earlier]
+        marks["doc"], marks["row"], marks["lo"] = doc[earlier], row_[earlier], own[earlier]
         marks["hi"] = marks["lo"] + np.uint32(long)
         marks = _merge(marks)
-        return pa.Table.from_batches([_packed("marks", np.mod(marks["doc"], groups), marks)])
+        return pa.Table.from_batches([_packed("marks", np.mod(marks["row"], groups), marks)])
 
     return pieces.groupBy("shard").applyInArrow(run, "grp long, marks binary")
 
 
-def cut_documents(docs: DataFrame, marks: DataFrame, groups: int, with_text: bool = False) -> DataFrame:
-    """Each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the text left if asked for.
+def cut_documents(texts: DataFrame, marks: DataFrame, with_text: bool = False) -> DataFrame:
+    """Each row of texts, which come by group: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the text left if asked for.
 
     Bytes that are left may end inside a character; in the text they are replaced.
     """
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if with_text else [])]
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        ranges = _merge(_unpacked(found, "marks", RANGE))
+        ranges = _by_document(_merge(_unpacked(found, "marks", RANGE)))
+        none = np.zeros(0, dtype=RANGE)
         out: dict[str, list] = {c: [] for c in names}
-        for d, text in zip(texts.column("doc_id").to_pylist(), texts.column("text"), strict=True):
+        for d, key, text in _documents(texts):
             raw = (text.as_py() or "").encode()
-            key = -1 if d is None else d
-            a, b = np.searchsorted(ranges["doc"], [key, key + 1])
-            lo, hi = np.minimum(ranges["lo"][a:b], len(raw)).tolist(), np.minimum(ranges["hi"][a:b], len(raw)).tolist()
+            mine = ranges.get(key, none)
+            lo, hi = mine["lo"].tolist(), mine["hi"].tolist()
             kept = b"".join(raw[x:y] for x, y in zip([0, *hi], [*lo, len(raw)], strict=True))
-            values = [d, len(raw), len(raw) - len(kept), sum(x < y for x, y in zip(lo, hi, strict=True)), hashlib.sha256(kept).hexdigest(), kept.decode(errors="replace")]
+            values = [d, len(raw), len(raw) - len(kept), len(lo), hashlib.sha256(kept).hexdigest(), kept.decode(errors="replace")]
             for c, v in zip(names, values, strict=False):
                 out[c].append(v)
         kinds = [pa.int64()] * 4 + [pa.string()] * 2
         return pa.table({c: pa.array(out[c], k) for c, k in zip(names, kinds, strict=False)})
 
     schema = ", ".join(f"{c} {'string' if c.startswith('kept') else 'long'}" for c in names)
-    left = _texts(docs).select("*", _doc_group(groups)).groupBy("grp")
-    return left.cogroup(marks.groupBy("grp")).applyInArrow(run, schema)
+    return texts.groupBy("grp").cogroup(marks.groupBy("grp")).applyInArrow(run, schema)
+
+
+def uncut_documents(docs: DataFrame, long: int, with_text: bool = False) -> DataFrame:
+    """The same of texts too short to lose anything; they stay where they are."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    cols = [F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256")]
+    return docs.filter(F.octet_length(text) < long).select(*cols, *([text.alias("kept_text")] if with_text else []))
 
 
 def _prime_above(n: int) -> int:
@@ -315,9 +386,10 @@ def remove_repeats(docs: DataFrame, long: int = LONG, gram: int = GRAM, with_tex
     """Each byte covered by a `long`-byte string that also starts earlier is removed.
 
     docs: doc_id, text; more columns are ignored. Earlier means a smaller doc_id, or the same
-    document and an earlier start; a null doc_id counts as -1. A null or empty text has no bytes;
-    texts shorter than `long` lose nothing. Rows that repeat a doc_id are the same document: their
-    common strings aren't earlier than each other. An empty table gives no rows. Region hashes
+    document and an earlier start; a null doc_id comes after all others. A null or empty text has
+    no bytes; texts shorter than `long` lose nothing. Rows of one doc_id (or none) with different
+    texts are different documents, neither of them earlier; rows with equal texts as well are
+    copies of one document, with the same result each. An empty table gives no rows. Region hashes
     have 64 bits. Texts travel twice in groups of about GROUP_BYTES, regions once.
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
@@ -328,7 +400,9 @@ def remove_repeats(docs: DataFrame, long: int = LONG, gram: int = GRAM, with_tex
     contested = settled.agg(F.coalesce(F.sum(F.octet_length("places")), F.lit(0)).alias("b")).first()["b"] // PLACE.itemsize
     shards = max(1, math.ceil(contested * (long + (long - gram) // 2) / SHARD_BYTES))
     marks = settled.filter("marks is not null").select("grp", "marks")
+    texts, one_each, parts = _dealt(docs, groups, long)
     if contested:
-        pieces = region_bytes(docs, settled, groups, shards, long)
-        marks = marks.unionByName(index_shards(pieces, groups, long))
-    return cut_documents(docs, marks, groups, with_text)
+        marks = marks.unionByName(index_shards(region_bytes(one_each, settled, shards, long), groups, long))
+    if parts is not None:
+        marks = marks.unionByName(marks.join(parts, "grp").select(F.col("to").alias("grp"), "marks"))
+    return cut_documents(texts, marks, with_text).unionByName(uncut_documents(docs, long, with_text))
