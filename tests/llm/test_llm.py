@@ -419,10 +419,11 @@ def test_repeats(spark, seed):
     assert {d: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for d, x in got.items()} == {d: v for (d, _), v in brute_repeats(rows, 100).items()}
 
 
-@pytest.mark.parametrize("seed,group_bytes", [(3, 1 << 20), (4, 2000)])
-def test_repeats_of_rows_that_share_an_id(spark, monkeypatch, seed, group_bytes):
-    """Ids that repeat or are missing, with other texts and with the same; in small groups rows are dealt out too."""
+@pytest.mark.parametrize("seed,group_bytes,hot", [(3, 1 << 20, 1 << 14), (4, 2000, 1), (5, 5000, 0)])
+def test_repeats_of_rows_that_share_an_id(spark, monkeypatch, seed, group_bytes, hot):
+    """Ids that repeat or are missing, with other texts and with the same; in small groups rows are dealt out too, and with a small bound all anchors are hot."""
     monkeypatch.setattr(repeat_removal, "GROUP_BYTES", group_bytes)
+    monkeypatch.setattr(repeat_removal, "HOT_REGIONS", hot)
     r = np.random.default_rng(seed)
     pool = ["".join(r.choice(list("abcdefgh é"), int(n))) for n in r.integers(40, 300, 8)]
     rows = [([None, 1, 5, 5, 9][int(r.integers(5))], "".join(pool[k] for k in r.integers(0, 8, int(r.integers(1, 5))))) for _ in range(40)]
@@ -434,6 +435,17 @@ def test_repeats_of_rows_that_share_an_id(spark, monkeypatch, seed, group_bytes)
         assert figures == collections.Counter((d, *want[d, t]) for d, t in rows)
 
 
+@pytest.mark.parametrize("hot", [5, 1 << 14])
+def test_repeats_of_a_line_in_all_texts(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeat_removal, "HOT_REGIONS", hot)
+    r = np.random.default_rng(8)
+    say = lambda n: "".join(r.choice(list("abcdefgh "), n))
+    line = say(130)
+    rows = [(i, say(int(r.integers(0, 90))) + line + (line if i % 7 == 0 else "") + say(int(r.integers(0, 90)))) for i in range(60)]
+    got = by_id(repeat_removal.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    assert {d: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for d, x in got.items()} == {d: v for (d, _), v in brute_repeats(rows, 100).items()}
+
+
 def test_repeats_edges(spark, docs, empty):
     assert repeat_removal.remove_repeats(docs).count() == docs.count()
     assert repeat_removal.remove_repeats(empty).count() == 0

@@ -8,6 +8,9 @@ windows with one anchor form a region, and regions are dealt to buckets by their
 - First regions that share their anchor with a different one may still share windows. Only these
   go, as bytes, to shards by anchor; a run-length index of each shard, with the shard's regions
   streamed through it, finds the windows that occur earlier.
+- An anchor with more than HOT_REGIONS such regions (a licence line in many texts) would make its
+  shard grow with the corpus. The windows of its regions go to shards by their own hash instead,
+  each group of texts sending the first of equal ones.
 The marked ranges then meet the texts again. Both times texts travel in groups of bounded size.
 
 A document is told by its doc_id and text together, so rows that share an id don't share marks.
@@ -33,11 +36,13 @@ BUCKET_REGIONS = 1 << 20
 FLUSH_REGIONS = 1 << 20
 SHARD_BYTES = 1 << 20
 GROUP_BYTES = 16 << 20
+HOT_REGIONS = 1 << 14
 #: A region in a bucket: what it hangs on, what it holds, where it is and how far it reaches.
 #: (doc: its id, row: hash of id and text; both together tell a document.)
 REGION = np.dtype([("anchor", "<u4"), ("held", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("lo", "<u4"), ("back", "u1"), ("more", "u1")])
 #: A region that must be looked at by bytes, and a marked range of bytes.
-PLACE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("lo", "<u4"), ("back", "u1"), ("more", "u1")])
+PLACE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("lo", "<u4"), ("back", "u1"), ("more", "u1"), ("hot", "u1")])
+WINDOW = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("lo", "<u4")])
 RANGE = np.dtype([("doc", "<i8"), ("row", "<i8"), ("lo", "<u4"), ("hi", "<u4")])
 #: A missing doc_id counts as this one: it comes last.
 NO_ID = np.iinfo(np.int64).max
@@ -193,13 +198,14 @@ def _merge(ranges: np.ndarray) -> np.ndarray:
 
 
 def settle_regions(regions: DataFrame, buckets: int, groups: int, shards: int | None = None, long: int = LONG) -> DataFrame:
-    """grp, marks, places: for each group of documents, ranges known to repeat and regions to look at."""
+    """grp, marks, places, n_hot: for each group of documents, ranges known to repeat, regions to look at, and how many of them are of hot anchors."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = int(table.column("grp")[0].as_py())
         rows = _unpacked(table, "regions", REGION)
         if bucket >= buckets:
-            again, open_ = np.ones(len(rows), dtype=bool), np.zeros(len(rows), dtype=bool)
+            again = np.ones(len(rows), dtype=bool)
+            open_ = hot = ~again
         else:
             rows = rows[np.lexsort((rows["lo"], rows["row"], rows["doc"], rows["held"], rows["anchor"]))]
             rows = rows[_distinct(rows)]
@@ -210,7 +216,9 @@ def settle_regions(regions: DataFrame, buckets: int, groups: int, shards: int |
             differs = ~new
             differs[1:] &= h[1:] != h[:-1]
             several = np.logical_or.reduceat(differs, np.flatnonzero(new)) if len(rows) else new
-            open_ = several[np.cumsum(new) - 1] & ~again
+            nth = np.cumsum(new) - 1
+            open_ = several[nth] & ~again
+            hot = (np.bincount(nth[open_], minlength=len(several)) > HOT_REGIONS)[nth]
         marks = np.empty(int(again.sum()), dtype=RANGE)
         for c in ("doc", "row", "lo"):
             marks[c] = rows[c][again]
@@ -219,12 +227,14 @@ def settle_regions(regions: DataFrame, buckets: int, groups: int, shards: int |
         places = np.empty(int(open_.sum()), dtype=PLACE)
         for c in ("doc", "row", "lo", "back", "more"):
             places[c] = rows[c][open_]
+        places["hot"] = hot[open_]
         places["key"] = rows["anchor"][open_].astype(_U) * _U(buckets) + _U(bucket % buckets)
         out = [_packed("marks", np.mod(marks["row"], groups), marks), _packed("places", np.mod(places["row"], groups), places)]
-        full = [pa.table({"grp": b.column(0), "marks": b.column(1) if i == 0 else pa.nulls(b.num_rows, pa.binary()), "places": b.column(1) if i else pa.nulls(b.num_rows, pa.binary())}) for i, b in enumerate(out)]
+        n_hot = pa.array([int(np.frombuffer(x.as_py(), dtype=PLACE)["hot"].sum()) for x in out[1].column(1)], pa.int64())
+        full = [pa.table({"grp": b.column(0), "marks": b.column(1) if i == 0 else pa.nulls(b.num_rows, pa.binary()), "places": b.column(1) if i else pa.nulls(b.num_rows, pa.binary()), "n_hot": n_hot if i else pa.nulls(b.num_rows, pa.int64())}) for i, b in enumerate(out)]
         return pa.concat_tables(full)
 
-    return regions.groupBy("grp").applyInArrow(run, "grp long, marks binary, places binary")
+    return regions.groupBy("grp").applyInArrow(run, "grp long, marks binary, places binary, n_hot long")
 
 
 def _dealt(docs: DataFrame, groups: int, long: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
@@ -267,8 +277,31 @@ def _documents(texts: pa.Table) -> Iterator[tuple[int | None, tuple[int, int], p
         yield d, (NO_ID if d is None else d, row), text
 
 
-def region_bytes(texts: DataFrame, places: DataFrame, shards: int, long: int = LONG) -> DataFrame:
-    """shard, key, doc, row, lo, back and the bytes of each region to look at. texts: each document once, by group."""
+def _first_windows(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal windows, those that may be first (of the smallest id, the first of each document), and the repeats."""
+    w = windows[np.lexsort((windows["lo"], windows["row"], windows["doc"], windows["hash"]))]
+    new = np.ones(len(w), dtype=bool)
+    new[1:] = w["hash"][1:] != w["hash"][:-1]
+    own = np.ones(len(w), dtype=bool)
+    own[1:] = new[1:] | (w["doc"][1:] != w["doc"][:-1]) | (w["row"][1:] != w["row"][:-1])
+    first, start = np.flatnonzero(new)[np.cumsum(new) - 1], np.flatnonzero(own)[np.cumsum(own) - 1]
+    repeats = (w["doc"] != w["doc"][first]) | (w["lo"] != w["lo"][start])
+    return w[~repeats], w[repeats]
+
+
+def _window_marks(windows: np.ndarray, long: int) -> np.ndarray:
+    marks = np.empty(len(windows), dtype=RANGE)
+    for c in ("doc", "row", "lo"):
+        marks[c] = windows[c]
+    marks["hi"] = marks["lo"] + np.uint32(long)
+    return _merge(marks)
+
+
+def region_bytes(texts: DataFrame, places: DataFrame, shards: int, window_shards: int = 1, groups: int = 1, long: int = LONG) -> DataFrame:
+    """shard, and packed: key, doc, row, lo, back and the bytes of regions to look at. texts: each document once, by group.
+
+    Shards from `shards` on hold windows of hot anchors, by hash; shard -1 - grp holds marks of a group.
+    """
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         todo = _unpacked(found, "places", PLACE)
@@ -276,14 +309,39 @@ def region_bytes(texts: DataFrame, places: DataFrame, shards: int, long: int = L
         out = {"shard": [], "packed": []}
         if wanted and texts.num_rows:
             rows, parts = [], []
+            windows: list[np.ndarray] = []
+            held = 0
+
+            def flush() -> None:
+                first, again = _first_windows(np.concatenate(windows))
+                windows[:] = []
+                for base, name, what, where in ((shards, "windows", first, (first["hash"] % _U(window_shards)).astype(np.int64)), (-1, "marks", marks := _window_marks(again, long), np.mod(marks["row"], groups))):
+                    batch = _packed(name, where, what)
+                    out["shard"] += [base + g if base >= 0 else -1 - g for g in batch.column(0).to_pylist()]
+                    out["packed"] += batch.column(1).to_pylist()
+
             for _, key, text in _documents(texts):
                 mine = wanted.pop(key, None)  # a copy of the row has the same places
                 if mine is not None:
                     raw = (text.as_py() or "").encode()
+                    if mine["hot"].any():
+                        hot = mine[mine["hot"] > 0]
+                        n = hot["more"].astype(np.int64) + 1
+                        at = np.repeat(hot["lo"].astype(np.int64) - np.cumsum(n) + n, n) + np.arange(n.sum())
+                        w = np.empty(len(at), dtype=WINDOW)
+                        w["hash"], w["doc"], w["row"], w["lo"] = SpanHasher(np.frombuffer(raw, dtype=np.uint8))(at, at + long), *key, at
+                        windows.append(w)
+                        held += len(w)
+                        if held >= FLUSH_REGIONS:
+                            flush()
+                            held = 0
+                        mine = mine[mine["hot"] == 0]
                     for k, lo, back, more in mine[["key", "lo", "back", "more"]].tolist():
                         piece = raw[lo : lo + more + long]
                         rows.append((k, *key, lo, back, len(piece)))
                         parts.append(piece)
+            if windows:
+                flush()
             shard = np.array([r[0] % shards for r in rows], dtype=np.int64)
             head = np.array(rows, dtype=_PIECE)
             for s in np.unique(shard):
@@ -298,10 +356,17 @@ def region_bytes(texts: DataFrame, places: DataFrame, shards: int, long: int = L
 _PIECE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("lo", "<u4"), ("back", "u1"), ("size", "<u2")])
 
 
-def index_shards(pieces: DataFrame, groups: int, long: int = LONG) -> DataFrame:
-    """grp and marks: windows of the pieces that occur earlier, found by a run-length index a shard."""
+def index_shards(pieces: DataFrame, groups: int, shards: int, long: int = LONG) -> DataFrame:
+    """grp and marks: windows of the pieces that occur earlier, found by a run-length index a shard, or by hash."""
 
     def run(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        if shard < 0:
+            marks = _merge(_unpacked(table, "packed", RANGE))
+            return pa.Table.from_batches([_packed("marks", np.full(len(marks), -1 - shard), marks)])
+        if shard >= shards:
+            marks = _window_marks(_first_windows(_unpacked(table, "packed", WINDOW))[1], long)
+            return pa.Table.from_batches([_packed("marks", np.mod(marks["row"], groups), marks)])
         heads, texts = [], []
         for x in table.column("packed"):
             raw = x.as_py()
@@ -397,12 +462,14 @@ def remove_repeats(docs: DataFrame, long: int = LONG, gram: int = GRAM, with_tex
     buckets = max(1, math.ceil(regions / BUCKET_REGIONS))
     groups = _prime_above(max(2, math.ceil(total / GROUP_BYTES)))
     settled = stage_table(settle_regions(_region_blobs(docs, buckets, long, gram), buckets, groups, long=long), "repeat-settled")
-    contested = settled.agg(F.coalesce(F.sum(F.octet_length("places")), F.lit(0)).alias("b")).first()["b"] // PLACE.itemsize
-    shards = max(1, math.ceil(contested * (long + (long - gram) // 2) / SHARD_BYTES))
+    size = settled.agg(F.coalesce(F.sum(F.octet_length("places")), F.lit(0)).alias("b"), F.coalesce(F.sum("n_hot"), F.lit(0)).alias("hot")).first()
+    contested, hot = size["b"] // PLACE.itemsize, size["hot"]
+    shards = max(1, math.ceil((contested - hot) * (long + (long - gram) // 2) / SHARD_BYTES))
+    window_shards = max(1, math.ceil(hot * (long - gram) / BUCKET_REGIONS))
     marks = settled.filter("marks is not null").select("grp", "marks")
     texts, one_each, parts = _dealt(docs, groups, long)
     if contested:
-        marks = marks.unionByName(index_shards(region_bytes(one_each, settled, shards, long), groups, long))
+        marks = marks.unionByName(index_shards(region_bytes(one_each, settled, shards, window_shards, groups, long), groups, shards, long))
     if parts is not None:
         marks = marks.unionByName(marks.join(parts, "grp").select(F.col("to").alias("grp"), "marks"))
     return cut_documents(texts, marks, with_text).unionByName(uncut_documents(docs, long, with_text))
