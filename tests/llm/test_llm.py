@@ -292,6 +292,58 @@ def test_page_blocks_keep_text_after_raw_elements():
     assert blocks("<svg>" * 20000 + "<p>one</p>") == ["one"]
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<p>one</p><p class=it's>two</p><p>it's three</p>", ["one", "two", "it's three"]),
+    ('<p title="a > b">one</p><p>two', ["one", "two"]),
+    ('<p title="a>one</p><p>two</p>', ["one", "two"]),
+    ("<p>one</p><p>two</p><a href='x", ["one", "two"]),
+    ("1 < 2 and <b>2 < 3</b> <3", ["1 < 2 and 2 < 3 <3"]),
+    ("<p>one<!-- <p>no</p> --> two<!-- open <p>no", ["one two"]),
+    ("<!doctype html><?xml x?><p data-class='q' CLASS = Main>one</P ></none>", ["one"]),
+    ("</p></div><div><p>one</span></div>two", ["one", "two"]),
+])
+def test_page_blocks_of_broken_markup(page, want):
+    assert [b.text for b in html_extract.page_blocks(page)] == want
+
+
+def test_long_pages_are_read_once():
+    import time
+
+    for page in ("<a " * 700_000, "<a b='" * 400_000 + "<p>x", '<a b="<c>' * 300_000, "<" * 2_000_000, "<p title=\"" + "<x '>" * 400_000):
+        began = time.perf_counter()
+        html_extract.page_blocks(page)
+        assert time.perf_counter() - began < 10
+    blocks = html_extract.page_blocks("<div>x" * 3000 + "</i>" * 3000 + "</div>" * 3000 + "<p>end")
+    assert len(blocks) == 3001 and blocks[-1].path == [("p", ())] and max(b.element.depth for b in blocks) == html_extract.DEEPEST
+
+
+def test_labelling_a_page_of_half_a_million_blocks():
+    import resource
+
+    blocks = html_extract.page_blocks("<ul>" + "<li>one two" * 500_000)
+    net = html_extract.BiLstm()
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    chance = net.label_blocks([blocks])[0]
+    assert len(chance) == 500_000 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 700_000
+    few = [blocks[:n] for n in (1, 7, 7, 300)]
+    p, _ = net.forward(*html_extract.stack_pages([(html_extract.block_vectors(few[3]), np.zeros(300))])[:2])
+    assert np.allclose(net.label_blocks(few, step=64)[3], p[:, 0], atol=1e-6)
+
+
+def test_labels_without_names(spark):
+    """The article is found, too, where no class, id or tag tells what a part is."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    net = html_extract.fit_labeller(pages)
+    found = [html_extract.page_blocks(r["html"]) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    assert html_extract.masked_accuracy(net, found) >= 0.95
+    writer = html_extract.LayoutWriter([f"w{i}" for i in range(300)], 77)
+    assert html_extract.masked_accuracy(net, [html_extract.page_blocks(writer.page()) for _ in range(150)]) >= 0.8
+    text = "This is an article of some length, written in sentences. It has a second one, as articles do."
+    page = '<div class="q1"><a href="/">home</a> <a href="/b">about</a> <a href="/c">more</a></div><div class="q9">' + "<h1>A title</h1>" + f"<p>{text}</p>" * 4 + '</div><div class="q2">&copy; 2020 somebody</div>'
+    soup = html_extract.page_blocks(page)
+    got = [b.text for b, p in zip(soup, net.label_blocks([soup])[0], strict=True) if p > 0.5]
+    assert got[:5] == ["A title", *[text] * 4] and "home about more" not in got
+
 
 def test_labeller_on_layouts_it_has_not_seen():
     words = [f"w{i}" for i in range(300)]
