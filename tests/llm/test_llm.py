@@ -439,6 +439,91 @@ def test_cutoff_keeps_its_promise():
     assert wrong / lost <= 0.08
 
 
+def test_ladder():
+    good, bad = np.zeros(quality_rules.BINS + 1), np.zeros(quality_rules.BINS + 1)
+    good[[2, 30, 60]], bad[[40, 90]] = [970, 20, 10], [50, 50]
+    cuts = quality_rules.rule_cutoffs(good, bad, 0.02, 10)
+    assert cuts[0] == 60 and cuts[-1] == 39 and cuts == sorted(cuts, reverse=True)
+    assert quality_rules.rule_cutoffs(good, good, 0.02, 10) == quality_rules.rule_cutoffs(good * 0, bad * 0, 0.02, 10) == [quality_rules.BINS] * 10
+    both = quality_rules.ladder({"a": (good, bad / 2 + good), "b": (good, bad), "c": (good, good)}, 0.02)
+    assert both["b"][0] == 60 and both["a"][:2] == [quality_rules.BINS, 89] and set(both["c"]) == {quality_rules.BINS}
+    assert all(len(c) == quality_rules.STEPS and c == sorted(c, reverse=True) for c in both.values())
+
+
+def test_joint_risk_is_bounded():
+    """Good documents lost to all rules together exceed max_risk in at most delta of all draws, whatever the ladder."""
+    r, steps = np.random.default_rng(4), quality_rules.STEPS
+    bad = np.append(np.full(steps, 10.0), 0)
+    for n in (160, 900):
+        risk = np.append(np.full(steps, 0.004), 1 - 0.004 * steps)  # step k loses 0.4 % x k
+        wrong = 0
+        for _ in range(400):
+            k = quality_rules.certified_step(r.multinomial(n, risk).astype(float), bad, 0.02, 0.05)
+            wrong += 0.004 * k > 0.02 + 1e-9
+        assert wrong / 400 <= 0.05 + 0.02
+    assert quality_rules.certified_step(np.append(np.zeros(steps), 100), bad, 0.02, 0.05) == 0  # too few
+    assert quality_rules.certified_step(np.append(np.zeros(steps), 200), bad, 0.02, 0.05) == steps
+
+
+def test_quality_rules_reject_what_labels_call_bad(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = quality_rules.apply_quality_rules(spark.read.parquet(f"{sf}/documents.parquet"), labels).toPandas()
+    rejected = got[~got["base_failed"] & ~got["kept"]]
+    assert {"symbols"} <= {r for x in rejected["rejected_by"] for r in x} and set(rejected["stratum"]) == {"de", "en", "es", "fr"}
+    known = got.merge(labels.select("doc_id", "quality").toPandas(), on="doc_id")
+    judged = known[~known["base_failed"]]
+    assert (judged[judged["quality"] == 0]["kept"] == False).mean() > 0.9  # noqa: E712
+    for _, part in judged[judged["quality"] == 1].groupby("stratum"):
+        assert (~part["kept"]).mean() <= quality_rules.MAX_RISK
+
+
+def test_quality_cutoffs_are_those_of_brute_force(spark):
+    r = np.random.default_rng(6)
+    rows, labels = [], []
+    for i in range(3000):
+        lang, bad = ["en", "en", "en", "de", "fr"][i % 5], bool(r.random() < 0.2)
+        n = int(r.integers(60, 90))
+        words = [f"w{r.integers(5000)}" + ("#" * int(r.integers(0, 6)) if bad or r.random() < 0.02 else "") for _ in range(n)]
+        rows.append((i, " ".join(words), lang))
+        labels.append((i, int(not bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels_df = spark.createDataFrame(labels, "doc_id long, quality int")
+    binned = quality_rules.rule_bins(quality_rules.document_features(docs))
+    cuts = {x["stratum"]: [x[f"cut_{k}"] for k in quality_rules.RULES] for x in quality_rules.risk_controlled_cutoffs(binned, labels_df).collect()}
+    part = quality_rules.labelled_documents(binned, labels_df).toPandas()
+    good_held = part[(part["quality"] > 0) & ~part["tuning"]].groupby("stratum").size()
+    need = np.ceil(np.log(0.05 / 3) / np.log(0.98))
+    alone = sorted(good_held[good_held >= need].index)
+    families = [[a] for a in alone] + ([sorted(set(good_held.index) - set(alone))] if len(alone) < 3 else [])
+    want = {}
+    for family in families:
+        mine = part[part["stratum"].isin(family)]
+        tune, held = mine[mine["tuning"]], mine[~mine["tuning"]]
+        steps, lists = [], {}
+        for rule in quality_rules.RULES:
+            g, b = tune[tune["quality"] > 0][rule], tune[tune["quality"] <= 0][rule]
+            gains = [(b > c).mean() - 5 * (g > c).mean() for c in range(quality_rules.BINS + 1)]
+            best = max(c for c in range(quality_rules.BINS + 1) if gains[c] >= max(gains) - 1e-12)
+            lists[rule] = [quality_rules.BINS if max(gains) < 0.02 else max(best, min(c for c in range(quality_rules.BINS + 1) if (g > c).mean() <= 0.02 * k / 16 + 1e-12)) for k in range(17)]
+        order = sorted(quality_rules.RULES, key=lambda rule: -int((tune[tune["quality"] <= 0][rule] > lists[rule][0]).sum()))
+        for k in range(quality_rules.STEPS):
+            cut = [lists[rule][max(0, k - 3)] if order.index(rule) <= k else quality_rules.BINS for rule in quality_rules.RULES]
+            lost = held[quality_rules.RULES[0]] > cut[0]
+            for rule, c in zip(quality_rules.RULES[1:], cut[1:], strict=True):
+                lost |= held[rule] > c
+            n, k_lost = int((held["quality"] > 0).sum()), int((lost & (held["quality"] > 0)).sum())
+            if quality_rules.binomial_tail(k_lost, n, 0.02) > 0.05 / len(families):
+                break
+            steps.append((lost[held["quality"] <= 0].mean() - 5 * k_lost / n, cut))
+        best, chosen = 0.0, [quality_rules.BINS] * 4
+        for gain, cut in steps:
+            if gain > best + 1e-12:
+                best, chosen = gain, cut
+        want |= {s: chosen for s in family}
+    assert cuts == want and min(c[0] for c in cuts.values()) < quality_rules.BINS
+
+
 # ---- repeats -------------------------------------------------------------------------------
 
 

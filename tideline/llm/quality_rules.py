@@ -1,12 +1,16 @@
 """Quality rules whose cutoffs are risk-controlled on labelled holdouts.
 
-A rule rejects a document whose feature is above a cutoff. For each stratum and rule, cutoffs are
-tested from the loosest down on that stratum's documents labelled good: a cutoff is certified if
-the exact binomial test rejects "more than max_risk of good documents are lost". Testing stops at
-the first failure (a fixed sequence, so steps need no correction), and the level is divided by the
-number of strata and rules (Bonferroni), so with probability 1 - delta no chosen cutoff loses more
-than max_risk of its stratum's good documents. Among certified cutoffs the one that separates bad
-from good best is taken; where none separates them, the rule rejects nothing.
+A rule rejects a document whose feature is above a cutoff. What is bounded is the joint verdict of
+all rules: the share of good documents that pass the base rule and are still rejected. Labelled
+documents are split by a hash of their id. A fifth of them (the tuning part) lays out a ladder of
+cutoffs for all rules at once, each step at least as strict as the one before. On the rest, the
+holdout, steps are tested from the loosest down: a step is certified if the exact binomial test
+rejects "more than max_risk of good documents are lost". Testing stops at the first failure (a
+fixed sequence, so steps need no correction), and the level is divided by the number of strata
+tested (Bonferroni). So with probability 1 - delta no stratum tested loses more than max_risk of
+its good documents to all rules together. Strata with too few labels for a test to succeed are
+tested as one: the bound then holds for their union. Among certified steps the one that separates
+bad from good best is taken; where none does, nothing is rejected.
 """
 
 from __future__ import annotations
@@ -29,6 +33,9 @@ MAX_RISK = 0.02
 DELTA = 0.05
 GOOD_WEIGHT = 5.0  # a good document lost weighs so many bad ones kept
 BINS = 200
+STEPS = 20
+#: One labelled document in so many is for tuning; a rule must gain this much there to be used.
+TUNING_PART, LEAST_GAIN = 5, 0.02
 RULES = ("symbols", "dup_lines", "repeat_words", "long_words")
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
@@ -155,38 +162,108 @@ def select_cutoff(good: np.ndarray, bad: np.ndarray, max_risk: float, level: flo
     return best
 
 
-def risk_controlled_cutoffs(binned: DataFrame, labels: DataFrame, max_risk: float = MAX_RISK, delta: float = DELTA) -> DataFrame:
-    """stratum and one cutoff for each rule, from documents whose label exists.
+def rule_cutoffs(good: np.ndarray, bad: np.ndarray, max_risk: float, steps: int) -> list[int]:
+    """A rule's cutoffs from the tuning part's histograms, none above the one before.
+
+    The first loses no good document, the last up to max_risk of them, and none is stricter than the
+    (loosest) cutoff that separates bad from good best. A rule that separates nothing stays at BINS.
+    """
+    above_good, above_bad = (np.append(np.cumsum(h[::-1])[::-1][1:], 0) / max(1.0, h.sum()) for h in (good, bad))
+    gain = above_bad - GOOD_WEIGHT * above_good
+    if gain.max() < LEAST_GAIN:
+        return [BINS] * steps
+    best = BINS - int(np.argmax(gain[::-1] >= gain.max() - 1e-12))
+    return [max(best, int(np.argmax(above_good <= max_risk * k / max(1, steps - 1) + 1e-12))) for k in range(steps)]
+
+
+def ladder(histograms: dict[str, tuple[np.ndarray, np.ndarray]], max_risk: float, steps: int = STEPS) -> dict[str, list[int]]:
+    """Each rule's cutoff at each step. Rules come in one by one, the one that catches most bad documents first; then all grow stricter."""
+    n = len(histograms)
+    cuts = {r: rule_cutoffs(g, b, max_risk, steps - n + 1) for r, (g, b) in histograms.items()}
+    caught = {r: float(b[cuts[r][0] + 1 :].sum()) for r, (_, b) in histograms.items()}
+    place = {r: k for k, r in enumerate(sorted(cuts, key=lambda r: -caught[r]))}
+    return {r: [BINS] * place[r] + [c[0]] * (n - place[r]) + c[1:] for r, c in cuts.items()}
+
+
+def certified_step(good: np.ndarray, bad: np.ndarray, max_risk: float, level: float) -> int:
+    """How many steps of the ladder to take (0: none), from the holdout's documents by first step that rejects them, the last for none."""
+    def from_the_top(h: np.ndarray) -> np.ndarray:
+        out = np.zeros(BINS + 1)
+        out[BINS : BINS - len(h) + 1 : -1], out[0] = h[:-1], h[-1]
+        return out
+
+    return BINS - select_cutoff(from_the_top(good), from_the_top(bad), max_risk, level)
+
+
+def labelled_documents(binned: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, stratum, quality, tuning and the bins of each labelled document that passes the base rule.
 
     labels: doc_id, quality (1 good, 0 bad, null unlabelled). Of rows that repeat a doc_id the
-    lowest quality counts. What a task gathers is a stratum's histograms, of fixed size.
+    lowest quality and the largest features count.
     """
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    long = binned.join(known, "doc_id").selectExpr("stratum", "quality", "stack({}, {}) as (rule, bin)".format(len(RULES), ", ".join(f"'{r}', {r}" for r in RULES)))
-    histogram = stage_table(long.groupBy("stratum", "rule", "bin", "quality").agg(F.count(F.lit(1)).alias("n")), "quality-bins")
-    strata = histogram.select("stratum").distinct().count()
-    level = delta / max(1, strata * len(RULES))
+    once = binned.filter(~base_failed()).join(known, "doc_id").groupBy("doc_id").agg(F.max("stratum").alias("stratum"), F.min("quality").alias("quality"), *[F.max(r).alias(r) for r in RULES])
+    return once.withColumn("tuning", F.pmod(F.xxhash64(F.lit("tuning"), "doc_id"), F.lit(TUNING_PART)) == 0)
+
+
+def risk_controlled_cutoffs(binned: DataFrame, labels: DataFrame, max_risk: float = MAX_RISK, delta: float = DELTA) -> DataFrame:
+    """stratum and one cutoff for each rule, for each stratum with labelled documents.
+
+    What a task gathers is a stratum's histograms, of fixed size.
+    """
+    rows = stage_table(labelled_documents(binned, labels), "quality-labelled")
+    strata = stage_table(rows.groupBy("stratum").agg(F.coalesce(F.sum(((F.col("quality") > 0) & ~F.col("tuning")).cast("long")), F.lit(0)).alias("n_good")), "quality-strata")
+
+    def needed(families: int) -> int:
+        """Good documents in the holdout without which not even losing none would pass the test."""
+        return math.ceil(math.log(delta / max(1, families)) / math.log(1.0 - max_risk))
+
+    alone = F.col("n_good") >= needed(strata.count())
+    count = strata.agg(F.coalesce(F.sum(alone.cast("long")), F.lit(0)).alias("alone"), F.coalesce(F.max((~alone).cast("long")), F.lit(0)).alias("rest")).first()
+    level = delta / max(1, count["alone"] + count["rest"])
+    family = strata.select("stratum", F.when(alone, F.concat(F.lit("="), "stratum")).otherwise(F.lit("rest")).alias("family"))
+    rows = rows.join(family, "stratum")
+
+    def histograms(pdf: pd.DataFrame, place: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+        good = pdf["quality"] > 0
+        return tuple(np.bincount(pdf.loc[pick, place], weights=pdf.loc[pick, "n"], minlength=size) for pick in (good, ~good))
+
+    def lay(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{"family": pdf["family"].iloc[0]} | {f"cuts_{r}": c for r, c in ladder({r: histograms(pdf[pdf["rule"] == r], "bin", BINS + 1) for r in RULES}, max_risk).items()}])
+
+    stacked = "stack({}, {}) as (rule, bin)".format(len(RULES), ", ".join(f"'{r}', {r}" for r in RULES))
+    tuned = rows.filter("tuning").selectExpr("family", "quality", stacked).groupBy("family", "rule", "bin", "quality").agg(F.count(F.lit(1)).alias("n"))
+    ladders = stage_table(tuned.groupBy("family").applyInPandas(lay, "family string, " + ", ".join(f"cuts_{r} array<int>" for r in RULES)), "quality-ladders")
+
+    # Cutoffs fall along the ladder, so the first step that rejects comes after those that don't.
+    def passed(rule: str):
+        return F.size(F.filter(f"cuts_{rule}", lambda c: c >= F.col(rule)))
+
+    first = F.least(*[passed(r) for r in RULES]).cast("int")
+    held = rows.filter("not tuning").join(ladders, "family").groupBy("family", first.alias("step"), "quality").agg(F.count(F.lit(1)).alias("n"))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = {"stratum": pdf["stratum"].iloc[0]}
-        for rule in RULES:
-            mine = pdf[pdf["rule"] == rule]
-            good, bad = (np.bincount(part["bin"], weights=part["n"], minlength=BINS + 1) for part in (mine[mine["quality"] > 0], mine[mine["quality"] <= 0]))
-            row[f"cut_{rule}"] = select_cutoff(good, bad, max_risk, level)
-        return pd.DataFrame([row])
+        return pd.DataFrame([[pdf["family"].iloc[0], certified_step(*histograms(pdf, "step", STEPS + 1), max_risk, level)]], columns=["family", "steps"])
+
+    steps = held.groupBy("family").applyInPandas(choose, "family string, steps int")
+    cuts = [F.when(F.col("steps") > 0, F.element_at(f"cuts_{r}", F.greatest("steps", F.lit(1)))).otherwise(F.lit(BINS)).cast("int").alias(f"cut_{r}") for r in RULES]
+    return family.join(steps.join(ladders, "family").select("family", *cuts), "family").drop("family")
+
 
-    return histogram.groupBy("stratum").applyInPandas(choose, "stratum string, " + ", ".join(f"cut_{r} int" for r in RULES))
+def base_failed():
+    return (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
 
 
 def apply_quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", max_risk: float = MAX_RISK, delta: float = DELTA) -> DataFrame:
     """One row per row of docs: doc_id, the counts, base_failed, kept and rejected_by (rules).
 
-    A null or empty text has no words and fails the base rule. A stratum without labels has no
-    cutoffs and loses only what fails the base rule. Empty docs give no rows.
+    docs: doc_id, text and the stratum's column; more columns are ignored. A null or empty text has
+    no words and fails the base rule; a null stratum is a stratum named by the empty text. Rows that
+    repeat a doc_id are judged each. A stratum without labels has no cutoffs and loses only what
+    fails the base rule. Empty docs give no rows.
     """
     binned = stage_table(rule_bins(document_features(docs, stratum)), "quality-features")
     cutoffs = stage_table(risk_controlled_cutoffs(binned, labels, max_risk, delta), "quality-cutoffs")
     judged = binned.join(cutoffs, "stratum", "left")
     hits = F.array_compact(F.array(*[F.when(F.col(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RULES]))
-    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    return judged.select("doc_id", "stratum", *COUNTS, failed.alias("base_failed"), hits.alias("rejected_by")).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
+    return judged.select("doc_id", "stratum", *COUNTS, base_failed().alias("base_failed"), hits.alias("rejected_by")).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
