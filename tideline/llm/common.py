@@ -14,7 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts are scanned in chunks of about so many bytes; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
@@ -26,9 +27,15 @@ _P_INV = pow(_P, -1, 1 << 64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here if unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a temporary one; on a cluster that is an error, since
+    executors elsewhere would not see a folder of the driver's.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="tideline-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -63,6 +70,26 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df doesn't have yet."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns, whatever their names hold."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes so that every input bit reaches every output bit."""
     x = x ^ (x >> _U(30))

@@ -7,21 +7,25 @@ one for each two of them, which vote. Machines are fitted on a bounded sample of
 
 from __future__ import annotations
 
+import pickle
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blob, bounded_batches, text_chunks
+from .common import blob, bounded_batches, columns_of, fresh, text_chunks
 from .decontaminate import lower_latin
 
 DIMS = 4096
 #: At most so many labelled texts of a language, and of all languages, are sampled to fit machines.
 SAMPLE_PER_LANGUAGE, SAMPLE = 500, 2000
+#: The most frequent languages are learned, so many at most: two of a family take a machine.
+LANGUAGES = 100
 #: Public classification of languages. A language that isn't listed is a family of its own.
 FAMILIES = {"germanic": "en de nl sv da no nb nn is af", "romance": "fr es it pt ro ca gl oc", "slavic": "ru uk pl cs sk bg sr hr sl be mk", "indic": "hi bn mr ne ur pa gu", "semitic": "ar he mt am", "turkic": "tr az kk uz", "uralic": "fi et hu"}
 _FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
@@ -85,10 +89,14 @@ def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 20.0, rounds: int = 150)
 
 
 class Model:
-    """Families, one machine a family; for each family its languages and a machine for each two."""
+    """Families, one machine a family; for each family its languages and a machine for each two.
+
+    learned_from: how many texts of each language.
+    """
 
     def __init__(self, x: np.ndarray, langs: np.ndarray):
-        self.langs = sorted(set(langs))
+        self.learned_from = dict(Counter(langs))
+        self.langs = sorted(self.learned_from)
         fam = np.array([family_of(v) for v in langs]) if len(langs) else langs
         self.families = sorted(set(fam))
         self.outer = np.stack([fit_svm(x, np.where(fam == f, 1.0, -1.0)) for f in self.families]) if len(self.families) > 1 else None
@@ -133,66 +141,80 @@ class Model:
         return list(out), np.clip(score, 0.0, 1.0)
 
 
-def fit_language_model(docs: DataFrame, learn: Column, per_language: int = SAMPLE_PER_LANGUAGE, most: int = SAMPLE) -> Model:
+def fit_language_model(docs: DataFrame, learn: Column, per_language: int = SAMPLE_PER_LANGUAGE, most: int = SAMPLE, languages: int = LANGUAGES) -> Model:
     """Fit on a sample of the rows for which `learn` holds and lang is given.
 
-    Rows are taken by a hash of their id at a rate that yields at most per_language of a language
-    and `most` in all; only their hashed counts go to the driver.
+    Of each of the most frequent `languages`, different texts are taken by a hash of id and text, at
+    most per_language of them and `most` in all; equal rows count once. One task gathers their
+    hashed counts and fits, the driver gets the machines.
     """
+    # Learned from may be any column of docs, so what is added to it gets names of its own.
     known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = known.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.lit("sample"), "doc_id", "text").alias("h"))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("h", 0.05).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not counts:
         return Model(np.zeros((0, DIMS), dtype=np.float32), np.zeros(0, dtype=object))
     bound = max(2, min(per_language, most // len(counts)))
-    rate = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, bound / n))])
-    share = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    sample = known.filter(share < F.element_at(rate, F.col("lang"))).selectExpr("cast(lang as string) lang", "cast(text as string) text")
+    # Half as many again as wanted, since the counts are estimates; what is too much is cut by rank.
+    rate = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, 1.5 * bound / max(1, n)))])
+    share = F.pmod("h", F.lit(1 << 40)) / float(1 << 40)
+    some = known.filter(share < F.element_at(rate, F.col("lang"))).groupBy("lang", "h").agg(F.max("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    sample = some.withColumn("rank", rank).filter(F.col("rank") <= bound).select("lang", "h", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = []
-            for ch in text_chunks(batch.column(1), most=128):
+            for ch in text_chunks(batch.column(2), most=128):
                 for row in gram_features(ch.data, ch.offs):
                     at = np.flatnonzero(row)
                     packed.append(blob(at.astype(np.uint16)) + blob(row[at]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["lang", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["lang", "h", "packed"])
 
-    got = bounded_batches(sample).mapInArrow(run, "lang string, packed binary").toPandas()
-    got = got[got["packed"].map(len) > 0].sort_values(["lang", "packed"], kind="stable").groupby("lang").head(bound)
-    x = np.zeros((len(got), DIMS), dtype=np.float32)
-    for i, raw in enumerate(got["packed"]):
-        n = len(raw) // 6
-        x[i, np.frombuffer(raw, dtype=np.uint16, count=n)] = np.frombuffer(raw, dtype=np.float32, offset=2 * n)
-    langs = got["lang"].to_numpy(dtype=object)
-    del got
-    return Model(scaled(x), langs)
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((lang, h, raw) for batch in batches for lang, h, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) if raw)
+        x = np.zeros((len(got), DIMS), dtype=np.float32)
+        for i, (_, _, raw) in enumerate(got):
+            n = len(raw) // 6
+            x[i, np.frombuffer(raw, dtype=np.uint16, count=n)] = np.frombuffer(raw, dtype=np.float32, offset=2 * n)
+        model = Model(scaled(x), np.array([lang for lang, _, _ in got], dtype=object))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
+    fitted = bounded_batches(sample).mapInArrow(run, "lang string, h long, packed binary").coalesce(1).mapInArrow(fit, "model binary")
+    return pickle.loads(fitted.first()["model"])
 
-def identify_languages(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score, from the whole text alone; map-only.
-
-    A text that is null or has no letter, and any text if nothing was learned, is undetermined with
-    score 0. Rows are told apart by nothing but their text, so repeated rows agree. The columns
-    lang_pred and score must not be in docs yet.
-    """
 
+def _with_languages(docs: DataFrame, model: Model, pred: str, score: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("text"))
+            column = batch.column(batch.num_columns - 1)
             langs: list[str] = []
             scores: list[np.ndarray] = []
             for ch in text_chunks(column, most=128):
-                found, score = model.predict(scaled(gram_features(ch.data, ch.offs)))
+                found, chance = model.predict(scaled(gram_features(ch.data, ch.offs)))
                 ascii_letters = ch.per_text((ch.data | 32) - 97 < 26)
                 for i in np.flatnonzero(ascii_letters == 0):
                     if not has_letter(column[ch.lo + int(i)].as_py()):
-                        found[i], score[i] = UNDETERMINED, 0.0
+                        found[i], chance[i] = UNDETERMINED, 0.0
                 langs += found
-                scores.append(score)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], [*batch.schema.names, "lang_pred", "score"])
+                scores.append(chance)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], [*batch.schema.names[:-1], pred, score])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return bounded_batches(docs).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    # Columns travel by number: mapInArrow can't read names with dots.
+    numbered = [c.alias(f"c{k}") for k, c in enumerate(columns_of(docs))]
+    fields = "".join(f"c{k} {f.dataType.simpleString()}, " for k, f in enumerate(docs.schema))
+    read = bounded_batches(docs).select(*numbered, F.col("text").cast("string").alias("read"))
+    return read.mapInArrow(run, f"{fields}{pred} string, {score} double").toDF(*docs.columns, pred, score)
+
+
+def identify_languages(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with lang_pred and score, from the whole text alone; map-only.
+
+    A text that is null or has no letter, and any text if nothing was learned, is undetermined with
+    score 0. Rows are told apart by nothing but their text, so repeated rows agree. Columns of docs
+    that are called lang_pred or score are replaced. An empty table gives no rows.
+    """
+    return _with_languages(docs.drop("lang_pred", "score"), model, "lang_pred", "score")
 
 
 def held_out() -> Column:
@@ -210,9 +232,10 @@ LEAST_SCORE = 0.25
 
 
 def identified_documents(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
-    """docs without the texts whose language can't be told."""
+    """docs without the texts whose language can't be told. Any columns may be among docs', and they stay as they are."""
     model = fit_language_model(docs, ~held_out())
-    return identify_languages(docs, model).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select(*docs.columns)
+    pred, score = fresh(docs, "lang_pred", "score")
+    return _with_languages(docs, model, pred, score).filter((F.col(pred) != UNDETERMINED) & (F.col(score) >= least_score)).select(*columns_of(docs))
 
 
 def accuracy_by_language(predicted: DataFrame, truth: DataFrame) -> pd.DataFrame:
