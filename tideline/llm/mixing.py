@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import columns_of, fresh, stage_table
 
 #: Words are runs of anything but these, as in every operator here.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,6 +25,8 @@ SHARD_WORDS = 1 << 20
 SHARD_TEXTS = 1 << 16
 #: Blocks are listed by tasks of so many shards; beyond so many tasks, by larger ones, which spill.
 SHARDS_PER_TASK, MOST_PARTITIONS = 16, 20_000
+#: A source's seats go to groups of so many shards first, so no window holds all shards of a source.
+SHARD_GROUP = 4096
 EPOCHS = 1.5
 REPEATS = 2
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -97,9 +99,11 @@ def default_weights(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS) ->
 
 def _pieces(docs: DataFrame, weights: tuple[float, ...], share: float, repeats: int, block_words: int, shard_words: int, shard_texts: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """The parts of texts that fall in one block each, with how often it is taken; and texts without words."""
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("text_crc"))
-    sized = stage_table(sized, "mix-sizes")
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("texts"))
+    key = F.substring(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")), 1, 16)
+    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("text_key"))
+    # Equal rows travel as one with their number, so a row that repeats without end is never in one place.
+    sized = stage_table(sized.groupBy("doc_id", "source", "size", "text_key").agg(F.count(F.lit(1)).alias("copies")), "mix-sizes")
+    per_source = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.sum("copies").alias("texts"))
     targets = source_targets(default_weights(per_source, weights), share, repeats)
     plan = targets.join(per_source.select(F.col("source").alias("_s"), "texts"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     plan = plan.withColumn("total_seats", F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("long"))
@@ -109,14 +113,21 @@ def _pieces(docs: DataFrame, weights: tuple[float, ...], share: float, repeats:
     plan = stage_table(plan.select("source", "source_size", "target", "shards", "source_seats"), "mix-plan")
 
     dealt = sized.join(plan.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    dealt = dealt.withColumn("shard", F.pmod(F.conv(F.substring(_seeded(seed, F.coalesce(F.col("doc_id"), F.lit(-1))), 1, 8), 16, 10).cast("long"), F.col("shards")))
+    # Copies are dealt in parts that fill a shard at most; part and copy tell them apart.
+    together = F.greatest(F.lit(1), F.least(F.lit(shard_texts), F.floor(F.lit(shard_words) / F.greatest(F.col("size"), F.lit(1))))).cast("long")
+    dealt = dealt.withColumn("together", together).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / F.col("together")))))
+    dealt = dealt.withColumn("shard", F.pmod(F.conv(F.substring(_seeded(seed, F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("text_key"), F.col("part")), 1, 8), 16, 10).cast("long"), F.col("shards")))
+    dealt = dealt.withColumn("copy", F.explode(F.sequence(F.col("part") * F.col("together"), F.least("copies", (F.col("part") + 1) * F.col("together")) - 1)))
     # A null source is a group of its own in keys: (missing, '') differs from (given, '').
     key = [F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key")]
     dealt = dealt.select("*", *key)
     full = dealt.filter(F.col("size") > 0)
     shards = full.groupBy("no_source", "source_key", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_seats").alias("source_seats"))
-    shards = shards.withColumn("blocks", F.ceil(F.col("shard_size") / F.lit(float(block_words))).cast("long"))
-    shards = highest_quotients(shards, ["no_source", "source_key"], ["shard"], F.col("shard_size"), F.col("source_seats"), F.col("blocks") * repeats)
+    shards = shards.withColumn("blocks", F.ceil(F.col("shard_size") / F.lit(float(block_words))).cast("long")).withColumn("shard_group", F.floor(F.col("shard") / SHARD_GROUP))
+    of_source, of_group = ["no_source", "source_key"], ["no_source", "source_key", "shard_group"]
+    groups = shards.groupBy(*of_group).agg(F.sum("shard_size").alias("group_size"), F.first("source_seats").alias("source_seats"), F.sum("blocks").alias("group_blocks"))
+    groups = highest_quotients(groups, of_source, ["shard_group"], F.col("group_size"), F.col("source_seats"), F.col("group_blocks") * repeats).select(*of_group, F.col("seats_won").alias("group_seats"))
+    shards = highest_quotients(shards.drop("source_seats").join(groups, of_group), of_group, ["shard"], F.col("shard_size"), F.col("group_seats"), F.col("blocks") * repeats)
     in_shard = ["no_source", "source_key", "shard"]
     # A few rows become all blocks: without a count of partitions, Spark would put them in one task.
     n_shards = plan.agg(F.sum("shards").alias("n")).first()["n"] or 0
@@ -127,7 +138,7 @@ def _pieces(docs: DataFrame, weights: tuple[float, ...], share: float, repeats:
     times = rounds + (F.row_number().over(luck) <= F.col("seats_won") - rounds * F.col("blocks")).cast("long")
     blocks = blocks.withColumn("times", times).filter(F.col("times") > 0).select(*in_shard, "block", "times")
 
-    order = Window.partitionBy(*in_shard).orderBy(_seeded(seed + 1, F.coalesce(F.col("doc_id"), F.lit(-1))), F.col("doc_id"), "text_crc", "size")
+    order = Window.partitionBy(*in_shard).orderBy(_seeded(seed + 1, F.coalesce(F.col("doc_id"), F.lit(-1))), F.col("doc_id"), "text_key", "copy")
     placed = full.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(order)).withColumn("start", F.col("end") - F.col("size"))
     pieces = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("end") - 1) / block_words))))
     overlap = F.least(F.col("end"), (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)
@@ -141,10 +152,11 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
 
     docs: doc_id, text, source; more columns are ignored. A null or empty text has size 0 and is
     taken 0 times; a null source is a source of its own, after all others; rows that repeat a
-    doc_id are texts of their own (their order in a shard is by text hash, and equal rows are
-    interchangeable). An empty table gives no rows. Texts are read once: their ids, sources and
-    sizes are staged in the shared folder. No task ever holds a source, only a shard of
-    shard_words words or shard_texts texts, so a hot source is spread over as many tasks as it has
+    doc_id, or have none, are texts of their own (their shard and their order in it follow from
+    id and text, and equal rows are interchangeable). An empty table gives no rows. Texts are read
+    once: their ids, sources, sizes and hashes are staged in the shared folder, equal rows as one.
+    No task ever holds a source, only a shard of about shard_words words or shard_texts texts, or
+    the figures of SHARD_GROUP shards, so a hot source is spread over as many tasks as it has
     shards; the windows over sources hold one row a source.
     """
     pieces, empty = _pieces(docs, weights, share, repeats, block_words, shard_words, shard_texts, seed)
@@ -159,20 +171,23 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
     A row's text holds the taken blocks' words in order, with the white space before each; a text
     taken whole is kept as it is. n_chars, if docs has it, follows the new text. Texts without
-    words are in no mix. Rows with equal doc_id and text share one selection.
+    words are in no mix. Rows with equal doc_id and text share one selection, rows without a doc_id
+    as well. Any other columns may be among docs', and they stay as they are.
     """
     pieces, _ = _pieces(docs, weights, share, repeats, block_words, shard_words, shard_texts, seed)
     at = F.struct((F.greatest(F.col("start"), F.col("block") * block_words) - F.col("start")).cast("int").alias("at"), F.col("overlap").cast("int").alias("n"), F.col("times").cast("int").alias("times"))
-    lists = pieces.filter("times > 0").groupBy("no_source", "source_key", "shard", "nth", "doc_id", "text_crc").agg(F.collect_list(at).alias("parts"))
-    lists = lists.groupBy(F.col("doc_id").alias("_id"), F.col("text_crc").alias("_crc")).agg(F.min_by("parts", F.struct("source_key", "shard", "nth")).alias("_parts"))
-    joined = docs.join(lists.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.crc32(F.col("text").cast("binary")) == F.col("_crc")))
-    rounds = joined.withColumn("_round", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("_parts", lambda p: p["times"])))))
-    rounds = rounds.withColumn("_mine", F.array_sort(F.filter("_parts", lambda p: p["times"] >= F.col("_round"))))
+    id_, key_, parts_, round_, mine_, words_ = fresh(docs, "mix_id", "mix_key", "mix_parts", "mix_round", "mix_mine", "mix_words")
+    lists = pieces.filter("times > 0").groupBy("no_source", "source_key", "shard", "nth", "doc_id", "text_key").agg(F.collect_list(at).alias("parts"))
+    lists = lists.groupBy(F.col("doc_id").alias(id_), F.col("text_key").alias(key_)).agg(F.min_by("parts", F.struct("source_key", "shard", "nth")).alias(parts_))
+    text_key = F.substring(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")), 1, 16)
+    joined = docs.join(lists.hint("merge"), F.col("doc_id").eqNullSafe(F.col(id_)) & (text_key == F.col(key_)))
+    rounds = joined.withColumn(round_, F.explode(F.sequence(F.lit(1), F.array_max(F.transform(parts_, lambda p: p["times"])))))
+    rounds = rounds.withColumn(mine_, F.array_sort(F.filter(parts_, lambda p: p["times"] >= F.col(round_))))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    rounds = rounds.withColumn("_words", words)
-    part = F.array_join(F.transform("_mine", lambda p: F.array_join(F.slice("_words", p["at"] + 1, p["n"]), "")), "")
-    whole = F.aggregate("_mine", F.lit(0), lambda a, p: a + p["n"]) == F.size("_words")
+    rounds = rounds.withColumn(words_, words)
+    part = F.array_join(F.transform(mine_, lambda p: F.array_join(F.slice(words_, p["at"] + 1, p["n"]), "")), "")
+    whole = F.aggregate(mine_, F.lit(0), lambda a, p: a + p["n"]) == F.size(words_)
     out = rounds.withColumn("text", F.when(whole, F.col("text")).otherwise(F.regexp_replace(part, r"^[\x20\x09-\x0D]+", "")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*columns_of(docs))

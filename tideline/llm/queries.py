@@ -57,7 +57,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_language_id, op3_token_packing, op4_ngram_jaccard, op5_html_extraction, op6_secret_scan, op7_quality_rules, op8_repeat_removal, op9_decontamination, op10_chat_format)}
 
 _MIX_SQL = r"""
-WITH sized AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH sized AS (SELECT doc_id, source, substr(md5(coalesce(text, '')), 1, 16) AS key, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 per_source AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS texts FROM sized GROUP BY source),
 weighed AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM per_source),
 ranked AS (SELECT *, source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS total, row_number() OVER (ORDER BY source_size * 2.0::DOUBLE / weight, source NULLS LAST) AS nth FROM weighed),
@@ -71,8 +71,9 @@ ends AS (SELECT *, least(greatest(floor(exact - slack), 0), most)::BIGINT AS lo,
 rest AS (SELECT *, n - sum(lo) OVER () AS rest FROM ends),
 quotients AS (SELECT source, target, lo, rest, target / (2 * k + 1) AS q, k FROM (SELECT *, unnest(CASE WHEN hi > lo THEN range(lo, hi) ELSE [NULL] END) AS k FROM rest)),
 won AS (SELECT source, any_value(lo) + count(*) FILTER (nth <= rest AND k IS NOT NULL AND target > 0) AS seats FROM (SELECT *, row_number() OVER (ORDER BY q DESC NULLS LAST, source NULLS LAST, k) AS nth FROM quotients) GROUP BY source),
-dealt AS (SELECT s.*, p.source_size, p.target, w.seats, ('0x' || substr(md5('17|' || coalesce(doc_id, -1)), 1, 8))::BIGINT % p.shards AS shard FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source JOIN won w ON s.source IS NOT DISTINCT FROM w.source),
-placed AS (SELECT *, sum(size) OVER (PARTITION BY source, shard ORDER BY md5('18|' || coalesce(doc_id, -1)), doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS fin FROM dealt WHERE size > 0),
+copied AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size, key) - 1 AS copy FROM sized),
+dealt AS (SELECT s.*, p.source_size, p.target, w.seats, ('0x' || substr(md5('17|' || coalesce(doc_id, -1) || '|' || key || '|' || copy // greatest(1, least(65536, 1048576 // greatest(size, 1)))), 1, 8))::BIGINT % p.shards AS shard FROM copied s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source JOIN won w ON s.source IS NOT DISTINCT FROM w.source),
+placed AS (SELECT *, sum(size) OVER (PARTITION BY source, shard ORDER BY md5('18|' || coalesce(doc_id, -1)), doc_id NULLS FIRST, key, copy ROWS UNBOUNDED PRECEDING)::BIGINT AS fin FROM dealt WHERE size > 0),
 shards AS (SELECT source, shard, sum(size)::BIGINT AS shard_size, any_value(seats) AS n, ceil(sum(size) / 64.0::DOUBLE)::BIGINT AS blocks FROM placed GROUP BY source, shard),
 s1 AS (SELECT *, sum(shard_size) OVER (PARTITION BY source) AS votes, count(*) OVER (PARTITION BY source) AS parties, blocks * 2 AS most FROM shards),
 s2 AS (SELECT *, shard_size::DOUBLE / votes * n AS exact, shard_size::DOUBLE / votes * parties + 2 AS slack FROM s1),
