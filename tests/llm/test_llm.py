@@ -717,6 +717,69 @@ def test_pipeline_keeps_and_drops_what_it_should(spark):
     assert {d for r in packed for d in r["doc_ids"]} == {d for d, n in taken.items() if n}
 
 
+def stage_tables(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, t, ["en", "de", None][i % 3], [None, "b", "a", "c"][i % 4], len(t or "")) for i, t in enumerate(TEXTS)]
+    none = [(None, t, ["en", "de"][i % 2], None, None) for i, t in enumerate(TEXTS)]
+    clash = "score lang_pred fp rep component list window item_id size taken target shard block mix_id mix_round read part copy row grp Text_Key".split()
+    base = spark.createDataFrame(rows, schema)
+    return {"clash": base.withColumns({c: F.col("doc_id").cast("string") for c in clash}).withColumn("a b.c", F.lit(1)), "ids": spark.createDataFrame(none * 2, schema), "empty": base.limit(0), "repeats": base.unionByName(base).unionByName(base.withColumn("text", F.reverse("text")))}
+
+
+@pytest.mark.parametrize("kind", ["clash", "ids", "empty", "repeats"])
+def test_stages_take_any_table(spark, kind):
+    import corpus_pipeline
+
+    docs = stage_tables(spark)[kind]
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, "/root/testdata/sf0.001")
+        rows = got.collect()
+        if name == "token_packing":
+            assert sum(r["n_tokens"] for r in rows) > 0 or kind == "empty"
+            continue
+        assert got.columns == docs.columns, name
+        assert bool(rows) == (kind != "empty"), name
+        if kind == "clash":
+            assert all(r["score"] == r["Text_Key"] == str(r["doc_id"]) and r["a b.c"] == 1 for r in rows), name
+        if name == "language_id" and kind != "empty":
+            want = collections.Counter((r["doc_id"], r["text"]) for r in docs.collect() if language_id.has_letter(r["text"]))
+            assert collections.Counter((r["doc_id"], r["text"]) for r in rows) <= want
+
+
+def test_language_sample_is_bounded(spark):
+    """One id, or none, for all rows of a language: the sample keeps its bound, and different texts are still learned."""
+    rows = [(None if i % 2 else 7, f"the and with this that {i}", "en") for i in range(300)] + [(9, "der die und nicht sich auch", "de")] * 300 + [(i, f"le les des une dans {i}", "fr") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit_language_model(docs, F.lit(True), per_language=40, most=90)
+    n = model.learned_from
+    assert model.langs == ["de", "en", "fr"] and n["de"] == 1 and 10 <= n["en"] <= 30 and 10 <= n["fr"] <= 30
+    few = language_id.fit_language_model(docs, F.lit(True), languages=2)
+    assert few.langs == ["en", "fr"]
+
+
+def test_mix_of_one_row_that_repeats(spark):
+    """Copies of one row, ids that are missing: shards stay small, and as much is taken as without them."""
+    rows = [(None, "x y z", "a")] * 500 + [(None, f"w{i} v u", "a") for i in range(300)] + [(i, "p q r s t u v w", "b") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs, shard_words=64 * 5, shard_texts=50).toPandas()
+    assert len(got) == 840 and (got["taken"] <= 2 * got["size"]).all()
+    for source, part in got.groupby("source"):
+        assert abs(part["taken"].sum() - part["target"].iloc[0]) <= 64 * {"a": 16, "b": 1}[source]  # a block at each shard's end isn't full
+    again = mixing.mix_sources(docs.repartition(7), shard_words=64 * 5, shard_texts=50).toPandas()
+    key = ["source", "size", "taken"]
+    assert sorted(map(tuple, got[key].values.tolist())) == sorted(map(tuple, again[key].values.tolist()))
+    pieces, _ = mixing._pieces(docs, mixing.WEIGHTS, 1.5, 2, 64, 64 * 5, 50, 17)
+    assert pieces.groupBy("source", "shard").agg(F.countDistinct("nth").alias("n")).agg(F.max("n")).first()[0] <= 200
+
+
+def test_seats_by_groups_of_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_GROUP", 3)
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(i % 90)), "ab"[i % 2]) for i in range(600)], "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs, shard_words=64 * 12, shard_texts=100).toPandas()
+    for _, part in got.groupby("source"):
+        assert abs(part["taken"].sum() - part["target"].iloc[0]) <= 64 * 17  # a shard each
+
+
 def test_null_columns_do_not_matter(spark):
     t = spark.createDataFrame([(1, None), (2, None)], "doc_id long, text string").withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit(None).cast("string"))
     assert mixing.mix_sources(t).count() == 2 and repeat_removal.remove_repeats(t).count() == 2

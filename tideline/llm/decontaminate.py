@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, SpanHasher, bounded_batches, mix64, stage_table, text_chunks
+from .common import _U, SpanHasher, bounded_batches, columns_of, mix64, stage_table, text_chunks
 
 WINDOW = 8
 #: Shorter items are one window of their own length; below this they are too common to tell.
@@ -287,4 +287,4 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold a benchmark item; rows with a null doc_id stay."""
-    return docs.join(contaminated_pairs(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(contaminated_pairs(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*columns_of(docs))

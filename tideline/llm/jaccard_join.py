@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, SpanHasher, blob, bounded_batches, id_bitmap, in_bitmap, mix64, stage_table, text_chunks
+from .common import _U, SpanHasher, blob, bounded_batches, columns_of, id_bitmap, in_bitmap, mix64, stage_table, text_chunks
 from .graph import connected_components
 
 WIDTH = 5
@@ -510,5 +510,5 @@ def one_of_each_group(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     Rows with a null doc_id can't name a group and stay.
     """
     named = near_duplicate_components(docs, width, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    kept = docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*columns_of(docs))
     return kept.unionByName(docs.filter("doc_id is null"))
