@@ -768,8 +768,8 @@ def test_mix_of_one_row_that_repeats(spark):
     again = mixing.mix_sources(docs.repartition(7), shard_words=64 * 5, shard_texts=50).toPandas()
     key = ["source", "size", "taken"]
     assert sorted(map(tuple, got[key].values.tolist())) == sorted(map(tuple, again[key].values.tolist()))
-    pieces, _ = mixing._pieces(docs, mixing.WEIGHTS, 1.5, 2, 64, 64 * 5, 50, 17)
-    assert pieces.groupBy("source", "shard").agg(F.countDistinct("nth").alias("n")).agg(F.max("n")).first()[0] <= 200
+    placed, _ = mixing._placed(docs, mixing.WEIGHTS, 1.5, 2, 64, 64 * 5, 50, 17)
+    assert placed.groupBy("source", "shard").agg(F.countDistinct("nth").alias("n")).agg(F.max("n")).first()[0] <= 200
 
 
 def test_seats_by_groups_of_shards(spark, monkeypatch):

@@ -97,8 +97,8 @@ def default_weights(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS) ->
     return sources.withColumn("weight", F.element_at(table, (n % len(weights) + 1).cast("int")))
 
 
-def _pieces(docs: DataFrame, weights: tuple[float, ...], share: float, repeats: int, block_words: int, shard_words: int, shard_texts: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """The parts of texts that fall in one block each, with how often it is taken; and texts without words."""
+def _placed(docs: DataFrame, weights: tuple[float, ...], share: float, repeats: int, block_words: int, shard_words: int, shard_texts: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Texts with their place in their shard (start, end) and how often each block they reach is taken; and texts without words."""
     key = F.substring(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")), 1, 16)
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("text_key"))
     # Equal rows travel as one with their number, so a row that repeats without end is never in one place.
@@ -120,7 +120,7 @@ def _pieces(docs: DataFrame, weights: tuple[float, ...], share: float, repeats:
     dealt = dealt.withColumn("copy", F.explode(F.sequence(F.col("part") * F.col("together"), F.least("copies", (F.col("part") + 1) * F.col("together")) - 1)))
     # A null source is a group of its own in keys: (missing, '') differs from (given, '').
     key = [F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key")]
-    dealt = dealt.select("*", *key)
+    dealt = stage_table(dealt.select("doc_id", "source", "size", "source_size", "target", "source_seats", "text_key", "copy", "shard", *key), "mix-dealt")
     full = dealt.filter(F.col("size") > 0)
     shards = full.groupBy("no_source", "source_key", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_seats").alias("source_seats"))
     shards = shards.withColumn("blocks", F.ceil(F.col("shard_size") / F.lit(float(block_words))).cast("long")).withColumn("shard_group", F.floor(F.col("shard") / SHARD_GROUP))
@@ -129,6 +129,7 @@ def _pieces(docs: DataFrame, weights: tuple[float, ...], share: float, repeats:
     groups = highest_quotients(groups, of_source, ["shard_group"], F.col("group_size"), F.col("source_seats"), F.col("group_blocks") * repeats).select(*of_group, F.col("seats_won").alias("group_seats"))
     shards = highest_quotients(shards.drop("source_seats").join(groups, of_group), of_group, ["shard"], F.col("shard_size"), F.col("group_seats"), F.col("blocks") * repeats)
     in_shard = ["no_source", "source_key", "shard"]
+    shards = stage_table(shards.select(*in_shard, "blocks", "seats_won"), "mix-shards")
     # A few rows become all blocks: without a count of partitions, Spark would put them in one task.
     n_shards = plan.agg(F.sum("shards").alias("n")).first()["n"] or 0
     shards = shards.repartition(min(max(n_shards // SHARDS_PER_TASK, 1), MOST_PARTITIONS), *in_shard)
@@ -136,15 +137,16 @@ def _pieces(docs: DataFrame, weights: tuple[float, ...], share: float, repeats:
     luck = Window.partitionBy(*in_shard).orderBy(_seeded(seed, F.col("source_key"), F.col("shard"), F.col("block")), "block")
     rounds = F.floor(F.col("seats_won") / F.col("blocks"))
     times = rounds + (F.row_number().over(luck) <= F.col("seats_won") - rounds * F.col("blocks")).cast("long")
-    blocks = blocks.withColumn("times", times).filter(F.col("times") > 0).select(*in_shard, "block", "times")
+    # A shard's blocks are a row: an array of how often each is taken, of which a text needs a slice.
+    listed = F.array_sort(F.collect_list(F.struct(F.col("block").cast("int").alias("block"), F.col("times").cast("short").alias("times"))))
+    taken = blocks.withColumn("times", times).groupBy(*in_shard).agg(F.transform(listed, lambda b: b["times"]).alias("times"))
 
     order = Window.partitionBy(*in_shard).orderBy(_seeded(seed + 1, F.coalesce(F.col("doc_id"), F.lit(-1))), F.col("doc_id"), "text_key", "copy")
     placed = full.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(order)).withColumn("start", F.col("end") - F.col("size"))
-    pieces = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("end") - 1) / block_words))))
-    overlap = F.least(F.col("end"), (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)
-    # Blocks grow with the words; Spark's estimate for exploded rows doesn't tell, so no broadcast here.
-    pieces = pieces.withColumn("overlap", overlap).join(blocks.hint("merge"), [*in_shard, "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
-    return pieces, dealt.filter(F.col("size") == 0)
+    placed = placed.withColumn("first", F.floor(F.col("start") / block_words)).withColumn("last", F.floor((F.col("end") - 1) / block_words))
+    # Arrays grow with the words, and there are as many as shards: no broadcast.
+    placed = placed.join(taken.hint("merge"), in_shard).withColumn("times", F.slice("times", (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first") + 1).cast("int")))
+    return placed, dealt.filter(F.col("size") == 0)
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = EPOCHS, repeats: int = REPEATS, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, shard_texts: int = SHARD_TEXTS, seed: int = SEED) -> DataFrame:
@@ -159,11 +161,12 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     the figures of SHARD_GROUP shards, so a hot source is spread over as many tasks as it has
     shards; the windows over sources hold one row a source.
     """
-    pieces, empty = _pieces(docs, weights, share, repeats, block_words, shard_words, shard_texts, seed)
-    key = ["no_source", "source_key", "shard", "nth", "doc_id", "source", "size", "source_size", "target"]
-    taken = pieces.groupBy(*key).agg(F.sum(F.col("overlap") * F.col("times")).cast("long").alias("taken"))
+    placed, empty = _placed(docs, weights, share, repeats, block_words, shard_words, shard_texts, seed)
+    # Whole blocks, less what of the first and the last lies outside the text.
+    whole = F.aggregate("times", F.lit(0).cast("long"), lambda a, t: a + t) * block_words
+    outside = F.element_at("times", 1) * (F.col("start") - F.col("first") * block_words) + F.element_at("times", -1) * ((F.col("last") + 1) * block_words - F.col("end"))
     cols = ["doc_id", "source", "size", "source_size", "target", "taken"]
-    return taken.select(*cols).unionByName(empty.withColumn("taken", F.lit(0).cast("long")).select(*cols))
+    return placed.withColumn("taken", (whole - outside).cast("long")).select(*cols).unionByName(empty.withColumn("taken", F.lit(0).cast("long")).select(*cols))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = EPOCHS, repeats: int = REPEATS, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, shard_texts: int = SHARD_TEXTS, seed: int = SEED) -> DataFrame:
@@ -174,10 +177,16 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     words are in no mix. Rows with equal doc_id and text share one selection, rows without a doc_id
     as well. Any other columns may be among docs', and they stay as they are.
     """
-    pieces, _ = _pieces(docs, weights, share, repeats, block_words, shard_words, shard_texts, seed)
-    at = F.struct((F.greatest(F.col("start"), F.col("block") * block_words) - F.col("start")).cast("int").alias("at"), F.col("overlap").cast("int").alias("n"), F.col("times").cast("int").alias("times"))
+    placed, _ = _placed(docs, weights, share, repeats, block_words, shard_words, shard_texts, seed)
     id_, key_, parts_, round_, mine_, words_ = fresh(docs, "mix_id", "mix_key", "mix_parts", "mix_round", "mix_mine", "mix_words")
-    lists = pieces.filter("times > 0").groupBy("no_source", "source_key", "shard", "nth", "doc_id", "text_key").agg(F.collect_list(at).alias("parts"))
+
+    def part(times: Column, nth: Column) -> Column:
+        lo = (F.col("first") + nth) * block_words
+        at = F.greatest(lo, F.col("start"))
+        return F.struct((at - F.col("start")).cast("int").alias("at"), (F.least(lo + block_words, F.col("end")) - at).cast("int").alias("n"), times.cast("int").alias("times"))
+
+    parts = F.filter(F.transform("times", part), lambda p: p["times"] > 0)
+    lists = placed.select("doc_id", "text_key", "source_key", "shard", "nth", parts.alias("parts")).filter(F.size("parts") > 0)
     lists = lists.groupBy(F.col("doc_id").alias(id_), F.col("text_key").alias(key_)).agg(F.min_by("parts", F.struct("source_key", "shard", "nth")).alias(parts_))
     text_key = F.substring(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")), 1, 16)
     joined = docs.join(lists.hint("merge"), F.col("doc_id").eqNullSafe(F.col(id_)) & (text_key == F.col(key_)))
@@ -185,9 +194,9 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     rounds = rounds.withColumn(mine_, F.array_sort(F.filter(parts_, lambda p: p["times"] >= F.col(round_))))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     rounds = rounds.withColumn(words_, words)
-    part = F.array_join(F.transform(mine_, lambda p: F.array_join(F.slice(words_, p["at"] + 1, p["n"]), "")), "")
+    taken = F.array_join(F.transform(mine_, lambda p: F.array_join(F.slice(words_, p["at"] + 1, p["n"]), "")), "")
     whole = F.aggregate(mine_, F.lit(0), lambda a, p: a + p["n"]) == F.size(words_)
-    out = rounds.withColumn("text", F.when(whole, F.col("text")).otherwise(F.regexp_replace(part, r"^[\x20\x09-\x0D]+", "")))
+    out = rounds.withColumn("text", F.when(whole, F.col("text")).otherwise(F.regexp_replace(taken, r"^[\x20\x09-\x0D]+", "")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*columns_of(docs))
