@@ -1,7 +1,8 @@
-"""Distributed fits: standardised ridge by moments, boosted trees by Spark ML, and the tuning protocol."""
+"""Distributed fits: standardised ridge by moments, boosted trees a series or over all, and the tuning protocol."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import boosting
+from .folds import assign_folds
+
 ALPHAS = (0.1, 1.0, 10.0, 100.0)
+SHIFT_ROWS = 1000
 GBM_GRID = tuple((rate, rounds) for rate in (0.05, 0.1) for rounds in (300, 600))
 
 
@@ -33,12 +38,12 @@ def unstandardise(df: DataFrame, fitted: DataFrame, columns: list[str], keys: li
 def block_moments(df: DataFrame, columns: list[str], target: str, keys: list[str]) -> DataFrame:
     """keys, n, shift (one rough mean a column) and the packed sums of products of (1, columns, target).
 
-    Each Arrow batch becomes one row a key before the shuffle. Columns are shifted by a mean of
-    the whole table, so that sums of squares don't cancel.
+    Each Arrow batch becomes one row a key before the shuffle. Columns are shifted by a rough mean,
+    that of some rows, so that sums of squares don't cancel; which rows doesn't matter.
     """
     names = [*columns, target]
     p = len(names) + 1
-    means = df.agg(*[F.avg(c).alias(c) for c in names]).first()
+    means = df.select(*names).limit(SHIFT_ROWS).agg(*[F.avg(c).alias(c) for c in names]).first()
     shift = np.array([float(means[c] or 0.0) for c in names])
     schema = ", ".join([f"`{k}` {dict(df.dtypes)[k]}" for k in keys] + ["packed binary"])
 
@@ -103,6 +108,54 @@ def fit_ridge(assigned: DataFrame, columns: list[str], target: str, alphas: tupl
     return refit.join(best, [*keys, "alpha"])
 
 
+def boundaries(folds: DataFrame) -> list:
+    """The times at which some fold's training or validation ends, in order: few, as folds are."""
+    return sorted({t for r in folds.select("val_start", "test_start").collect() for t in r})
+
+
+def time_block(bounds: list):
+    """How many of the boundaries a row's ts has passed."""
+    return F.size(F.filter(F.array(*[F.lit(t) for t in bounds]), lambda t: t <= F.col("ts")))
+
+
+def ridge_moments(rows: DataFrame, bounds: list, columns: list[str], target: str) -> DataFrame:
+    """series_id, block and the packed moments of each block of time between boundaries: a pass over rows, whatever the folds."""
+    return block_moments(rows.withColumn("block", time_block(bounds)), columns, target, ["series_id", "block"])
+
+
+def fit_ridge_folds(rows: DataFrame, folds: DataFrame, columns: list[str], target: str, alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
+    """As fit_ridge on assigned folds, but no row is copied for each fold it trains.
+
+    Expanding folds share their rows: a fold's moments are the sum of those of the blocks before its
+    boundary. Only validation rows, which few folds share, meet the folds.
+    """
+    keys = ["series_id", "fold"]
+    bounds = boundaries(folds)
+    spans = [(int(r["fold"]), bounds.index(r["val_start"]), bounds.index(r["test_start"])) for r in folds.select("fold", "val_start", "test_start").orderBy("fold").collect()]
+    p = len(columns) + 2
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        shift = np.asarray(pdf["shift"].iloc[0], dtype=float)
+        grams = {int(b): np.frombuffer(raw).reshape(p, p) for b, raw in zip(pdf["block"], pdf["packed"], strict=True)}
+        out = []
+        for fold, val, test in spans:
+            for name, end in (("train", val), ("refit", test)):
+                mine = [g for b, g in grams.items() if b <= end]
+                if mine:
+                    gram = sum(mine)
+                    for alpha in alphas:
+                        w = solve_ridge(gram, alpha)
+                        out.append([pdf["series_id"].iloc[0], fold, name, alpha, w[0] + shift[-1] - w[1:] @ shift[:-1], w[1:].tolist()])
+        return pd.DataFrame(out, columns=["series_id", "fold", "fit", "alpha", "intercept", "coef"])
+
+    fitted = ridge_moments(rows, bounds, columns, target).groupBy("series_id").applyInPandas(solve, "series_id string, fold int, fit string, alpha double, intercept double, coef array<double>")
+    held = rows.join(folds.select("fold", "val_start", "test_start"), (F.col("ts") >= F.col("val_start")) & (F.col("ts") < F.col("test_start")))
+    tried = predict_linear(held, fitted.filter("fit = 'train'").drop("fit"), columns, keys)
+    errors = tried.groupBy(*keys, "alpha").agg(F.avg(F.abs(F.col("pred") - F.col(target))).alias("mae"))
+    best = errors.groupBy(*keys).agg(F.min_by("alpha", F.struct("mae", "alpha")).alias("alpha"))
+    return fitted.filter("fit = 'refit'").drop("fit").join(best, [*keys, "alpha"])
+
+
 def predict_linear(rows: DataFrame, coefficients: DataFrame, columns: list[str], keys: list[str], least: float | None = None) -> DataFrame:
     """rows with alpha and pred; a dot product in column expressions. least clips from below."""
     x = F.array(*[F.col(c).cast("double") for c in columns])
@@ -112,12 +165,48 @@ def predict_linear(rows: DataFrame, coefficients: DataFrame, columns: list[str],
     return joined.withColumn("pred", pred).drop("intercept", "coef")
 
 
-def fit_gbm(assigned: DataFrame, columns: list[str], target: str, fold: int, grid: tuple[tuple[float, int], ...] = GBM_GRID, max_depth: int = 5):
-    """(model, (rate, rounds)) of boosted trees for one fold over all series; refit on train and validation."""
+def fit_gbm(assigned: DataFrame, columns: list[str], target: str, fold: int, grid: tuple[tuple[float, int], ...] = GBM_GRID, max_depth: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(series_id and its trees, series_id and the chosen rate and rounds) for one fold: a model a series.
+
+    (rate, rounds) has the lowest validation MAE, the first of equals; then trees are refitted on train
+    and validation. Rows with a null are left out of the fit. A series without rows in both roles has none.
+    """
+    rows = assigned.filter((F.col("fold") == fold) & F.col("role").isin("train", "validation")).select("series_id", *[F.col(c).cast("double").alias(c) for c in columns], F.col(target).cast("double").alias("_y"), (F.col("role") == "validation").alias("_held")).dropna()
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = pdf["_held"].to_numpy()
+        out = []
+        if held.any() and not held.all():
+            (rate, rounds), trees = boosting.tune_and_fit(pdf[columns].to_numpy(), pdf["_y"].to_numpy(), held, grid, max_depth)
+            out.append([pdf["series_id"].iloc[0], rate, rounds, pickle.dumps(trees)])
+        return pd.DataFrame(out, columns=["series_id", "rate", "rounds", "trees"])
+
+    model = rows.groupBy("series_id").applyInPandas(fit, "series_id string, rate double, rounds int, trees binary")
+    return model, model.select("series_id", "rate", "rounds")
+
+
+def predict_trees(rows: DataFrame, model: DataFrame, columns: list[str], least: float | None = None) -> DataFrame:
+    """rows with pred: null where a column is, or where the series has no model. least clips from below."""
+
+    def predict(pdf: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
+        x = pdf[columns].to_numpy(dtype=float)
+        pred = np.full(len(pdf), np.nan)
+        known = ~np.isnan(x).any(axis=1)
+        if len(fitted) and known.any():
+            pred[known] = pickle.loads(fitted["trees"].iloc[0]).predict(x[known])
+        return pdf.assign(pred=pred if least is None else np.maximum(pred, least))
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", pred double"
+    out = rows.groupBy("series_id").cogroup(model.groupBy("series_id")).applyInPandas(predict, schema)
+    return out.withColumn("pred", F.when(~F.isnan("pred"), F.col("pred")))
+
+
+def fit_gbm_pooled(assigned: DataFrame, columns: list[str], target: str, fold: int, grid: tuple[tuple[float, int], ...] = GBM_GRID, max_depth: int = 5):
+    """(model, (rate, rounds)) of one Spark ML model for a fold over all series; refit on train and validation. A null in a column is an error."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    rows = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip").transform(assigned.filter(F.col("fold") == fold)).select("features", F.col(target).alias("label"), "role").persist()
+    rows = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="error").transform(assigned.filter(F.col("fold") == fold)).select("features", F.col(target).alias("label"), "role").persist()
 
     def fit(part: DataFrame, config: tuple[float, int]):
         return GBTRegressor(stepSize=config[0], maxIter=config[1], maxDepth=max_depth, seed=0, checkpointInterval=10).fit(part)
@@ -137,9 +226,40 @@ def tune(configs: tuple, fit: Callable, loss: Callable):
     return configs[min(losses)[1]]
 
 
-def predict_trees(rows: DataFrame, model, columns: list[str], least: float | None = None) -> DataFrame:
+def predict_pooled(rows: DataFrame, model, columns: list[str], least: float | None = None) -> DataFrame:
+    """rows with pred by a pooled model."""
     from pyspark.ml.feature import VectorAssembler
 
-    out = model.transform(VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip").transform(rows))
+    out = model.transform(VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="error").transform(rows))
     pred = F.greatest("prediction", F.lit(least)) if least is not None else F.col("prediction")
     return out.withColumn("pred", pred).drop("features", "prediction")
+
+
+Fitter = Callable[[DataFrame, DataFrame, list[str], str], DataFrame]
+
+
+def ridge_forecast(rows: DataFrame, folds: DataFrame, columns: list[str], target: str) -> DataFrame:
+    """Test rows of all folds with pred by ridge."""
+    test = assign_folds(rows, folds).filter("role = 'test'")
+    return predict_linear(test, fit_ridge_folds(rows, folds, columns, target), columns, ["series_id", "fold"]).drop("alpha")
+
+
+def gbm_forecast(rows: DataFrame, folds: DataFrame, columns: list[str], target: str, **settings) -> DataFrame:
+    """Test rows of all folds with pred by boosted trees, a model a series and fold."""
+    assigned = assign_folds(rows, folds)
+    out = None
+    for fold in sorted(r["fold"] for r in folds.select("fold").collect()):
+        model, _ = fit_gbm(assigned, columns, target, fold, **settings)
+        pred = predict_trees(assigned.filter((F.col("role") == "test") & (F.col("fold") == fold)), model, columns)
+        out = pred if out is None else out.unionByName(pred)
+    return assigned.limit(0).withColumn("pred", F.lit(None).cast("double")) if out is None else out
+
+
+def forecasts(rows: DataFrame, folds: DataFrame, columns: list[str], target: str, fitters: dict[str, Fitter], least: float | None = None) -> DataFrame:
+    """Long predictions (series_id, ts, fold, test_start, y, model, pred) of each fitter on every fold's test rows."""
+    out = None
+    for name, fitter in fitters.items():
+        pred = F.col("pred") if least is None else F.greatest("pred", F.lit(least))
+        got = fitter(rows, folds, columns, target).select("series_id", "ts", "fold", "test_start", F.col(target).alias("y"), F.lit(name).alias("model"), F.when(F.col("pred").isNotNull(), pred).alias("pred"))
+        out = got if out is None else out.unionByName(got)
+    return out

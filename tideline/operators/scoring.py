@@ -1,7 +1,7 @@
 """Scores on identical rows, and the tables built from them.
 
-Long predictions: series_id, ts, y, model, pred. A row with a null in y or pred isn't scored;
-same_rows tells where that happens.
+Long predictions: series_id, ts, y, model, pred. Tables that compare models fail where these aren't
+scored on as many rows, or have a row with a null in y or pred; same_rows tells where that happens.
 """
 
 from __future__ import annotations
@@ -33,9 +33,17 @@ def bias() -> Column:
     return F.avg(error())
 
 
-def scores(pred: DataFrame, *keys: str) -> DataFrame:
-    """By keys: n, mae, rmse, mape, n_zero (rows mape leaves out) and bias."""
-    return pred.groupBy(*keys).agg(F.count(error()).alias("n"), mae().alias("mae"), rmse().alias("rmse"), mape().alias("mape"), F.coalesce(F.sum((F.col("y") == 0).cast("long")), F.lit(0)).alias("n_zero"), bias().alias("bias"))
+def scores(pred: DataFrame, *keys: str, n_rows: bool = False) -> DataFrame:
+    """By keys: n, mae, rmse, mape, n_zero (rows mape leaves out) and bias; n_rows counts rows without a value too."""
+    extra = [F.count(F.lit(1)).alias("n_rows")] if n_rows else []
+    return pred.groupBy(*keys).agg(*extra, F.count(error()).alias("n"), mae().alias("mae"), rmse().alias("rmse"), mape().alias("mape"), F.coalesce(F.sum((F.col("y") == 0).cast("long")), F.lit(0)).alias("n_zero"), bias().alias("bias"))
+
+
+def on_same_rows(table: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """table (keys, model, n, n_rows, mae) without n_rows, failing the job where models differ in their rows or lack a value."""
+    w = Window.partitionBy(*keys)
+    same = (F.min("n").over(w) == F.max("n_rows").over(w)) & (F.min("n_rows").over(w) == F.max("n_rows").over(w))
+    return table.withColumn("mae", F.when(same, F.col("mae")).otherwise(F.raise_error(F.lit("models are scored on different rows")).cast("double"))).drop("n_rows")
 
 
 def with_skill(table: DataFrame, base: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -46,15 +54,16 @@ def with_skill(table: DataFrame, base: str, keys: tuple[str, ...] = ()) -> DataF
 
 def score_table(pred: DataFrame, base: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """A row for each model (within keys), best first."""
-    return with_skill(scores(pred, *keys, "model"), base, keys).orderBy(*keys, "mae", "model")
+    table = scores(pred, *keys, "model", n_rows=True)
+    return with_skill(on_same_rows(table, keys), base, keys).orderBy(*keys, "mae", "model")
 
 
 def solar_score_table(pred: DataFrame, capacity: DataFrame, base: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """As score_table for capacity factors, with nrmse (percent of the mean actual) and mae_mw by the
-    mean capacity of the scored rows. capacity: series_id, ts, capacity_mw."""
+    """As score_table for capacity factors, with nrmse (percent of rated capacity, which is 1) and mae_mw
+    by the mean capacity of the scored rows. capacity: series_id, ts, capacity_mw."""
     rows = pred.join(capacity, ["series_id", "ts"], "left")
-    t = rows.groupBy(*keys, "model").agg(mae().alias("mae"), rmse().alias("rmse"), (F.try_divide(rmse(), F.avg("y")) * 100).alias("nrmse"), bias().alias("bias"), F.avg("capacity_mw").alias("_cap"))
-    return with_skill(t, base, keys).withColumn("mae_mw", F.col("mae") * F.col("_cap")).drop("_cap").orderBy(*keys, "mae", "model")
+    t = rows.groupBy(*keys, "model").agg(F.count(F.lit(1)).alias("n_rows"), F.count(error()).alias("n"), mae().alias("mae"), rmse().alias("rmse"), (rmse() * 100).alias("nrmse"), bias().alias("bias"), F.avg("capacity_mw").alias("_cap"))
+    return with_skill(on_same_rows(t, keys).drop("n"), base, keys).withColumn("mae_mw", F.col("mae") * F.col("_cap")).drop("_cap").orderBy(*keys, "mae", "model")
 
 
 def same_rows(actual: DataFrame, pred: DataFrame, models: DataFrame | None = None) -> DataFrame:
@@ -106,8 +115,9 @@ def night_effect(pred: DataFrame, daylight: DataFrame) -> DataFrame:
 
 
 def backtest_scores(pred: DataFrame) -> DataFrame:
-    """fold, test_start, model, mae from test rows that carry fold and test_start."""
-    return pred.groupBy("fold", "test_start", "model").agg(mae().alias("mae"))
+    """fold, test_start, model, mae from test rows that carry fold and test_start; in each fold models share their rows."""
+    table = pred.groupBy("fold", "test_start", "model").agg(F.count(F.lit(1)).alias("n_rows"), F.count(error()).alias("n"), mae().alias("mae"))
+    return on_same_rows(table, ("fold", "test_start")).drop("n")
 
 
 def backtest_summary(tidy: DataFrame) -> DataFrame:

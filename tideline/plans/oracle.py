@@ -102,7 +102,7 @@ s13 AS (SELECT *, CASE WHEN zenith >= 90 THEN 0 ELSE cs_dni * greatest(0.0::DOUB
 sky AS (SELECT *, air + 25.0::DOUBLE / 800 * cs_poa AS cell_c, 1 - 0.004::DOUBLE * (air + 25.0::DOUBLE / 800 * cs_poa - 25) AS derate FROM s13)"""
 SKY_COLUMNS = ["zenith", "elevation", "declination", "eot_minutes", "cs_ghi", "cs_dni", "cs_poa", "cell_c", "derate"]
 FLEET = SKY + ", tot AS (SELECT sum(share) AS total FROM sites), fleet0 AS (SELECT ts, " + ", ".join(f"sum(share / total * {c}) AS {c}" for c in SKY_COLUMNS) + ", sum(share / total * cs_poa / 1000 * derate) AS cs_output, degrees(atan2(sum(share / total * sin(radians(azimuth))), sum(share / total * cos(radians(azimuth))))) AS az, bool_or(daylight) AS daylight FROM sky, tot GROUP BY ts), fleet AS (SELECT *, az - 360 * floor(az / 360) AS azimuth FROM fleet0)"
-SOLAR = f"{CLEAN}, {FLEET}, solar AS (SELECT c.series_id, c.ts, c.x, f.* EXCLUDE (ts), 8.0::DOUBLE + hour(c.ts) * 0.5::DOUBLE AS temp, round(coalesce(f.cs_poa, 0) / 1000.0::DOUBLE * (c.x - 7 * floor(c.x / 7) + 1) / 8.0::DOUBLE, 6) AS cf FROM clean c LEFT JOIN fleet f ON f.ts = c.ts)"
+SOLAR = f"{CLEAN}, {FLEET}, solar AS (SELECT c.series_id, c.ts, c.x, f.* EXCLUDE (ts), 8.0::DOUBLE + hour(c.ts) * 0.5::DOUBLE AS temp, round(coalesce(f.cs_poa, 0) / 1000.0::DOUBLE * (c.x - 7 * floor(c.x / 7) + 1) / 8.0::DOUBLE, 3) AS cf FROM clean c LEFT JOIN fleet f ON f.ts = c.ts)"
 RATIO = "ratio AS (SELECT *, CASE WHEN cs_poa > 1 AND cf IS NOT NULL THEN least(cf / cs_poa, 2.0::DOUBLE) END AS kt FROM solar)"
 SOLAR_BASED = f"{RATIO}, sbased AS (SELECT *, {lag(24, 'cf')} AS yesterday, {lag(168, 'cf')} AS last_week, coalesce(CASE WHEN {lag(24, 'kt')} * cs_poa IS NOT NULL THEN greatest(0.0::DOUBLE, {lag(24, 'kt')} * cs_poa) END, {lag(24, 'cf')}) AS clearsky_persistence FROM ratio)"
 
@@ -126,6 +126,11 @@ def rounded(columns, digits: int = 6) -> str:
     return ", ".join(f"{r(c, digits)} AS {c}" for c in columns)
 
 
+def figures(x: str, digits: int = 6) -> str:
+    """A number to so many significant figures, as text: scaled and whole, then its power of ten."""
+    return f"CASE WHEN {x} = 0 THEN '0' ELSE round({x} * pow(10.0, {digits - 1} - floor(log10(abs({x})))))::BIGINT || '|' || floor(log10(abs({x})))::BIGINT END"
+
+
 # Easter by a day-count method (full moon table in closed form), not the one the library uses.
 EASTER = """easter AS (SELECT y, make_date(y, (h + l - 7 * m + 114) // 31, (h + l - 7 * m + 114) % 31 + 1) AS sunday FROM (SELECT *, (a + 11 * h + 22 * l) // 451 AS m FROM (SELECT *, (32 + 2 * e + 2 * i - h - k) % 7 AS l FROM (SELECT *, (19 * a + b - d - g + 15) % 30 AS h, c // 4 AS i, c % 4 AS k FROM (SELECT *, b // 4 AS d, b % 4 AS e, (b - (b + 8) // 25 + 1) // 3 AS g FROM (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM range(1992, 2003) t(y)))))))"""
 HOLIDAYS = f"{EASTER}, holidays AS (SELECT DISTINCT unnest([make_date(y, 1, 1), make_date(y, 5, 1), make_date(y, 10, 3), make_date(y, 12, 25), make_date(y, 12, 26), (sunday - INTERVAL 2 DAY)::DATE, (sunday + INTERVAL 1 DAY)::DATE, (sunday + INTERVAL 39 DAY)::DATE, (sunday + INTERVAL 50 DAY)::DATE]) AS day FROM easter)"
@@ -134,6 +139,7 @@ SOLAR_HISTORY = {f"lag_{k}h": lag(k, "cf") for k in (24, 48, 72, 168)} | {"roll_
 SOLAR_CAL = f"{HOUR} AS hour, {MONTH} AS month, {cyc(HOUR, 24, 'hour')}, {cyc(DOY, 365, 'doy')}"
 SOLAR_GEO = f"{rounded(['cs_poa', 'cs_ghi', 'elevation', 'azimuth'])}, daylight::BIGINT AS is_daylight"
 DAY_LAGS = {f"lag_{k}": lag(k) for k in (1, 2, 3, 7, 14)} | {"mean_7": frame("avg", 7, 1)}
+READY = f"lagged AS (SELECT *, {named(DAY_LAGS)} FROM days), ready AS (SELECT * FROM lagged WHERE lag_14 IS NOT NULL AND mean_7 IS NOT NULL)"
 POKED = f"poked AS (SELECT series_id, ts, x + CASE WHEN ts = TIMESTAMP '2024-01-05 06:00:00' THEN 50000.0 ELSE 0 END AS x FROM clean), fa AS (SELECT *, {named(HISTORY)} FROM clean), fb AS (SELECT *, {named(HISTORY)} FROM poked)"
 DIFFERS = {c: f"a.{c} IS DISTINCT FROM b.{c}" for c in HISTORY}
 
@@ -167,7 +173,7 @@ ORACLE_SQL: dict[str, str] = {
     "solar_index": f"WITH {SOLAR}, z AS (SELECT *, cos(radians(greatest(0.0::DOUBLE, least(90.0::DOUBLE, zenith)))) AS cz FROM solar WHERE cs_poa > 0.001) SELECT series_id, {stamp()} AS ts, {r('least(2.0, cf * 3000 / cs_poa)')} AS kt, CASE WHEN zenith >= 90 THEN 'inf'::DOUBLE ELSE {r('1 / (cz + 0.50572 * pow(96.07995 - greatest(0.0, zenith), -1.6364))')} END AS am FROM z",
     "solar_features_lagged": f"WITH {SOLAR}, f AS (SELECT *, {named(SOLAR_HISTORY)}, {lag(24, 'temp')} AS temp_c, CASE WHEN {frame('sum', 24, 24, 'cs_poa')} > 1 THEN {frame('sum', 24, 24, 'cf')} / {frame('sum', 24, 24, 'cs_poa')} END AS kt_yesterday FROM solar), g AS (SELECT * EXCLUDE (cell_c, derate, cs_output), temp_c + 0.03125 * cs_poa AS cell_c, 1 - 0.004 * (temp_c + 0.03125 * cs_poa - 25) AS derate, cs_poa / 1000 * (1 - 0.004 * (temp_c + 0.03125 * cs_poa - 25)) AS cs_output FROM f) SELECT series_id, {stamp()} AS ts, {r('cf')} AS cf, {SOLAR_CAL}, {rounded(SOLAR_HISTORY)}, {SOLAR_GEO}, {rounded(['temp_c', 'cell_c', 'derate', 'cs_output', 'kt_yesterday'])} FROM g WHERE roll_mean_168h IS NOT NULL AND lag_168h IS NOT NULL AND kt_yesterday IS NOT NULL AND cs_poa IS NOT NULL AND temp_c IS NOT NULL",
     "solar_features_clearsky": f"WITH {SOLAR}, f AS (SELECT *, {named(SOLAR_HISTORY)} FROM solar) SELECT series_id, {stamp()} AS ts, {r('cf')} AS cf, {SOLAR_CAL}, {SOLAR_GEO} FROM f WHERE roll_mean_168h IS NOT NULL AND lag_168h IS NOT NULL AND cs_poa IS NOT NULL",
-    "solar_scores": f"WITH {SOLAR}, {SOLAR_BASED}, p AS (SELECT series_id, x, cf AS y, unnest(['yesterday', 'last_week', 'clearsky_persistence']) AS model, unnest([yesterday, last_week, clearsky_persistence]) AS pred FROM sbased WHERE daylight AND ts >= {SCORED}), s AS (SELECT series_id, model, avg(abs(pred - y)) AS mae, sqrt(avg((pred - y) * (pred - y))) AS rmse, avg(pred - y) AS bias, avg(y) AS my, avg(x + 1000) AS cap FROM p GROUP BY 1, 2) SELECT series_id, model, {rounded(['mae', 'rmse', 'bias'])}, {r('rmse / nullif(my, 0) * 100')} AS nrmse, {r('1 - mae / nullif(max(mae) FILTER (model = $$yesterday$$) OVER (PARTITION BY series_id), 0)')} AS skill, {r('mae * cap')} AS mae_mw FROM s",
+    "solar_scores": f"WITH {SOLAR}, {SOLAR_BASED}, p AS (SELECT series_id, x, cf AS y, unnest(['yesterday', 'last_week', 'clearsky_persistence']) AS model, unnest([yesterday, last_week, clearsky_persistence]) AS pred FROM sbased WHERE daylight AND ts >= {SCORED}), s AS (SELECT series_id, model, avg(abs(pred - y)) AS mae, sqrt(avg((pred - y) * (pred - y))) AS rmse, avg(pred - y) AS bias, avg(x + 1000) AS cap FROM p GROUP BY 1, 2) SELECT series_id, model, {rounded(['mae', 'rmse', 'bias'])}, {r('rmse * 100')} AS nrmse, {r('1 - mae / nullif(max(mae) FILTER (model = $$yesterday$$) OVER (PARTITION BY series_id), 0)')} AS skill, {r('mae * cap')} AS mae_mw FROM s",
     "solar_night_effect": f"WITH {SOLAR}, {SOLAR_BASED}, p AS (SELECT daylight, abs(pred - y) AS e, model FROM (SELECT daylight, cf AS y, unnest(['yesterday', 'clearsky_persistence']) AS model, unnest([yesterday, clearsky_persistence]) AS pred FROM sbased WHERE ts >= {SCORED})) SELECT model, {r('avg(e)')} AS mae_all, {r('avg(e) FILTER (coalesce(daylight, false))')} AS mae_daylight, {r('avg(e) / nullif(avg(e) FILTER (coalesce(daylight, false)), 0)')} AS ratio FROM p GROUP BY model",
     "solar_drift": f"WITH {HOURLY}, {FLEET}, g AS (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM fleet), d AS (SELECT g.ts, cs_poa, daylight, abs(cs_poa - lag(cs_poa, 24) OVER (ORDER BY g.ts)) AS d FROM g LEFT JOIN fleet f ON f.ts = g.ts) SELECT {r('avg(d) FILTER (daylight) / avg(cs_poa) FILTER (daylight)')} AS drift, {r('avg(daylight::INT)')} AS daylight_share FROM d",
     "solar_demeaned_correlation": f"WITH {SOLAR}, t AS (SELECT series_id, month({local()}) AS m, round(sin(hour(ts) * 2 * {PI} / 24) * 10 + 12 + (floor(x) - 17 * floor(floor(x) / 17)), 4) AS a, CASE WHEN cs_poa > 0.001 THEN least(2.0, cf * 3000 / cs_poa) END AS b FROM solar WHERE daylight), u AS (SELECT *, a - avg(a) OVER (PARTITION BY series_id, m) AS a1, b - avg(b) OVER (PARTITION BY series_id, m) AS b1 FROM t WHERE a IS NOT NULL AND b IS NOT NULL) SELECT series_id, {r('corr(a, b)')} AS r, {r('corr(a1, b1)')} AS r_within_month FROM u GROUP BY 1",
@@ -203,5 +209,8 @@ ORACLE_SQL: dict[str, str] = {
     "degree_hour_shares": f"WITH {CLEAN}, {TEMP} SELECT series_id, {r('avg((temp < 15)::INT)')} AS active_hdh, {r('avg((temp >= 15)::INT)')} AS zero_hdh, {r('avg((temp > 22)::INT)')} AS active_cdh, {r('avg((temp <= 22)::INT)')} AS zero_cdh FROM warm GROUP BY 1",
     "leakage_audit": f"WITH {CLEAN}, {POKED}, c AS (SELECT a.series_id, a.ts FROM fa a JOIN fb b ON a.series_id = b.series_id AND a.ts = b.ts WHERE {' OR '.join(DIFFERS.values())}) SELECT series_id, count(*) FILTER (ts < TIMESTAMP '2024-01-05 06:00:00') AS before, count(*) FILTER (ts >= TIMESTAMP '2024-01-05 06:00:00' AND ts < TIMESTAMP '2024-01-06 06:00:00') AS too_soon, count(*) FILTER (ts >= TIMESTAMP '2024-01-06 06:00:00') AS allowed FROM c GROUP BY 1",
     "reacting_columns": f"WITH {CLEAN}, {POKED}, j AS (SELECT " + ", ".join(f"count(*) FILTER ({e}) AS {c}" for c, e in DIFFERS.items()) + " FROM fa a JOIN fb b ON a.series_id = b.series_id AND a.ts = b.ts) SELECT \"column\", n_changed, CASE WHEN n_changed > 0 THEN 'ok' ELSE 'spurious' END AS verdict FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS n_changed FROM j" for c in DIFFERS) + ") UNION ALL SELECT 'temp', 0, 'ok' UNION ALL SELECT 'kt_yesterday', NULL, 'absent'",
-    "scaler": f"WITH {DAILY}, {FOLDS}, lagged AS (SELECT *, {named(DAY_LAGS)} FROM days), ready AS (SELECT * FROM lagged WHERE lag_14 IS NOT NULL AND mean_7 IS NOT NULL) SELECT series_id, fold, " + ", ".join(f"{r(f'avg({c})')} AS mean_{c}, {r(f'CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1.0 END')} AS scale_{c}" for c in DAY_LAGS) + " FROM ready JOIN folds ON ts < val_start GROUP BY 1, 2",
+    "standardised": f"WITH {DAILY}, {FOLDS}, {READY}, one AS (SELECT r.*, CASE WHEN ts < val_start THEN 'train' WHEN ts < test_start THEN 'validation' ELSE 'test' END AS role FROM ready r JOIN folds f ON fold = 1 AND ts < test_end), s AS (SELECT series_id, " + ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1.0 END AS s_{c}" for c in DAY_LAGS) + " FROM one WHERE role = 'train' GROUP BY 1) SELECT one.series_id, role, " + ", ".join(f"{r(f'round(avg(({c} - m_{c}) / s_{c}), 4)')} AS mean_{c}" for c in DAY_LAGS) + ", true AS taken_back FROM one JOIN s ON s.series_id = one.series_id GROUP BY one.series_id, role",
+    "ridge_moments": f"WITH {DAILY}, {FOLDS}, {READY}, b AS (SELECT val_start AS t FROM folds UNION SELECT test_start FROM folds), k AS (SELECT *, (SELECT count(*) FROM b WHERE t <= ts) AS block FROM ready), g AS (SELECT series_id, block, count(*) AS n, " + ", ".join([*(f"avg({c}) AS mean_{c}, avg({c} * {c}) AS square_{c}" for c in [*DAY_LAGS, "x"]), *(f"avg({c} * x) AS with_{c}" for c in DAY_LAGS)]) + " FROM k GROUP BY 1, 2) SELECT series_id, block, n, " + ", ".join([*(f"{figures(f'mean_{c}')} AS mean_{c}, {figures(f'square_{c}')} AS square_{c}" for c in [*DAY_LAGS, "x"]), *(f"{figures(f'with_{c}')} AS with_{c}" for c in DAY_LAGS)]) + " FROM g",
+    "linear_predictions": f"WITH {DAILY}, {READY} SELECT series_id, {stamp()} AS ts, {r('round(greatest(0.0, length(series_id) * 10.0 + 0.4 * lag_1 - 0.2 * lag_2 + 0.1 * lag_3 + 0.3 * lag_7 + 0.15 * lag_14 + 0.25 * mean_7), 3)')} AS pred FROM ready",
+    "scaler": f"WITH {DAILY}, {FOLDS}, {READY} SELECT series_id, fold, " + ", ".join(f"{r(f'avg({c})')} AS mean_{c}, {r(f'CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1.0 END')} AS scale_{c}" for c in DAY_LAGS) + " FROM ready JOIN folds ON ts < val_start GROUP BY 1, 2",
 }

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,11 +179,14 @@ def solar_fleet(spark, d):
 
 
 def _solar_table(spark, d):
-    """Capacity factors (made from totals, dark at night) beside the fleet's clear sky."""
+    """Capacity factors (made from totals, dark at night) beside the fleet's clear sky.
+
+    Three digits: a mean of 24 or 168 of them is never halfway between numbers of six.
+    """
     clean = base.clean(spark, d)
     sky = _fleet(spark, d).withColumnRenamed("cell_c", "_cell").drop("derate", "cs_output", "_cell")
     rows = clean.join(sky, "ts", "left")
-    return rows.withColumn("cf", F.round(F.coalesce("cs_poa", F.lit(0.0)) / 1000.0 * (F.pmod(F.col("x"), F.lit(7.0)) + 1) / 8.0, 6)).withColumn("temp", F.lit(8.0) + F.hour("ts") * 0.5)
+    return rows.withColumn("cf", F.round(F.coalesce("cs_poa", F.lit(0.0)) / 1000.0 * (F.pmod(F.col("x"), F.lit(7.0)) + 1) / 8.0, 3)).withColumn("temp", F.lit(8.0) + F.hour("ts") * 0.5)
 
 
 @query
@@ -477,10 +482,69 @@ def scaler(spark, d):
 
 
 @query
-def ridge_backtest(spark, d):
+def standardised(spark, d):
+    """Features of fold 1 standardised by its training rows, and how far they are off when taken back."""
     rows, columns = _daily_features(spark, d)
-    fitted = models.fit_ridge(rows, columns, "x")
-    pred = models.predict_linear(rows.filter("role = 'test'"), fitted, columns, ["series_id", "fold"], least=0.0)
+    rows = rows.filter("fold = 1")
+    fitted = models.scaler(rows.filter("role = 'train'"), columns, ["series_id"])
+    z = models.standardise(rows, fitted, columns, ["series_id"])
+    back = models.unstandardise(z, fitted, columns, ["series_id"]).select("series_id", "ts", *[F.col(c).alias(f"back_{c}") for c in columns])
+    both = z.join(back, ["series_id", "ts"]).join(rows.select("series_id", "ts", *[F.col(c).alias(f"was_{c}") for c in columns]), ["series_id", "ts"])
+    off = [F.max(F.abs(F.col(f"back_{c}") - F.col(f"was_{c}"))) < 1e-3 for c in columns]
+    same = off[0]
+    for o in off[1:]:
+        same = same & o
+    return both.groupBy("series_id", "role").agg(*[F.round(F.avg(c), 4).alias(f"mean_{c}") for c in columns], same.alias("taken_back"))
+
+
+def _model_rows(spark, d):
+    t = base.daily_orders(spark, d)
+    columns = [*(f"lag_{k}" for k in DAY_LAGS), "mean_7"]
+    rows = t.withColumns({f"lag_{k}": features.lag("x", k) for k in DAY_LAGS}).withColumn("mean_7", features.rolling_mean("x", 7, 1)).dropna()
+    return rows, _folds(t), columns
+
+
+@query
+def ridge_moments(spark, d):
+    """Sums of products of each block of time between fold boundaries, as the fits take them."""
+    rows, fold_table, columns = _model_rows(spark, d)
+    bounds = models.boundaries(fold_table)
+    packed = models.ridge_moments(rows, bounds, columns, "x")
+    p = len(columns) + 2
+
+    def sums(pdf):
+        out = []
+        for series, block, raw, shift in zip(pdf["series_id"], pdf["block"], pdf["packed"], pdf["shift"], strict=True):
+            s, a = np.frombuffer(raw).reshape(p, p), np.asarray(shift)
+            n = s[0, 0]
+            first = s[0, 1:] + n * a
+            out.append([series, block, int(n), *(first / n), *((np.diag(s)[1:] + 2 * a * s[0, 1:] + n * a * a) / n), *((s[1:-1, -1] + a[:-1] * s[0, -1] + a[-1] * s[0, 1:-1] + n * a[:-1] * a[-1]) / n)])
+        return pd.DataFrame(out, columns=names)
+
+    names = ["series_id", "block", "n", *(f"mean_{c}" for c in [*columns, "x"]), *(f"square_{c}" for c in [*columns, "x"]), *(f"with_{c}" for c in columns)]
+    got = packed.groupBy("series_id").applyInPandas(sums, ", ".join(f"{c} {'string' if c == 'series_id' else 'long' if c in ('block', 'n') else 'double'}" for c in names))
+    return got.select("series_id", "block", "n", *[_figures(c, 6).alias(c) for c in names[3:]])
+
+
+def _figures(c: str, digits: int):
+    """A number to so many significant figures: large sums agree to a share of their size, not to a decimal place."""
+    scale = F.pow(F.lit(10.0), F.lit(float(digits - 1)) - F.floor(F.log10(F.abs(c))))
+    return F.when(F.col(c) == 0, F.lit("0")).otherwise(F.concat_ws("|", F.round(F.col(c) * scale).cast("long"), F.floor(F.log10(F.abs(c))).cast("long")))
+
+
+@query
+def linear_predictions(spark, d):
+    """Predictions by given coefficients, clipped at 0."""
+    rows, _, columns = _model_rows(spark, d)
+    given = rows.select("series_id").distinct().select("series_id", (F.length("series_id") * 10.0).alias("intercept"), F.array(*[F.lit(w) for w in (0.4, -0.2, 0.1, 0.3, 0.15, 0.25)]).alias("coef"), F.lit(1.0).alias("alpha"))
+    return models.predict_linear(rows, given, columns, ["series_id"], least=0.0).select("series_id", "ts", F.round("pred", 3).alias("pred"))
+
+
+@query
+def ridge_backtest(spark, d):
+    rows, fold_table, columns = _model_rows(spark, d)
+    fitted = models.fit_ridge_folds(rows, fold_table, columns, "x")
+    pred = models.predict_linear(folds.assign_folds(rows, fold_table).filter("role = 'test'"), fitted, columns, ["series_id", "fold"], least=0.0)
     return pred.groupBy("series_id", "fold", "alpha").agg(F.avg(F.abs(F.col("pred") - F.col("x"))).alias("mae"), F.count(F.lit(1)).alias("n"))
 
 
@@ -494,3 +558,20 @@ def gbm_backtest(spark, d):
         out = pred if out is None else out.unionByName(pred)
     out = rows.limit(0).withColumn("pred", F.lit(0.0)) if out is None else out
     return out.groupBy("series_id", "fold").agg(F.avg(F.abs(F.col("pred") - F.col("x"))).alias("mae"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def models_scored(spark, d):
+    """Fitted models, baselines and a published forecast on the same test rows of every fold: a table as the last step of a run.
+
+    A published forecast with a hole leaves a series; models that are scored on other rows fail the table.
+    """
+    rows, fold_table, columns = _model_rows(spark, d)
+    fitted = models.forecasts(rows, fold_table, columns, "x", {"ridge": models.ridge_forecast, "gbm": models.gbm_forecast}, least=0.0)
+    based = baselines.demand_baselines(base.daily_orders(spark, d), day=1)
+    published = F.when(~((F.length("series_id") % 2 == 0) & (F.dayofmonth("ts") == 7)), F.round(F.col("x") + features.seeded_normal(5, F.col("series_id"), F.unix_timestamp("ts")) * 20, 4))
+    test = folds.assign_folds(based.withColumn("published", published), fold_table).filter("role = 'test'")
+    names = [*MODELS, "published"]
+    plain = test.select("series_id", "ts", "fold", "test_start", F.col("x").alias("y"), *names).unpivot(["series_id", "ts", "fold", "test_start", "y"], names, "model", "pred")
+    pred = baselines.on_scored_rows(plain, test, ("published",)).unionByName(fitted)
+    return scoring.score_table(pred, "seasonal_naive", ("series_id", "fold"))
