@@ -25,7 +25,7 @@ def _cell(v):
     if hasattr(v, "item"):
         v = v.item()
     if isinstance(v, float):
-        return round(v, 5) + 0.0
+        return round(v, 6) + 0.0
     return v
 
 
@@ -34,7 +34,7 @@ def rows(columns, records):
     return sorted((tuple(_cell(r[i]) for i in order) for r in records), key=lambda t: tuple((v is None, str(type(v)), v if v is not None else 0) for v in t))
 
 
-def difference(df, con, sql: str, tolerance: float = 2e-6) -> str:
+def difference(df, con, sql: str, tolerance: float = 1e-9) -> str:
     """Empty if the query's rows are those of the SQL."""
     rel = con.sql(sql)
     want_cols, got_cols = rel.columns, df.columns

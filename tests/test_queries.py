@@ -6,7 +6,7 @@ from tests.compare import connect, difference
 from tideline.plans.oracle import ORACLE_SQL
 from tideline.plans.queries import QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")

@@ -39,23 +39,37 @@ def carry_in_fill(df: DataFrame, value: str = "x", chunk_rows: int = 8760, step_
     return c.withColumn("_near", near).join(ends, ["series_id", "_chunk"]).withColumn(value, F.coalesce("_near", "_before", "_after")).drop("_chunk", "_near", "_before", "_after")
 
 
-def trailing_max(df: DataFrame, value: str, window: int, least: int, name: str) -> DataFrame:
+def fill_back(df: DataFrame, value: str, chunk_rows: int = 8760, step_seconds: int = 3600) -> DataFrame:
+    """value, else the next one known: from the chunk, then from the first later chunk that has one."""
+    c = df.withColumn("_chunk", F.floor(F.unix_timestamp("ts") / (chunk_rows * step_seconds)))
+    inside = Window.partitionBy("series_id", "_chunk").orderBy("ts")
+    ends = c.filter(F.col(value).isNotNull()).groupBy("series_id", "_chunk").agg(F.min_by(value, "ts").alias("_first"))
+    across = Window.partitionBy("series_id").orderBy("_chunk")
+    all_chunks = c.select("series_id", "_chunk").distinct().join(ends, ["series_id", "_chunk"], "left")
+    after = all_chunks.withColumn("_after", F.first("_first", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing))).drop("_first")
+    near = F.first(value, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
+    return c.withColumn("_near", near).join(after, ["series_id", "_chunk"]).withColumn(value, F.coalesce("_near", "_after")).drop("_chunk", "_near", "_after")
+
+
+def trailing_max(df: DataFrame, value: str, window: int, least: int, name: str, step_seconds: int = 3600) -> DataFrame:
     """name: the maximum of the last `window` rows, if `least` of them have a value.
 
-    Rows are cut into blocks of that length. A frame reaches from some place in one block to some
-    place in the next, so its maximum is the larger of a running maximum from either end, and each
-    row is looked at a fixed number of times however long the window.
+    df must be dense. Time is cut into blocks of that many steps, each a partition of its own. A
+    frame ends in one block and begins in the one before, so its maximum is the larger of a running
+    maximum from either end, and each row is looked at a fixed number of times however long the window.
     """
-    order = Window.partitionBy("series_id").orderBy("ts")
-    d = df.withColumn("_n", F.row_number().over(order) - 1).withColumn("_block", F.floor(F.col("_n") / window))
-    block = Window.partitionBy("series_id", "_block").orderBy("_n")
-    d = d.withColumns({
-        "_head": F.max(value).over(block.rowsBetween(Window.unboundedPreceding, 0)),
-        "_tail": F.max(value).over(block.rowsBetween(0, Window.unboundedFollowing)),
-        "_seen": F.count(value).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-    })
-    # The tail at the frame's first row; a frame that is exactly one block ends where its head does.
-    from_before = F.lag("_tail", window - 1).over(order)
-    gone = F.coalesce(F.lag("_seen", window).over(order), F.lit(0))
-    best = F.greatest(F.col("_head"), F.when(F.col("_n") >= window - 1, from_before))
-    return d.withColumn(name, F.when(F.col("_seen") - gone >= least, best)).drop("_n", "_block", "_head", "_tail", "_seen")
+    nth = F.floor(F.unix_timestamp("ts") / step_seconds)
+    d = df.withColumn("_block", F.floor(nth / window)).withColumn("_place", nth - F.col("_block") * window)
+    block = Window.partitionBy("series_id", "_block").orderBy("_place")
+    head, tail = block.rowsBetween(Window.unboundedPreceding, 0), block.rowsBetween(0, Window.unboundedFollowing)
+    d = d.withColumns({"_head": F.max(value).over(head), "_seen": F.count(value).over(head)})
+    # What a block gives to the next one's rows: a frame that ends at place k begins at k + 1 here.
+    before = df.select("series_id", F.col(value), (F.floor(nth / window)).alias("_block"), (nth - F.floor(nth / window) * window).alias("_place"))
+    before = before.withColumns({"_tail": F.max(value).over(tail), "_left": F.count(value).over(tail)})
+    before = before.select("series_id", (F.col("_block") + 1).alias("_block"), (F.col("_place") - 1).alias("_place"), "_tail", "_left")
+    # A series begins within its first block: a frame that begins before it has all of that block.
+    whole = df.groupBy("series_id", (F.floor(nth / window) + 1).alias("_block")).agg(F.max(value).alias("_most"), F.count(value).alias("_all"))
+    joined = d.join(before, ["series_id", "_block", "_place"], "left").join(whole, ["series_id", "_block"], "left")
+    begun = F.col("_left").isNotNull() | (F.col("_place") == window - 1)
+    tail_max, left = F.when(begun, F.col("_tail")).otherwise(F.col("_most")), F.coalesce(F.when(begun, F.col("_left")).otherwise(F.col("_all")), F.lit(0))
+    return joined.withColumn(name, F.when(F.col("_seen") + left >= least, F.greatest("_head", tail_max))).drop("_block", "_place", "_head", "_seen", "_tail", "_left", "_most", "_all")

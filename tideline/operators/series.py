@@ -62,8 +62,12 @@ def fill_gaps(df: DataFrame, *values: str) -> DataFrame:
 
 
 def clean_series(df: DataFrame, value: str = "x", step: str = "1 hour") -> DataFrame:
-    """Trim, densify and fill: the form that lags and rolling columns need."""
-    return fill_gaps(densify(trim_to_valid(df, value), step), value)
+    """Trim, densify and fill: the form that lags and rolling columns need.
+
+    Rows without a value are as good as absent, so what is left spans the trimmed series: its ends
+    are found once.
+    """
+    return fill_gaps(densify(df.filter(F.col(value).isNotNull()), step), value)
 
 
 def interpolate_gaps(df: DataFrame, value: str = "x", limit: int = 6, step_seconds: int = 3600) -> DataFrame:
@@ -114,12 +118,11 @@ def zone_capacity_factor(dense: DataFrame, generation: str = "x", window: int =
 
     The maximum needs `least` rows with a value; before that, the first one known is used.
     """
-    from .scale import trailing_max
+    from .scale import fill_back, trailing_max
 
-    peaked = trailing_max(dense, generation, window, least, "_peak")
-    peak = F.first("_peak", ignorenulls=True).over(_future())
-    ratio = F.try_divide(F.col(generation), F.col("_p"))
-    return peaked.withColumn("_p", peak).withColumn("cf", F.when(ratio.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio)))).drop("_peak", "_p")
+    peaked = fill_back(trailing_max(dense, generation, window, least, "_peak"), "_peak")
+    ratio = F.try_divide(F.col(generation), F.col("_peak"))
+    return peaked.withColumn("cf", F.when(ratio.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio)))).drop("_peak")
 
 
 def align(keys: DataFrame, df: DataFrame, *values: str) -> DataFrame:

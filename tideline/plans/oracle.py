@@ -73,11 +73,13 @@ def normal(seed: str, tag: str = "noise") -> str:
 EDGES = "edges AS (SELECT * FROM (VALUES " + ", ".join(f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for a, b in zip(GERMANY_OUTLINE[:-1], GERMANY_OUTLINE[1:], strict=True)) + ") e(x1, y1, x2, y2))"
 STATE_ROWS = "states AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{s[0]}', {s[1]}::DOUBLE, {s[2]}::DOUBLE, {s[3]}::DOUBLE)" for i, s in enumerate(STATES)) + ") s(idx, region, pop, clat, clon))"
 CUSTOMERS = "cells AS (SELECT DISTINCT 47.0::DOUBLE + (c_custkey * 37 % 641) * 0.0125::DOUBLE AS lat, 5.5::DOUBLE + (c_custkey * 101 % 641) * 0.015625::DOUBLE AS lon FROM customer)"
-BOX = "cells AS (SELECT 47.0::DOUBLE + i AS lat, 5.5::DOUBLE + j AS lon FROM range(0, 9) a(i), range(0, 11) b(j))"
+BOX = "cells AS (SELECT 47.0::DOUBLE + i * 0.25::DOUBLE AS lat, 5.5::DOUBLE + j * 0.25::DOUBLE AS lon FROM range(0, 33) a(i), range(0, 41) b(j))"
 ON_EDGE = "(abs((x2 - x1) * (lat - y1) - (y2 - y1) * (lon - x1)) < 1e-9 AND lon BETWEEN least(x1, x2) AND greatest(x1, x2) AND lat BETWEEN least(y1, y2) AND greatest(y1, y2))"
 INSIDE = f"{EDGES}, inside AS (SELECT lat, lon, sum(CASE WHEN (y1 > lat) <> (y2 > lat) AND lon < x1 + (lat - y1) * (x2 - x1) / nullif(y2 - y1, 0) THEN 1 ELSE 0 END) % 2 = 1 AND NOT bool_or({ON_EDGE}) AS inside FROM cells, edges GROUP BY ALL)"
 NEAREST = f"{STATE_ROWS}, nearest AS (SELECT lat, lon, region, pop FROM (SELECT *, row_number() OVER (PARTITION BY lat, lon ORDER BY pow(lat - clat, 2) + pow((lon - clon) * cos(radians(lat)), 2), idx) AS n FROM cells, states) WHERE n = 1), people AS (SELECT *, pop / count(*) OVER (PARTITION BY region) AS pop_w FROM nearest)"
-GRID = f"{HOURLY}, hours AS (SELECT ts, round(sum(x), 3) AS v FROM hourly GROUP BY ts), {BOX}, grid AS (SELECT ts, lat, lon, (v - 40 * floor(v / 40)) - 10 + lat * 0.5 - lon * 0.25 AS t2m FROM hours, cells)"
+WEIGHTS = "w AS (SELECT 'box' AS kind, lat, lon, cos(radians(lat)) AS w FROM cells UNION ALL SELECT 'land', lat, lon, cos(radians(lat)) FROM inside WHERE inside UNION ALL SELECT 'population', i.lat, i.lon, cos(radians(i.lat)) * pop_w FROM inside i JOIN people p ON i.lat = p.lat AND i.lon = p.lon WHERE inside)"
+GRID_ONLY = f"hours AS (SELECT ts, round(sum(x), 3) AS v FROM hourly GROUP BY ts), {BOX}, grid AS (SELECT ts, lat, lon, (v - 40 * floor(v / 40)) - 10 + lat * 0.5 - lon * 0.25 AS t2m FROM hours, cells)"
+GRID = f"{HOURLY}, {GRID_ONLY}"
 
 
 # ---- sun -----------------------------------------------------------------------------------
@@ -157,17 +159,24 @@ ORACLE_SQL: dict[str, str] = {
     "series_spread_daily": f"WITH {CLEAN}, c AS (SELECT series_id, ts, x, CASE WHEN hour(ts) = 12 THEN x * 2 + 100 END AS cap FROM clean), f AS (SELECT series_id, ts, x, {fill('cap')} AS capacity_mw FROM c) SELECT series_id, {stamp()} AS ts, {r('x')} AS x, {r('capacity_mw')} AS capacity_mw, {r('x / nullif(capacity_mw, 0)')} AS cf FROM f",
     "series_reconcile": f"WITH {CLEAN}, c AS (SELECT series_id, abs(x / 5000.0 - round(x / 5000.0, 2)) AS d FROM clean) SELECT series_id, count(d) AS n_compared, {r('max(d)')} AS max_diff, count(*) FILTER (d > 0.004) AS n_over FROM c GROUP BY 1",
     "series_zone_capacity_factor": f"WITH {HOURLY}, {GAPPY}, {dense('dense', 'gappy')}, p AS (SELECT *, CASE WHEN count(x) OVER ({W} ROWS 167 PRECEDING) >= 48 THEN max(x) OVER ({W} ROWS 167 PRECEDING) END AS peak FROM dense), q AS (SELECT *, first_value(peak IGNORE NULLS) OVER ({W} {AHEAD}) AS p FROM p) SELECT series_id, {stamp()} AS ts, {r('x')} AS x, {r('CASE WHEN x / nullif(p, 0) IS NOT NULL THEN greatest(0.0, least(1.0, x / nullif(p, 0))) END')} AS cf FROM q",
-    "series_align": f"WITH {CLEAN}, {GAPPY}, k AS (SELECT c.series_id, c.ts, g.x FROM clean c LEFT JOIN gappy g ON g.series_id = c.series_id AND g.ts = c.ts WHERE hour(c.ts) % 3 = 0) SELECT series_id, {stamp()} AS ts, {r(fill())} AS x FROM k",
+    "series_align": f"WITH {CLEAN}, {GAPPY}, k AS (SELECT c.series_id, c.ts, g.x FROM clean c LEFT JOIN gappy g ON g.series_id = c.series_id AND g.ts = c.ts WHERE c.ts IN (SELECT ts FROM hourly WHERE series_id = (SELECT min(series_id) FROM hourly))) SELECT series_id, {stamp()} AS ts, {r(fill())} AS x FROM k",
     "series_shares": f"WITH {CLEAN}, m AS (SELECT series_id, avg(x) AS mean FROM clean GROUP BY 1) SELECT series_id, {r('mean')} AS mean, {r('mean / sum(mean) OVER ()')} AS share FROM m",
-    "series_growth": f"WITH {HOURLY}, {GAPPY}, g AS (SELECT series_id, arg_min(x, ts) AS first, arg_max(x, ts) AS last FROM gappy WHERE x IS NOT NULL AND series_id IN ('click', 'view', 'purchase') GROUP BY 1) SELECT series_id, {r('first')} AS first, {r('last')} AS last, {r('last / nullif(first, 0)')} AS ratio FROM g",
+    "series_growth": f"WITH {HOURLY}, {GAPPY}, g AS (SELECT series_id, arg_min(x, ts) AS first, arg_max(x, ts) AS last FROM gappy WHERE x IS NOT NULL GROUP BY 1) SELECT series_id, {r('first')} AS first, {r('last')} AS last, {r('last / nullif(first, 0)')} AS ratio FROM g",
     "source_seams": f"WITH {HOURLY}, b AS (SELECT series_id, ts, x, 'a' AS f FROM hourly WHERE ts <= TIMESTAMP '2024-01-16 12:00:00' UNION ALL SELECT series_id, ts, x + 1, 'b' FROM hourly WHERE ts >= TIMESTAMP '2024-01-15'), k AS (SELECT series_id, ts, arg_min(x, f) AS x FROM b GROUP BY 1, 2), s AS (SELECT series_id, sum(x) AS x, count(*) AS n FROM k GROUP BY 1) SELECT series_id, {r('x')} AS x, n, (SELECT count(*) FROM b) AS n_rows, (SELECT count(*) FROM k) AS n_keys, (SELECT count(*) FROM b) - (SELECT count(*) FROM k) AS n_duplicates FROM s",
     "source_unpivot": f"SELECT {stamp('l_shipdate')} AS ts, l_returnflag AS series_id, {r('round(sum(l_extendedprice), 2)')} AS x FROM lineitem WHERE l_returnflag IN ('A', 'N', 'R') GROUP BY l_shipdate, l_returnflag",
+    "source_wide_csv": f"WITH {HOURLY} SELECT {stamp()} AS ts, " + ", ".join(f"{r(f'max(x) FILTER (series_id = $${c}$$)')} AS {c}_mw" for c in ("click", "view", "purchase")) + " FROM hourly GROUP BY hourly.ts",
+    "source_weather": f"WITH {HOURLY} SELECT {stamp()} AS ts, {r('x')} AS temp_c FROM hourly WHERE series_id = 'purchase'",
+    "source_extract": f"WITH {DAILY} SELECT series_id, year(ts) AS year, count(*) AS n, {r('round(sum(x), 1)')} AS x FROM days GROUP BY 1, 2",
+    "source_scores": f"WITH {PRED} SELECT model, count(pred - y) AS n, {r('round(avg(abs(pred - y)), 4)')} AS mae, 'none' AS weather FROM pred GROUP BY 1",
+    "source_grid": f"WITH {GRID}, {INSIDE}, {NEAREST}, {WEIGHTS} SELECT kind, {stamp('g.ts')} AS ts, {r('sum(w * t2m) / sum(w) + CASE WHEN g.ts > $$2024-01-15 12:00:00$$::TIMESTAMP THEN 1 ELSE 0 END')} AS t2m FROM grid g JOIN w ON g.lat = w.lat AND g.lon = w.lon GROUP BY kind, g.ts",
+    "solar_daylight_rows": f"WITH {CLEAN}, {FLEET} SELECT series_id, count(*) AS n, {r('sum(x)')} AS x, {stamp('min(clean.ts)')} AS first FROM clean JOIN fleet ON fleet.ts = clean.ts WHERE daylight GROUP BY 1",
+    "weighting_comparison": f"WITH {CLEAN}, {GRID_ONLY}, {INSIDE}, {NEAREST}, {WEIGHTS}, warm AS (SELECT kind, g.ts, sum(w * t2m) / sum(w) AS t2m FROM grid g JOIN w ON g.lat = w.lat AND g.lon = w.lon GROUP BY kind, g.ts), l AS (SELECT kind, c.ts, x, lag(x, 24) OVER k + (t2m - lag(t2m, 24) OVER k) * 3 AS pred FROM clean c JOIN warm USING (ts) WINDOW k AS (PARTITION BY kind, series_id ORDER BY c.ts)), s AS (SELECT kind, count(pred - x) AS n, avg(abs(pred - x)) AS mae FROM l WHERE ts >= {SCORED} GROUP BY 1) SELECT kind, n, {r('mae')} AS mae, {r('mae - max(mae) FILTER (kind = $$box$$) OVER ()')} AS delta, {r('(mae - max(mae) FILTER (kind = $$box$$) OVER ()) / max(mae) FILTER (kind = $$box$$) OVER () * 100')} AS delta_pct FROM s",
     "geo_inside_outline": f"WITH {CUSTOMERS}, {INSIDE} SELECT {r('lat')} AS lat, {r('lon')} AS lon, inside, {r('cos(radians(lat))')} AS area FROM inside",
     "geo_population": f"WITH {CUSTOMERS}, {NEAREST} SELECT {r('lat')} AS lat, {r('lon')} AS lon, region, {r('pop_w')} AS pop_w FROM people",
     "geo_kept_area": f"WITH {CUSTOMERS}, {INSIDE} SELECT count(*) AS n_cells, {r('sum(cos(radians(lat)) * 27.75 * 27.75)')} AS km2 FROM inside WHERE inside",
-    "geo_weighted_series": f"WITH {GRID}, {INSIDE}, {NEAREST}, w AS (SELECT 'box' AS kind, lat, lon, cos(radians(lat)) AS w FROM cells UNION ALL SELECT 'land', lat, lon, cos(radians(lat)) FROM inside WHERE inside UNION ALL SELECT 'population', i.lat, i.lon, cos(radians(i.lat)) * pop_w FROM inside i JOIN people p ON i.lat = p.lat AND i.lon = p.lon WHERE inside) SELECT kind, {stamp()} AS ts, {r('sum(w * t2m) / sum(w)')} AS t2m FROM grid g JOIN w ON g.lat = w.lat AND g.lon = w.lon GROUP BY kind, g.ts",
+    "geo_weighted_series": f"WITH {GRID}, {INSIDE}, {NEAREST}, {WEIGHTS} SELECT kind, {stamp()} AS ts, {r('sum(w * t2m) / sum(w)')} AS t2m FROM grid g JOIN w ON g.lat = w.lat AND g.lon = w.lon GROUP BY kind, g.ts",
     "geo_box_mean": f"WITH {GRID} SELECT {stamp()} AS ts, {r('avg(t2m)')} AS t2m FROM grid GROUP BY grid.ts",
-    "geo_points": f"WITH {GRID}, p AS (SELECT s_suppkey AS point_id, 46.9::DOUBLE + (s_suppkey * 37 % 83) * 0.1::DOUBLE AS y, 5.4::DOUBLE + (s_suppkey * 11 % 103) * 0.1::DOUBLE AS x FROM supplier), q AS (SELECT *, least(floor(y - 47), 7) AS i, least(floor(x - 5.5), 9) AS j FROM p WHERE y BETWEEN 47.0 AND 55.0 AND x BETWEEN 5.5 AND 15.5), c AS (SELECT point_id, 47 + i + a AS lat, 5.5 + j + b AS lon, (CASE a WHEN 1 THEN y - 47 - i ELSE 48 + i - y END) * (CASE b WHEN 1 THEN x - 5.5 - j ELSE 6.5 + j - x END) AS w FROM q, range(0, 2) s(a), range(0, 2) t(b)), v AS (SELECT point_id, g.ts, sum(w * t2m) AS t2m FROM grid g JOIN c ON g.lat = c.lat AND g.lon = c.lon GROUP BY 1, 2) SELECT point_id, {r('avg(t2m)')} AS mean, count(*) AS n FROM v GROUP BY 1",
+    "geo_points": f"WITH {GRID}, p AS (SELECT s_suppkey AS point_id, 46.9::DOUBLE + (s_suppkey * 37 % 83) * 0.1::DOUBLE AS y, 5.4::DOUBLE + (s_suppkey * 11 % 103) * 0.1::DOUBLE AS x FROM supplier), q AS (SELECT *, least(floor((y - 47) * 4), 31) AS i, least(floor((x - 5.5) * 4), 39) AS j FROM p WHERE y BETWEEN 47.0 AND 55.0 AND x BETWEEN 5.5 AND 15.5), c AS (SELECT point_id, 47 + (i + a) / 4 AS lat, 5.5 + (j + b) / 4 AS lon, (CASE a WHEN 1 THEN (y - 47) * 4 - i ELSE 1 + i - (y - 47) * 4 END) * (CASE b WHEN 1 THEN (x - 5.5) * 4 - j ELSE 1 + j - (x - 5.5) * 4 END) AS w FROM q, range(0, 2) s(a), range(0, 2) t(b)), v AS (SELECT point_id, g.ts, sum(w * t2m) AS t2m FROM grid g JOIN c ON g.lat = c.lat AND g.lon = c.lon GROUP BY 1, 2) SELECT point_id, {r('avg(t2m)')} AS mean, count(*) AS n FROM v GROUP BY 1",
     "solar_clear_sky": f"WITH {HOURLY}, {SKY} SELECT site_id, {r('lat')} AS lat, {r('lon')} AS lon, {stamp()} AS ts, {r('air')} AS air, {rounded(SKY_COLUMNS)}, {r('azimuth')} AS azimuth, daylight, {r('cs_poa / 1000 * derate')} AS cs_output FROM sky",
     "solar_fleet": f"WITH {HOURLY}, {FLEET} SELECT {stamp()} AS ts, {rounded([*SKY_COLUMNS, 'cs_output', 'azimuth'])}, daylight FROM fleet",
     "solar_index": f"WITH {SOLAR}, z AS (SELECT *, cos(radians(greatest(0.0::DOUBLE, least(90.0::DOUBLE, zenith)))) AS cz FROM solar WHERE cs_poa > 0.001) SELECT series_id, {stamp()} AS ts, {r('least(2.0, cf * 3000 / cs_poa)')} AS kt, CASE WHEN zenith >= 90 THEN 'inf'::DOUBLE ELSE {r('1 / (cz + 0.50572 * pow(96.07995 - greatest(0.0, zenith), -1.6364))')} END AS am FROM z",
@@ -211,6 +220,6 @@ ORACLE_SQL: dict[str, str] = {
     "reacting_columns": f"WITH {CLEAN}, {POKED}, j AS (SELECT " + ", ".join(f"count(*) FILTER ({e}) AS {c}" for c, e in DIFFERS.items()) + " FROM fa a JOIN fb b ON a.series_id = b.series_id AND a.ts = b.ts) SELECT \"column\", n_changed, CASE WHEN n_changed > 0 THEN 'ok' ELSE 'spurious' END AS verdict FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS n_changed FROM j" for c in DIFFERS) + ") UNION ALL SELECT 'temp', 0, 'ok' UNION ALL SELECT 'kt_yesterday', NULL, 'absent'",
     "standardised": f"WITH {DAILY}, {FOLDS}, {READY}, one AS (SELECT r.*, CASE WHEN ts < val_start THEN 'train' WHEN ts < test_start THEN 'validation' ELSE 'test' END AS role FROM ready r JOIN folds f ON fold = 1 AND ts < test_end), s AS (SELECT series_id, " + ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1.0 END AS s_{c}" for c in DAY_LAGS) + " FROM one WHERE role = 'train' GROUP BY 1) SELECT one.series_id, role, " + ", ".join(f"{r(f'round(avg(({c} - m_{c}) / s_{c}), 4)')} AS mean_{c}" for c in DAY_LAGS) + ", true AS taken_back FROM one JOIN s ON s.series_id = one.series_id GROUP BY one.series_id, role",
     "ridge_moments": f"WITH {DAILY}, {FOLDS}, {READY}, b AS (SELECT val_start AS t FROM folds UNION SELECT test_start FROM folds), k AS (SELECT *, (SELECT count(*) FROM b WHERE t <= ts) AS block FROM ready), g AS (SELECT series_id, block, count(*) AS n, " + ", ".join([*(f"avg({c}) AS mean_{c}, avg({c} * {c}) AS square_{c}" for c in [*DAY_LAGS, "x"]), *(f"avg({c} * x) AS with_{c}" for c in DAY_LAGS)]) + " FROM k GROUP BY 1, 2) SELECT series_id, block, n, " + ", ".join([*(f"{figures(f'mean_{c}')} AS mean_{c}, {figures(f'square_{c}')} AS square_{c}" for c in [*DAY_LAGS, "x"]), *(f"{figures(f'with_{c}')} AS with_{c}" for c in DAY_LAGS)]) + " FROM g",
-    "linear_predictions": f"WITH {DAILY}, {READY} SELECT series_id, {stamp()} AS ts, {r('round(greatest(0.0, length(series_id) * 10.0 + 0.4 * lag_1 - 0.2 * lag_2 + 0.1 * lag_3 + 0.3 * lag_7 + 0.15 * lag_14 + 0.25 * mean_7), 3)')} AS pred FROM ready",
+    "linear_predictions": f"WITH {DAILY}, {READY} SELECT series_id, {stamp()} AS ts, {r('round(greatest(0.0, length(series_id) * 10.0 + 0.4137 * lag_1 - 0.2091 * lag_2 + 0.1073 * lag_3 + 0.2969 * lag_7 + 0.1531 * lag_14 + 0.2473 * mean_7), 2)')} AS pred FROM ready",
     "scaler": f"WITH {DAILY}, {FOLDS}, {READY} SELECT series_id, fold, " + ", ".join(f"{r(f'avg({c})')} AS mean_{c}, {r(f'CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1.0 END')} AS scale_{c}" for c in DAY_LAGS) + " FROM ready JOIN folds ON ts < val_start GROUP BY 1, 2",
 }

@@ -81,7 +81,10 @@ def series_zone_capacity_factor(spark, d):
 
 @query
 def series_align(spark, d):
-    keys = base.clean(spark, d).filter(F.hour("ts") % 3 == 0)
+    """All series at the hours in which the first of them has events."""
+    hours = base.hourly(spark, d)
+    first = hours.agg(F.min("series_id").alias("series_id"))
+    keys = base.clean(spark, d).join(hours.join(first, "series_id").select("ts"), "ts", "left_semi")
     return series.align(keys, base.gappy(spark, d), "x")
 
 
@@ -92,7 +95,7 @@ def series_shares(spark, d):
 
 @query
 def series_growth(spark, d):
-    return series.growth(series.pick_series(base.gappy(spark, d), "click", "view", "purchase"))
+    return series.growth(base.gappy(spark, d))
 
 
 @query
@@ -114,6 +117,59 @@ def source_unpivot(spark, d):
     return long.filter("x is not null")
 
 
+def _raw_csv(spark, d, columns: dict[str, str], ts_column: str) -> str:
+    """Hourly series as a wide CSV with other columns beside them, in the shared folder: what a download looks like."""
+    path = base.scratch(spark, "raw-csv")
+    wide = base.hourly(spark, d).groupBy("ts").pivot("series_id", list(columns)).agg(F.first("x"))
+    out = wide.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(ts_column), *[F.col(c).alias(raw) for c, raw in columns.items()], F.lit("n/a").alias("comment"))
+    out.write.option("header", True).csv(path)
+    return path
+
+
+RAW_COLUMNS = {"click": "DE_click_actual", "view": "DE_view_actual", "purchase": "DE_purchase_actual"}
+
+
+@query
+def source_wide_csv(spark, d):
+    path = _raw_csv(spark, d, RAW_COLUMNS, "utc_timestamp")
+    return tables.read_wide_csv(spark, path, {raw: f"{c}_mw" for c, raw in RAW_COLUMNS.items()})
+
+
+@query
+def source_weather(spark, d):
+    path = _raw_csv(spark, d, {"click": "box", "view": "land", "purchase": "population"}, "timestamp")
+    return tables.read_weather(spark, path, "population").filter("temp_c is not null")
+
+
+@query
+def source_extract(spark, d):
+    """A cleaned extract written by year and read back."""
+    path = base.scratch(spark, "extract")
+    tables.write_extract(base.daily_orders(spark, d), path)
+    return spark.read.parquet(path).groupBy("series_id", "year").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 1).alias("x"))
+
+
+@query
+def source_scores(spark, d):
+    """A score table written with its mode and read back."""
+    path = base.scratch(spark, "scores")
+    tables.write_scores(scoring.scores(_pred(spark, d), "model").select("model", "n", F.round("mae", 4).alias("mae")), path, weather="none")
+    return spark.read.schema("model string, n long, mae double, weather string").option("header", True).csv(path)
+
+
+@query
+def source_grid(spark, d):
+    """Two yearly files in Kelvin that overlap, with an ensemble dimension: the first member, the first file's hours, all weightings."""
+    path, cut = base.scratch(spark, "grid"), F.lit("2024-01-15").cast("timestamp")
+    field = base.grid(spark, d).select(F.col("ts").alias("valid_time"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), (F.col("t2m") + 273.15).alias("t2m"))
+    parts = [field.filter(F.col("valid_time") <= cut + F.expr("interval 12 hours")), field.filter(F.col("valid_time") >= cut).withColumn("t2m", F.col("t2m") + 1)]
+    for name, part in zip("ab", parts, strict=True):
+        members = part.withColumn("number", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("t2m", F.col("t2m") + F.col("number") * 50)
+        members.withColumn("source_file", F.lit(name)).write.parquet(f"{path}/{name}")
+    grid = tables.read_grid(spark, [f"{path}/a", f"{path}/b"])
+    return geo.seam_safe_series(grid, geo.checked_weights(_weights(spark)))
+
+
 # ---- geo -----------------------------------------------------------------------------------
 
 
@@ -189,6 +245,12 @@ def _solar_table(spark, d):
     return rows.withColumn("cf", F.round(F.coalesce("cs_poa", F.lit(0.0)) / 1000.0 * (F.pmod(F.col("x"), F.lit(7.0)) + 1) / 8.0, 3)).withColumn("temp", F.lit(8.0) + F.hour("ts") * 0.5)
 
 
+@query
+def solar_daylight_rows(spark, d):
+    rows = folds.daylight_rows(base.clean(spark, d), _fleet(spark, d))
+    return rows.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("x"), F.min("ts").alias("first"))
+
+
 @query
 def solar_index(spark, d):
     t = _solar_table(spark, d)
@@ -387,6 +449,15 @@ def mode_comparison(spark, d):
     return scoring.against(scoring.scores(_moded(spark, d), "mode"), "mode", "none")
 
 
+@query
+def weighting_comparison(spark, d):
+    """One forecast driven by the temperature of each weighting, against the box's."""
+    warm = geo.weighted_series(base.grid(spark, d), geo.checked_weights(_weights(spark)))
+    rows = base.clean(spark, d).join(warm, "ts").select(F.concat_ws("|", "kind", "series_id").alias("series_id"), "kind", "ts", "x", "t2m")
+    pred = rows.withColumn("pred", features.lag("x", 24) + (F.col("t2m") - features.lag("t2m", 24)) * 3).filter(F.col("ts") >= F.lit(SCORED_FROM).cast("timestamp"))
+    return scoring.against(scoring.scores(pred.withColumn("y", F.col("x")), "kind").select("kind", "n", "mae"), "kind", "box")
+
+
 @query
 def fold_delta(spark, d):
     tidy = _moded(spark, d).groupBy("fold", "test_start", "model", "mode").agg(scoring.mae().alias("mae"))
@@ -536,8 +607,8 @@ def _figures(c: str, digits: int):
 def linear_predictions(spark, d):
     """Predictions by given coefficients, clipped at 0."""
     rows, _, columns = _model_rows(spark, d)
-    given = rows.select("series_id").distinct().select("series_id", (F.length("series_id") * 10.0).alias("intercept"), F.array(*[F.lit(w) for w in (0.4, -0.2, 0.1, 0.3, 0.15, 0.25)]).alias("coef"), F.lit(1.0).alias("alpha"))
-    return models.predict_linear(rows, given, columns, ["series_id"], least=0.0).select("series_id", "ts", F.round("pred", 3).alias("pred"))
+    given = rows.select("series_id").distinct().select("series_id", (F.length("series_id") * 10.0).alias("intercept"), F.array(*[F.lit(w) for w in (0.4137, -0.2091, 0.1073, 0.2969, 0.1531, 0.2473)]).alias("coef"), F.lit(1.0).alias("alpha"))
+    return models.predict_linear(rows, given, columns, ["series_id"], least=0.0).select("series_id", "ts", F.round("pred", 2).alias("pred"))
 
 
 @query

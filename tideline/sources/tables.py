@@ -32,14 +32,27 @@ def read_weather(spark: SparkSession, path: str, kind: str, kinds: tuple[str, ..
     return unpivot_columns(wide, ["ts"], {k: k for k in kinds}, "kind", "temp_c").filter(F.col("kind") == kind).select("ts", "temp_c")
 
 
-def read_grid(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+#: Dimensions a field may have besides time and place: ensemble member, version, level and the like.
+EXTRA_DIMENSIONS = ("number", "expver", "step", "surface", "level", "realization", "height")
+
+
+def read_grid(spark: SparkSession, paths: list[str] | str, extra: tuple[str, ...] = EXTRA_DIMENSIONS) -> DataFrame:
     """ts, lat, lon, t2m in Celsius and source_file, from long Parquet in Kelvin.
 
-    The time column may be called time or valid_time; latitude and longitude are degrees.
+    The time column may be called time or valid_time; latitude and longitude are degrees. Of any
+    extra dimension a file has, its first (lowest) slice is taken; slices of a file are few.
     """
     df = spark.read.option("mergeSchema", True).parquet(*([paths] if isinstance(paths, str) else paths))
     times = [F.col(c) for c in ("valid_time", "time") if c in df.columns]
-    return df.select(F.coalesce(*times).cast("timestamp").alias("ts"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), (F.col("t2m") - 273.15).alias("t2m"), F.col("source_file") if "source_file" in df.columns else F.col("_metadata.file_name").alias("source_file"))
+    file = F.col("source_file") if "source_file" in df.columns else F.col("_metadata.file_name")
+    dims = [c for c in extra if c in df.columns]
+    if dims:
+        first = df.groupBy(file.alias("_file")).agg(*[F.min(c).alias(f"_{c}") for c in dims])
+        rows = df.withColumn("_file", file).join(first, "_file")
+        for c in dims:
+            rows = rows.filter(F.col(c).eqNullSafe(F.col(f"_{c}")))
+        df, file = rows, F.col("_file")
+    return df.select(F.coalesce(*times).cast("timestamp").alias("ts"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), (F.col("t2m") - 273.15).alias("t2m"), file.alias("source_file"))
 
 
 def drop_seam_duplicates(df: DataFrame, key: list[str], order: Column | str = "source_file") -> DataFrame:
