@@ -230,6 +230,53 @@ def test_big_lists_are_paired_in_blocks(spark, monkeypatch):
     assert {d: (x["n_shingles"], x["component_id"]) for d, x in got.items()} == brute_components(rows, 4, 85)
 
 
+@pytest.mark.parametrize("direct", [0, 32])
+def test_star_pairs_connect_a_list(monkeypatch, direct):
+    """Leaders' pairs and pairs between stars connect what all pairs would, if led pairs are links."""
+    monkeypatch.setattr(jaccard_join, "DIRECT", direct)
+    r = np.random.default_rng(2)
+    for trial in range(12):
+        base = np.unique(r.integers(0, 2**64, 60, dtype=np.uint64))
+        sets = []
+        for _ in range(24):
+            keep = base[r.random(len(base)) > r.choice([0.0, 0.05, 0.12, 0.6])]
+            sets.append(np.unique(np.concatenate((keep, r.integers(0, 2**64, int(r.integers(0, 5)), dtype=np.uint64)))))
+        sets.sort(key=len)
+        sizes = np.array([len(x) for x in sets], dtype=np.int64)
+        packed = [jaccard_join.pack_point(x) for x in sets]
+        like = lambda i, j: 180 * len(np.intersect1d(sets[i], sets[j])) >= 80 * (sizes[i] + sizes[j])
+        got = list(jaccard_join.star_pairs(packed, sizes, 80))
+        bounded = jaccard_join.Bounded(packed, sizes, 80)
+        assert all(j in bounded.near(i) for i in range(24) for j in range(24) if like(i, j))
+        if any(k == jaccard_join.TOO_MANY or (k == jaccard_join.LED and not like(i, j)) for i, j, k in got):
+            continue
+        comps = []
+        for edges in ([(i, j) for i, j, _ in got if like(i, j)], [(i, j) for i in range(24) for j in range(i) if like(i, j)]):
+            up = list(range(24))
+            for i, j in edges:
+                a, b = up[i], up[j]
+                up = [min(a, b) if x in (a, b) else x for x in up]
+            comps.append(up)
+        assert comps[0] == comps[1], trial
+
+
+@pytest.mark.parametrize("block,direct", [(2, 32), (3, 0), (2048, 0)])
+def test_near_duplicates_in_lists_of_all_lengths(spark, monkeypatch, block, direct):
+    """Chains of edits, so that components are more than one star, in lists of one block and of many."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "DIRECT", direct)
+    r = np.random.default_rng(block + direct)
+    rows, w = [], [f"w{i}" for i in range(50)]
+    for i in range(60):
+        if i % 20 == 0:
+            w = [f"w{i}" for i in range(int(r.integers(20, 50)))]
+        rows.append((i, " ".join(w)))
+        w = list(w)
+        w[int(r.integers(len(w)))] = f"e{r.integers(10**6)}"
+    got = by_id(jaccard_join.near_duplicate_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80))
+    assert {d: (x["n_shingles"], x["component_id"]) for d, x in got.items()} == brute_components(rows, 5, 80)
+
+
 def test_tree_finds_all_that_the_bound_allows():
     r = np.random.default_rng(3)
     v = r.poisson(1.5, (300, 128)).astype(np.uint16)

@@ -10,7 +10,7 @@ A single tree over a corpus can't be cut into tasks, since boxes of points in ma
 overlap. So points are first dealt to lists, such that any two similar sets meet in some list: with
 room for at most t differing hashes and more than t non-empty groups, some group is the same in
 both. The groups' contents are the list keys. Sets of a few n-grams, whose groups are too few, are
-dealt by a prefix of their hashes instead. A tree is built for each list. Lists of two need no tree.
+dealt by a prefix of their hashes instead. A tree is built for each list of more than DIRECT sets.
 
 Sets that are equal are one class from the start, so copies cost one key each and never pair up.
 """
@@ -37,6 +37,8 @@ BUCKET_KEYS = 1 << 20
 FLUSH_KEYS = 1 << 20
 BLOCK = 2048
 FANOUT = 16
+#: Lists of at most so many sets are compared directly: a tree over two leaves saves nothing.
+DIRECT = 32
 #: Boxes have COARSE coordinates; points have at least as many, about one for four elements.
 COARSE = 64
 
@@ -147,10 +149,8 @@ def read_point(packed: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     The fine vector's counts are at most 3; excess is what lies above that in all. With the excess
     of both sets added, the sum of fine minima still bounds the overlap, within a few elements.
     """
-    n = int(np.frombuffer(packed, dtype=np.uint32, count=1)[0])
-    over, extra = np.frombuffer(packed, dtype=np.uint32, count=2 * n, offset=4).reshape(2, n)
-    b = np.frombuffer(zlib.decompress(packed[4 + 8 * n :], -15), dtype=np.uint8)
-    fine = np.stack((b & 3, b >> 2 & 3, b >> 4 & 3, b >> 6), axis=1).ravel()
+    fine, over, extra = _read_fine(packed)
+    n = len(over)
     dims = max(COARSE, len(fine) // 16)
     counts = fine.reshape(dims, -1).sum(axis=1, dtype=np.uint16)
     if n:
@@ -158,6 +158,16 @@ def read_point(packed: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     return counts, fine, int(extra.sum())
 
 
+def _read_fine(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int.from_bytes(packed[:4], "little")
+    over, extra = np.frombuffer(packed, dtype=np.uint32, count=2 * n, offset=4).reshape(2, n)
+    b = np.frombuffer(zlib.decompress(packed[4 + 8 * n :], -15), dtype=np.uint8)
+    fine = np.empty((len(b), 4), dtype=np.uint8)
+    for k in range(4):
+        np.bitwise_and(b >> np.uint8(2 * k), np.uint8(3), out=fine[:, k])
+    return fine.ravel(), over, extra
+
+
 # ---- the tree ------------------------------------------------------------------------------
 
 
@@ -233,35 +243,74 @@ def _fold(vectors: list[np.ndarray]) -> np.ndarray:
     return np.stack([v.astype(np.uint16) if len(v) == dims else v.reshape(dims, -1).sum(axis=1, dtype=np.uint16) for v in vectors])
 
 
-def _tree(points: list[tuple[np.ndarray, np.ndarray, int]], sizes: np.ndarray, percent: int) -> CountRTree:
-    counts, fine, excess = zip(*points, strict=True)
-    return CountRTree(_fold(list(counts)), sizes, percent).with_fine(_fold(list(fine)), np.array(excess, dtype=np.int64))
+class Bounded:
+    """The sets of a list: which of them the bounds let come near a given one, by a tree or, in short lists, directly."""
 
+    def __init__(self, packed: list[bytes], sizes: np.ndarray, percent: int = PERCENT):
+        self.sizes, self.percent, self.tree = sizes, percent, None
+        if len(packed) > DIRECT:
+            counts, fine, excess = zip(*map(read_point, packed), strict=True)
+            self.tree = CountRTree(_fold(list(counts)), sizes, percent).with_fine(_fold(list(fine)), np.array(excess, dtype=np.int64))
+            return
+        points = [_read_fine(x) for x in packed]
+        dims = min(len(f) for f, _, _ in points)
+        self.fine = np.stack([f if len(f) == dims else f.reshape(dims, -1).sum(axis=1, dtype=np.uint8) for f, _, _ in points])
+        self.excess = np.array([int(e.sum()) for _, _, e in points], dtype=np.int64)
 
-def leader_pairs(points: list[tuple[np.ndarray, np.ndarray, int]], sizes: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[int, int]]:
-    """(leader, member) until each row has a leader or leads: pairs linear in the list's length."""
-    tree = _tree(points, sizes, percent)
-    free = np.ones(len(sizes), dtype=bool)
-    for i in range(len(sizes)):
-        if free[i]:
-            free[i] = False
-            mine = tree.neighbours(i)
-            mine = mine[free[mine]]
-            free[mine] = False
-            yield from ((i, int(j)) for j in mine)
+    def near(self, i: int) -> np.ndarray:
+        """Rows whose bounds against row i allow the overlap that the threshold asks for, i among them."""
+        if self.tree is not None:
+            return self.tree.neighbours(i)
+        bound = np.minimum(self.fine, self.fine[i]).sum(axis=1, dtype=np.int64) + self.excess + self.excess[i]
+        return np.flatnonzero(bound * (100 + self.percent) >= self.percent * (self.sizes[i] + self.sizes))
+
+
+#: What a pair of the first pass is: a leader and its member, members of different leaders, or a note that the list had too many of these.
+LED, ACROSS, TOO_MANY = 0, 1, 2
 
 
-def crossing_pairs(points: list[tuple[np.ndarray, np.ndarray, int]], sizes: np.ndarray, component: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[int, int]]:
+def star_pairs(packed: list[bytes], sizes: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[int, int, int]]:
+    """(row, row, kind): leaders with their members, until each row leads or is led, and bounded pairs between stars.
+
+    If all led pairs turn out to be links, these pairs connect whatever the list can connect: two rows
+    of one star meet in its leader. Pairs between stars start from all stars but the largest. There
+    are about as many pairs as rows; a list with more than a few times as many between stars is noted instead.
+    """
+    n = len(sizes)
+    bounded = Bounded(packed, sizes, percent)
+    star = np.full(n, -1, dtype=np.int64)
+    seen: dict[int, np.ndarray] = {}
+    for i in range(n):
+        if star[i] < 0:
+            mine = bounded.near(i)
+            seen[i] = mine
+            new = mine[star[mine] < 0]
+            star[new] = star[i] = i
+            yield from ((i, int(j), LED) for j in new if j != i)
+    if len(seen) > 1:
+        largest = int(np.bincount(star).argmax())
+        across: list[tuple[int, int, int]] = []
+        for i in np.flatnonzero(star != largest):
+            mine = seen.get(int(i))
+            mine = bounded.near(int(i)) if mine is None else mine
+            across += ((int(i), int(j), ACROSS) for j in mine[(star[mine] != star[i]) & ((star[mine] == largest) | (mine > i))])
+            if len(across) > 4 * n + 64:
+                yield 0, 0, TOO_MANY
+                return
+        yield from across
+
+
+def crossing_pairs(packed: list[bytes], sizes: np.ndarray, component: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[int, int, int]]:
     """All pairs of different components that the bounds allow."""
     names, inverse, count = np.unique(component, return_inverse=True, return_counts=True)
     if len(names) < 2:
         return
-    tree = _tree(points, sizes, percent)
+    bounded = Bounded(packed, sizes, percent)
     largest = int(np.argmax(count))
     for i in np.flatnonzero(inverse != largest):
-        for j in tree.neighbours(int(i)):
+        for j in bounded.near(int(i)):
             if inverse[j] != inverse[i] and (inverse[j] == largest or j > i):
-                yield int(i), int(j)
+                yield int(i), int(j), ACROSS
 
 
 # ---- jobs ----------------------------------------------------------------------------------
@@ -381,41 +430,43 @@ def set_table(docs: DataFrame, classes: DataFrame, wanted: DataFrame, hashes: bo
 
 
 def _in_lists(members: DataFrame, pick) -> DataFrame:
-    """Pairs (a, b) from each list by pick(points, sizes, components); lists arrive sorted, one by one."""
+    """(a, b, list, kind) from each list by pick(points, sizes, components); lists arrive sorted, one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
+        out: tuple[list, list, list, list] = ([], [], [], [])
 
-        def pairs() -> tuple[list[int], list[int]]:
-            a, b = [], []
+        def pairs() -> None:
             if len(rows) > 1:
                 rows.sort(key=lambda r: (r[1], r[0]))
                 sizes = np.array([r[1] for r in rows], dtype=np.int64)
-                points = [read_point(r[2]) for r in rows]
-                for i, j in pick(points, sizes, np.array([r[3] for r in rows], dtype=np.int64)):
+                for i, j, kind in pick([r[2] for r in rows], sizes, np.array([r[3] for r in rows], dtype=np.int64)):
                     x, y = rows[i][0], rows[j][0]
-                    a.append(min(x, y))
-                    b.append(max(x, y))
-            return a, b
+                    for o, v in zip(out, (min(x, y), max(x, y), now, kind), strict=True):
+                        o.append(v)
+
+        def found() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["a", "b", "list", "kind"])
+            for o in out:
+                o.clear()
+            return batch
 
         for batch in batches:
-            out: tuple[list[int], list[int]] = ([], [])
-            lists = batch.column(0).to_pylist()
-            for name, *row in zip(lists, *(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
+            for name, *row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if name != now:
-                    for o, p in zip(out, pairs(), strict=True):
-                        o.extend(p)
+                    pairs()
                     now, rows = name, []
                 rows.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs()], ["a", "b"])
+            yield found()
+        pairs()
+        yield found()
 
     ordered = members.select("list", "fp", "n", "counts", "component").repartition("list").sortWithinPartitions("list")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return ordered.mapInArrow(run, "a long, b long, list long, kind int")
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The pairs whose sets reach the threshold, by exact intersection. pairs is read twice: stage it."""
+    """The pairs whose sets reach the threshold, by the intersection of their hashes' upper 48 bits. pairs is read twice."""
 
     def read(x) -> np.ndarray:
         out = np.zeros((len(x) // HASH_BYTES, 8), dtype=np.uint8)
@@ -462,26 +513,25 @@ def jaccard_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
     classes = found.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     points = stage_table(set_table(docs, classes, lists, False, width).withColumnRenamed("packed", "counts"), "jaccard-points")
     blocks = lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("int").alias("blocks"))
-    members = lists.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    members = lists.join(blocks, "list")
 
-    def listed(label: DataFrame | None, wanted: DataFrame) -> DataFrame:
-        m = wanted.join(points, "fp")
-        return m.withColumn("component", F.col("fp")) if label is None else m.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-
-    # First, leaders: in lists longer than a block each block is led by itself.
-    first = members.withColumn("list", F.when(F.col("blocks") > 1, F.xxhash64("list", "block")).otherwise(F.col("list")))
-    pairs = stage_table(_in_lists(listed(None, first), lambda p, n, c: leader_pairs(p, n, percent)), "jaccard-pairs")
+    # First, stars and what lies between them; in lists longer than a block each block by itself.
+    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    first = members.withColumn("list", F.when(F.col("blocks") > 1, F.xxhash64("list", block)).otherwise(F.col("list")))
+    found_pairs = stage_table(_in_lists(first.join(points, "fp").withColumn("component", F.col("fp")), lambda p, n, c: star_pairs(p, n, percent)), "jaccard-pairs")
+    pairs = found_pairs.filter(F.col("kind") != TOO_MANY).select("a", "b").distinct()
     links = stage_table(verified(docs, classes, pairs, width, percent), "jaccard-links")
     components = connected_components(links)
 
-    # Then whatever lists still hold more than one component, in pairs of blocks, all of it.
-    labelled = members.join(components.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    open_lists = labelled.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("list")
-    rest = members.join(open_lists, "list", "left_semi")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = rest.withColumn("other", other).withColumn("list", F.when(F.col("blocks") > 1, F.xxhash64("list", F.least("block", "other"), F.greatest("block", "other"))).otherwise(F.col("list")))
-    more = _in_lists(listed(components, paired.drop("other").distinct()), lambda p, n, c: crossing_pairs(p, n, c, percent))
-    more = stage_table(more.join(pairs, ["a", "b"], "left_anti"), "jaccard-more-pairs")
+    # Then, again, lists of which the first pass doesn't tell all, if they still hold more than one component:
+    # those with a led pair that isn't a link, with too many pairs between stars, and those of several blocks.
+    untold = found_pairs.filter(F.col("kind") == LED).join(links, ["a", "b"], "left_anti").select("list").unionByName(found_pairs.filter(F.col("kind") == TOO_MANY).select("list")).unionByName(blocks.filter("blocks > 1").select("list")).distinct()
+    labelled = members.join(untold, "list", "left_semi").join(components.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    labelled = stage_table(labelled, "jaccard-untold")
+    per_list = labelled.groupBy("list", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("list").agg(F.max_by("component", F.struct("c", "component")).alias("top"), F.max("c").alias("n_top"), F.sum("c").alias("n_all")).filter("n_all > n_top")
+    rest = labelled.join(per_list, "list").withColumns({"tops": F.ceil(F.col("n_top") / F.lit(float(BLOCK))).cast("int"), "others": F.ceil((F.col("n_all") - F.col("n_top")) / F.lit(float(BLOCK))).cast("int")})
+    again = _in_lists(rest.withColumn("list", F.explode(_meetings())).join(points, "fp"), lambda p, n, c: crossing_pairs(p, n, c, percent))
+    more = stage_table(again.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "jaccard-more-pairs")
     if not more.isEmpty():
         more = stage_table(verified(docs, classes, more, width, percent), "jaccard-more-links")
         links = stage_table(links.unionByName(more).distinct(), "jaccard-all-links")
@@ -489,6 +539,24 @@ def jaccard_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
     return found, links, components
 
 
+def _meetings():
+    """The lists in which a set of a long list meets the others: an array of names.
+
+    The list's largest component needs no pairs within itself. Its blocks meet each block of the
+    other sets, and these meet each other: few rows where one component is most of the list.
+    """
+    blocks = F.when(F.col("component") == F.col("top"), F.col("tops")).otherwise(F.col("others"))
+    mine = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+
+    def up_to(n: str):
+        return F.sequence(F.lit(0), F.col(n) - 1)
+
+    with_top = F.transform(up_to("tops"), lambda k: F.xxhash64("list", F.lit("top"), mine, k))
+    with_others = F.transform(up_to("others"), lambda k: F.xxhash64("list", F.lit("other"), F.least(mine, k), F.greatest(mine, k)))
+    of_top = F.transform(up_to("others"), lambda k: F.xxhash64("list", F.lit("top"), k, mine))
+    return F.when(F.col("blocks") <= 1, F.array("list")).when(F.col("component") == F.col("top"), of_top).otherwise(F.concat(with_top, with_others))
+
+
 def near_duplicate_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id.
 
