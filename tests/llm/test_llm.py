@@ -576,20 +576,23 @@ def test_quality_cutoffs_are_those_of_brute_force(spark):
 
 def brute_repeats(rows, long):
     """(doc_id, text) to the figures: an id's texts are documents of their own, none before the others; no id comes last."""
-    seen, out = {}, {}
-    for d in sorted({d for d, _ in rows}, key=lambda d: (d is None, d)):
-        before = set(seen)
-        for text in {t for e, t in rows if e == d}:
+    seen, out, of = set(), {}, collections.defaultdict(set)
+    for d, t in rows:
+        of[d].add(t)
+    for d in sorted(of, key=lambda d: (d is None, d)):
+        new = set()
+        for text in of[d]:
             raw, own = (text or "").encode(), set()
             mask = np.zeros(len(raw), bool)
             for i in range(len(raw) - long + 1):
                 s = raw[i : i + long]
-                if s in before or s in own:
+                if s in seen or s in own:
                     mask[i : i + long] = True
                 own.add(s)
-                seen[s] = d
+            new |= own
             kept = bytes(np.frombuffer(raw, np.uint8)[~mask])
             out[d, text] = (len(raw), int(mask.sum()), int((np.diff(np.concatenate(([0], mask.astype(int)))) == 1).sum()), hashlib.sha256(kept).hexdigest())
+        seen |= new
     return out
 
 

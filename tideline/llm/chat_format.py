@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public split pattern of that byte-level vocabulary. Fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -78,8 +80,10 @@ def format_turns(conversations: DataFrame, train_roles: tuple[str, ...] = ("assi
     """One row a turn: conv_id, turn, role, token_ids, loss_mask, formatted.
 
     The formatted conversation is its turns' rows one after another, by turn. Each turn is
-    formatted by itself, so nothing is shuffled and no conversation, however long, is gathered. A
-    null text or role is an empty one; repeated turns are kept.
+    formatted by itself, so nothing is shuffled and no conversation, however long, is gathered.
+    conversations: conv_id, turn, role, text; more columns are ignored. A null text or role is an
+    empty one, rows without a conv_id are one conversation, repeated turns are kept, and an empty
+    table gives no rows. The vocabulary's path must be readable on every executor.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +96,7 @@ def format_turns(conversations: DataFrame, train_roles: tuple[str, ...] = ("assi
                 lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (ids, mask)]
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(3)], *lists, pa.array([d[2] for d in done], pa.string())], ["conv_id", "turn", "role", "token_ids", "loss_mask", "formatted"])
 
-    rows = conversations.selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "cast(role as string) role", "cast(text as string) text")
+    rows = bounded_batches(conversations).selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "cast(role as string) role", "cast(text as string) text")
     return rows.mapInArrow(run, TURNS_SCHEMA)
 
 
@@ -103,7 +107,8 @@ def conversation_digests(turns: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """What op10 returns, read back from the formatted turns.
 
     A digest of a whole conversation is sequential, so a conversation's turns stream, sorted on
-    disk by Spark, through one task that holds one turn at a time.
+    disk by Spark, through one task that holds one turn at a time. Turns of equal number follow by
+    role, then text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -121,8 +121,9 @@ def pack_tokens(docs: DataFrame, row: int = ROW, buffer_tokens: int = BUFFER_TOK
     piece starts in its text's ids), cu_seqlens (cumulative lengths, from 0), position_resets
     (where positions return to 0), and as little-endian binary of the row length input_ids (uint16
     if the vocabulary allows, else uint32; the first free id pads) and position_ids. A null or empty
-    text has no tokens and stands in no row; rows that repeat are packed each. A text longer than
-    the buffer fills one by itself.
+    text has no tokens and stands in no row; rows that repeat, or have no doc_id, are packed each;
+    more columns are ignored; an empty table gives no rows. A text longer than the buffer fills one
+    by itself.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

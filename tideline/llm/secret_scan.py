@@ -4,7 +4,8 @@ Candidate strings are runs of 20 or more key characters. Over each, a window of
 slides for each character class (hex digits, alphanumerics, base64 characters); its Shannon
 entropy comes from counts that change by one character out and one in at each step. Windows above
 the class's threshold are merged into spans. Strings that look like well-known harmless values
-(UUIDs, paths, dates, numbers, repeated marks, words of letters) are on an allow-list.
+(UUIDs, paths, dates, numbers, repeated marks, words of letters) are on an allow-list, and so is
+what has no digit: a candidate without one is not scanned.
 """
 
 from __future__ import annotations
