@@ -700,6 +700,20 @@ def test_decontamination_of_items_with_equal_numbers(spark):
     assert pairs_of(spark, {1: item}, texts) == {(1, 1), (2, 1), (3, 1)}
 
 
+@pytest.mark.parametrize("common", [1, 64])
+def test_decontamination_of_items_that_share_windows(spark, monkeypatch, common):
+    """Items of one template, and items with a common opening: joined late, the same pairs are found."""
+    monkeypatch.setattr(decontaminate, "COMMON_ITEMS", common)
+    opening = "In this problem we look at a train that leaves the station early"
+    ends = ["while farmers count yellow apples beside the old mill and nobody watches them do it at all", "but engineers measure bridges over cold rivers until winter ends their work for that long year", "and teachers read stories about brave sailors who never came back home from the wide open sea"]
+    items = {k: f"{opening} {end}" for k, end in enumerate(ends)} | {10 + k: f"A shop sells {k + 3} red pens and {k + 7} blue pens at the same price every day" for k in range(3)}
+    pad = "nothing to see in this text which speaks of other things entirely. "
+    texts = {k: pad + t + ". " + pad for k, t in items.items()} | {50: pad + opening + pad, 51: pad, 52: pad + items[0] + " " + items[2]}
+    got = pairs_of(spark, items, texts)
+    same = {(a, b) for a in (10, 11, 12) for b in (10, 11, 12)}
+    assert got == {(0, 0), (1, 1), (2, 2), (52, 0), (52, 2)} | same
+
+
 def test_one_to_one():
     keep = lambda *rows: decontaminate._one_to_one(*np.array(rows).T).tolist()
     assert keep((1, 1, 7), (1, 2, 2), (3, 3, 1)) == [True, False, True]

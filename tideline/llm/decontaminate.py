@@ -32,6 +32,8 @@ COVERAGE = 0.5
 #: Benchmarks of up to this many windows are first looked up in a bitmap of 2 ** BITMAP_BITS bits,
 #: of which at most so many are sent to the driver; windows of larger ones are all shuffled.
 BITMAP_WINDOWS, BITMAP_BITS = 1 << 22, 26
+#: A window in more items than this is joined late, for pairs that another window has already found.
+COMMON_ITEMS = 64
 UNITS = "mm cm m km in ft mi mg g kg t lb oz ml l s sec seconds min minutes h hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents percent mph kmh kph w kw mw v a hz degrees miles meters metres kilometers kilometres grams kilograms liters litres".split()
 
 _DIGIT = np.zeros(256, dtype=bool)
@@ -260,6 +262,21 @@ def consistent_places(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id", "item_id", "windows").mapInArrow(run, "doc_id long, item_id long, places array<struct<ipos: int, exact: boolean>>")
 
 
+def _late_windows(table: DataFrame, coverage: float) -> DataFrame:
+    """item_id, window: windows of more than COMMON_ITEMS items, of the items that no document can hold without some other window.
+
+    Joined with documents at once, a window of many items and many documents would make a row for
+    each of both. Where less than `coverage` of an item's places have such a window, whatever holds
+    the item has a hit at another place.
+    """
+    common = table.groupBy("window").agg(F.countDistinct("id").alias("n")).filter(F.col("n") > COMMON_ITEMS).select("window", F.lit(True).alias("common"))
+    places = table.join(common, "window", "left").groupBy("id", "pos", "exact").agg(F.coalesce(F.bool_or("common"), F.lit(False)).alias("common"))
+    typed = F.when(~F.col("exact"), F.lit(1))
+    share = [F.sum((F.col("common") & on).cast("long")) < coverage * F.sum(on.cast("long")) for on in (F.lit(True), ~F.col("exact"))]
+    items = places.groupBy("id").agg((share[0] & (share[1] | (F.count(typed) == 0))).alias("elsewhere"), F.bool_or("common").alias("any")).filter("elsewhere and any")
+    return table.join(common, "window", "left_semi").join(items, "id", "left_semi").select(F.col("id").alias("item_id"), "window").distinct()
+
+
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, n_windows, n_matched, coverage for each document that holds an item.
 
@@ -274,9 +291,16 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     short = [r["width"] for r in table.select("width").distinct().collect() if r["width"] < window]
     sizes = table.groupBy("id").agg(F.countDistinct("pos", "exact").cast("long").alias("n_all"), F.countDistinct(F.when(~F.col("exact"), F.col("pos"))).cast("long").alias("n_typed"))
     lookup = table.select(F.col("id").alias("item_id"), "window", F.col("pos").alias("ipos"), F.col("slots").alias("islots"), "exact", F.col("opener").alias("iopener"))
-
-    hits = template_windows(docs.select(F.col("doc_id").alias("id"), "text"), [window, *short], _bitmap(table)).drop("exact", "width")
-    hits = hits.withColumnRenamed("id", "doc_id").join(lookup, "window").filter(F.size("slots") == F.size("islots"))
+    late = stage_table(_late_windows(table, coverage), "benchmark-late")
+    windows = template_windows(docs.select(F.col("doc_id").alias("id"), "text"), [window, *short], _bitmap(table)).drop("exact", "width").withColumnRenamed("id", "doc_id")
+    if late.isEmpty():
+        hits = windows.join(lookup, "window")
+    else:
+        windows = stage_table(windows.join(lookup.select("window").distinct(), "window", "left_semi"), "document-windows")
+        hits = windows.join(lookup.join(late, ["item_id", "window"], "left_anti"), "window")
+        known = hits.select("doc_id", "item_id").distinct().join(lookup.join(late, ["item_id", "window"], "left_semi"), "item_id")
+        hits = hits.unionByName(windows.join(known, (windows["window"] == known["window"]) & windows["doc_id"].eqNullSafe(known["doc_id"])).select(windows["*"], *[known[c] for c in ("item_id", "ipos", "islots", "exact", "iopener")]))
+    hits = hits.filter(F.size("slots") == F.size("islots"))
     lines = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("diagonal")).agg(F.collect_set(F.struct("ipos", "exact", (F.col("opener") | F.col("iopener")).alias("opener"), "islots", "slots")).alias("windows"))
     places = F.array_distinct(F.flatten(F.collect_set("places")))
     matched = consistent_places(lines).groupBy("doc_id", "item_id").agg(F.size(places).cast("long").alias("m_all"), F.size(F.filter(places, lambda p: ~p["exact"])).cast("long").alias("m_typed"))
