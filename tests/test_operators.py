@@ -254,3 +254,85 @@ def test_gbm_backtest_fits_all_folds_with_the_whole_grid(spark, monkeypatch):
     want = {(r["series_id"], r["fold"]): r["n"] for r in queries.QUERIES["ridge_backtest"](spark, d).collect()}
     assert seen == [(f, {}) for f in sorted({f for _, f in want})] and len(seen) > 1
     assert got == want
+
+
+def test_score_tables_refuse_other_rows(spark):
+    rows = [(1.0, "a", 1.5), (2.0, "a", 2.5), (1.0, "b", 1.0), (2.0, "b", None)]
+    pred = spark.createDataFrame(rows, "y double, model string, pred double").withColumns({"series_id": F.lit("s"), "ts": F.lit("2019-01-01").cast("timestamp"), "fold": F.lit(1), "test_start": F.lit("2019-01-01").cast("timestamp")})
+    capacity = pred.select("series_id", "ts", F.lit(5.0).alias("capacity_mw")).distinct()
+    for part in (pred, pred.dropna()):  # a value is missing, a row is missing
+        for table in (scoring.score_table(part, "a"), scoring.solar_score_table(part, capacity, "a"), scoring.backtest_scores(part)):
+            with pytest.raises(Exception, match="different rows"):
+                table.collect()
+    whole = pred.fillna(3.0, "pred")
+    assert scoring.backtest_scores(whole).count() == 2
+
+
+def test_normalised_error_is_a_share_of_rated_capacity(spark):
+    pred = spark.createDataFrame([("s", 0.1, "a", 0.2), ("s", 0.3, "a", 0.1)], "series_id string, y double, model string, pred double").withColumn("ts", F.lit("2019-01-01").cast("timestamp"))
+    got = scoring.solar_score_table(pred, pred.select("series_id", "ts", F.lit(50.0).alias("capacity_mw")).distinct(), "a").first()
+    want = math.sqrt((0.1**2 + 0.2**2) / 2)
+    assert abs(got["rmse"] - want) < 1e-12 and abs(got["nrmse"] - 100 * want) < 1e-9 and abs(got["mae_mw"] - 0.15 * 50) < 1e-9
+
+
+def test_local_slice_from_a_day(spark):
+    h = hours(spark, 24 * 10)
+    got = scoring.local_slice(h, 2, "2019-01-04").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    assert (got["lo"], got["hi"]) == (dt.datetime(2019, 1, 3, 23), dt.datetime(2019, 1, 5, 22))
+
+
+def test_fill_back_is_the_direct_frame(spark):
+    h = hours(spark, 300).withColumn("x", F.when(F.col("id") % 37 == 5, F.col("id").cast("double")))
+    direct = h.withColumn("m", F.first("x", ignorenulls=True).over(series.by_series().rowsBetween(0, 10**6)))
+    assert [r["m"] for r in direct.orderBy("ts").collect()] == [r["x"] for r in scale.fill_back(h, "x", 24).orderBy("ts").collect()]
+
+
+def test_trailing_max_of_series_that_begin_anywhere(spark):
+    h = hours(spark, 90, "2019-01-01 05:00:00").unionByName(hours(spark, 40, "2019-01-02 17:00:00", "b")).withColumn("x", F.when(F.col("id") % 4 != 1, (F.col("id") * 7919 % 101).cast("double")))
+    frame = series.by_series().rowsBetween(-29, 0)
+    direct = h.withColumn("m", F.when(F.count("x").over(frame) >= 2, F.max("x").over(frame)))
+    got = scale.trailing_max(h, "x", 30, 2, "m")
+    assert [r["m"] for r in direct.orderBy("series_id", "ts").collect()] == [r["m"] for r in got.orderBy("series_id", "ts").collect()]
+
+
+def boosted_rows(spark, n=900):
+    r = np.random.default_rng(1)
+    x = r.standard_normal((n, 3))
+    y = np.sin(3 * x[:, 0]) + (x[:, 1] > 0) * 2 + r.standard_normal(n) * 0.1
+    role = np.where(np.arange(n) < n * 0.6, "train", np.where(np.arange(n) < n * 0.8, "validation", "test"))
+    pdf = pd.DataFrame(x, columns=["p", "q", "r"]).assign(x=y, role=role, series_id=np.where(np.arange(n) % 2, "a", "b"), fold=1, ts=pd.Timestamp("2019-01-01"))
+    return spark.createDataFrame(pdf), pdf
+
+
+def test_boosting_beats_the_mean_and_takes_the_first_of_equals(spark):
+    df, pdf = boosted_rows(spark)
+    model, best = models.fit_gbm(df, ["p", "q", "r"], "x", 1, grid=((0.1, 40), (0.1, 80), (0.2, 80)), max_depth=3)
+    pred = models.predict_trees(df.filter("role = 'test'").withColumn("r", F.when(F.col("r") < 2, F.col("r"))), model, ["p", "q", "r"], least=0.0).toPandas()
+    assert pred["pred"].isna().sum() == pred["r"].isna().sum() and (pred["pred"].dropna() >= 0).all()
+    assert (pred["pred"] - pred["x"]).abs().mean() < 0.5 * (pdf["x"] - pdf["x"].mean()).abs().mean()
+    assert {r["series_id"] for r in best.collect()} == {"a", "b"}
+    from tideline.operators import boosting
+
+    y = np.arange(200.0)
+    flat = boosting.tune_and_fit(np.zeros((200, 1)), y, y > 150, ((0.1, 3), (0.2, 3)), 2)
+    assert flat[0] == (0.1, 3) and np.allclose(flat[1].predict(np.zeros((2, 1))), y.mean())
+
+
+def test_first_trees_of_a_longer_fit_are_those_of_a_shorter_one(spark):
+    from tideline.operators import boosting
+
+    _, pdf = boosted_rows(spark)
+    x, y = pdf[["p", "q", "r"]].to_numpy(), pdf["x"].to_numpy()
+    assert np.allclose(boosting.fit_trees(x, y, 0.1, 30).predict(x, 10), boosting.fit_trees(x, y, 0.1, 10).predict(x))
+
+
+def test_pooled_model_and_ridge_by_blocks(spark):
+    df, _ = boosted_rows(spark, 300)
+    model, best = models.fit_gbm_pooled(df, ["p", "q", "r"], "x", 1, grid=((0.3, 3), (0.3, 5)), max_depth=2)
+    assert best in ((0.3, 3), (0.3, 5)) and models.predict_pooled(df, model, ["p", "q", "r"], least=0.0).filter("pred < 0").count() == 0
+    h = hours(spark, 24 * 800).withColumn("p", F.sin("id")).withColumn("x", F.col("p") * 3 + F.pmod(F.col("id") * 7919, F.lit(11)))
+    fold_table = folds.backtest_folds(h, "2020-07-01")
+    rows = h.select("series_id", "ts", "p", "x")
+    one = {(r["fold"], r["alpha"]): r for r in models.fit_ridge_folds(rows, fold_table, ["p"], "x").collect()}
+    two = {(r["fold"], r["alpha"]): r for r in models.fit_ridge(folds.assign_folds(rows, fold_table), ["p"], "x").collect()}
+    assert set(one) == set(two) and all(np.allclose([*one[k]["coef"], one[k]["intercept"]], [*two[k]["coef"], two[k]["intercept"]]) for k in one)

@@ -182,6 +182,7 @@ ORACLE_SQL: dict[str, str] = {
     "solar_index": f"WITH {SOLAR}, z AS (SELECT *, cos(radians(greatest(0.0::DOUBLE, least(90.0::DOUBLE, zenith)))) AS cz FROM solar WHERE cs_poa > 0.001) SELECT series_id, {stamp()} AS ts, {r('least(2.0, cf * 3000 / cs_poa)')} AS kt, CASE WHEN zenith >= 90 THEN 'inf'::DOUBLE ELSE {r('1 / (cz + 0.50572 * pow(96.07995 - greatest(0.0, zenith), -1.6364))')} END AS am FROM z",
     "solar_features_lagged": f"WITH {SOLAR}, f AS (SELECT *, {named(SOLAR_HISTORY)}, {lag(24, 'temp')} AS temp_c, CASE WHEN {frame('sum', 24, 24, 'cs_poa')} > 1 THEN {frame('sum', 24, 24, 'cf')} / {frame('sum', 24, 24, 'cs_poa')} END AS kt_yesterday FROM solar), g AS (SELECT * EXCLUDE (cell_c, derate, cs_output), temp_c + 0.03125 * cs_poa AS cell_c, 1 - 0.004 * (temp_c + 0.03125 * cs_poa - 25) AS derate, cs_poa / 1000 * (1 - 0.004 * (temp_c + 0.03125 * cs_poa - 25)) AS cs_output FROM f) SELECT series_id, {stamp()} AS ts, {r('cf')} AS cf, {SOLAR_CAL}, {rounded(SOLAR_HISTORY)}, {SOLAR_GEO}, {rounded(['temp_c', 'cell_c', 'derate', 'cs_output', 'kt_yesterday'])} FROM g WHERE roll_mean_168h IS NOT NULL AND lag_168h IS NOT NULL AND kt_yesterday IS NOT NULL AND cs_poa IS NOT NULL AND temp_c IS NOT NULL",
     "solar_features_clearsky": f"WITH {SOLAR}, f AS (SELECT *, {named(SOLAR_HISTORY)} FROM solar) SELECT series_id, {stamp()} AS ts, {r('cf')} AS cf, {SOLAR_CAL}, {SOLAR_GEO} FROM f WHERE roll_mean_168h IS NOT NULL AND lag_168h IS NOT NULL AND cs_poa IS NOT NULL",
+    "solar_features_no_record": f"WITH {SOLAR}, f AS (SELECT * EXCLUDE (cell_c, derate, cs_output), {named(SOLAR_HISTORY)}, CASE WHEN {frame('sum', 24, 24, 'cs_poa')} > 1 THEN 1 END AS known, temp + 0.03125 * cs_poa AS cell_c, 1 - 0.004 * (temp + 0.03125 * cs_poa - 25) AS derate, cs_poa / 1000 * (1 - 0.004 * (temp + 0.03125 * cs_poa - 25)) AS cs_output FROM solar) SELECT series_id, {stamp()} AS ts, {r('cf')} AS cf, {SOLAR_CAL}, {SOLAR_GEO}, {r('temp')} AS temp_c, {rounded(['cell_c', 'derate', 'cs_output'])} FROM f WHERE roll_mean_168h IS NOT NULL AND lag_168h IS NOT NULL AND known IS NOT NULL AND cs_poa IS NOT NULL",
     "solar_scores": f"WITH {SOLAR}, {SOLAR_BASED}, p AS (SELECT series_id, x, cf AS y, unnest(['yesterday', 'last_week', 'clearsky_persistence']) AS model, unnest([yesterday, last_week, clearsky_persistence]) AS pred FROM sbased WHERE daylight AND ts >= {SCORED}), s AS (SELECT series_id, model, avg(abs(pred - y)) AS mae, sqrt(avg((pred - y) * (pred - y))) AS rmse, avg(pred - y) AS bias, avg(x + 1000) AS cap FROM p GROUP BY 1, 2) SELECT series_id, model, {rounded(['mae', 'rmse', 'bias'])}, {r('rmse * 100')} AS nrmse, {r('1 - mae / nullif(max(mae) FILTER (model = $$yesterday$$) OVER (PARTITION BY series_id), 0)')} AS skill, {r('mae * cap')} AS mae_mw FROM s",
     "solar_night_effect": f"WITH {SOLAR}, {SOLAR_BASED}, p AS (SELECT daylight, abs(pred - y) AS e, model FROM (SELECT daylight, cf AS y, unnest(['yesterday', 'clearsky_persistence']) AS model, unnest([yesterday, clearsky_persistence]) AS pred FROM sbased WHERE ts >= {SCORED})) SELECT model, {r('avg(e)')} AS mae_all, {r('avg(e) FILTER (coalesce(daylight, false))')} AS mae_daylight, {r('avg(e) / nullif(avg(e) FILTER (coalesce(daylight, false)), 0)')} AS ratio FROM p GROUP BY model",
     "solar_drift": f"WITH {HOURLY}, {FLEET}, g AS (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM fleet), d AS (SELECT g.ts, cs_poa, daylight, abs(cs_poa - lag(cs_poa, 24) OVER (ORDER BY g.ts)) AS d FROM g LEFT JOIN fleet f ON f.ts = g.ts) SELECT {r('avg(d) FILTER (daylight) / avg(cs_poa) FILTER (daylight)')} AS drift, {r('avg(daylight::INT)')} AS daylight_share FROM d",

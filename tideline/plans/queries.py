@@ -267,6 +267,12 @@ def solar_features_clearsky(spark, d):
     return features.without_history(features.solar_features(_solar_table(spark, d), "cf", "clearsky"))
 
 
+@query
+def solar_features_no_record(spark, d):
+    """A site with no production record whose temperature is known."""
+    return features.without_history(features.solar_features(_solar_table(spark, d), "cf", "perfect", "temp"), "perfect")
+
+
 def _solar_pred(spark, d):
     t = baselines.solar_baselines(_solar_table(spark, d))
     scored = t.filter(F.col("daylight") & (F.col("ts") >= F.lit(SCORED_FROM).cast("timestamp")))
