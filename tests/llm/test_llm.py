@@ -216,6 +216,28 @@ def test_near_duplicates_edges(spark, docs, empty):
     assert kept.columns == docs.columns and kept.filter("doc_id = 6").count() == 1 and kept.filter("doc_id in (7, 8, 9)").count() == 0
 
 
+def test_near_duplicates_without_ids(spark):
+    """Rows without an id link like others; those of one id with different texts are documents of their own."""
+    w = [f"w{i}" for i in range(40)]
+    far = [*w[:37], "a", "b", "c"]
+    near, end = [*w[:38], "a", "b"], [*w[:34], "d", "e", "f", "a", "b", "c"]
+    other = "quite another text with words enough to be told from all the rest of them"
+    rows = [(5, " ".join(w)), (None, " ".join(near)), (2, " ".join(far)), (None, " ".join(near)), (9, " ".join(end)), (9, other), (None, other + " too"), (None, "alone"), (None, "alone"), (None, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicate_components(docs, 4, 80).collect())
+    keyed = [((k, d), t) for k, (d, t) in enumerate(rows)]
+    ids = {k: d for (k, d), _ in keyed}
+    comp = brute_components([(k, t) for (k, _), t in keyed], 4, 80)
+    least = {}
+    for k, (_, c) in comp.items():
+        if ids[k] is not None:
+            least[c] = min(least.get(c, ids[k]), ids[k])
+    assert got == collections.Counter((ids[k], n, least.get(c)) for k, (n, c) in comp.items())
+    kept = jaccard_join.one_of_each_group(docs, 4, 80).collect()
+    assert len(kept) == len(set(comp[k][1] for k in comp))
+    assert {r["doc_id"] for r in kept if r["text"] and r["text"].startswith("w0")} == {least[comp[0][1]], *([9] if comp[4][1] != comp[0][1] else [])}
+
+
 def test_big_lists_are_paired_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)
     r = np.random.default_rng(5)

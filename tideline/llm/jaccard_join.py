@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, SpanHasher, blob, bounded_batches, columns_of, id_bitmap, in_bitmap, mix64, stage_table, text_chunks
+from .common import _U, SpanHasher, blob, bounded_batches, columns_of, fresh, id_bitmap, in_bitmap, mix64, stage_table, text_chunks
 from .graph import connected_components
 
 WIDTH = 5
@@ -317,18 +317,22 @@ def crossing_pairs(packed: list[bytes], sizes: np.ndarray, component: np.ndarray
 
 
 def document_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles and fp (null for an empty set) for each row; map-only."""
+    """doc_id, row (hash of id and text), n_shingles and fp (null for an empty set) for each row; map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [(len(s), fingerprint(s) if len(s) else None) for s in shingle_sets(batch.column(1), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.int64())], ["doc_id", "n_shingles", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.int64())], ["doc_id", "row", "n_shingles", "fp"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, n_shingles long, fp long")
+    return _rows(docs).mapInArrow(run, "doc_id long, row long, n_shingles long, fp long")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return bounded_batches(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    return bounded_batches(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", f"{ROW} row")
+
+
+#: Tells a row by its id and text, for rows without an id too.
+ROW = "xxhash64(cast(doc_id as long), cast(text as string))"
 
 
 def _key_blobs(docs: DataFrame, buckets: int, width: int, percent: int) -> DataFrame:
@@ -407,8 +411,8 @@ HASH_BYTES = 6
 def set_table(docs: DataFrame, classes: DataFrame, wanted: DataFrame, hashes: bool, width: int = WIDTH) -> DataFrame:
     """fp, n and the point, or fp and the top 48 bits of each hash, for the wanted fps.
 
-    Read from one document of each class, in a pass over the texts that a bitmap of those
-    documents' ids narrows. A few rows nobody wants come along, and an fp can come twice if its
+    Read from one row of each class, in a pass over the texts that a bitmap of those rows' hashes
+    narrows. A few rows nobody wants come along, and an fp can come twice if its
     row repeats; the joins that follow on fp aren't hurt by either.
     """
     bits = docs.sparkSession.sparkContext.broadcast(id_bitmap(classes.join(wanted.select("fp").distinct(), "fp", "left_semi"), "rep"))
@@ -416,8 +420,7 @@ def set_table(docs: DataFrame, classes: DataFrame, wanted: DataFrame, hashes: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            ids = batch.column(0)
-            batch = batch.filter(pa.array(in_bitmap(bits.value, np.asarray(ids.fill_null(0))) & np.asarray(ids.is_valid())))
+            batch = batch.filter(pa.array(in_bitmap(bits.value, np.asarray(batch.column(2)))))
             for lo in range(0, batch.num_rows, 1000):
                 rows = []
                 for s in shingle_sets(batch.column(1).slice(lo, 1000), width):
@@ -498,7 +501,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int =
 def jaccard_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with their set, links between different sets, components of linked sets).
 
-    The first: doc_id, n_shingles, fp. The second: a, b (fps), links enough to connect each
+    The first: doc_id, row, n_shingles, fp. The second: a, b (fps), links enough to connect each
     component, every one verified; pairs not listed lie within a component or aren't similar. The
     third: node, component (fps), for sets with a link.
     """
@@ -510,7 +513,7 @@ def jaccard_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
     keys = sum(bands.count(r["n"]) * r["c"] for r in coarse.collect())
     buckets = max(1, math.ceil(keys / BUCKET_KEYS))
     lists = stage_table(candidate_lists(docs, buckets, width, percent), "jaccard-lists")
-    classes = found.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    classes = found.filter("fp is not null").groupBy("fp").agg(F.min("row").alias("rep"))
     points = stage_table(set_table(docs, classes, lists, False, width).withColumnRenamed("packed", "counts"), "jaccard-points")
     blocks = lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("int").alias("blocks"))
     members = lists.join(blocks, "list")
@@ -557,26 +560,35 @@ def _meetings():
     return F.when(F.col("blocks") <= 1, F.array("list")).when(F.col("component") == F.col("top"), of_top).otherwise(F.concat(with_top, with_others))
 
 
+def _by_class(found: DataFrame, components: DataFrame) -> DataFrame:
+    """fp and first, the first document of its component: the smallest id, rows without one last, then by row hash."""
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    classes = found.filter("fp is not null").groupBy("fp").agg(F.min(first).alias("rep"))
+    named = classes.join(components, classes["fp"] == components["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    return named.join(named.groupBy("component").agg(F.min("rep").alias("first")), "component").select("fp", "first")
+
+
 def near_duplicate_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id.
 
-    Two documents link when 100 * |intersection| >= percent * |union| of their shingle sets. A null
-    or empty text has no shingles, links with nothing and is its own component. Rows that repeat a
-    doc_id with the same text count as copies. component_id is the smallest doc_id reachable.
+    docs: doc_id, text; more columns are ignored. Two documents link when 100 * |intersection| >=
+    percent * |union| of their shingle sets. A null or empty text has no shingles, links with
+    nothing and is its own component. Rows that repeat a doc_id with the same text count as copies,
+    with other texts as documents of their own. component_id is the smallest doc_id reachable, also
+    by way of rows without one; null if none is. An empty table gives no rows.
     """
     found, _, components = jaccard_links(docs, width, percent)
-    classes = found.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    named = classes.join(components, classes["fp"] == components["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_class = named.join(least, "component").select("fp", "component_id")
-    return found.join(by_class, "fp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return found.join(_by_class(found, components), "fp", "left").select("doc_id", "n_shingles", F.coalesce("first.doc_id", F.when(F.col("first").isNull(), F.col("doc_id"))).alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component: the one that names it, and once if its row repeats.
+    """docs with one document of each component: the one of the smallest doc_id, or of none if no other has one.
 
-    Rows with a null doc_id can't name a group and stay.
+    Of rows that repeat, id and text, one stays; so do documents without words. Any other columns
+    may be among docs', and they stay as they are.
     """
-    named = near_duplicate_components(docs, width, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*columns_of(docs))
-    return kept.unionByName(docs.filter("doc_id is null"))
+    found, _, components = jaccard_links(docs, width, percent)
+    first = found.filter("fp is null").select("row").unionByName(_by_class(found, components).select("first.row")).distinct()
+    row = fresh(docs, "row")[0]
+    kept = docs.withColumn(row, F.expr(ROW)).join(first.withColumnRenamed("row", row), row, "left_semi")
+    return kept.dropDuplicates([row]).select(*columns_of(docs))
