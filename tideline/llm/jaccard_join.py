@@ -267,14 +267,16 @@ class Bounded:
 
 #: What a pair of the first pass is: a leader and its member, members of different leaders, or a note that the list had too many of these.
 LED, ACROSS, TOO_MANY = 0, 1, 2
+#: Lists with more pairs between stars than this come again if they aren't one component by then: those of near copies are.
+MOST_ACROSS = 32
 
 
 def star_pairs(packed: list[bytes], sizes: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[int, int, int]]:
     """(row, row, kind): leaders with their members, until each row leads or is led, and bounded pairs between stars.
 
     If all led pairs turn out to be links, these pairs connect whatever the list can connect: two rows
-    of one star meet in its leader. Pairs between stars start from all stars but the largest. There
-    are about as many pairs as rows; a list with more than a few times as many between stars is noted instead.
+    of one star meet in its leader. Pairs between stars start from all stars but the largest; a list
+    with more than MOST_ACROSS of them is noted instead, so there are about as many pairs as rows.
     """
     n = len(sizes)
     bounded = Bounded(packed, sizes, percent)
@@ -294,7 +296,7 @@ def star_pairs(packed: list[bytes], sizes: np.ndarray, percent: int = PERCENT) -
             mine = seen.get(int(i))
             mine = bounded.near(int(i)) if mine is None else mine
             across += ((int(i), int(j), ACROSS) for j in mine[(star[mine] != star[i]) & ((star[mine] == largest) | (mine > i))])
-            if len(across) > 4 * n + 64:
+            if len(across) > MOST_ACROSS:
                 yield 0, 0, TOO_MANY
                 return
         yield from across
