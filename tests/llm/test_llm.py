@@ -872,6 +872,18 @@ def test_null_columns_do_not_matter(spark):
     assert jaccard_join.near_duplicate_components(t).count() == 2
 
 
+def test_staged_tables_can_be_removed(spark):
+    import os
+
+    from tideline.llm import common
+
+    common._staged.clear()
+    t = common.stage_table(spark.range(5).toDF("a.b"), "some")
+    assert t.count() == 5 and len(common._staged) == 1
+    path = common._staged[0]
+    assert os.path.isdir(path) and common.remove_staged(spark) == 1 and not os.path.exists(path) and common.remove_staged(spark) == 0
+
+
 def test_features_of_an_empty_column():
     assert quality_rules.count_features(pa.array([], pa.string()))["n_words"].tolist() == []
     assert isinstance(pd.DataFrame(quality_rules.count_features(pa.array([None, "a"], pa.string()))), pd.DataFrame)

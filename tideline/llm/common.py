@@ -41,18 +41,34 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Folders written by this process, until remove_staged.
+_staged: list[str] = []
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back, which cuts its lineage.
 
-    The files outlive the executors that wrote them; the cluster's owner of
-    spark.checkpoint.dir removes them (a lazily read table can't know its last reader).
+    The files outlive the executors that wrote them. A lazily read table can't know its last reader:
+    whoever has written a result calls remove_staged.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_staged(spark: SparkSession) -> int:
+    """Remove what stage_table has written so far; results that still read it must have been written. How many folders."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for path in _staged:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    n = len(_staged)
+    _staged.clear()
+    return n
+
+
 #: Arrow batches between the JVM and Python hold at most so many rows and bytes: texts are long, and
 #: each batch stands in memory on both sides at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
