@@ -78,6 +78,12 @@ def test_highest_quotients_are_sainte_lague(spark, seed):
     assert [x["seats_won"] for x in got] == seats
 
 
+def test_highest_quotients_keep_to_caps(spark):
+    df = spark.createDataFrame([("a", 600, 5), ("b", 300, 40), ("c", 100, 40)], "p string, v long, cap long")
+    got = {x["p"]: x["seats_won"] for x in mixing.highest_quotients(df, [], ["p"], F.col("v"), F.lit(20), F.col("cap")).collect()}
+    assert got["a"] == 5 and got["b"] >= 6 and got["c"] >= 2 and sum(got.values()) <= 20
+
+
 def test_mix(spark, docs, empty):
     got = mixing.mix_sources(docs).collect()
     assert len(got) == docs.count()

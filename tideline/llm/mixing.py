@@ -61,7 +61,8 @@ def source_targets(sources: DataFrame, share: float = EPOCHS, repeats: int = REP
 def highest_quotients(parties: DataFrame, group: list[str], party: list[str], votes: Column, seats: Column, cap: Column) -> DataFrame:
     """parties with a column seats_won: Sainte-Lague seats within each group, at most cap a party.
 
-    Groups keep one row for each party; ties go to the smaller party key.
+    Groups keep one row for each party; ties go to the smaller party key. Caps are meant for rounding
+    at a party's end: seats that a cap far below a party's share leaves over go to no other.
     """
     g = Window.partitionBy(*group)
     p = (
