@@ -97,4 +97,31 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM rows GROUP BY conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_source_mixing": _MIX_SQL, "op10_chat_format": _CHAT_SQL}
+#: All pairs that share a shingle are counted: for small tables, as SQL has no other way.
+_JACCARD_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM words),
+sized AS (SELECT doc_id, len(g)::BIGINT AS n FROM sets),
+shingles AS (SELECT doc_id, unnest(g) AS g FROM sets),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM common JOIN sized a ON a.doc_id = x JOIN sized b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS seen FROM sized UNION SELECT r.node, e.y FROM reach r JOIN edges e ON r.seen = e.x)
+SELECT doc_id, n AS n_shingles, (SELECT min(seen) FROM reach WHERE node = doc_id) AS component_id FROM sized
+"""
+
+#: Every window of 100 bytes is a row: for small tables, and for ids that don't repeat.
+_REPEATS_SQL = r"""
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (SELECT *, (length(h) // 2)::BIGINT AS n_bytes FROM docs),
+windows AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS g FROM (SELECT doc_id, h, unnest(range(0, n_bytes - 99)) AS i FROM sized WHERE n_bytes >= 100)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS nth FROM windows) WHERE nth > 1),
+begun AS (SELECT *, CASE WHEN i <= lag(i) OVER k + 100 THEN 0 ELSE 1 END AS new FROM again WINDOW k AS (PARTITION BY doc_id ORDER BY i)),
+spans AS (SELECT doc_id, min(i) AS lo, max(i) + 100 AS hi FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM begun) GROUP BY doc_id, span),
+kept AS (SELECT s.doc_id, lo, substr(h, 2 * coalesce(lag(hi) OVER k, 0) + 1, 2 * (lo - coalesce(lag(hi) OVER k, 0))) AS part FROM spans s JOIN sized d ON d.doc_id = s.doc_id WINDOW k AS (PARTITION BY s.doc_id ORDER BY lo)),
+heads AS (SELECT doc_id, string_agg(part, '' ORDER BY lo) AS head FROM kept GROUP BY 1),
+cut AS (SELECT doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, max(hi) AS reach FROM spans GROUP BY 1)
+SELECT d.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(reach, 0) + 1))) AS kept_sha256 FROM sized d LEFT JOIN cut c ON c.doc_id = d.doc_id LEFT JOIN heads e ON e.doc_id = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_source_mixing": _MIX_SQL, "op4_ngram_jaccard": _JACCARD_SQL, "op8_repeat_removal": _REPEATS_SQL, "op10_chat_format": _CHAT_SQL}
