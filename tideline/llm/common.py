@@ -45,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
 _staged: list[str] = []
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
+def stage_table(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write df once to the shared folder and read it back, which cuts its lineage.
 
     The files outlive the executors that wrote them. A lazily read table can't know its last reader:
@@ -53,7 +53,7 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, jaccard_join, language_id, mixing, packing, quality_rules, repeat_removal, secret_scan
+from . import chat_format, decontaminate, html_extract, jaccard_join, language_id, mixing, packing, quality_rules, repeat_removal, secret_scan, token_alignment
 from .common import documents
 
 
@@ -54,7 +54,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.conversation_digests(chat_format.format_turns(chat_format.with_tricky(spark, conversations)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_language_id, op3_token_packing, op4_ngram_jaccard, op5_html_extraction, op6_secret_scan, op7_quality_rules, op8_repeat_removal, op9_decontamination, op10_chat_format)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_query(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_language_id, op3_token_packing, op4_ngram_jaccard, op5_html_extraction, op6_secret_scan, op7_quality_rules, op8_repeat_removal, op9_decontamination, op10_chat_format, op11_token_alignment)}
 
 _MIX_SQL = r"""
 WITH sized AS (SELECT doc_id, source, substr(md5(coalesce(text, '')), 1, 16) AS key, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
