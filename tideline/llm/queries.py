@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, jaccard_join, language_id, mixing, packing, quality_rules, repeat_removal, secret_scan, token_alignment
+from . import chat_format, decontaminate, html_extract, jaccard_join, language_id, mixing, packing, quality_rules, repeat_removal, resharding, secret_scan, spelling, token_alignment
 from .common import documents
 
 
@@ -58,7 +58,15 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.alignment_query(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_language_id, op3_token_packing, op4_ngram_jaccard, op5_html_extraction, op6_secret_scan, op7_quality_rules, op8_repeat_removal, op9_decontamination, op10_chat_format, op11_token_alignment)}
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(spelling.misspelt_words(documents(spark, sf_dir)))
+
+
+def op13_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resharding.sharding_query(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_language_id, op3_token_packing, op4_ngram_jaccard, op5_html_extraction, op6_secret_scan, op7_quality_rules, op8_repeat_removal, op9_decontamination, op10_chat_format, op11_token_alignment, op12_spelling_variants, op13_resharding)}
 
 _MIX_SQL = r"""
 WITH sized AS (SELECT doc_id, source, substr(md5(coalesce(text, '')), 1, 16) AS key, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
@@ -128,4 +136,20 @@ cut AS (SELECT doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, m
 SELECT d.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(reach, 0) + 1))) AS kept_sha256 FROM sized d LEFT JOIN cut c ON c.doc_id = d.doc_id LEFT JOIN heads e ON e.doc_id = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_source_mixing": _MIX_SQL, "op4_ngram_jaccard": _JACCARD_SQL, "op8_repeat_removal": _REPEATS_SQL, "op10_chat_format": _CHAT_SQL}
+#: Checksums by a table of 256 entries, near words by cutting each letter out.
+_SPELLING_SQL = r"""
+WITH RECURSIVE steps AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(256))::BIGINT AS i)),
+runs AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 5 GROUP BY 1, 2),
+coded AS (SELECT run, c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS b FROM runs),
+summed AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(b) // 2), lambda k: ('0x' || substr(b, 2 * k + 1, 2))::BIGINT)), lambda h, x: xor(h >> 8, t[(xor(h, x) & 255) + 1])), 4294967295) AS h FROM coded, steps),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, c FROM summed) WHERE length(word) >= 5 GROUP BY 1 HAVING sum(c) >= 3),
+cuts AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+ UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.cut = b.word UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.cut = b.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY 1),
+formed AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form, CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word),
+chain AS (SELECT word, word AS root, form AS next FROM formed UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN formed f ON f.word = c.next)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM formed f JOIN chain c ON c.word = f.word AND c.next IS NULL
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_source_mixing": _MIX_SQL, "op4_ngram_jaccard": _JACCARD_SQL, "op8_repeat_removal": _REPEATS_SQL, "op10_chat_format": _CHAT_SQL, "op12_spelling_variants": _SPELLING_SQL}
