@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chat_format import PATTERN
 from .common import bounded_batches, sha256_hex, stage_table
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
@@ -28,8 +30,8 @@ PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 _SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A space that follows no white space, and all up to the next one: no token of either side crosses such a border.
 _SEGMENT = re.compile(f" [{_SPACE}]*[^{_SPACE}]*(?:(?! )[{_SPACE}]+[^{_SPACE}]*)*")
-#: Segments whose tokens a worker remembers.
-REMEMBERED = 1 << 19
+#: Segments whose tokens a worker remembers at most between batches, and how many it encodes in one call.
+REMEMBERED, ENCODED = 1 << 17, 1 << 12
 #: Id pairs whose counts every task holds; those of rarer pairs are joined.
 HELD_PAIRS = 1 << 20
 
@@ -42,21 +44,39 @@ def byte_level_alphabet() -> dict[str, int]:
 
 
 class ByteLevel:
-    """The byte-level vocabulary: token ids of texts, and each id's bytes."""
+    """The byte-level vocabulary: token ids of texts, and each id's bytes.
+
+    A faster encoder takes two neighbours whose union is in the vocabulary, in the order of ids, where the
+    file lists which two make a token. Both take the same steps if each token, encoded by the listed merges,
+    is itself: two tokens that tile a third one's bytes are then at the point where its own two parts stand.
+    That is checked for every token; a vocabulary that doesn't pass is encoded by its own library.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
         alphabet = byte_level_alphabet()
-        self.bytes = [b""] * self.tokenizer.get_vocab_size()
-        for token, i in self.tokenizer.get_vocab().items():
-            self.bytes[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
+        special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+        vocabulary = tokenizer.get_vocab()
+        self.bytes = [b""] * len(vocabulary)
+        for token, i in vocabulary.items():
+            self.bytes[i] = bytes(alphabet[c] for c in token) if token not in special and all(c in alphabet for c in token) else token.encode()
+        plain = {t: i for t, i in vocabulary.items() if t not in special}
+        merged = all(len(parts := tokenizer.model.tokenize(t)) == 1 and parts[0].id == i for t, i in plain.items())
+        self.ranked = self.tokenizer = None
+        if merged and len({self.bytes[i] for i in plain.values()} & {bytes([b]) for b in range(256)}) == 256 and tokenizer.normalizer is None:
+            import tiktoken
+
+            self.ranked = tiktoken.Encoding("listed", pat_str=PATTERN, mergeable_ranks={self.bytes[i]: i for i in plain.values()}, special_tokens={})
+        else:
+            self.tokenizer = tokenizer
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [e.ids for e in fast(texts, add_special_tokens=False)]
+        if self.ranked is not None:
+            return [self.ranked.encode_ordinary(t) for t in texts]
+        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 class Pieces:
@@ -87,7 +107,7 @@ class Ragged:
         size = np.fromiter(map(len, rows), np.int64, len(rows))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.fromiter((x for r in rows for x in r), np.int32, int(size.sum()))])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(rows), np.int32, int(size.sum()))])
 
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of these rows one after another, and how many each has."""
@@ -95,6 +115,12 @@ class Ragged:
         at = np.repeat(self.start[rows] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         return self.flat[at], size
 
+    def only(self, rows: np.ndarray) -> Ragged:
+        out = Ragged()
+        out.flat, out.size = self.take(rows)
+        out.start = np.cumsum(out.size) - out.size
+        return out
+
 
 class TwoTokenizers:
     """Encodes texts by both, each distinct segment once."""
@@ -106,14 +132,29 @@ class TwoTokenizers:
     def forget(self) -> None:
         self.code: dict[str, int] = {}
         self.ids = (Ragged(), Ragged())
-        self.exact = np.zeros(0, bool)
+        self.exact, self.uses = np.zeros(0, bool), np.zeros(0, np.int64)
+
+    def keep_most_used(self) -> None:
+        """Forget all but a quarter of the segments, those used most."""
+        rows = np.argsort(-self.uses, kind="stable")[: len(self.uses) // 4]
+        names = list(self.code)
+        self.code = {names[k]: i for i, k in enumerate(rows.tolist())}
+        self.ids = tuple(ids.only(rows) for ids in self.ids)
+        self.exact, self.uses = self.exact[rows], np.zeros(len(rows), np.int64)
 
     def learn(self, segments: list[str]) -> None:
+        for lo in range(0, len(segments), ENCODED):
+            self._learn(segments[lo : lo + ENCODED])
+
+    def _learn(self, segments: list[str]) -> None:
         a, b = self.a.encode(segments), self.b.encode(segments)
         raw = [s.encode() for s in segments]
-        of_a, of_b = self.a.bytes, self.b.bytes
-        self.exact = np.concatenate([self.exact, [b"".join([of_a[i] for i in x]) == r == b"".join([of_b[i] for i in y]) for x, y, r in zip(a, b, raw, strict=True)]])
+        exact = [b"".join([self.b.bytes[i] for i in y]) == r for y, r in zip(b, raw, strict=True)]
+        if self.a.ranked is None:  # that encoder's tokens are always the text's bytes
+            exact = [e and b"".join([self.a.bytes[i] for i in x]) == r for e, x, r in zip(exact, a, raw, strict=True)]
+        self.exact = np.concatenate([self.exact, np.array(exact, bool)])
         self.code.update(zip(segments, range(len(self.code), len(self.code) + len(segments)), strict=True))
+        self.uses = np.concatenate([self.uses, np.zeros(len(segments), np.int64)])
         self.ids[0].add(a)
         self.ids[1].add(b)
 
@@ -127,11 +168,12 @@ class TwoTokenizers:
                 segments += found
                 n[i] = len(found)
         if len(self.code) > REMEMBERED:
-            self.forget()
+            self.keep_most_used()
         new = list(set(segments).difference(self.code))
         if new:
             self.learn(new)
         codes = np.fromiter(map(self.code.__getitem__, segments), np.int64, len(segments))
+        self.uses += np.bincount(codes, minlength=len(self.uses))
         ends = np.cumsum(n)
         doc = np.repeat(np.arange(len(texts)), n)
         keep = np.ones(len(texts), bool)
@@ -155,6 +197,7 @@ def two_tokenizers(a_path: str, b_path: str) -> TwoTokenizers:
 @lru_cache(maxsize=2)
 def byte_sizes(a_path: str, b_path: str) -> tuple[np.ndarray, np.ndarray]:
     both = two_tokenizers(a_path, b_path)
+    both.forget()  # who asks for sizes doesn't encode
     return tuple(np.fromiter(map(len, side.bytes), np.int64, len(side.bytes)) for side in (both.a, both.b))
 
 
@@ -210,12 +253,23 @@ def _sides(batch: pa.RecordBatch, first: int) -> tuple[np.ndarray, ...]:
     return tuple(out)
 
 
+def _parts(batches: Iterator[pa.RecordBatch], first: int, tokens: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, about so many tokens of the list column `first` at a time; a longer row is a part of its own."""
+    for batch in batches:
+        ends = np.asarray(batch.column(first).offsets)
+        lo = 0
+        while lo < batch.num_rows:
+            hi = min(batch.num_rows, max(lo + 1, int(np.searchsorted(ends, ends[lo] + tokens, "right")) - 1))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def align_tokens(encoded: DataFrame, a_path: str = BYTE_BPE, b_path: str = PIECE_BPE) -> DataFrame:
     """encoded (doc_id, a_ids, b_ids) with link_a and link_b (token positions from 0, a link each), and group_a and group_b (tokens of each side up to each group's end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = byte_sizes(a_path, b_path)
-        for batch in batches:
+        for batch in _parts(batches, 1):
             a, n_a, b, n_b = _sides(batch, 1)
             link_a, link_b, group_a, group_b = align(sizes[0][a], sizes[1][b])
             first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
@@ -238,7 +292,7 @@ def pair_counts(encoded: DataFrame, a_path: str = BYTE_BPE, b_path: str = PIECE_
             pairs, place = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
             held[:] = [(pairs, np.bincount(place, weights=np.concatenate([n for _, n in held])).astype(np.int64))]
 
-        for batch in batches:
+        for batch in _parts(batches, 0):
             a, _, b, _ = _sides(batch, 0)
             link_a, link_b, _, _ = align(sizes[0][a], sizes[1][b])
             held.append(np.unique(a[link_a].astype(np.int64) * len(sizes[1]) + b[link_b], return_counts=True))
@@ -306,7 +360,7 @@ def alignment_query(docs: DataFrame, a_path: str = BYTE_BPE, b_path: str = PIECE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, known = byte_sizes(a_path, b_path), held.value
-        for batch in batches:
+        for batch in _parts(batches, 2):
             a, n_a, b, n_b = _sides(batch, 2)
             rows = len(n_a)
             link_a, link_b, group_a, group_b = align(sizes[0][a], sizes[1][b])
