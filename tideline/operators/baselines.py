@@ -41,13 +41,19 @@ def on_scored_rows(pred: DataFrame, scored: DataFrame, strict: tuple[str, ...] =
     """
     cut = pred.join(scored.select("series_id", "ts"), ["series_id", "ts"], "left_semi")
     holes = cut.filter(F.col("model").isin(*strict) & F.col("pred").isNull()).select("series_id", "model").distinct()
-    missing = scored.select("series_id").distinct().crossJoin(pred.select("model").distinct().filter(F.col("model").isin(*strict)))
+    missing = scored.select("series_id").distinct().withColumn("model", F.explode(F.array(*[F.lit(m) for m in strict]).cast("array<string>")))
     counts = cut.filter(F.col("model").isin(*strict)).groupBy("series_id", "model").agg(F.count("ts").alias("n"))
     wanted = scored.groupBy("series_id").agg(F.count("ts").alias("want"))
     short = missing.join(wanted, "series_id").join(counts, ["series_id", "model"], "left").filter(F.coalesce("n", F.lit(0)) < F.col("want")).select("series_id", "model")
     return cut.join(holes.unionByName(short).distinct(), ["series_id", "model"], "left_anti")
 
 
+def without_holes(pred: DataFrame, strict: tuple[str, ...]) -> DataFrame:
+    """Long predictions on their scored rows, without the series of a strict model in which it has a hole."""
+    holes = pred.filter(F.col("model").isin(*strict) & F.col("pred").isNull()).select("series_id", "model").distinct()
+    return pred.join(holes, ["series_id", "model"], "left_anti")
+
+
 def filled_on_scored_rows(df: DataFrame, scored: DataFrame, models: list[str]) -> DataFrame:
     """Wide baselines at the scored rows, holes filled forward then backward within them."""
     return fill_gaps(df.join(scored.select("series_id", "ts"), ["series_id", "ts"], "left_semi"), *models)

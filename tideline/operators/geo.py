@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..staging import broadcast_if_small, stage
+
 # A simplified outline of Germany as (lon, lat), closed.
 GERMANY_OUTLINE = [
     (8.40, 55.00), (9.00, 54.85), (9.60, 54.83), (10.00, 54.60), (10.80, 54.40), (11.30, 54.00), (12.10, 54.20), (13.00, 54.40), (13.80, 54.10),
@@ -24,6 +26,8 @@ STATES = [
     ("Sachsen", 4.06, 51.10, 13.20), ("Sachsen-Anhalt", 2.18, 51.90, 11.70), ("Schleswig-Holstein", 2.91, 54.20, 9.70), ("Thueringen", 2.12, 50.90, 11.00),
 ]
 WEIGHTINGS = ("box", "land", "population")
+#: Cells of a weight table that every task may hold: a global grid of a quarter degree has 1.04 million.
+MOST_CELLS = 1 << 21
 
 
 def outline_edges(spark: SparkSession, ring: list[tuple[float, float]] | None = None) -> DataFrame:
@@ -82,29 +86,37 @@ def grid_weights(cells: DataFrame, edges: DataFrame, states: DataFrame) -> DataF
     return c.select("lat", "lon", F.explode(kinds).alias("k")).select("k.kind", "lat", "lon", "k.w").filter("w > 0")
 
 
-def weighted_series(grid: DataFrame, weights: DataFrame, value: str = "t2m") -> DataFrame:
-    """kind, ts, value: the weighted mean of the field, for every kind in one pass.
+def weighted_series(grid: DataFrame, weights: DataFrame, value: str = "t2m", keys: tuple[str, ...] = ("ts",), most_cells: int = MOST_CELLS) -> DataFrame:
+    """kind, the keys and value: the weighted mean of the field, for every kind in one pass.
 
-    Weights sum over the cells that have a value. Partial sums by task come before the shuffle, so
-    what moves is a row a task, kind and hour.
+    Weights sum over the cells that have a value. The weights, a row a cell with a column for each kind,
+    are staged and counted; up to most_cells they are broadcast, so the field stays where it is read and
+    only sums by task and key are shuffled. A larger table is joined by cell. Weights without a row are an error.
     """
-    rows = grid.join(weights, ["lat", "lon"]).filter(F.col(value).isNotNull())
-    return rows.groupBy("kind", "ts").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias(value))
+    staged = stage(weights.select("kind", "lat", "lon", "w"), "weights")
+    kinds = sorted(r["kind"] for r in staged.select("kind").distinct().collect())
+    if not kinds:
+        raise ValueError("weights sum to zero: there are none")
+    cells = staged.groupBy("lat", "lon").agg(*[F.sum(F.when(F.col("kind") == k, F.col("w"))).alias(f"_w{i}") for i, k in enumerate(kinds)])
+    rows = grid.select(*keys, "lat", "lon", F.col(value).alias("_v")).filter(F.col("_v").isNotNull()).join(broadcast_if_small(cells, most_cells, "cell-weights"), ["lat", "lon"])
+    sums = rows.groupBy(*keys).agg(*[s for i in range(len(kinds)) for s in (F.sum(F.col(f"_w{i}") * F.col("_v")).alias(f"_s{i}"), F.sum(f"_w{i}").alias(f"_t{i}"))])
+    means = F.array(*[F.struct(F.lit(k).alias("kind"), F.try_divide(f"_s{i}", f"_t{i}").alias(value)) for i, k in enumerate(kinds)])
+    return sums.select(*keys, F.explode(means).alias("_k")).select("_k.kind", *keys, F.col(f"_k.{value}").alias(value)).filter(F.col(value).isNotNull())
 
 
-def checked_weights(weights: DataFrame) -> DataFrame:
-    """weights, failing the job if some kind's sum isn't positive."""
-    total = weights.groupBy("kind").agg(F.sum("w").alias("_total"))
-    ok = F.when(F.col("_total") > 0, F.col("w")).otherwise(F.raise_error(F.lit("weights sum to zero")).cast("double"))
-    return weights.join(total, "kind").withColumn("w", ok).drop("_total")
+def checked_weights(weights: DataFrame, kinds: tuple[str, ...] = WEIGHTINGS) -> DataFrame:
+    """weights, failing the job if the sum of some kind isn't positive: of one that has no cell, too."""
+    totals = weights.agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("w"))), F.lit(0.0)).alias(f"_t{i}") for i, k in enumerate(kinds)])
+    least = F.least(*[F.col(f"_t{i}") for i in range(len(kinds))], F.lit(float("inf")))
+    ok = F.when(least > 0, F.col("w")).otherwise(F.raise_error(F.lit("weights sum to zero")).cast("double"))
+    return weights.crossJoin(F.broadcast(totals)).withColumn("w", ok).select(*weights.columns)  # one row
 
 
 def seam_safe_series(grid: DataFrame, weights: DataFrame, value: str = "t2m") -> DataFrame:
     """As weighted_series for yearly files that overlap: reduced by file, then the first file kept."""
     from ..sources.tables import drop_seam_duplicates
 
-    rows = grid.join(weights, ["lat", "lon"]).filter(F.col(value).isNotNull())
-    by_file = rows.groupBy("kind", "ts", "source_file").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias(value))
+    by_file = weighted_series(grid, weights, value, ("ts", "source_file"))
     return drop_seam_duplicates(by_file, ["kind", "ts"]).drop("source_file")
 
 

@@ -11,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import stage
 from . import boosting
 from .folds import assign_folds
+from .joins import interval_join
 
 ALPHAS = (0.1, 1.0, 10.0, 100.0)
 SHIFT_ROWS = 1000
@@ -149,7 +151,7 @@ def fit_ridge_folds(rows: DataFrame, folds: DataFrame, columns: list[str], targe
         return pd.DataFrame(out, columns=["series_id", "fold", "fit", "alpha", "intercept", "coef"])
 
     fitted = ridge_moments(rows, bounds, columns, target).groupBy("series_id").applyInPandas(solve, "series_id string, fold int, fit string, alpha double, intercept double, coef array<double>")
-    held = rows.join(folds.select("fold", "val_start", "test_start"), (F.col("ts") >= F.col("val_start")) & (F.col("ts") < F.col("test_start")))
+    held = interval_join(rows, folds.select("fold", "val_start", "test_start"), "ts", "val_start", "test_start")
     tried = predict_linear(held, fitted.filter("fit = 'train'").drop("fit"), columns, keys)
     errors = tried.groupBy(*keys, "alpha").agg(F.avg(F.abs(F.col("pred") - F.col(target))).alias("mae"))
     best = errors.groupBy(*keys).agg(F.min_by("alpha", F.struct("mae", "alpha")).alias("alpha"))
@@ -244,15 +246,78 @@ def ridge_forecast(rows: DataFrame, folds: DataFrame, columns: list[str], target
     return predict_linear(test, fit_ridge_folds(rows, folds, columns, target), columns, ["series_id", "fold"]).drop("alpha")
 
 
-def gbm_forecast(rows: DataFrame, folds: DataFrame, columns: list[str], target: str, **settings) -> DataFrame:
-    """Test rows of all folds with pred by boosted trees, a model a series and fold."""
+def gbm_forecast(rows: DataFrame, folds: DataFrame, columns: list[str], target: str, grid: tuple[tuple[float, int], ...] = GBM_GRID, max_depth: int = 5) -> DataFrame:
+    """Test rows of all folds with pred by boosted trees, a model a series and fold, all in one job.
+
+    A task gets the rows of one series and fold, tunes, refits and predicts the fold's test rows, so rows
+    are dealt once and no model is stored. pred is null where a column is, and where a series lacks rows in
+    either role. A series and fold is bounded by its span of time; for rows beyond one task see pooled_forecast.
+    """
     assigned = assign_folds(rows, folds)
-    out = None
-    for fold in sorted(r["fold"] for r in folds.select("fold").collect()):
-        model, _ = fit_gbm(assigned, columns, target, fold, **settings)
-        pred = predict_trees(assigned.filter((F.col("role") == "test") & (F.col("fold") == fold)), model, columns)
-        out = pred if out is None else out.unionByName(pred)
-    return assigned.limit(0).withColumn("pred", F.lit(None).cast("double")) if out is None else out
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, role = pdf[columns].to_numpy(dtype=float), pdf[target].to_numpy(dtype=float), pdf["role"].to_numpy()
+        known = ~np.isnan(x).any(axis=1)
+        fit, test = known & ~np.isnan(y) & (role != "test"), role == "test"
+        held = role[fit] == "validation"
+        pred = np.full(len(pdf), np.nan)
+        if held.any() and not held.all() and (test & known).any():
+            _, trees = boosting.tune_and_fit(x[fit], y[fit], held, grid, max_depth)
+            pred[test & known] = trees.predict(x[test & known])
+        return pdf.assign(pred=pred)[test]
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in assigned.dtypes) + ", pred double"
+    out = assigned.groupBy("series_id", "fold").applyInPandas(run, schema)
+    return out.withColumn("pred", F.when(~F.isnan("pred"), F.col("pred")))
+
+
+def pooled_forecast(rows: DataFrame, folds: DataFrame, columns: list[str], target: str, grid: tuple[tuple[float, int], ...] = GBM_GRID, max_depth: int = 5, tolerance: float = 0.01, at_once: int = 4) -> DataFrame:
+    """Test rows of all folds with pred by boosted trees of Spark ML, one model a fold over all series: rows no task can hold.
+
+    For each rate of the grid trees are added, up to its most rounds, until the squared error on validation
+    rows, which Spark tracks beside the fit, no longer falls by the tolerance; the rate with the lowest
+    validation MAE, the first of equals, is refitted on train and validation with as many rounds. Splits come
+    from histograms that tasks sum. Folds are fitted at_once side by side; rows with a null among the columns
+    or target are left out of fits and predicted as null. The rows of all folds are staged once.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    assigned = stage(assign_folds(rows, folds), "assigned")
+    known = F.lit(True)
+    for c in columns:
+        known = known & F.col(c).isNotNull()
+    vectors = VectorAssembler(inputCols=columns, outputCol="_features").transform(assigned.filter(known)).withColumn("_label", F.col(target).cast("double"))
+    most = {rate: max(n for r, n in grid if r == rate) for rate, _ in grid}
+
+    def fit(fold: int):
+        mine = vectors.filter((F.col("fold") == fold) & (F.col("role") != "test") & F.col("_label").isNotNull()).select("_features", "_label", (F.col("role") == "validation").alias("_held")).persist()
+        held = {r["_held"]: r["count"] for r in mine.groupBy("_held").count().collect()}
+        model = None
+        if len(held) == 2:
+            common = {"featuresCol": "_features", "labelCol": "_label", "predictionCol": "pred", "maxDepth": max_depth, "seed": 0, "maxBins": boosting.BINS, "minInstancesPerNode": boosting.LEAST_ROWS}
+            tried = []
+            for i, (rate, rounds) in enumerate(most.items()):
+                one = GBTRegressor(stepSize=rate, maxIter=rounds, validationIndicatorCol="_held", validationTol=tolerance, **common).fit(mine)
+                loss = one.transform(mine.filter("_held")).agg(F.avg(F.abs(F.col("pred") - F.col("_label")))).first()[0]
+                tried.append((loss, i, rate, one.getNumTrees))
+            _, _, rate, rounds = min(tried)
+            model = GBTRegressor(stepSize=rate, maxIter=rounds, **common).fit(mine)
+        mine.unpersist()
+        return fold, model
+
+    numbers = sorted(r["fold"] for r in folds.select("fold").distinct().collect())
+    with ThreadPoolExecutor(at_once) as pool:
+        fitted = list(pool.map(fit, numbers))
+    # One pass over the staged test rows a fold; the fold's rows are few of all.
+    out = assigned.filter((F.col("role") == "test") & ~known).withColumn("pred", F.lit(None).cast("double"))
+    for fold, model in fitted:
+        test = vectors.filter((F.col("fold") == fold) & (F.col("role") == "test"))
+        pred = model.transform(test) if model is not None else test.withColumn("pred", F.lit(None).cast("double"))
+        out = out.unionByName(pred.drop("_features", "_label"))
+    return out
 
 
 def forecasts(rows: DataFrame, folds: DataFrame, columns: list[str], target: str, fitters: dict[str, Fitter], least: float | None = None) -> DataFrame:

@@ -1,7 +1,8 @@
 """Scores on identical rows, and the tables built from them.
 
 Long predictions: series_id, ts, y, model, pred. Tables that compare models fail where these aren't
-scored on as many rows, or have a row with a null in y or pred; same_rows tells where that happens.
+scored on the same rows, told by order-free digests of series_id, ts and y that are summed beside the
+scores, or have a row with a null in y or pred; same_rows tells where that happens.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar_cols as cal
+from .joins import interval_join
 
 
 def error() -> Column:
@@ -33,17 +35,41 @@ def bias() -> Column:
     return F.avg(error())
 
 
+def row_digest(df: DataFrame) -> list[Column]:
+    """n_rows, _xor and _sum of df's rows as aggregates: the same for the same (series_id, ts, y), in any order.
+
+    A row that is there twice cancels in the xor, but counts and sums again. The sum takes 28 bits of a
+    second hash, so it holds 2^35 rows.
+    """
+    named = [F.col(c) for c in ("series_id", "ts") if c in df.columns] + [F.col("y").cast("double") + F.lit(0.0)]
+    return [F.count(F.lit(1)).alias("n_rows"), F.bit_xor(F.xxhash64(*named)).alias("_xor"), F.sum(F.shiftrightunsigned(F.xxhash64(F.lit(1), *named), 36)).alias("_sum")]
+
+
 def scores(pred: DataFrame, *keys: str, n_rows: bool = False) -> DataFrame:
-    """By keys: n, mae, rmse, mape, n_zero (rows mape leaves out) and bias; n_rows counts rows without a value too."""
-    extra = [F.count(F.lit(1)).alias("n_rows")] if n_rows else []
+    """By keys: n, mae, rmse, mape, n_zero (rows mape leaves out) and bias; n_rows adds what on_same_rows reads."""
+    extra = row_digest(pred) if n_rows else []
     return pred.groupBy(*keys).agg(*extra, F.count(error()).alias("n"), mae().alias("mae"), rmse().alias("rmse"), mape().alias("mape"), F.coalesce(F.sum((F.col("y") == 0).cast("long")), F.lit(0)).alias("n_zero"), bias().alias("bias"))
 
 
-def on_same_rows(table: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """table (keys, model, n, n_rows, mae) without n_rows, failing the job where models differ in their rows or lack a value."""
+def on_same_rows(table: DataFrame, keys: tuple[str, ...] = (), actual: DataFrame | None = None) -> DataFrame:
+    """table (keys, model, n, mae and a row digest) without the digest, failing the job where models differ in their rows or lack a value.
+
+    actual (series_id, ts, y and the keys): the rows that should be scored. Its digest joins the comparison
+    as one more model, so rows that all models lack or repeat alike fail too; so does a model without any rows left.
+    """
+    digest = ["n_rows", "_xor", "_sum"]
+    if actual is not None:
+        want = actual.groupBy(*keys).agg(*row_digest(actual)).withColumn("_actual", F.lit(True)).withColumn("n", F.col("n_rows"))
+        table = table.withColumn("_actual", F.lit(False)).unionByName(want, allowMissingColumns=True)
     w = Window.partitionBy(*keys)
-    same = (F.min("n").over(w) == F.max("n_rows").over(w)) & (F.min("n_rows").over(w) == F.max("n_rows").over(w))
-    return table.withColumn("mae", F.when(same, F.col("mae")).otherwise(F.raise_error(F.lit("models are scored on different rows")).cast("double"))).drop("n_rows")
+    same = F.min("n").over(w) == F.max("n_rows").over(w)
+    for c in digest:
+        same = same & F.min(c).over(w).eqNullSafe(F.max(c).over(w))
+    if actual is not None:
+        same = same & F.max("_actual").over(w) & ~F.min("_actual").over(w)
+    out = table.withColumn("mae", F.when(same, F.col("mae")).otherwise(F.raise_error(F.lit("models are scored on different rows")).cast("double"))).drop(*digest)
+    # A group of which only actual rows are left has no model's row to fail on: mae is read here too.
+    return out.filter(~F.col("_actual") | (F.coalesce("mae", F.lit(0.0)) < 0)).drop("_actual") if actual is not None else out
 
 
 def with_skill(table: DataFrame, base: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -52,18 +78,18 @@ def with_skill(table: DataFrame, base: str, keys: tuple[str, ...] = ()) -> DataF
     return table.withColumn("skill", 1 - F.try_divide(F.col("mae"), of_base))
 
 
-def score_table(pred: DataFrame, base: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each model (within keys), best first."""
+def score_table(pred: DataFrame, base: str, keys: tuple[str, ...] = (), actual: DataFrame | None = None) -> DataFrame:
+    """A row for each model (within keys), best first; with actual, the rows must be those."""
     table = scores(pred, *keys, "model", n_rows=True)
-    return with_skill(on_same_rows(table, keys), base, keys).orderBy(*keys, "mae", "model")
+    return with_skill(on_same_rows(table, keys, actual), base, keys).orderBy(*keys, "mae", "model")
 
 
-def solar_score_table(pred: DataFrame, capacity: DataFrame, base: str, keys: tuple[str, ...] = ()) -> DataFrame:
+def solar_score_table(pred: DataFrame, capacity: DataFrame, base: str, keys: tuple[str, ...] = (), actual: DataFrame | None = None) -> DataFrame:
     """As score_table for capacity factors, with nrmse (percent of rated capacity, which is 1) and mae_mw
     by the mean capacity of the scored rows. capacity: series_id, ts, capacity_mw."""
     rows = pred.join(capacity, ["series_id", "ts"], "left")
-    t = rows.groupBy(*keys, "model").agg(F.count(F.lit(1)).alias("n_rows"), F.count(error()).alias("n"), mae().alias("mae"), rmse().alias("rmse"), (rmse() * 100).alias("nrmse"), bias().alias("bias"), F.avg("capacity_mw").alias("_cap"))
-    return with_skill(on_same_rows(t, keys).drop("n"), base, keys).withColumn("mae_mw", F.col("mae") * F.col("_cap")).drop("_cap").orderBy(*keys, "mae", "model")
+    t = rows.groupBy(*keys, "model").agg(*row_digest(pred), F.count(error()).alias("n"), mae().alias("mae"), rmse().alias("rmse"), (rmse() * 100).alias("nrmse"), bias().alias("bias"), F.avg("capacity_mw").alias("_cap"))
+    return with_skill(on_same_rows(t, keys, actual).drop("n"), base, keys).withColumn("mae_mw", F.col("mae") * F.col("_cap")).drop("_cap").orderBy(*keys, "mae", "model")
 
 
 def same_rows(actual: DataFrame, pred: DataFrame, models: DataFrame | None = None) -> DataFrame:
@@ -114,10 +140,10 @@ def night_effect(pred: DataFrame, daylight: DataFrame) -> DataFrame:
     return rows.groupBy("model").agg(mae().alias("mae_all"), light.alias("mae_daylight")).withColumn("ratio", F.try_divide("mae_all", "mae_daylight"))
 
 
-def backtest_scores(pred: DataFrame) -> DataFrame:
-    """fold, test_start, model, mae from test rows that carry fold and test_start; in each fold models share their rows."""
-    table = pred.groupBy("fold", "test_start", "model").agg(F.count(F.lit(1)).alias("n_rows"), F.count(error()).alias("n"), mae().alias("mae"))
-    return on_same_rows(table, ("fold", "test_start")).drop("n")
+def backtest_scores(pred: DataFrame, actual: DataFrame | None = None) -> DataFrame:
+    """fold, test_start, model, mae from test rows that carry fold and test_start; in each fold models share their rows, of all series."""
+    table = pred.groupBy("fold", "test_start", "model").agg(*row_digest(pred), F.count(error()).alias("n"), mae().alias("mae"))
+    return on_same_rows(table, ("fold", "test_start"), actual).drop("n")
 
 
 def backtest_summary(tidy: DataFrame) -> DataFrame:
@@ -177,8 +203,8 @@ def local_slice(df: DataFrame, days: int, start: str | None = None, tz: str = ca
 
 
 def bias_by_period(pred: DataFrame, periods: DataFrame, models: list[str]) -> DataFrame:
-    """period and a column of bias for each model. periods: period, lo, hi (hi excluded); few rows."""
-    return pred.join(periods, (F.col("ts") >= F.col("lo")) & (F.col("ts") < F.col("hi"))).groupBy("period").pivot("model", models).agg(bias())
+    """period and a column of bias for each model. periods: period, lo, hi (hi excluded), any number, which may overlap."""
+    return interval_join(pred, periods).groupBy("period").pivot("model", models).agg(bias())
 
 
 def autocorrelation(df: DataFrame, x: str, lags: tuple[int, ...] = (1, 24, 168)) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .joins import asof_join
+
 
 def by_series() -> WindowSpec:
     """Rows of a series in order of time. (Windows can only be made once there is a session.)"""
@@ -99,8 +101,10 @@ def gap_report(df: DataFrame, *values: str) -> DataFrame:
 
 
 def spread_daily(dense: DataFrame, daily: DataFrame, value: str) -> DataFrame:
-    """A figure given once a day on every row of the dense table: the latest at or before ts."""
-    return fill_gaps(dense.join(daily.select("series_id", "ts", value), ["series_id", "ts"], "left"), value)
+    """A figure given once a day, at any time of it, on every row of the dense table: the latest known at or before ts, before that the first one."""
+    known = daily.filter(F.col(value).isNotNull()).select("series_id", "ts", F.col(value).alias("_before"), F.col(value).alias("_after"))
+    both = asof_join(asof_join(dense, known, "_before"), known, "_after", direction="forward")
+    return both.withColumn(value, F.coalesce("_before", "_after")).drop("_before", "_after")
 
 
 def capacity_factor(generation: Column, capacity: Column) -> Column:
@@ -125,6 +129,19 @@ def zone_capacity_factor(dense: DataFrame, generation: str = "x", window: int =
     return peaked.withColumn("cf", F.when(ratio.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio)))).drop("_peak")
 
 
+def reconcile_irregular(a: DataFrame, b: DataFrame, ours: str, theirs: str, tolerance: float = 0.01, within_seconds: float = 3600.0) -> DataFrame:
+    """As reconcile for tables whose stamps differ: each row of a (series_id, ts, ours) against b's latest value within that time before it."""
+    return reconcile(asof_join(a.select("series_id", "ts", ours), b, theirs, tolerance_seconds=within_seconds), ours, theirs, tolerance)
+
+
+def align_irregular(keys: DataFrame, df: DataFrame, *values: str, within_seconds: float | None = None) -> DataFrame:
+    """df's latest values at or before each key (series_id, ts), whatever df's stamps are; each column's latest known one."""
+    out = keys.select("series_id", "ts")
+    for v in values:
+        out = asof_join(out, df.filter(F.col(v).isNotNull()), v, tolerance_seconds=within_seconds)
+    return out
+
+
 def align(keys: DataFrame, df: DataFrame, *values: str) -> DataFrame:
     """df's values at the keys (series_id, ts), filled where df has none."""
     return fill_gaps(keys.select("series_id", "ts").join(df.select("series_id", "ts", *values), ["series_id", "ts"], "left"), *values)

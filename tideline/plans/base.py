@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import staging
 from ..operators import geo, series
 
 BOX_LAT, BOX_LON, BOX_STEP = (47.0, 55.0), (5.5, 15.5), 0.25
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share, for what a query writes and reads again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        shared = tempfile.mkdtemp(prefix="tideline-shared-")
-    return os.path.join(shared, f"{name}-{uuid.uuid4().hex}")
+    """A new folder that driver and executors share, for what a query writes and reads again; staging.remove_staged removes it."""
+    return staging.shared_folder(spark, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

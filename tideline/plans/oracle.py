@@ -43,6 +43,7 @@ def dense(name: str, source: str, step: str = "1 HOUR") -> str:
     return f"{name} AS (SELECT g.series_id, g.ts, s.x FROM (SELECT series_id, unnest(generate_series(min(ts), max(ts), INTERVAL {step})) AS ts FROM {source} GROUP BY series_id) g LEFT JOIN {source} s ON s.series_id = g.series_id AND s.ts = g.ts)"
 
 
+SINGLE = "single AS (SELECT event_type AS series_id, ts, min(value) AS v FROM events GROUP BY 1, 2)"
 CLEAN = f"{HOURLY}, {dense('dense', 'hourly')}, clean AS (SELECT series_id, ts, {fill()} AS x FROM dense)"
 TRIMMED = "trimmed AS (SELECT g.* FROM gappy g JOIN (SELECT series_id, min(ts) lo, max(ts) hi FROM gappy WHERE x IS NOT NULL GROUP BY 1) e ON g.series_id = e.series_id AND g.ts BETWEEN e.lo AND e.hi)"
 DAILY = f"raw_days AS (SELECT o_orderpriority AS series_id, date_trunc('day', o_orderdate) AS ts, round(sum(o_totalprice), 2) AS x FROM orders GROUP BY 1, 2), {dense('dense_days', 'raw_days', '1 DAY')}, days AS (SELECT series_id, ts, {fill()} AS x FROM dense_days)"
@@ -157,6 +158,12 @@ ORACLE_SQL: dict[str, str] = {
  SELECT series_id, {stamp()} AS ts, {r('CASE WHEN x IS NOT NULL THEN x ELSE x0 + (x1 - x0) * least((epoch(ts) - t0) / 3600, 2.0) / ((t1 - t0) / 3600) END')} AS x FROM w""",
     "series_gap_report": f"WITH {HOURLY}, {GAPPY}, {dense('dense', 'gappy')}, d AS (SELECT *, CASE WHEN hour(ts) <> 5 THEN x END AS y FROM dense) SELECT series_id, count(*) AS n_rows, count(*) - count(x) AS missing_x, {r('(count(*) - count(x)) / count(*)')} AS share_x, count(*) - count(y) AS missing_y, {r('(count(*) - count(y)) / count(*)')} AS share_y, count(*) FILTER (x IS NULL OR y IS NULL) AS missing_any FROM d GROUP BY series_id",
     "series_spread_daily": f"WITH {CLEAN}, c AS (SELECT series_id, ts, x, CASE WHEN hour(ts) = 12 THEN x * 2 + 100 END AS cap FROM clean), f AS (SELECT series_id, ts, x, {fill('cap')} AS capacity_mw FROM c) SELECT series_id, {stamp()} AS ts, {r('x')} AS x, {r('capacity_mw')} AS capacity_mw, {r('x / nullif(capacity_mw, 0)')} AS cf FROM f",
+    "series_asof": f"WITH {CLEAN}, {SINGLE}, b AS (SELECT c.series_id, c.ts, e.ts AS ets, e.v FROM clean c ASOF LEFT JOIN single e ON c.series_id = e.series_id AND c.ts >= e.ts), f AS (SELECT c.series_id, c.ts, e.ts AS ets, e.v FROM clean c ASOF LEFT JOIN single e ON c.series_id = e.series_id AND c.ts <= e.ts) SELECT b.series_id, {stamp('b.ts')} AS ts, {r('CASE WHEN b.ts - b.ets <= INTERVAL 20 MINUTE THEN b.v END')} AS before, CASE WHEN b.ts - b.ets <= INTERVAL 20 MINUTE THEN {stamp('b.ets')} END AS before_ts, {r('CASE WHEN f.ets - f.ts <= INTERVAL 20 MINUTE THEN f.v END')} AS after, CASE WHEN f.ets - f.ts <= INTERVAL 20 MINUTE THEN {stamp('f.ets')} END AS after_ts FROM b JOIN f ON b.series_id = f.series_id AND b.ts = f.ts",
+    "series_spread_off_grid": f"WITH {CLEAN}, cap AS (SELECT series_id, ts + INTERVAL 17 MINUTE AS ts, x * 2 + 100 AS v FROM clean WHERE hour(ts) = 12 AND day(ts) % 3 = 0), first AS (SELECT series_id, arg_min(v, ts) AS v FROM cap GROUP BY 1) SELECT c.series_id, {stamp('c.ts')} AS ts, {r('coalesce(e.v, first.v)')} AS capacity_mw FROM clean c ASOF LEFT JOIN cap e ON c.series_id = e.series_id AND c.ts >= e.ts LEFT JOIN first ON first.series_id = c.series_id",
+    "series_reconcile_irregular": f"WITH {HOURLY}, a AS (SELECT event_type AS series_id, ts, value FROM events), b AS (SELECT a.series_id, abs(a.value - CASE WHEN a.ts - h.ts <= INTERVAL 1 HOUR THEN h.x END) AS d FROM a ASOF LEFT JOIN hourly h ON a.series_id = h.series_id AND a.ts >= h.ts) SELECT series_id, count(d) AS n_compared, {r('max(d)')} AS max_diff, count(*) FILTER (d > 50.0) AS n_over FROM b GROUP BY 1",
+    "series_align_irregular": f"WITH {CLEAN}, {SINGLE}, k AS (SELECT series_id, ts + INTERVAL 1234 SECOND AS ts FROM clean WHERE hour(ts) % 6 = 5) SELECT k.series_id, {stamp('k.ts')} AS ts, {r('e.v')} AS value FROM k ASOF LEFT JOIN single e ON k.series_id = e.series_id AND k.ts >= e.ts",
+    "series_pick": f"WITH {CLEAN} SELECT series_id, count(*) AS n, {r('sum(x)')} AS x FROM clean WHERE series_id IN ('click', 'view') GROUP BY 1",
+    "interval_totals": f"WITH {DAILY}, p AS (SELECT p_partkey AS period, TIMESTAMP '1995-01-01' + to_days((p_partkey * 37 % 2400)::INT) AS lo, (p_partkey % 90 + 1)::INT AS n FROM part) SELECT period, count(*) AS n, sum(floor(x))::BIGINT AS x FROM days JOIN p ON ts >= lo AND ts < lo + to_days(p.n) GROUP BY period",
     "series_reconcile": f"WITH {CLEAN}, c AS (SELECT series_id, abs(x / 5000.0 - round(x / 5000.0, 2)) AS d FROM clean) SELECT series_id, count(d) AS n_compared, {r('max(d)')} AS max_diff, count(*) FILTER (d > 0.004) AS n_over FROM c GROUP BY 1",
     "series_zone_capacity_factor": f"WITH {HOURLY}, {GAPPY}, {dense('dense', 'gappy')}, p AS (SELECT *, CASE WHEN count(x) OVER ({W} ROWS 167 PRECEDING) >= 48 THEN max(x) OVER ({W} ROWS 167 PRECEDING) END AS peak FROM dense), q AS (SELECT *, first_value(peak IGNORE NULLS) OVER ({W} {AHEAD}) AS p FROM p) SELECT series_id, {stamp()} AS ts, {r('x')} AS x, {r('CASE WHEN x / nullif(p, 0) IS NOT NULL THEN greatest(0.0, least(1.0, x / nullif(p, 0))) END')} AS cf FROM q",
     "series_align": f"WITH {CLEAN}, {GAPPY}, k AS (SELECT c.series_id, c.ts, g.x FROM clean c LEFT JOIN gappy g ON g.series_id = c.series_id AND g.ts = c.ts WHERE c.ts IN (SELECT ts FROM hourly WHERE series_id = (SELECT min(series_id) FROM hourly))) SELECT series_id, {stamp()} AS ts, {r(fill())} AS x FROM k",
@@ -219,7 +226,7 @@ ORACLE_SQL: dict[str, str] = {
     "degree_hour_shares": f"WITH {CLEAN}, {TEMP} SELECT series_id, {r('avg((temp < 15)::INT)')} AS active_hdh, {r('avg((temp >= 15)::INT)')} AS zero_hdh, {r('avg((temp > 22)::INT)')} AS active_cdh, {r('avg((temp <= 22)::INT)')} AS zero_cdh FROM warm GROUP BY 1",
     "leakage_audit": f"WITH {CLEAN}, {POKED}, c AS (SELECT a.series_id, a.ts FROM fa a JOIN fb b ON a.series_id = b.series_id AND a.ts = b.ts WHERE {' OR '.join(DIFFERS.values())}) SELECT series_id, count(*) FILTER (ts < TIMESTAMP '2024-01-05 06:00:00') AS before, count(*) FILTER (ts >= TIMESTAMP '2024-01-05 06:00:00' AND ts < TIMESTAMP '2024-01-06 06:00:00') AS too_soon, count(*) FILTER (ts >= TIMESTAMP '2024-01-06 06:00:00') AS allowed FROM c GROUP BY 1",
     "reacting_columns": f"WITH {CLEAN}, {POKED}, j AS (SELECT " + ", ".join(f"count(*) FILTER ({e}) AS {c}" for c, e in DIFFERS.items()) + " FROM fa a JOIN fb b ON a.series_id = b.series_id AND a.ts = b.ts) SELECT \"column\", n_changed, CASE WHEN n_changed > 0 THEN 'ok' ELSE 'spurious' END AS verdict FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS n_changed FROM j" for c in DIFFERS) + ") UNION ALL SELECT 'temp', 0, 'ok' UNION ALL SELECT 'kt_yesterday', NULL, 'absent'",
-    "standardised": f"WITH {DAILY}, {FOLDS}, {READY}, one AS (SELECT r.*, CASE WHEN ts < val_start THEN 'train' WHEN ts < test_start THEN 'validation' ELSE 'test' END AS role FROM ready r JOIN folds f ON fold = 1 AND ts < test_end), s AS (SELECT series_id, " + ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1.0 END AS s_{c}" for c in DAY_LAGS) + " FROM one WHERE role = 'train' GROUP BY 1) SELECT one.series_id, role, " + ", ".join(f"{r(f'round(avg(({c} - m_{c}) / s_{c}), 4)')} AS mean_{c}" for c in DAY_LAGS) + ", true AS taken_back FROM one JOIN s ON s.series_id = one.series_id GROUP BY one.series_id, role",
+    "standardised": f"WITH {DAILY}, {FOLDS}, {READY}, one AS (SELECT r.*, f.fold, CASE WHEN ts < val_start THEN 'train' WHEN ts < test_start THEN 'validation' ELSE 'test' END AS role FROM ready r JOIN folds f ON ts < test_end), s AS (SELECT series_id, fold, " + ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1.0 END AS s_{c}" for c in DAY_LAGS) + " FROM one WHERE role = 'train' GROUP BY 1, 2) SELECT one.series_id, one.fold, role, " + ", ".join(f"{r(f'round(avg(({c} - m_{c}) / s_{c}), 4)')} AS mean_{c}" for c in DAY_LAGS) + ", true AS taken_back FROM one JOIN s ON s.series_id = one.series_id AND s.fold = one.fold GROUP BY one.series_id, one.fold, role",
     "ridge_moments": f"WITH {DAILY}, {FOLDS}, {READY}, b AS (SELECT val_start AS t FROM folds UNION SELECT test_start FROM folds), k AS (SELECT *, (SELECT count(*) FROM b WHERE t <= ts) AS block FROM ready), g AS (SELECT series_id, block, count(*) AS n, " + ", ".join([*(f"avg({c}) AS mean_{c}, avg({c} * {c}) AS square_{c}" for c in [*DAY_LAGS, "x"]), *(f"avg({c} * x) AS with_{c}" for c in DAY_LAGS)]) + " FROM k GROUP BY 1, 2) SELECT series_id, block, n, " + ", ".join([*(f"{figures(f'mean_{c}')} AS mean_{c}, {figures(f'square_{c}')} AS square_{c}" for c in [*DAY_LAGS, "x"]), *(f"{figures(f'with_{c}')} AS with_{c}" for c in DAY_LAGS)]) + " FROM g",
     "linear_predictions": f"WITH {DAILY}, {READY} SELECT series_id, {stamp()} AS ts, {r('round(greatest(0.0, length(series_id) * 10.0 + 0.4137 * lag_1 - 0.2091 * lag_2 + 0.1073 * lag_3 + 0.2969 * lag_7 + 0.1531 * lag_14 + 0.2473 * mean_7), 2)')} AS pred FROM ready",
     "scaler": f"WITH {DAILY}, {FOLDS}, {READY} SELECT series_id, fold, " + ", ".join(f"{r(f'avg({c})')} AS mean_{c}, {r(f'CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1.0 END')} AS scale_{c}" for c in DAY_LAGS) + " FROM ready JOIN folds ON ts < val_start GROUP BY 1, 2",

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar_cols as cal
 from ..functions import solar
-from ..operators import audit, baselines, features, folds, geo, models, scale, scoring, series
+from ..operators import ablation, audit, baselines, features, folds, geo, joins, models, scale, scoring, series
 from ..sources import tables
+from ..staging import stage
 from . import base
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +89,54 @@ def series_align(spark, d):
     return series.align(keys, base.gappy(spark, d), "x")
 
 
+def _single_events(spark, d):
+    """Events by type at their own stamps, which lie anywhere."""
+    return base.table(spark, d, "events").select(F.col("event_type").alias("series_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
+
+
+@query
+def series_asof(spark, d):
+    """The last event before each hour and the first after it, if within twenty minutes."""
+    hours, events = base.clean(spark, d).select("series_id", "ts"), _single_events(spark, d)
+    before = joins.asof_join(hours, events.withColumnRenamed("value", "before"), "before", tolerance_seconds=1200, at="before_ts", chunk_seconds=86400)
+    return joins.asof_join(before, events.withColumnRenamed("value", "after"), "after", direction="forward", tolerance_seconds=1200, at="after_ts", chunk_seconds=86400)
+
+
+@query
+def series_spread_off_grid(spark, d):
+    """A figure stamped 17 minutes past noon, every third day."""
+    clean = base.clean(spark, d)
+    capacity = clean.filter((F.hour("ts") == 12) & (F.dayofmonth("ts") % 3 == 0)).select("series_id", (F.col("ts") + F.expr("interval 17 minutes")).alias("ts"), (F.col("x") * 2 + 100).alias("capacity_mw"))
+    return series.spread_daily(clean, capacity, "capacity_mw").select("series_id", "ts", "capacity_mw")
+
+
+@query
+def series_reconcile_irregular(spark, d):
+    """Single events against the hour's total at or before them."""
+    return series.reconcile_irregular(_single_events(spark, d), base.hourly(spark, d), "value", "x", 50.0)
+
+
+@query
+def series_align_irregular(spark, d):
+    """Each day's figure of the orders as the last event of each type left it."""
+    keys = base.clean(spark, d).filter(F.hour("ts") % 6 == 5).select("series_id", (F.col("ts") + F.expr("interval 1234 seconds")).alias("ts"))
+    return series.align_irregular(keys, _single_events(spark, d), "value")
+
+
+@query
+def series_pick(spark, d):
+    return series.pick_series(base.clean(spark, d), "click", "view").groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("x"))
+
+
+@query
+def interval_totals(spark, d):
+    """Days of orders within a period for each part, of 1 to 90 days, which overlap."""
+    k = F.col("p_partkey")
+    begin = F.lit("1995-01-01").cast("timestamp") + F.make_dt_interval((k * 37 % 2400).cast("int"))
+    periods = base.table(spark, d, "part").select(k.alias("period"), begin.alias("lo"), (begin + F.make_dt_interval((k % 90 + 1).cast("int"))).alias("hi"))
+    return joins.interval_join(base.daily_orders(spark, d), periods).groupBy("period").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor("x")).alias("x"))
+
+
 @query
 def series_shares(spark, d):
     return series.shares(base.clean(spark, d))
@@ -547,9 +596,9 @@ def reacting_columns(spark, d):
 
 
 def _daily_features(spark, d):
-    t = base.daily_orders(spark, d)
-    rows = t.withColumns({f"lag_{k}": features.lag("x", k) for k in DAY_LAGS}).withColumn("mean_7", features.rolling_mean("x", 7, 1)).dropna()
-    return folds.assign_folds(rows, _folds(t)), [*(f"lag_{k}" for k in DAY_LAGS), "mean_7"]
+    """Features of days with each fold's roles, written once: fits read them many times."""
+    rows, fold_table, columns, _ = _model_rows(spark, d)
+    return stage(folds.assign_folds(rows, fold_table), "daily-roles"), columns
 
 
 @query
@@ -560,31 +609,28 @@ def scaler(spark, d):
 
 @query
 def standardised(spark, d):
-    """Features of fold 1 standardised by its training rows, and how far they are off when taken back."""
+    """Features of every fold standardised by its training rows, and how far they are off when taken back."""
     rows, columns = _daily_features(spark, d)
-    rows = rows.filter("fold = 1")
-    fitted = models.scaler(rows.filter("role = 'train'"), columns, ["series_id"])
-    z = models.standardise(rows, fitted, columns, ["series_id"])
-    back = models.unstandardise(z, fitted, columns, ["series_id"]).select("series_id", "ts", *[F.col(c).alias(f"back_{c}") for c in columns])
-    both = z.join(back, ["series_id", "ts"]).join(rows.select("series_id", "ts", *[F.col(c).alias(f"was_{c}") for c in columns]), ["series_id", "ts"])
-    off = [F.max(F.abs(F.col(f"back_{c}") - F.col(f"was_{c}"))) < 1e-3 for c in columns]
-    same = off[0]
-    for o in off[1:]:
-        same = same & o
-    return both.groupBy("series_id", "role").agg(*[F.round(F.avg(c), 4).alias(f"mean_{c}") for c in columns], same.alias("taken_back"))
+    fitted = models.scaler(rows.filter("role = 'train'"), columns, ["series_id", "fold"])
+    named = rows.withColumns({f"was_{c}": F.col(c) for c in columns})
+    z = models.standardise(named, fitted, columns, ["series_id", "fold"]).withColumns({f"z_{c}": F.col(c) for c in columns})
+    back = models.unstandardise(z, fitted, columns, ["series_id", "fold"])
+    same = F.greatest(*[F.max(F.abs(F.col(c) - F.col(f"was_{c}"))) for c in columns]) < 1e-3
+    return back.groupBy("series_id", "fold", "role").agg(*[F.round(F.avg(f"z_{c}"), 4).alias(f"mean_{c}") for c in columns], same.alias("taken_back"))
 
 
 def _model_rows(spark, d):
-    t = base.daily_orders(spark, d)
+    """Days with their features, the folds, the features' names, and the days themselves; tables that are read again are staged."""
+    t = stage(base.daily_orders(spark, d), "days")
     columns = [*(f"lag_{k}" for k in DAY_LAGS), "mean_7"]
     rows = t.withColumns({f"lag_{k}": features.lag("x", k) for k in DAY_LAGS}).withColumn("mean_7", features.rolling_mean("x", 7, 1)).dropna()
-    return rows, _folds(t), columns
+    return stage(rows, "daily-features"), stage(_folds(t), "fold-table"), columns, t
 
 
 @query
 def ridge_moments(spark, d):
     """Sums of products of each block of time between fold boundaries, as the fits take them."""
-    rows, fold_table, columns = _model_rows(spark, d)
+    rows, fold_table, columns, _ = _model_rows(spark, d)
     bounds = models.boundaries(fold_table)
     packed = models.ridge_moments(rows, bounds, columns, "x")
     p = len(columns) + 2
@@ -612,14 +658,14 @@ def _figures(c: str, digits: int):
 @query
 def linear_predictions(spark, d):
     """Predictions by given coefficients, clipped at 0."""
-    rows, _, columns = _model_rows(spark, d)
+    rows, _, columns, _ = _model_rows(spark, d)
     given = rows.select("series_id").distinct().select("series_id", (F.length("series_id") * 10.0).alias("intercept"), F.array(*[F.lit(w) for w in (0.4137, -0.2091, 0.1073, 0.2969, 0.1531, 0.2473)]).alias("coef"), F.lit(1.0).alias("alpha"))
     return models.predict_linear(rows, given, columns, ["series_id"], least=0.0).select("series_id", "ts", F.round("pred", 2).alias("pred"))
 
 
 @query
 def ridge_backtest(spark, d):
-    rows, fold_table, columns = _model_rows(spark, d)
+    rows, fold_table, columns, _ = _model_rows(spark, d)
     fitted = models.fit_ridge_folds(rows, fold_table, columns, "x")
     pred = models.predict_linear(folds.assign_folds(rows, fold_table).filter("role = 'test'"), fitted, columns, ["series_id", "fold"], least=0.0)
     return pred.groupBy("series_id", "fold", "alpha").agg(F.avg(F.abs(F.col("pred") - F.col("x"))).alias("mae"), F.count(F.lit(1)).alias("n"))
@@ -637,18 +683,82 @@ def gbm_backtest(spark, d):
     return out.groupBy("series_id", "fold").agg(F.avg(F.abs(F.col("pred") - F.col("x"))).alias("mae"), F.count(F.lit(1)).alias("n"))
 
 
+def _scored_beside(days, fold_table, fitted):
+    """Long predictions of baselines and a published forecast on the folds' test rows beside fitted ones, and the rows themselves."""
+    based = baselines.demand_baselines(days, day=1)
+    published = F.when(~((F.length("series_id") % 2 == 0) & (F.dayofmonth("ts") == 7)), F.round(F.col("x") + features.seeded_normal(5, F.col("series_id"), F.unix_timestamp("ts")) * 20, 4))
+    test = stage(folds.assign_folds(based.withColumn("published", published), fold_table).filter("role = 'test'"), "test-rows")
+    names = [*MODELS, "published"]
+    plain = test.select("series_id", "ts", "fold", "test_start", F.col("x").alias("y"), *names).unpivot(["series_id", "ts", "fold", "test_start", "y"], names, "model", "pred")
+    actual = test.select("series_id", "ts", "fold", "test_start", F.col("x").alias("y"))
+    return baselines.without_holes(plain, ("published",)).unionByName(fitted), actual
+
+
 @query
 def models_scored(spark, d):
     """Fitted models, baselines and a published forecast on the same test rows of every fold: a table as the last step of a run.
 
     A published forecast with a hole leaves a series; models that are scored on other rows fail the table.
     """
-    rows, fold_table, columns = _model_rows(spark, d)
+    rows, fold_table, columns, days = _model_rows(spark, d)
     fitted = models.forecasts(rows, fold_table, columns, "x", {"ridge": models.ridge_forecast, "gbm": models.gbm_forecast}, least=0.0)
-    based = baselines.demand_baselines(base.daily_orders(spark, d), day=1)
-    published = F.when(~((F.length("series_id") % 2 == 0) & (F.dayofmonth("ts") == 7)), F.round(F.col("x") + features.seeded_normal(5, F.col("series_id"), F.unix_timestamp("ts")) * 20, 4))
-    test = folds.assign_folds(based.withColumn("published", published), fold_table).filter("role = 'test'")
-    names = [*MODELS, "published"]
-    plain = test.select("series_id", "ts", "fold", "test_start", F.col("x").alias("y"), *names).unpivot(["series_id", "ts", "fold", "test_start", "y"], names, "model", "pred")
-    pred = baselines.on_scored_rows(plain, test, ("published",)).unionByName(fitted)
-    return scoring.score_table(pred, "seasonal_naive", ("series_id", "fold"))
+    pred, actual = _scored_beside(days, fold_table, fitted)
+    return scoring.score_table(pred, "seasonal_naive", ("series_id", "fold"), actual)
+
+
+@query
+def gbm_pooled_scores(spark, d):
+    """One boosted model a fold over all series, the whole grid, beside the baselines on the same test rows."""
+    rows, fold_table, columns, days = _model_rows(spark, d)
+    fitted = models.forecasts(rows, fold_table, columns, "x", {"gbm_pooled": models.pooled_forecast}, least=0.0)
+    pred, actual = _scored_beside(days, fold_table, fitted)
+    return scoring.score_table(pred.filter("model <> 'published'"), "seasonal_naive", ("fold",), actual)
+
+
+def _demand_modes(spark, d):
+    """Ridge on the days' own features and on the temperature as each mode knows it, on the test rows of every fold."""
+    _, fold_table, columns, days = _model_rows(spark, d)
+    warm = base.with_temperature(days)
+
+    def build(mode):
+        t = features.usable_temperature("temp", mode, seed=3, day=1)
+        rows = warm.withColumns({f"lag_{k}": features.lag("x", k) for k in DAY_LAGS}).withColumn("mean_7", features.rolling_mean("x", 7, 1))
+        if t is None:
+            return rows.select("series_id", "ts", "x", *columns).dropna(), columns
+        hdh, cdh = cal.degree_hours(F.col("temp_c"))
+        rows = rows.withColumn("temp_c", t).withColumns({"hdh": hdh, "cdh": cdh, "change": F.col("temp_c") - features.lag("temp_c", 1)})
+        mine = [*columns, "temp_c", "hdh", "cdh", "change"]
+        return rows.select("series_id", "ts", "x", *mine).dropna(), mine
+
+    return ablation.mode_forecasts(features.MODES, build, fold_table, "x", models.ridge_forecast)
+
+
+@query
+def demand_mode_scores(spark, d):
+    """What each way of knowing the temperature is worth to a fitted model, by fold and against none, on the same rows."""
+    return ablation.mode_table(_demand_modes(spark, d), "none")
+
+
+@query
+def demand_mode_folds(spark, d):
+    """Fold by fold, the fitted model's error under perfect weather less that without."""
+    tidy = ablation.tidy_modes(_demand_modes(spark, d))
+    return scoring.fold_delta(tidy, "none", "perfect").join(scoring.delta_summary(scoring.fold_delta(tidy, "none", "perfect")), "model")
+
+
+@query
+def solar_mode_scores(spark, d):
+    """Ridge on each mode's solar features with and without the production record, on the same daylight rows."""
+    t = stage(_solar_table(spark, d), "solar")
+    fold_table = spark.createDataFrame([(1, "2024-01-16", "2024-01-22", "2024-02-01")], "fold int, a string, b string, c string").select("fold", *[F.col(c).cast("timestamp").alias(n) for c, n in zip("abc", ("val_start", "test_start", "test_end"), strict=True)])
+    out = None
+    for record in (True, False):
+
+        def build(mode, record=record):
+            rows = features.solar_features(t, "cf", mode, "temp")
+            columns = [c for c in features.solar_columns(mode) if record or c not in features.solar_history_columns(mode)]
+            return folds.daylight_rows(rows, t), columns
+
+        got = ablation.mode_table(ablation.mode_forecasts(features.SOLAR_MODES, build, fold_table, "cf", models.ridge_forecast, least=0.0), "none").withColumn("record", F.lit(record))
+        out = got if out is None else out.unionByName(got)
+    return out

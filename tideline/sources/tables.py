@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..staging import broadcast_if_small
+
 
 def read_wide_csv(spark: SparkSession, path: str, columns: dict[str, str], ts_column: str = "utc_timestamp") -> DataFrame:
     """ts (UTC) and the named columns, renamed, as doubles; other columns of the file aren't read.
@@ -32,6 +34,8 @@ def read_weather(spark: SparkSession, path: str, kind: str, kinds: tuple[str, ..
     return unpivot_columns(wide, ["ts"], {k: k for k in kinds}, "kind", "temp_c").filter(F.col("kind") == kind).select("ts", "temp_c")
 
 
+#: Files whose first slices every task may hold.
+MOST_FILES = 1 << 17
 #: Dimensions a field may have besides time and place: ensemble member, version, level and the like.
 EXTRA_DIMENSIONS = ("number", "expver", "step", "surface", "level", "realization", "height")
 
@@ -40,7 +44,8 @@ def read_grid(spark: SparkSession, paths: list[str] | str, extra: tuple[str, ...
     """ts, lat, lon, t2m in Celsius and source_file, from long Parquet in Kelvin.
 
     The time column may be called time or valid_time; latitude and longitude are degrees. Of any
-    extra dimension a file has, its first (lowest) slice is taken; slices of a file are few.
+    extra dimension a file has, its first (lowest) slice is taken; slices of a file are few. These
+    lowest values, a row a file, are staged and broadcast up to MOST_FILES, so no field is moved.
     """
     df = spark.read.option("mergeSchema", True).parquet(*([paths] if isinstance(paths, str) else paths))
     times = [F.col(c) for c in ("valid_time", "time") if c in df.columns]
@@ -48,7 +53,7 @@ def read_grid(spark: SparkSession, paths: list[str] | str, extra: tuple[str, ...
     dims = [c for c in extra if c in df.columns]
     if dims:
         first = df.groupBy(file.alias("_file")).agg(*[F.min(c).alias(f"_{c}") for c in dims])
-        rows = df.withColumn("_file", file).join(first, "_file")
+        rows = df.withColumn("_file", file).join(broadcast_if_small(first, MOST_FILES, "first-slices"), "_file")
         for c in dims:
             rows = rows.filter(F.col(c).eqNullSafe(F.col(f"_{c}")))
         df, file = rows, F.col("_file")
