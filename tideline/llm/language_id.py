@@ -22,10 +22,12 @@ from .common import blob, bounded_batches, columns_of, fresh, text_chunks
 from .decontaminate import lower_latin
 
 DIMS = 4096
-#: At most so many labelled texts of a language, and of all languages, are sampled to fit machines.
+#: At most so many labelled texts of a language, and of all languages (or two of each), are sampled to fit machines.
 SAMPLE_PER_LANGUAGE, SAMPLE = 500, 2000
-#: The most frequent languages are learned, so many at most: two of a family take a machine.
-LANGUAGES = 100
+#: Up to so many languages of a family, each two take a machine; beyond, each takes one against the rest.
+PAIRED = 16
+#: Machines fitted in one product.
+AT_ONCE = 64
 #: Public classification of languages. A language that isn't listed is a family of its own.
 FAMILIES = {"germanic": "en de nl sv da no nb nn is af", "romance": "fr es it pt ro ca gl oc", "slavic": "ru uk pl cs sk bg sr hr sl be mk", "indic": "hi bn mr ne ur pa gu", "semitic": "ar he mt am", "turkic": "tr az kk uz", "uralic": "fi et hu"}
 _FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
@@ -88,8 +90,30 @@ def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 20.0, rounds: int = 150)
     return w
 
 
+def fit_against_rest(x: np.ndarray, names: np.ndarray, each: list[str]) -> np.ndarray:
+    """A machine a name against all others; of many, AT_ONCE are descended side by side."""
+    if len(each) <= PAIRED:
+        return np.stack([fit_svm(x, np.where(names == f, 1.0, -1.0)) for f in each])
+    return np.concatenate([_fit_side_by_side(x, np.where(names[:, None] == np.array(each[lo : lo + AT_ONCE], dtype=object)[None, :], 1.0, -1.0).astype(np.float32)) for lo in range(0, len(each), AT_ONCE)])
+
+
+def _fit_side_by_side(x: np.ndarray, y: np.ndarray, cost: float = 20.0, rounds: int = 150) -> np.ndarray:
+    """As fit_svm, for each column of y."""
+    w = np.zeros((x.shape[1] + 1, y.shape[1]), dtype=np.float32)
+    seen = w.copy()
+    weight = np.where(y > 0, 0.5 / np.maximum(1, (y > 0).sum(axis=0)), 0.5 / np.maximum(1, (y <= 0).sum(axis=0))).astype(np.float32)
+    step = np.float32(1.0 / (1.0 + 4.0 * cost))
+    for t in range(rounds):
+        gap = np.maximum(0.0, 1.0 - y * (x @ seen[:-1] + seen[-1])) * weight * y
+        grad = np.concatenate([seen[:-1] - 2 * cost * (x.T @ gap), -2 * cost * gap.sum(axis=0, keepdims=True)])
+        new = seen - step * grad
+        seen = (new + np.float32(t / (t + 3.0)) * (new - w)).astype(np.float32)
+        w = new.astype(np.float32)
+    return w.T
+
+
 class Model:
-    """Families, one machine a family; for each family its languages and a machine for each two.
+    """Families, one machine a family; for each family its languages and a machine for each two, or in a large family for each against the rest.
 
     learned_from: how many texts of each language.
     """
@@ -99,12 +123,15 @@ class Model:
         self.langs = sorted(self.learned_from)
         fam = np.array([family_of(v) for v in langs]) if len(langs) else langs
         self.families = sorted(set(fam))
-        self.outer = np.stack([fit_svm(x, np.where(fam == f, 1.0, -1.0)) for f in self.families]) if len(self.families) > 1 else None
+        self.outer = fit_against_rest(x, fam, self.families) if len(self.families) > 1 else None
         self.inner = {}
         for f in self.families:
             mine = sorted({v for v in self.langs if family_of(v) == f})
             machines = []
-            for a, b in combinations(range(len(mine)), 2):
+            if len(mine) > PAIRED:
+                rows = fam == f
+                machines = [(a, -1, w) for a, w in enumerate(fit_against_rest(x[rows], langs[rows], mine))]
+            for a, b in combinations(range(len(mine) if len(mine) <= PAIRED else 0), 2):
                 rows = (langs == mine[a]) | (langs == mine[b])
                 machines.append((a, b, fit_svm(x[rows], np.where(langs[rows] == mine[a], 1.0, -1.0))))
             self.inner[f] = (mine, machines)
@@ -131,27 +158,33 @@ class Model:
             votes, weight = np.zeros((len(rows), len(mine))), np.zeros((len(rows), len(mine)))
             for a, b, w in machines:
                 p = squash(x[rows] @ w[:-1] + w[-1])
+                if b < 0:
+                    weight[:, a] = p
+                    continue
                 votes[:, a] += p >= 0.5
                 votes[:, b] += p < 0.5
                 weight[:, a] += p
                 weight[:, b] += 1 - p
+            if machines and machines[0][1] < 0:  # shares, on the scale of votes
+                weight *= (len(mine) - 1) / np.maximum(weight.sum(axis=1, keepdims=True), 1e-9)
             best = (votes + weight / (len(mine) + 1)).argmax(axis=1)
             out[rows] = np.array(mine, dtype=object)[best]
             score[rows] = sure[rows] * (weight[np.arange(len(rows)), best] / max(1, len(mine) - 1) if machines else 1.0)
         return list(out), np.clip(score, 0.0, 1.0)
 
 
-def fit_language_model(docs: DataFrame, learn: Column, per_language: int = SAMPLE_PER_LANGUAGE, most: int = SAMPLE, languages: int = LANGUAGES) -> Model:
+def fit_language_model(docs: DataFrame, learn: Column, per_language: int = SAMPLE_PER_LANGUAGE, most: int = SAMPLE, languages: int | None = None) -> Model:
     """Fit on a sample of the rows for which `learn` holds and lang is given.
 
-    Of each of the most frequent `languages`, different texts are taken by a hash of id and text, at
-    most per_language of them and `most` in all; equal rows count once. One task gathers their
-    hashed counts and fits, the driver gets the machines.
+    Of every language (or of the most frequent `languages`, if a caller wants no others), different texts are taken by a hash of id and text, at most per_language of them
+    and `most` in all, but two of each language however many there are; equal rows count once. One task
+    gathers their hashed counts and fits, the driver gets the machines.
     """
     # Learned from may be any column of docs, so what is added to it gets names of its own.
     known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = known.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.lit("sample"), "doc_id", "text").alias("h"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("h", 0.05).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    counted = known.groupBy("lang").agg(F.approx_count_distinct("h", 0.05).alias("n")).orderBy(F.desc("n"), "lang")
+    counts = {r["lang"]: r["n"] for r in (counted if languages is None else counted.limit(languages)).collect()}
     if not counts:
         return Model(np.zeros((0, DIMS), dtype=np.float32), np.zeros(0, dtype=object))
     bound = max(2, min(per_language, most // len(counts)))
