@@ -108,7 +108,7 @@ def conversation_digests(turns: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     A digest of a whole conversation is sequential, so a conversation's turns stream, sorted on
     disk by Spark, through one task that holds one turn at a time. Turns of equal number follow by
-    role, then text.
+    role, a null one as empty, then by the text before escaping.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +139,10 @@ def conversation_digests(turns: DataFrame, path: str = VOCABULARY) -> DataFrame:
         close()
         yield _digests(rows)
 
-    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted").select("conv_id", "token_ids", "loss_mask", "formatted")
+    role = F.coalesce("role", F.lit(""))
+    begin = F.length(F.regexp_replace(role, _ESCAPE_ROLE.pattern, r"\\$0")) + len(TURN) + len(SEP) + 1
+    text = F.regexp_replace(F.col("formatted").substr(begin, F.length("formatted") - begin - len(END) + 1), _UNESCAPE.pattern, "$1")
+    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", role, text).select("conv_id", "token_ids", "loss_mask", "formatted")
     return ordered.mapInArrow(run, DIGEST_SCHEMA)
 
 
