@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, SpanHasher, bounded_batches, columns_of, mix64, stage_table, text_chunks
+from .common import _U, SpanHasher, bounded_batches, columns_of, fresh, mix64, stage_table, text_chunks
 
 WINDOW = 8
 #: Shorter items are one window of their own length; below this they are too common to tell.
@@ -35,6 +35,21 @@ BITMAP_WINDOWS, BITMAP_BITS = 1 << 22, 26
 #: A window in more items than this is joined late, for pairs that another window has already found.
 COMMON_ITEMS = 64
 UNITS = "mm cm m km in ft mi mg g kg t lb oz ml l s sec seconds min minutes h hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents percent mph kmh kph w kw mw v a hz degrees miles meters metres kilometers kilometres grams kilograms liters litres".split()
+#: Number words of the tables' languages, but for those that are articles or units.
+NUMBER_WORDS = {
+    "en": "zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million dozen",
+    "de": "null zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend",
+    "fr": "zéro deux trois quatre cinq six sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante mille",
+    "es": "cero dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento mil",
+}
+
+
+def number_words() -> list[str]:
+    """The words of all languages, and the German ones that are written together, such as dreiundzwanzig."""
+    german = NUMBER_WORDS["de"].split()
+    together = [f"{one}und{ten}" for one in ["ein", *german[1:9]] for ten in german[19:27]]
+    return sorted({w for words in NUMBER_WORDS.values() for w in words.split()} | set(together))
+
 
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
@@ -65,20 +80,45 @@ def lower_latin(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _unit_hashes() -> np.ndarray:
-    joined = np.frombuffer("".join(UNITS).encode(), dtype=np.uint8)
-    at = np.cumsum([0, *map(len, UNITS)])
-    return np.sort(SpanHasher(joined)(at[:-1], at[1:]))
+def _word_hashes(words: list[str]) -> np.ndarray:
+    raw = [w.encode() for w in words]
+    at = np.cumsum([0, *map(len, raw)])
+    return np.sort(SpanHasher(np.frombuffer(b"".join(raw), dtype=np.uint8))(at[:-1], at[1:]))
+
+
+_UNIT_HASHES, _NUMBER_HASHES = _word_hashes(UNITS), _word_hashes(number_words())
+#: Which code points of up to three bytes are capitals.
+_CAPITAL = np.array([chr(c).isupper() or chr(c).istitle() for c in range(1 << 16)])
+
 
+def _among(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    return wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes
 
-_UNIT_HASHES = _unit_hashes()
+
+def _capitals(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which tokens begin with a capital letter of any script."""
+    a, b, c = (data[np.minimum(starts + k, len(data) - 1)].astype(np.int64) for k in range(3))
+    two, three = (a & 31) << 6 | b & 63, (a & 15) << 12 | (b & 63) << 6 | c & 63
+    return _CAPITAL[np.where(a < 128, a, np.where(a < 0xE0, two, np.where(a < 0xF0, three, 0xFFFF)))]
+
+
+def _joined_numbers(starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Starts, ends and hashes with number words in a row, such as twenty-three, as one token; and which are of number words."""
+    word = _among(hashes, _NUMBER_HASHES)
+    more = np.zeros(len(starts), dtype=bool)
+    more[1:] = word[1:] & word[:-1] & (starts[1:] - ends[:-1] == 1)
+    more[first[:-1][first[:-1] < len(starts)]] = False
+    head = np.flatnonzero(~more)
+    place = np.arange(len(starts)) - np.repeat(head, np.diff(np.append(head, len(starts))))
+    parts = np.where(more, mix64(hashes + place.astype(_U)), hashes)
+    return starts[head], ends[np.append(head[1:], len(starts)) - 1], np.add.reduceat(parts, head), word[head]
 
 
 def template_tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of joined texts: hash of each token, its slot type, and each text's first token (n + 1 long).
 
-    A '.' or ',' between digits belongs to the number. A name is a capitalised word that doesn't
-    open a sentence, an opener one that does.
+    A '.' or ',' between digits belongs to the number; number words in a row are one number. A name is a
+    word with a capital, of any script, that doesn't open a sentence, an opener one that does.
     """
     token = _TOKEN[data]
     inner = np.flatnonzero((data == 46) | (data == 44))
@@ -92,22 +132,25 @@ def template_tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.
     starts, ends = np.flatnonzero(token & ~before), np.flatnonzero(token & ~after) + 1
     first = np.searchsorted(starts, offs)
     hashes = SpanHasher(lower_latin(data))(starts, ends)
+    worded = np.zeros(len(starts), dtype=bool)
+    if len(starts):
+        starts, ends, hashes, worded = _joined_numbers(starts, ends, hashes, first)
+        first = np.searchsorted(starts, offs)
     kind = np.zeros(len(starts), dtype=np.uint8)
     digits = np.concatenate(([0], np.cumsum(_DIGIT[data] | False)))
     marks = np.zeros(len(data), dtype=bool)
     marks[inner] = True
     digits = digits + np.concatenate(([0], np.cumsum(marks)))
-    number = digits[ends] - digits[starts] == ends - starts
+    number = (digits[ends] - digits[starts] == ends - starts) | worded
     kind[number] = NUM
     opens = np.zeros(len(starts), dtype=bool)
     opens[first[:-1][first[:-1] < len(starts)]] = True
     if len(starts):
-        at = np.searchsorted(_UNIT_HASHES, hashes)
-        unit = _UNIT_HASHES[np.minimum(at, len(_UNIT_HASHES) - 1)] == hashes
+        unit = _among(hashes, _UNIT_HASHES)
         unit[1:] &= number[:-1] & ~opens[1:]
         unit[0] = False
         kind[unit] = UNIT
-        capital = _UPPER[data[starts]] | ((data[starts] == 0xC3) & (data[np.minimum(starts + 1, len(data) - 1)] <= 0x9E))
+        capital = _capitals(data, starts)
         stops = np.concatenate(([0], np.cumsum(_STOP[data])))
         opens[1:] |= stops[starts[1:]] > stops[ends[:-1]]
         named = capital & (kind == LITERAL)
@@ -140,11 +183,11 @@ def windows_of(hashes: np.ndarray, kind: np.ndarray, first: np.ndarray, width: i
     return w[at], at
 
 
-SCHEMA = "id long, window long, pos int, slots array<long>, exact boolean, opener boolean, width int"
+SCHEMA = "window long, pos int, slots array<long>, exact boolean, opener boolean, width int"
 
 
 def template_windows(rows: DataFrame, widths: list[int], bitmap: bytes | None = None, own_width: bool = False) -> DataFrame:
-    """id, window (hash), pos (first token), slot values, exact, opener (a slot is one) and width of the windows in rows(id, text).
+    """id, window (hash), pos (first token), slot values, exact, opener (a slot is one) and width of the windows in rows(id, text); id may be of any type.
 
     bitmap: only windows whose bit is set. own_width: of each text only the windows of its own
     width, the largest of widths or all its tokens if it has fewer.
@@ -184,7 +227,8 @@ def template_windows(rows: DataFrame, widths: list[int], bitmap: bytes | None =
                 values = np.concatenate(slots) if slots else np.zeros(0, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(ch.lo + text)), pa.array(w.view(np.int64)), pa.array((at - first[text]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.array(offsets, dtype=np.int32)), pa.array(values)), pa.array(variant == EXACT), pa.array(variant == OPENERS), pa.array(width.astype(np.int32))], ["id", "window", "pos", "slots", "exact", "opener", "width"])
 
-    return bounded_batches(rows).selectExpr("cast(id as long) id", "cast(text as string) text").mapInArrow(run, SCHEMA)
+    kind = rows.schema["id"].dataType.simpleString()
+    return bounded_batches(rows).select("id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"id {kind}, {SCHEMA}")
 
 
 def _bitmap(windows: DataFrame) -> bytes | None:
@@ -238,9 +282,9 @@ def _agreeing(line: np.ndarray, ipos: np.ndarray, of: np.ndarray, item: np.ndarr
 
 
 def consistent_places(lines: DataFrame) -> DataFrame:
-    """doc_id, item_id and places (ipos, exact) of the windows that don't contradict their diagonal.
+    """doc, item_id and places (ipos, exact) of the windows that don't contradict their diagonal.
 
-    lines: doc_id, item_id and windows (ipos, exact, opener, islots, slots), a row a diagonal. An
+    lines: doc, item_id and windows (ipos, exact, opener, islots, slots), a row a diagonal. An
     opener may be no name, so windows without such slots need only agree among themselves.
     """
 
@@ -257,9 +301,9 @@ def consistent_places(lines: DataFrame) -> DataFrame:
             kept = np.flatnonzero(ok)
             ends = np.searchsorted(line[kept], np.arange(batch.num_rows + 1)).astype(np.int32)
             places = pa.StructArray.from_arrays([ipos.take(pa.array(kept)), exact.take(pa.array(kept))], ["ipos", "exact"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), places)], ["doc_id", "item_id", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), places)], ["doc", "item_id", "places"])
 
-    return lines.select("doc_id", "item_id", "windows").mapInArrow(run, "doc_id long, item_id long, places array<struct<ipos: int, exact: boolean>>")
+    return lines.select("doc", "item_id", "windows").mapInArrow(run, f"doc {lines.schema['doc'].dataType.simpleString()}, item_id long, places array<struct<ipos: int, exact: boolean>>")
 
 
 def _late_windows(table: DataFrame, coverage: float) -> DataFrame:
@@ -277,38 +321,46 @@ def _late_windows(table: DataFrame, coverage: float) -> DataFrame:
     return table.join(common, "window", "left_semi").join(items, "id", "left_semi").select(F.col("id").alias("item_id"), "window").distinct()
 
 
+def document_key() -> Column:
+    """Tells documents apart: a hash of doc_id and text."""
+    return F.xxhash64(F.lit("document"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
-    """doc_id, item_id, n_windows, n_matched, coverage for each document that holds an item.
+    """doc_id, doc_key, item_id, n_windows, n_matched, coverage for each document that holds an item.
 
     docs: doc_id, text. benchmark: item_id, text. More columns are ignored. At least `coverage` of
     an item's windows, or of those that have words enough (whichever share is larger is returned),
     must stand in the document, in windows that don't contradict their diagonal. Null or empty texts match
-    nothing, nor do items under LEAST_TOKENS tokens. Rows that repeat a doc_id count as one
-    document, rows that repeat an item_id as one item. Empty tables give no rows.
+    nothing, nor do items under LEAST_TOKENS tokens. A document is its doc_id, which may be null, and its
+    text: rows that repeat both count as one, other texts of one id are judged by themselves. Rows that
+    repeat an item_id count as one item. Empty tables give no rows.
     """
-    items = benchmark.select(F.col("item_id").alias("id"), "text")
+    items = benchmark.select(F.col("item_id").cast("long").alias("id"), "text")
     table = stage_table(template_windows(items, [*range(LEAST_TOKENS, window), window], own_width=True).distinct(), "benchmark-windows")
     short = [r["width"] for r in table.select("width").distinct().collect() if r["width"] < window]
     sizes = table.groupBy("id").agg(F.countDistinct("pos", "exact").cast("long").alias("n_all"), F.countDistinct(F.when(~F.col("exact"), F.col("pos"))).cast("long").alias("n_typed"))
     lookup = table.select(F.col("id").alias("item_id"), "window", F.col("pos").alias("ipos"), F.col("slots").alias("islots"), "exact", F.col("opener").alias("iopener"))
     late = stage_table(_late_windows(table, coverage), "benchmark-late")
-    windows = template_windows(docs.select(F.col("doc_id").alias("id"), "text"), [window, *short], _bitmap(table)).drop("exact", "width").withColumnRenamed("id", "doc_id")
+    windows = template_windows(docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), document_key().alias("key")).alias("id"), "text"), [window, *short], _bitmap(table)).drop("exact", "width").withColumnRenamed("id", "doc")
     if late.isEmpty():
         hits = windows.join(lookup, "window")
     else:
         windows = stage_table(windows.join(lookup.select("window").distinct(), "window", "left_semi"), "document-windows")
         hits = windows.join(lookup.join(late, ["item_id", "window"], "left_anti"), "window")
-        known = hits.select("doc_id", "item_id").distinct().join(lookup.join(late, ["item_id", "window"], "left_semi"), "item_id")
-        hits = hits.unionByName(windows.join(known, (windows["window"] == known["window"]) & windows["doc_id"].eqNullSafe(known["doc_id"])).select(windows["*"], *[known[c] for c in ("item_id", "ipos", "islots", "exact", "iopener")]))
+        known = hits.select("doc", "item_id").distinct().join(lookup.join(late, ["item_id", "window"], "left_semi"), "item_id")
+        hits = hits.unionByName(windows.join(known, (windows["window"] == known["window"]) & windows["doc"].eqNullSafe(known["doc"])).select(windows["*"], *[known[c] for c in ("item_id", "ipos", "islots", "exact", "iopener")]))
     hits = hits.filter(F.size("slots") == F.size("islots"))
-    lines = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("diagonal")).agg(F.collect_set(F.struct("ipos", "exact", (F.col("opener") | F.col("iopener")).alias("opener"), "islots", "slots")).alias("windows"))
+    lines = hits.groupBy("doc", "item_id", (F.col("pos") - F.col("ipos")).alias("diagonal")).agg(F.collect_set(F.struct("ipos", "exact", (F.col("opener") | F.col("iopener")).alias("opener"), "islots", "slots")).alias("windows"))
     places = F.array_distinct(F.flatten(F.collect_set("places")))
-    matched = consistent_places(lines).groupBy("doc_id", "item_id").agg(F.size(places).cast("long").alias("m_all"), F.size(F.filter(places, lambda p: ~p["exact"])).cast("long").alias("m_typed"))
+    matched = consistent_places(lines).groupBy("doc", "item_id").agg(F.size(places).cast("long").alias("m_all"), F.size(F.filter(places, lambda p: ~p["exact"])).cast("long").alias("m_typed"))
     shares = [F.struct(F.coalesce(F.try_divide(f"m_{k}", f"n_{k}"), F.lit(0.0)).alias("coverage"), F.col(f"n_{k}").alias("n_windows"), F.col(f"m_{k}").alias("n_matched")) for k in ("all", "typed")]
     joined = matched.join(sizes.withColumnRenamed("id", "item_id"), "item_id").withColumn("share", F.greatest(*shares))
-    return joined.select("doc_id", "item_id", "share.n_windows", "share.n_matched", "share.coverage").filter(F.col("coverage") >= coverage)
+    return joined.select("doc.doc_id", F.col("doc.key").alias("doc_key"), "item_id", "share.n_windows", "share.n_matched", "share.coverage").filter(F.col("coverage") >= coverage)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold a benchmark item; rows with a null doc_id stay."""
-    return docs.join(contaminated_pairs(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*columns_of(docs))
+    """docs without the documents that hold a benchmark item, told by id and text; rows without a doc_id are judged like others."""
+    key, gone = fresh(docs, "doc_key", "gone_key")
+    found = contaminated_pairs(docs, benchmark).select(F.col("doc_key").alias(gone)).distinct()
+    return docs.withColumn(key, document_key()).join(found, F.col(key) == F.col(gone), "left_anti").select(*columns_of(docs))
