@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tideline.llm import decontaminate, jaccard_join, language_id, mixing, packing
-from tideline.llm.common import documents, stage_table
+from tideline.llm.common import documents, remove_staged, stage_table, staged_so_far
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -53,7 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The last stage's rows. A stage's own tables, and its predecessor's rows, are removed once its rows are written."""
+    docs, begun = documents(spark, sf_dir), staged_so_far()
     for name, stage in STAGES[:-1]:
         docs = stage_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        remove_staged(spark, begun, but_last=1)
     return STAGES[-1][1](spark, docs, sf_dir)

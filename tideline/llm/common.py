@@ -58,15 +58,20 @@ def stage_table(df: DataFrame, name: str, compression: str | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove_staged(spark: SparkSession) -> int:
-    """Remove what stage_table has written so far; results that still read it must have been written. How many folders."""
+def staged_so_far() -> int:
+    """A mark for remove_staged."""
+    return len(_staged)
+
+
+def remove_staged(spark: SparkSession, since: int = 0, but_last: int = 0) -> int:
+    """Remove what stage_table has written since a mark, but for the last ones; results that still read it must have been written. How many folders."""
     conf = spark._jsparkSession.sessionState().newHadoopConf()
-    for path in _staged:
+    gone = _staged[since : len(_staged) - but_last]
+    for path in gone:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
-    n = len(_staged)
-    _staged.clear()
-    return n
+    _staged[since : len(_staged) - but_last] = []
+    return len(gone)
 
 
 #: Arrow batches between the JVM and Python hold at most so many rows and bytes: texts are long, and
