@@ -2,6 +2,7 @@
 
 import bisect
 import datetime as dt
+import math
 import re
 
 import numpy as np
@@ -255,3 +256,83 @@ def test_staged_folders_can_be_removed(spark, tmp_path):
     path = staging.shared_folder(spark, "x")
     spark.range(3).write.parquet(path)
     assert os.path.isdir(path) and staging.remove_staged(spark) >= 1 and not os.path.exists(path)
+
+
+# ---- polygons, seams, stored order, cubes, look-back ---------------------------------------
+
+
+def test_cover_keeps_the_known_mask_and_its_strict_edges(spark):
+    cells = geo.box_cells(spark)
+    edges = geo.outline_edges(spark).withColumn("poly_id", F.lit(7))
+    for step in (0.25, 0.4, 3.0):
+        got = geo.points_in_polygons(cells, edges, step)
+        assert got.count() == 740 and got.select("lat", "lon").distinct().count() == 740
+    direct = {(r["lat"], r["lon"]) for r in geo.inside_outline(cells, geo.outline_edges(spark)).filter("inside").collect()}
+    assert {(r["lat"], r["lon"]) for r in geo.points_in_polygons(cells, edges, 0.3).collect()} == direct
+    whole = geo.polygon_cover(edges, 0.25)
+    assert whole.filter("whole").count() > 500 and whole.groupBy("poly_id", "_i", "_j").count().filter("count > 1").count() == 0
+
+
+def test_points_of_many_polygons_against_all_edges(spark):
+    r = np.random.default_rng(8)
+    rings = {k: [(float(x + 2 * math.cos(a) * q), float(y + 2 * math.sin(a) * q)) for a, q in zip(np.linspace(0, 2 * math.pi, 9)[:-1], r.uniform(0.3, 1.5, 8), strict=True)] for k, (x, y) in enumerate(r.uniform(-5, 5, (30, 2)))}
+    rings[99] = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    edges = spark.createDataFrame([(k, i, *a, *b) for k, v in rings.items() for i, (a, b) in enumerate(zip(v, v[1:] + v[:1], strict=True))], "poly_id int, edge_id int, x1 double, y1 double, x2 double, y2 double")
+    at = [*map(tuple, r.uniform(-7, 7, (600, 2)).tolist()), (0.5, 0.5), (0.0, 0.5), (1.0, 0.5), (0.5, 1.0), (1.0, 1.0), (0.25, 0.25), (0.25, 0.25)]
+    points = spark.createDataFrame([(i, y, x) for i, (x, y) in enumerate(at)], "id int, lat double, lon double")
+
+    def inside(x, y, ring):
+        odd = False
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
+            if abs((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)) < 1e-9 and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
+                return False
+            odd ^= (y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1)
+        return odd
+
+    want = sorted((i, k) for i, (x, y) in enumerate(at) for k, ring in rings.items() if inside(x, y, ring))
+    for step, most in ((0.25, 1 << 20), (1.0, 0), (10.0, 1 << 20)):
+        assert sorted((q["id"], q["poly_id"]) for q in geo.points_in_polygons(points, edges, step, most).collect()) == want
+
+
+def test_seams_shuffle_only_what_files_share(spark, tmp_path):
+    spans = [("a", 0, 10), ("b", 8, 20), ("c", 21, 30), ("d", 28, 40), ("e", 29, 33), ("f", 50, 60)]
+    rows = spark.createDataFrame([("s", DAY + dt.timedelta(hours=h), f, float(ord(f))) for f, lo, hi in spans for h in range(lo, hi + 1)] + [("s", None, "b", 1.0), ("s", None, "a", 2.0)], "series_id string, ts timestamp, source_file string, x double")
+    hour = lambda h: DAY + dt.timedelta(hours=h)
+    assert tables.file_overlaps(rows) == [(hour(8), hour(10)), (hour(28), hour(33))]
+    got = tables.drop_seam_rows(rows, ["series_id", "ts"])
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, got.collect())) == sorted(map(key, tables.drop_seam_duplicates(rows, ["series_id", "ts"]).select(rows.columns).collect()))
+    assert tables.file_overlaps(rows.limit(0)) == [] and tables.drop_seam_rows(rows.filter("source_file = 'f'"), ["series_id", "ts"]).count() == 11
+
+
+def test_features_of_a_stored_extract_need_no_exchange(spark):
+    text = plan_of(queries.QUERIES["demand_features_stored"](spark, "/root/testdata/sf0.001"))
+    moved = re.findall(r"Exchange hashpartitioning\((\w+)", text)
+    assert set(moved) <= {"holiday_date"} and "SortMergeJoin" not in text and "Window" in text
+
+
+def test_lookback_of_all_demand_columns_from_two_builds(spark):
+    from tideline.functions import calendar_cols as cal
+    from tideline.operators import audit, features
+
+    h = hours(spark, 24 * 200).withColumn("x", F.pmod(F.col("id") * 7919, F.lit(1013)).cast("double"))
+    holidays = cal.holiday_table(spark, 2018, 2020)
+    names = features.demand_columns()
+    got = {r["column"]: (r["first"], r["last"], r["n_steps"]) for r in audit.lookback_profile(h, lambda t: features.demand_features(t, holidays), "x", names, 1100, 1e6).collect()}
+    want = {f"lag_{k}h": (k, k, 1) for k in (24, 48, 72, 168, 336)} | {"roll_mean_24h": (24, 47, 24), "roll_std_24h": (24, 47, 24), "roll_mean_168h": (24, 191, 168), "same_hour_3wk_mean": (168, 504, 3)}
+    assert {k: got[k] for k in want} == want and all(got[k] == (None, None, 0) for k in names if k not in want)
+    ahead = audit.lookback_profile(h, lambda t: t.withColumn("f", F.lead("x", 3).over(series.by_series())), "x", ["f"], 50, 1.0).first()
+    assert (ahead["first"], ahead["last"]) == (-3, -3)
+
+
+def test_cube_is_the_single_tables(spark):
+    d = "/root/testdata/sf0.01"
+    pred = queries._daily_pred(spark, d).cache()
+    cube = scoring.error_cube(pred, {"month": {"m": F.month("ts")}, "all": {}})
+    assert len(re.findall("InMemoryTableScan", plan_of(cube))) <= 2 and "Expand" in plan_of(cube)
+    got = {(r["slice"], r["model"], r["key"]): r for r in cube.collect()}
+    for r in scoring.scores(pred, "model").collect():
+        mine = got["all", r["model"], ""]
+        assert mine["n"] == r["n"] and all(abs(mine[c] - r[c]) < 1e-6 * abs(r[c]) for c in ("mae", "rmse", "mape", "bias"))
+    for r in pred.groupBy(F.month("ts").alias("m"), "model").agg(scoring.mae().alias("mae")).collect():
+        assert abs(got["month", r["model"], str(r["m"])]["mae"] - r["mae"]) < 1e-6 * r["mae"]

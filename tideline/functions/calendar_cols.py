@@ -66,8 +66,8 @@ def holiday_table(spark: SparkSession, first_year: int, last_year: int) -> DataF
 
 
 def with_holiday(df: DataFrame, holidays: DataFrame, ts: str = "ts", tz: str = TZ) -> DataFrame:
-    """is_holiday by the local date. holidays has a row a date, so no row is multiplied."""
-    h = holidays.select("holiday_date").distinct().withColumn("_holiday", F.lit(1))
+    """is_holiday by the local date. No row is multiplied, and none moves: distinct dates are 366 a year at most, so they are broadcast."""
+    h = F.broadcast(holidays.select("holiday_date").distinct().withColumn("_holiday", F.lit(1)))
     return df.join(h, F.to_date(local(F.col(ts), tz)) == F.col("holiday_date"), "left").withColumn("is_holiday", F.coalesce("_holiday", F.lit(0))).drop("holiday_date", "_holiday")
 
 

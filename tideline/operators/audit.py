@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import stage
+
 
 def poke(df: DataFrame, value: str, ts: str, amount: float) -> DataFrame:
     """df with amount added to value at one time (in every series)."""
@@ -57,6 +59,29 @@ def dependency_check(reacting: DataFrame, declared: list[str]) -> DataFrame:
     return both.select("column", verdict.alias("verdict"))
 
 
+def poke_every(df: DataFrame, value: str, spacing: int, amount: float, step_seconds: int = 3600) -> DataFrame:
+    """df with amount added to value at every spacing-th step of time."""
+    nth = F.floor(F.unix_timestamp("ts") / step_seconds)
+    return df.withColumn(value, F.when(F.pmod(nth, F.lit(spacing)) == 0, F.col(value) + amount).otherwise(F.col(value)))
+
+
+def lookback_profile(df: DataFrame, build: Callable[[DataFrame], DataFrame], value: str, columns: list[str], spacing: int, amount: float, step_seconds: int = 3600) -> DataFrame:
+    """column, first, last and n_steps: at how many steps after an input row each column reads it, from two builds for all columns.
+
+    Every spacing-th input row is changed; a changed row belongs to the nearest of these, at most half the
+    spacing away. So spacing must be over twice the longest look-back. A column that reads steps 24 to 47 has
+    first 24, last 47 and n_steps 24, one of a lag of 24 has n_steps 1; one with first below the day
+    reads too soon, below 0 it looks ahead; one that reads nothing has nulls and 0. df must be dense.
+    """
+    before, after = (stage(build(t), "built") for t in (df, poke_every(df, value, spacing, amount, step_seconds)))
+    away = F.pmod(F.floor(F.unix_timestamp("ts") / step_seconds), F.lit(spacing))
+    away = F.when(away > spacing // 2, away - spacing).otherwise(away).cast("long")
+    differs = [F.struct(F.lit(c).alias("column"), (~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))).alias("moved")) for c in columns]
+    moved = _both(before, after, columns).select(away.alias("away"), F.explode(F.array(*differs)).alias("d")).select("away", "d.*")
+    steps = F.when(F.col("moved"), F.col("away"))
+    return moved.groupBy("column").agg(F.min(steps).alias("first"), F.max(steps).alias("last"), F.countDistinct(steps).alias("n_steps"))
+
+
 def audit(df: DataFrame, build: Callable[[DataFrame], DataFrame], value: str, ts: str, amount: float, columns: list[str]) -> DataFrame:
     """leakage_report of a feature build for a poke of its input."""
     return leakage_report(build(df), build(poke(df, value, ts, amount)), columns, ts)

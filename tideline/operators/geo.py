@@ -62,6 +62,57 @@ def inside_outline(cells: DataFrame, edges: DataFrame) -> DataFrame:
     return cells.join(hit, ["lat", "lon"], "left").withColumn("inside", F.coalesce(F.col("_odd") & ~F.col("_on"), F.lit(False))).drop("_odd", "_on")
 
 
+def polygon_cover(edges: DataFrame, step: float) -> DataFrame:
+    """poly_id, _i, _j and whole, of the square cells that closed rings of edges(poly_id, edge_id, x1, y1, x2, y2) cut or wholly hold.
+
+    An edge cuts the cells that it passes in each column of cells. Along the middle of a row of cells a
+    ring is crossed an even number of times: cells between an odd crossing and the next that no edge cuts lie inside.
+    """
+    lo, hi = F.least("x1", "x2"), F.greatest("x1", "x2")
+    columns = edges.withColumns({"_lo": lo, "_hi": hi}).withColumn("_i", F.explode(F.sequence(F.floor(F.col("_lo") / step), F.floor(F.col("_hi") / step))))
+
+    def y_at(x):
+        return F.col("y1") + (x - F.col("x1")) * F.try_divide(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))
+
+    ends = [F.coalesce(y_at(F.greatest("_lo", F.col("_i") * step)), F.col("y1")), F.coalesce(y_at(F.least("_hi", (F.col("_i") + 1) * step)), F.col("y2"))]
+    pad = 1e-9  # a cell too many is cut, not one too few
+    cut = columns.withColumns({"_a": F.least(*ends), "_b": F.greatest(*ends)})
+    cut = cut.select("poly_id", "_i", F.explode(F.sequence(F.floor((F.col("_a") - pad) / step), F.floor((F.col("_b") + pad) / step))).alias("_j")).distinct()
+    middle = (F.col("_j") + 0.5) * step
+    rows = edges.withColumn("_j", F.explode(F.sequence(F.floor(F.least("y1", "y2") / step), F.floor(F.greatest("y1", "y2") / step)))).filter((F.col("y1") > middle) != (F.col("y2") > middle))
+    at = F.col("x1") + (middle - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    crossed = rows.groupBy("poly_id", "_j").agg(F.sort_array(F.collect_list(at)).alias("_x"))
+    spans = crossed.withColumn("_k", F.explode(F.sequence(F.lit(1), F.size("_x") - 1, F.lit(2)))).select("poly_id", "_j", (F.floor(F.element_at("_x", F.col("_k")) / step) + 1).alias("_from"), (F.floor(F.element_at("_x", F.col("_k") + 1) / step) - 1).alias("_to"))
+    whole = spans.filter("_from <= _to").select("poly_id", F.explode(F.sequence("_from", "_to")).alias("_i"), "_j").join(cut, ["poly_id", "_i", "_j"], "left_anti")
+    return whole.withColumn("whole", F.lit(True)).unionByName(cut.withColumn("whole", F.lit(False)))
+
+
+def points_in_polygons(points: DataFrame, edges: DataFrame, step: float = 0.25, most_cells: int = MOST_CELLS) -> DataFrame:
+    """points (lat, lon and more) with poly_id, a row for each polygon that holds one strictly; points on an edge aren't inside.
+
+    Most points fall into cells that a polygon holds wholly and are settled by an equality join; in a cut
+    cell, a point meets the polygon's edges of its row of cells. The cover, whose size is that of the polygons, is
+    staged and broadcast up to most_cells rows.
+    """
+    x, y = F.col("lon"), F.col("lat")
+    placed = points.withColumns({"_i": F.floor(x / step), "_j": F.floor(y / step)})
+    met = placed.join(broadcast_if_small(polygon_cover(edges, step), most_cells, "cover"), ["_i", "_j"])
+    rows = edges.select("poly_id", "x1", "y1", "x2", "y2", F.explode(F.sequence(F.floor(F.least("y1", "y2") / step), F.floor(F.greatest("y1", "y2") / step))).alias("_j"))
+    by_row = rows.groupBy("poly_id", "_j").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"))
+    open_ = met.filter(~F.col("whole")).join(broadcast_if_small(by_row, most_cells, "edges-by-row"), ["poly_id", "_j"])
+
+    def crosses(e):
+        return ((e["y1"] > y) != (e["y2"] > y)) & (x < e["x1"] + (y - e["y1"]) * F.try_divide(e["x2"] - e["x1"], e["y2"] - e["y1"]))
+
+    def touches(e):
+        cross = (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
+        return (F.abs(cross) < 1e-9) & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
+
+    inside = (F.size(F.filter("_edges", lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1) & ~F.exists("_edges", touches)
+    kept = [*[F.col(f"`{c}`") for c in points.columns], F.col("poly_id")]
+    return met.filter("whole").select(*kept).unionByName(open_.filter(inside).select(*kept))
+
+
 def area_weight():
     """The relative area of a cell of equal degrees."""
     return F.cos(F.radians("lat"))

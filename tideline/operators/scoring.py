@@ -105,6 +105,28 @@ def same_rows(actual: DataFrame, pred: DataFrame, models: DataFrame | None = Non
     return both.groupBy("model").agg(n(F.col("_a").isNotNull()).alias("n_rows"), n(F.col("_p").isNull()).alias("missing"), n(F.col("_a").isNull()).alias("extra"), n(F.col("_p").isNotNull() & F.col("pred").isNull()).alias("nulls"))
 
 
+def error_cube(pred: DataFrame, slices: dict[str, dict[str, Column]]) -> DataFrame:
+    """slice, model, key and the scores of each slice, all from one pass over the predictions.
+
+    slices: name to the key columns of a slice, as expressions (the local hour, the day, the fold); a slice
+    without keys is all rows. Counts and sums of errors, which add up over any rows, are all that is
+    grouped; key is the slice's keys as text, joined by '|'.
+    """
+    columns = {f"_{s}_{k}": c for s, keys in slices.items() for k, c in keys.items()}
+    rows = pred.withColumns(columns).select("model", *columns, error().alias("_e"), F.try_divide(error(), F.col("y")).alias("_r"))
+    sets = [["model", *[f"_{s}_{k}" for k in keys]] for s, keys in slices.items()]
+    sums = rows.groupingSets([[F.col(c) for c in one] for one in sets], "model", *columns).agg(F.grouping_id().alias("_set"), F.count("_e").alias("n"), F.sum(F.abs("_e")).alias("_a"), F.sum(F.col("_e") * F.col("_e")).alias("_s"), F.sum("_e").alias("_b"), F.sum(F.abs("_r")).alias("_p"), F.count("_r").alias("_m"))
+    order = ["model", *columns]
+    ids = {s: sum(1 << (len(order) - 1 - i) for i, c in enumerate(order) if c not in one) for s, one in zip(slices, sets, strict=True)}
+    name, key = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for s, keys in slices.items():
+        mine = F.col("_set") == ids[s]
+        name = F.when(mine, F.lit(s)).otherwise(name)
+        key = F.when(mine, F.concat_ws("|", *[F.col(f"_{s}_{k}").cast("string") for k in keys]) if keys else F.lit("")).otherwise(key)
+    n = F.col("n")
+    return sums.select(name.alias("slice"), "model", key.alias("key"), "n", F.try_divide("_a", n).alias("mae"), F.sqrt(F.try_divide("_s", n)).alias("rmse"), (F.try_divide("_p", "_m") * 100).alias("mape"), F.try_divide("_b", n).alias("bias"))
+
+
 def mae_by_hour(pred: DataFrame, models: list[str], tz: str = cal.TZ) -> DataFrame:
     """hour (local) and a column of MAE for each model."""
     return pred.groupBy(F.hour(cal.local(F.col("ts"), tz)).alias("hour")).pivot("model", models).agg(mae())

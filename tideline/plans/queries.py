@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -158,6 +159,24 @@ def source_seams(spark, d):
     return kept.groupBy("series_id").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n")).crossJoin(tables.seam_duplicates(both, ["series_id", "ts"]))
 
 
+@query
+def source_seams_planned(spark, d):
+    """The same files, of which only the hours that both cover are shuffled."""
+    h = base.hourly(spark, d)
+    cut = F.lit("2024-01-15").cast("timestamp")
+    first = h.filter(F.col("ts") <= cut + F.expr("interval 36 hours")).withColumn("source_file", F.lit("a"))
+    second = h.filter(F.col("ts") >= cut).withColumn("source_file", F.lit("b")).withColumn("x", F.col("x") + 1)
+    kept = tables.drop_seam_rows(stage(first.unionByName(second), "seams"), ["series_id", "ts"])
+    return kept.groupBy("series_id").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def demand_features_stored(spark, d):
+    """Features from a stored extract in buckets of series: no exchange but the write's."""
+    stored = tables.write_sorted_extract(base.clean(spark, d), f"extract_{uuid.uuid4().hex}", base.scratch(spark, "sorted-extract"))
+    return features.demand_features(stored, cal.holiday_table(spark, 2023, 2025))
+
+
 @query
 def source_unpivot(spark, d):
     line = base.table(spark, d, "lineitem")
@@ -237,6 +256,29 @@ def geo_kept_area(spark, d):
     return geo.kept_area(geo.inside_outline(base.customer_points(spark, d), geo.outline_edges(spark)))
 
 
+def _nation_polygons(spark, d):
+    """A ring of twelve corners around each nation's made-up place, its radius from 3 to 4.5 degrees."""
+    corner = F.sequence(F.lit(0), F.lit(11))
+    k = F.col("n_nationkey")
+    rings = base.table(spark, d, "nation").select(k.alias("poly_id"), (F.lit(35.0) + k * 0.8).alias("clat"), (F.lit(-10.0) + k * 1.5).alias("clon"), F.explode(corner).alias("edge_id"))
+
+    def at(v):
+        r = F.lit(3.0) + (k * 7 + F.pmod(v, F.lit(12)) * 5) % 4 * 0.5
+        return F.col("clon") + r * F.cos(v * 0.5235987755982988), F.col("clat") + r * F.sin(v * 0.5235987755982988)
+
+    k = F.col("poly_id")
+    (x1, y1), (x2, y2) = at(F.col("edge_id")), at(F.pmod(F.col("edge_id") + 1, F.lit(12)))
+    return rings.select("poly_id", "edge_id", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
+
+
+@query
+def geo_polygons(spark, d):
+    """Every customer's own place, and the nations' rings that hold it."""
+    k = F.col("c_custkey").cast("double")
+    points = base.table(spark, d, "customer").select("c_custkey", (F.lit(30.0) + F.pmod(k * 0.618033988749895, F.lit(1.0)) * 30).alias("lat"), (F.lit(-15.0) + F.pmod(k * 0.754877666246693, F.lit(1.0)) * 45).alias("lon"))
+    return geo.points_in_polygons(points, _nation_polygons(spark, d)).select("c_custkey", "poly_id")
+
+
 def _weights(spark):
     cells = geo.box_cells(spark, base.BOX_LAT, base.BOX_LON, base.BOX_STEP)
     return geo.grid_weights(cells, geo.outline_edges(spark), geo.state_table(spark))
@@ -546,6 +588,14 @@ def bias_by_period(spark, d):
     return scoring.bias_by_period(p, periods, MODELS)
 
 
+@query
+def error_cube(spark, d):
+    """Errors by month, weekday, fold, fold and month, and over all, from one pass."""
+    ts = F.col("ts")
+    slices = {"month": {"m": F.month(ts)}, "weekday": {"d": F.weekday(ts)}, "fold": {"f": F.col("fold")}, "fold_month": {"f": F.col("fold"), "m": F.month(ts)}, "all": {}}
+    return scoring.error_cube(_daily_pred(spark, d), slices)
+
+
 @query
 def temperature_bins(spark, d):
     return scoring.binned_mean(base.with_temperature(base.clean(spark, d)), "temp", "x", 30)
@@ -595,6 +645,17 @@ def reacting_columns(spark, d):
     return reacting.join(audit.dependency_check(reacting, [*HISTORY, "kt_yesterday"]), "column", "full")
 
 
+@query
+def lookback_profile(spark, d):
+    """How far back each feature of the days reads, and one that is too late to be right."""
+
+    def build(t):
+        rows = t.withColumns({f"lag_{k}": features.lag("x", k) for k in DAY_LAGS})
+        return rows.withColumn("mean_7", features.rolling_mean("x", 7, 1)).withColumn("own", F.col("x")).withColumn("none", F.dayofweek("ts"))
+
+    return audit.lookback_profile(base.daily_orders(spark, d), build, "x", [*(f"lag_{k}" for k in DAY_LAGS), "mean_7", "own", "none"], 64, 1e7, 86400)
+
+
 def _daily_features(spark, d):
     """Features of days with each fold's roles, written once: fits read them many times."""
     rows, fold_table, columns, _ = _model_rows(spark, d)

@@ -66,6 +66,41 @@ def drop_seam_duplicates(df: DataFrame, key: list[str], order: Column | str = "s
     return df.withColumn("_nth", first).filter("_nth = 1").drop("_nth")
 
 
+def file_overlaps(df: DataFrame, at: str = "ts", file: str = "source_file") -> list[tuple]:
+    """The spans of time that more than one file covers, merged, in order; from each file's first and last time, a row a file."""
+    ranges = sorted((r["lo"], r["hi"]) for r in df.groupBy(file).agg(F.min(at).alias("lo"), F.max(at).alias("hi")).collect() if r["lo"] is not None)
+    shared: list[tuple] = []
+    reach = None
+    for lo, hi in ranges:
+        if reach is not None and lo <= reach:
+            end = min(hi, reach)
+            shared[-1:] = [(shared[-1][0], max(shared[-1][1], end))] if shared and lo <= shared[-1][1] else [*shared[-1:], (lo, end)]
+        reach = hi if reach is None else max(reach, hi)
+    return shared
+
+
+def drop_seam_rows(df: DataFrame, key: list[str], at: str = "ts", file: str = "source_file") -> DataFrame:
+    """As drop_seam_duplicates, for files that hold a key once: only rows at times which several files cover are shuffled.
+
+    Rows without a time are dealt like those.
+    """
+    shared = file_overlaps(df, at, file)
+    inside = F.col(at).isNull()
+    for lo, hi in shared:
+        inside = inside | F.col(at).between(F.lit(lo), F.lit(hi))
+    return df.filter(~inside).unionByName(drop_seam_duplicates(df.filter(inside), key, file))
+
+
+def write_sorted_extract(df: DataFrame, name: str, path: str, buckets: int = 8) -> DataFrame:
+    """df as table `name` below path, in buckets of series_id, each sorted by series_id and ts; the table.
+
+    What groups or windows by series reads it without an exchange. A bucket is one file, written by one task.
+    """
+    spark = df.sparkSession
+    df.repartition(buckets, "series_id").write.mode("overwrite").bucketBy(buckets, "series_id").sortBy("series_id", "ts").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def seam_duplicates(df: DataFrame, key: list[str]) -> DataFrame:
     """n_rows, n_keys and n_duplicates of a table."""
     per_key = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
