@@ -336,3 +336,24 @@ def test_cube_is_the_single_tables(spark):
         assert mine["n"] == r["n"] and all(abs(mine[c] - r[c]) < 1e-6 * abs(r[c]) for c in ("mae", "rmse", "mape", "bias"))
     for r in pred.groupBy(F.month("ts").alias("m"), "model").agg(scoring.mae().alias("mae")).collect():
         assert abs(got["month", r["model"], str(r["m"])]["mae"] - r["mae"]) < 1e-6 * r["mae"]
+
+
+def test_nearest_of_many_against_all(spark):
+    r = np.random.default_rng(9)
+    c = np.round(np.concatenate([r.uniform(0, 1, (400, 2)), r.uniform(40, 60, (30, 2))]), 2)
+    c = np.concatenate([c, c[:20]])  # ties go to the least idx
+    p = np.round(np.concatenate([r.uniform(-5, 70, (150, 2)), r.uniform(0, 1, (100, 2)), c[:10]]), 2)
+    centroids = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(c)] + [(999, None, 1.0)], "idx int, clat double, clon double")
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(p)] + [(5000, None, 1.0)], "point_id int, lat double, lon double")
+    d2 = (p[:, None, 0] - c[None, :, 0]) ** 2 + ((p[:, None, 1] - c[None, :, 1]) * np.cos(np.radians(p[:, 0]))[:, None]) ** 2
+    for levels, most in ((7, 1 << 20), (2, 0)):
+        df = geo.nearest(points, centroids, levels, most)
+        assert "Cartesian" not in plan_of(df) and "NestedLoop" not in plan_of(df)
+        got = {q["point_id"]: (q["idx"], q["d2"]) for q in df.collect()}
+        assert sorted(got) == list(range(len(p)))
+        for i in got:
+            idx = got[i][0]
+            assert abs(got[i][1] - d2[i].min()) < 1e-12 and d2[i][idx] <= d2[i].min() + 1e-15 and idx == np.flatnonzero((c == c[idx]).all(axis=1))[0]
+    assert geo.nearest(points, centroids.limit(0)).count() == 0
+    one = geo.nearest(points, centroids.filter("idx = 3"), 3)
+    assert one.count() == len(p) and one.filter("idx <> 3").count() == 0

@@ -118,6 +118,52 @@ def area_weight():
     return F.cos(F.radians("lat"))
 
 
+def _gap(lo, size, at):
+    """How far a coordinate is from the interval that begins at lo."""
+    return F.greatest(lo - at, at - (lo + size), F.lit(0.0))
+
+
+def nearest(points: DataFrame, centroids: DataFrame, levels: int = 10, most_cells: int = MOST_CELLS) -> DataFrame:
+    """points (point_id, lat, lon and more) with idx and d2 of the nearest of centroids(idx, clat, clon), any number of them.
+
+    Distances are squared degrees, those of longitude shrunk by the cosine of the point's latitude; of equal
+    ones the least idx wins. Centroids lie in a tree of cells that halve their parents, `levels` deep, and each cell
+    that holds some names one. A point goes down the tree with the cells that may hold its nearest: those whose
+    closest corner or side isn't farther than some cell's named centroid. No point meets all centroids, and
+    what is left out can't be nearest. Without centroids there are no rows; centroids without a place aren't any.
+    A point's rows are told by point_id, which must be its own.
+    """
+    known = stage(centroids.filter(F.col("clat").isNotNull() & F.col("clon").isNotNull()).select("idx", F.col("clat").cast("double").alias("clat"), F.col("clon").cast("double").alias("clon")), "centroids")
+    box = known.agg(*[f(c).alias(n) for c, n in (("clat", "a"), ("clon", "o")) for f, n in ((F.min, f"{n}0"), (F.max, f"{n}1"))]).first()
+    if box["a0"] is None:
+        return points.join(known.select("idx", F.lit(0.0).alias("d2")).limit(0), F.lit(False))
+    side = max(box["a1"] - box["a0"], box["o1"] - box["o0"], 1e-9) * (1 + 1e-9)
+    place = points.select("point_id", F.col("lat").alias("_y"), F.col("lon").alias("_x")).filter("_y is not null and _x is not null")
+    shrink = F.cos(F.radians("_y"))
+
+    def d2(y, x):
+        return F.pow(y - F.col("_y"), F.lit(2.0)) + F.pow((x - F.col("_x")) * shrink, F.lit(2.0))
+
+    front = place.withColumns({"_i": F.lit(0).cast("long"), "_j": F.lit(0).cast("long")})
+    for level in range(1, levels + 1):
+        size = side / 2**level
+        cells = known.groupBy(F.floor((F.col("clat") - box["a0"]) / size).alias("_ci"), F.floor((F.col("clon") - box["o0"]) / size).alias("_cj")).agg(F.min(F.struct("idx", "clat", "clon")).alias("_one"))
+        cells = cells.withColumns({"_i": F.floor(F.col("_ci") / 2), "_j": F.floor(F.col("_cj") / 2)})
+        met = front.join(broadcast_if_small(cells, most_cells, "nearest-cells"), ["_i", "_j"])
+        near = F.pow(_gap(F.lit(box["a0"]) + F.col("_ci") * size, F.lit(size), F.col("_y")), F.lit(2.0)) + F.pow(_gap(F.lit(box["o0"]) + F.col("_cj") * size, F.lit(size), F.col("_x")) * shrink, F.lit(2.0))
+        met = met.withColumns({"_near": near, "_named": d2(F.col("_one.clat"), F.col("_one.clon"))})
+        within = F.min("_named").over(Window.partitionBy("point_id"))
+        kept = met.withColumn("_within", within).filter(F.col("_near") <= F.col("_within") * (1 + 1e-9) + 1e-12)
+        front = kept.select("point_id", "_y", "_x", F.col("_ci").alias("_i"), F.col("_cj").alias("_j"))
+        if level % 4 == 0:
+            front = stage(front, "nearest-front")
+    size = side / 2**levels
+    leaves = known.withColumns({"_i": F.floor((F.col("clat") - box["a0"]) / size), "_j": F.floor((F.col("clon") - box["o0"]) / size)})
+    last = front.join(broadcast_if_small(leaves, most_cells, "nearest-leaves"), ["_i", "_j"])
+    best = last.groupBy("point_id").agg(F.min(F.struct(d2(F.col("clat"), F.col("clon")).alias("d2"), F.col("idx"))).alias("_best"))
+    return points.join(best, "point_id").withColumns({"idx": F.col("_best.idx"), "d2": F.col("_best.d2")}).drop("_best")
+
+
 def population_weights(cells: DataFrame, states: DataFrame) -> DataFrame:
     """cells with region (nearest centroid, degrees of longitude shrunk; first wins ties) and pop_w.
 

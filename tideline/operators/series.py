@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..staging import stage
 from .joins import asof_join
 
 
@@ -124,7 +125,8 @@ def zone_capacity_factor(dense: DataFrame, generation: str = "x", window: int =
     """
     from .scale import fill_back, trailing_max
 
-    peaked = fill_back(trailing_max(dense, generation, window, least, "_peak"), "_peak")
+    # Both read their input several times: it is written once.
+    peaked = fill_back(stage(trailing_max(stage(dense, "dense"), generation, window, least, "_peak"), "peaks"), "_peak")
     ratio = F.try_divide(F.col(generation), F.col("_peak"))
     return peaked.withColumn("cf", F.when(ratio.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio)))).drop("_peak")
 

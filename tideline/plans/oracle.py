@@ -169,6 +169,7 @@ ORACLE_SQL: dict[str, str] = {
     "geo_polygons": f"WITH k AS (SELECT n_nationkey AS poly_id, 35.0::DOUBLE + n_nationkey * 0.8::DOUBLE AS clat, -10.0::DOUBLE + n_nationkey * 1.5::DOUBLE AS clon, unnest(range(0, 12)) AS v FROM nation), c AS (SELECT poly_id, v, clon + (3.0::DOUBLE + (poly_id * 7 + v * 5) % 4 * 0.5::DOUBLE) * cos(v * 0.5235987755982988::DOUBLE) AS x, clat + (3.0::DOUBLE + (poly_id * 7 + v * 5) % 4 * 0.5::DOUBLE) * sin(v * 0.5235987755982988::DOUBLE) AS y FROM k), e AS (SELECT a.poly_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM c a JOIN c b ON a.poly_id = b.poly_id AND b.v = (a.v + 1) % 12), p AS (SELECT c_custkey, 30.0::DOUBLE + (c_custkey * 0.618033988749895::DOUBLE - floor(c_custkey * 0.618033988749895::DOUBLE)) * 30 AS lat, -15.0::DOUBLE + (c_custkey * 0.754877666246693::DOUBLE - floor(c_custkey * 0.754877666246693::DOUBLE)) * 45 AS lon FROM customer) SELECT c_custkey, poly_id FROM p, e GROUP BY c_custkey, lat, lon, poly_id HAVING sum(CASE WHEN (y1 > lat) <> (y2 > lat) AND lon < x1 + (lat - y1) * (x2 - x1) / nullif(y2 - y1, 0) THEN 1 ELSE 0 END) % 2 = 1 AND NOT bool_or({ON_EDGE})",
     "error_cube": f"WITH {DAY_PRED}, m AS (SELECT *, month(ts) AS mo, isodow(ts) - 1 AS wd FROM day_pred) SELECT CASE grouping_id(mo, wd, fold) WHEN 3 THEN 'month' WHEN 5 THEN 'weekday' WHEN 6 THEN 'fold' WHEN 2 THEN 'fold_month' ELSE 'all' END AS slice, model, concat_ws('|', fold, mo, wd) AS key, count(pred - y) AS n, {r('avg(abs(pred - y))')} AS mae, {r('sqrt(avg((pred - y) * (pred - y)))')} AS rmse, {r('avg(abs((pred - y) / nullif(y, 0))) * 100')} AS mape, {r('avg(pred - y)')} AS bias FROM m GROUP BY GROUPING SETS ((model, mo), (model, wd), (model, fold), (model, fold, mo), (model))",
     "lookback_profile": f"WITH {DAILY}, pk AS (SELECT series_id, ts, CASE WHEN (epoch(ts)::BIGINT // 86400) % 64 = 0 THEN x + 1e7 ELSE x END AS x FROM days), fa AS (SELECT series_id, ts, {named(DAY_LAGS)}, x AS own, 0 AS none FROM days), fb AS (SELECT series_id, ts, {named(DAY_LAGS)}, x AS own, 0 AS none FROM pk), d AS (SELECT CASE WHEN (epoch(fa.ts)::BIGINT // 86400) % 64 > 32 THEN (epoch(fa.ts)::BIGINT // 86400) % 64 - 64 ELSE (epoch(fa.ts)::BIGINT // 86400) % 64 END AS away, unnest([" + ", ".join(f"{{'c': '{c}', 'm': fa.{c} IS DISTINCT FROM fb.{c}}}" for c in [*DAY_LAGS, "own", "none"]) + "]) AS s FROM fa JOIN fb ON fa.series_id = fb.series_id AND fa.ts = fb.ts) SELECT s.c AS \"column\", min(away) FILTER (s.m) AS first, max(away) FILTER (s.m) AS last, count(DISTINCT away) FILTER (s.m) AS n_steps FROM d GROUP BY 1",
+    "geo_nearest": f"WITH p AS (SELECT c_custkey AS point_id, 47.0::DOUBLE + (c_custkey * 0.618033988749895::DOUBLE - floor(c_custkey * 0.618033988749895::DOUBLE)) * 8 AS lat, 5.5::DOUBLE + (c_custkey * 0.754877666246693::DOUBLE - floor(c_custkey * 0.754877666246693::DOUBLE)) * 10 AS lon FROM customer), s AS (SELECT s_suppkey AS idx, 47.0::DOUBLE + (s_suppkey * 0.569840290998053::DOUBLE - floor(s_suppkey * 0.569840290998053::DOUBLE)) * 8 AS clat, 5.5::DOUBLE + (s_suppkey * 0.819172513396165::DOUBLE - floor(s_suppkey * 0.819172513396165::DOUBLE)) * 10 AS clon FROM supplier), d AS (SELECT point_id, idx, pow(lat - clat, 2) + pow((lon - clon) * cos(radians(lat)), 2) AS d2 FROM p, s) SELECT point_id, arg_min(idx, d2) AS idx, {r('min(d2)')} AS d2 FROM d GROUP BY 1",
     "series_reconcile": f"WITH {CLEAN}, c AS (SELECT series_id, abs(x / 5000.0 - round(x / 5000.0, 2)) AS d FROM clean) SELECT series_id, count(d) AS n_compared, {r('max(d)')} AS max_diff, count(*) FILTER (d > 0.004) AS n_over FROM c GROUP BY 1",
     "series_zone_capacity_factor": f"WITH {HOURLY}, {GAPPY}, {dense('dense', 'gappy')}, p AS (SELECT *, CASE WHEN count(x) OVER ({W} ROWS 167 PRECEDING) >= 48 THEN max(x) OVER ({W} ROWS 167 PRECEDING) END AS peak FROM dense), q AS (SELECT *, first_value(peak IGNORE NULLS) OVER ({W} {AHEAD}) AS p FROM p) SELECT series_id, {stamp()} AS ts, {r('x')} AS x, {r('CASE WHEN x / nullif(p, 0) IS NOT NULL THEN greatest(0.0, least(1.0, x / nullif(p, 0))) END')} AS cf FROM q",
     "series_align": f"WITH {CLEAN}, {GAPPY}, k AS (SELECT c.series_id, c.ts, g.x FROM clean c LEFT JOIN gappy g ON g.series_id = c.series_id AND g.ts = c.ts WHERE c.ts IN (SELECT ts FROM hourly WHERE series_id = (SELECT min(series_id) FROM hourly))) SELECT series_id, {stamp()} AS ts, {r(fill())} AS x FROM k",

@@ -279,6 +279,15 @@ def geo_polygons(spark, d):
     return geo.points_in_polygons(points, _nation_polygons(spark, d)).select("c_custkey", "poly_id")
 
 
+@query
+def geo_nearest(spark, d):
+    """The supplier nearest to every customer."""
+    k, m = F.col("c_custkey").cast("double"), F.col("s_suppkey").cast("double")
+    points = base.table(spark, d, "customer").select(F.col("c_custkey").alias("point_id"), (F.lit(47.0) + F.pmod(k * 0.618033988749895, F.lit(1.0)) * 8).alias("lat"), (F.lit(5.5) + F.pmod(k * 0.754877666246693, F.lit(1.0)) * 10).alias("lon"))
+    suppliers = base.table(spark, d, "supplier").select(F.col("s_suppkey").alias("idx"), (F.lit(47.0) + F.pmod(m * 0.569840290998053, F.lit(1.0)) * 8).alias("clat"), (F.lit(5.5) + F.pmod(m * 0.819172513396165, F.lit(1.0)) * 10).alias("clon"))
+    return geo.nearest(points, suppliers).select("point_id", "idx", "d2")
+
+
 def _weights(spark):
     cells = geo.box_cells(spark, base.BOX_LAT, base.BOX_LON, base.BOX_STEP)
     return geo.grid_weights(cells, geo.outline_edges(spark), geo.state_table(spark))
