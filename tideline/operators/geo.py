@@ -144,10 +144,17 @@ def nearest(points: DataFrame, centroids: DataFrame, levels: int = 10, most_cell
     def d2(y, x):
         return F.pow(y - F.col("_y"), F.lit(2.0)) + F.pow((x - F.col("_x")) * shrink, F.lit(2.0))
 
-    front = place.withColumns({"_i": F.lit(0).cast("long"), "_j": F.lit(0).cast("long")})
-    for level in range(1, levels + 1):
+
+    def cells_of(size):
+        return F.floor((F.col("clat") - box["a0"]) / size), F.floor((F.col("clon") - box["o0"]) / size)
+
+    i, j = cells_of(side / 2)
+    top = [F.struct(F.lit(r["i"]).alias("_i"), F.lit(r["j"]).alias("_j")) for r in known.select(i.alias("i"), j.alias("j")).distinct().collect()]  # four at most
+    front = place.withColumn("_c", F.explode(F.array(*top))).select("point_id", "_y", "_x", "_c.*")
+    for level in range(2, levels + 1):
         size = side / 2**level
-        cells = known.groupBy(F.floor((F.col("clat") - box["a0"]) / size).alias("_ci"), F.floor((F.col("clon") - box["o0"]) / size).alias("_cj")).agg(F.min(F.struct("idx", "clat", "clon")).alias("_one"))
+        i, j = cells_of(size)
+        cells = known.groupBy(i.alias("_ci"), j.alias("_cj")).agg(F.min(F.struct("idx", "clat", "clon")).alias("_one"))
         cells = cells.withColumns({"_i": F.floor(F.col("_ci") / 2), "_j": F.floor(F.col("_cj") / 2)})
         met = front.join(broadcast_if_small(cells, most_cells, "nearest-cells"), ["_i", "_j"])
         near = F.pow(_gap(F.lit(box["a0"]) + F.col("_ci") * size, F.lit(size), F.col("_y")), F.lit(2.0)) + F.pow(_gap(F.lit(box["o0"]) + F.col("_cj") * size, F.lit(size), F.col("_x")) * shrink, F.lit(2.0))
@@ -158,7 +165,8 @@ def nearest(points: DataFrame, centroids: DataFrame, levels: int = 10, most_cell
         if level % 4 == 0:
             front = stage(front, "nearest-front")
     size = side / 2**levels
-    leaves = known.withColumns({"_i": F.floor((F.col("clat") - box["a0"]) / size), "_j": F.floor((F.col("clon") - box["o0"]) / size)})
+    i, j = cells_of(size)
+    leaves = known.withColumns({"_i": i, "_j": j})
     last = front.join(broadcast_if_small(leaves, most_cells, "nearest-leaves"), ["_i", "_j"])
     best = last.groupBy("point_id").agg(F.min(F.struct(d2(F.col("clat"), F.col("clon")).alias("d2"), F.col("idx"))).alias("_best"))
     return points.join(best, "point_id").withColumns({"idx": F.col("_best.idx"), "d2": F.col("_best.d2")}).drop("_best")
