@@ -115,3 +115,15 @@ def test_lists_of_links_and_groups(spark, sides):
     every = [(i, j) for i in range(len(at_a) - 1) for j in range(len(at_b) - 1) if at_a[i] < at_b[j + 1] and at_b[j] < at_a[i + 1]]
     assert sorted(zip(r[0]["link_a"], r[0]["link_b"], strict=True)) == every
     assert [at_a[g] for g in r[0]["group_a"]] == [at_b[g] for g in r[0]["group_b"]] == sorted(set(at_a[1:]) & set(at_b[1:]))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=40), st.text(alphabet=" 　\t\n\x85\x1c ab'sLé漢1²_-<|>ǅ́‍", max_size=60)), min_size=1, max_size=4))
+def test_ranks_encode_as_the_listed_merges_do(texts):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(ta.BYTE_BPE)
+    own.encode_special_tokens = True
+    side = ta.two_tokenizers(ta.BYTE_BPE, ta.PIECE_BPE).a
+    assert side.ranked is not None
+    assert side.encode(texts) == [own.encode(t, add_special_tokens=False).ids for t in texts]
