@@ -267,7 +267,9 @@ def gbm_forecast(rows: DataFrame, folds: DataFrame, columns: list[str], target:
         return pdf.assign(pred=pred)[test]
 
     schema = ", ".join(f"`{n}` {t}" for n, t in assigned.dtypes) + ", pred double"
-    out = assigned.groupBy("series_id", "fold").applyInPandas(run, schema)
+    # Rows are few for the time that a fit takes: a count of partitions keeps Spark from joining small ones into one task.
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16 * folds.count())
+    out = assigned.repartition(parts, "series_id", "fold").groupBy("series_id", "fold").applyInPandas(run, schema)
     return out.withColumn("pred", F.when(~F.isnan("pred"), F.col("pred")))
 
 
