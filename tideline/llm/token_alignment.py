@@ -360,6 +360,7 @@ def alignment_query(docs: DataFrame, a_path: str = BYTE_BPE, b_path: str = PIECE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, known = byte_sizes(a_path, b_path), held.value
+        pairs = len(sizes[0]) * len(sizes[1])
         for batch in _parts(batches, 2):
             a, n_a, b, n_b = _sides(batch, 2)
             rows = len(n_a)
@@ -376,9 +377,9 @@ def alignment_query(docs: DataFrame, a_path: str = BYTE_BPE, b_path: str = PIECE
             at, mine = at[found], of_link[found]
             n_best, count_sum = np.bincount(mine[known["best"][at]], minlength=rows), np.zeros(rows, np.int64)
             np.add.at(count_sum, mine, known["n"][at])
-            rare, times = np.unique(np.column_stack([of_link[~found], pair[~found]]), axis=0, return_counts=True) if not found.all() else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-            offsets = pa.array(np.searchsorted(rare[:, 0], np.arange(rows + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int64))) for x in (rare[:, 1], times)]
+            rare, times = np.unique(of_link[~found] * pairs + pair[~found], return_counts=True)
+            offsets = pa.array(np.searchsorted(rare, np.arange(rows + 1) * pairs).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int64))) for x in (rare % pairs, times)]
             columns = [pa.array(x.astype(np.int64)) for x in (n_a, n_b, n_groups, n_links, n_best, count_sum)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(shas), *lists], ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "rare", "times"])
 
