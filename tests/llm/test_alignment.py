@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -127,3 +129,46 @@ def test_ranks_encode_as_the_listed_merges_do(texts):
     side = ta.two_tokenizers(ta.BYTE_BPE, ta.PIECE_BPE).a
     assert side.ranked is not None
     assert side.encode(texts) == [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_new_segments_are_encoded_together(sides, monkeypatch):
+    both = ta.two_tokenizers(ta.BYTE_BPE, ta.PIECE_BPE)
+    both.forget()
+    given_texts = []
+    for side in sides:
+        monkeypatch.setattr(side, "encode", lambda texts, f=side.encode: given_texts.extend(texts) or f(texts))
+    words = [f"w{i * 7919 % 100003}é{i}" for i in range(20_000)]
+    a, n_a, b, n_b = both.encode([" ".join(words), " ".join(reversed(words)), None, ""])
+    assert len(given_texts) < 2 * len(words) // 32
+    assert n_a[0] == n_a[1] and n_b[0] == n_b[1] and n_a[2:].tolist() == n_b[2:].tolist() == [0, 0]
+    monkeypatch.undo()
+    x, y = direct(sides, " ".join(words))
+    assert a[: n_a[0]].tolist() == x and b[: n_b[0]].tolist() == y
+
+
+@pytest.mark.parametrize(("name", "most"), [("REMEMBERED", 8), ("REMEMBERED_BYTES", 40), ("JOINED", 3), ("JOINED_BYTES", 4), ("ENCODED", 5)])
+def test_bounds_change_no_ids(sides, monkeypatch, name, most):
+    monkeypatch.setattr(ta, name, most)
+    if name == "REMEMBERED_BYTES":
+        monkeypatch.setattr(ta, "REMEMBERED", 16)
+    both = ta.two_tokenizers(ta.BYTE_BPE, ta.PIECE_BPE)
+    both.forget()
+    parts = [[t, *(f"word{k}x{i}  y　z ▁ v{k}\n " for k in range(5)), t] for i, t in enumerate([*TEXTS, *ODD])]
+    for texts in [*parts, *parts[::-1]]:
+        a, n_a, b, n_b = both.encode(texts)
+        want = [direct(sides, t) for t in texts]
+        assert a.tolist() == [x for w, _ in want for x in w] and n_a.tolist() == [len(w) for w, _ in want]
+        assert b.tolist() == [x for _, w in want for x in w] and n_b.tolist() == [len(w) for _, w in want]
+    both.forget()
+
+
+WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=30), st.text(alphabet=" \t\n\r\x0b\x0c\x1c\x85\xa0   ​    　ａéà漢Ņ", max_size=40)), max_size=5), st.integers(0, 2))
+def test_segments_by_bytes(texts, skipped):
+    segments, n = ta.segments_of(pa.array(texts, pa.string())[skipped:])
+    border = re.compile(f" [{WHITE}]*[^{WHITE}]*(?:(?! )[{WHITE}]+[^{WHITE}]*)*")
+    want = [border.findall(" " + t) if t else [] for t in texts[skipped:]]
+    assert segments.to_pylist() == [s for w in want for s in w] and n.tolist() == [len(w) for w in want]

@@ -10,14 +10,14 @@ the same byte, a group of tokens ends.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress, pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +26,11 @@ from .common import bounded_batches, sha256_hex, stage_table
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
-#: The white space of Unicode. Fixed values.
-_SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: A space that follows no white space, and all up to the next one: no token of either side crosses such a border.
-_SEGMENT = re.compile(f" [{_SPACE}]*[^{_SPACE}]*(?:(?! )[{_SPACE}]+[^{_SPACE}]*)*")
-#: Segments whose tokens a worker remembers at most between batches, and how many it encodes in one call.
-REMEMBERED, ENCODED = 1 << 17, 1 << 12
+#: The white space of Unicode by its bytes in UTF-8. Fixed values.
+_WHITE = [c.encode() for c in "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
+#: Segments that a worker remembers at most between batches and their bytes, how many it encodes at a time, and
+#: how many of up to so many bytes each it joins to one text for that.
+REMEMBERED, REMEMBERED_BYTES, ENCODED, JOINED, JOINED_BYTES = 1 << 18, 1 << 23, 1 << 14, 1 << 6, 1 << 8
 #: Id pairs whose counts every task holds; those of rarer pairs are joined.
 HELD_PAIRS = 1 << 20
 
@@ -97,17 +96,55 @@ class Pieces:
         return [ids[first:] for ids in self.model.encode(["a" + t for t in texts], num_threads=1)]
 
 
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an Arrow string array, and where in them each text begins; the last one's end too."""
+    _, offsets, values = texts.buffers()
+    offs = np.frombuffer(offsets, np.int32, len(texts) + 1, texts.offset * 4) if len(texts) else np.zeros(1, np.int32)
+    data = np.frombuffer(values, np.uint8) if values is not None else np.zeros(0, np.uint8)
+    return data[offs[0] : offs[-1]], (offs - offs[0]).astype(np.int64)
+
+
+def _after_white(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a character of white space ends before each of these bytes; a text of at least one byte before must be there."""
+    last = data[at - 1].astype(np.int32)
+    out = np.isin(last, [w[0] for w in _WHITE if len(w) == 1])
+    wide = np.flatnonzero(last >= 0x80)
+    two = data[at[wide] - 2].astype(np.int32) << 8 | last[wide]
+    three = data[at[wide] - 3].astype(np.int32) << 16 | two
+    out[wide] = np.isin(two, [int.from_bytes(w) for w in _WHITE if len(w) == 2]) | np.isin(three, [int.from_bytes(w) for w in _WHITE if len(w) == 3])
+    return out
+
+
+def segments_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The segments of a space and each text one after another, and how many each text has; null and empty texts have none.
+
+    A segment is a space that follows no white space, and all up to the next one: no token of either side
+    crosses such a border, and but for a text's last one no segment ends in white space.
+    """
+    some = np.asarray(pc.fill_null(pc.greater(pc.binary_length(texts), 0), False))
+    n = np.zeros(len(texts), np.int64)
+    data, offs = _bytes_of(pc.binary_join_element_wise("", texts.filter(pa.array(some)), " "))
+    spaces = np.flatnonzero(data == 0x20)
+    border = np.ones(len(spaces), bool)
+    inner = np.ones(len(spaces), bool)
+    inner[np.searchsorted(spaces, offs[:-1])] = False
+    border[inner] = ~_after_white(data, spaces[inner])
+    starts = spaces[border]
+    n[some] = np.diff(np.searchsorted(starts, offs))
+    ends = np.append(starts, len(data)).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)]), n
+
+
 class Ragged:
     """Rows of whole numbers in one array, added to at its end."""
 
     def __init__(self):
         self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def add(self, rows: list[list[int]]) -> None:
-        size = np.fromiter(map(len, rows), np.int64, len(rows))
+    def add(self, flat: np.ndarray, size: np.ndarray) -> None:
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(rows), np.int32, int(size.sum()))])
+        self.flat = np.concatenate([self.flat, flat])
 
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of these rows one after another, and how many each has."""
@@ -122,63 +159,110 @@ class Ragged:
         return out
 
 
+def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    size = np.fromiter(map(len, rows), np.int64, len(rows))
+    return np.fromiter(chain.from_iterable(rows), np.int32, int(size.sum())), size
+
+
 class TwoTokenizers:
-    """Encodes texts by both, each distinct segment once."""
+    """Encodes texts by both, each distinct segment of a batch once, and not again while it is remembered."""
 
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = ByteLevel(a_path), Pieces(b_path)
+        self.sizes = tuple(np.fromiter(map(len, side.bytes), np.int64, len(side.bytes)) for side in (self.a, self.b))
         self.forget()
 
     def forget(self) -> None:
-        self.code: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.ids = (Ragged(), Ragged())
         self.exact, self.uses = np.zeros(0, bool), np.zeros(0, np.int64)
 
     def keep_most_used(self) -> None:
-        """Forget all but a quarter of the segments, those used most."""
-        rows = np.argsort(-self.uses, kind="stable")[: len(self.uses) // 4]
-        names = list(self.code)
-        self.code = {names[k]: i for i, k in enumerate(rows.tolist())}
+        """Forget all but half of the segments that may be remembered, those used most."""
+        rows = np.argsort(-self.uses, kind="stable")[: REMEMBERED // 2]
+        rows = rows[np.cumsum(np.diff(_bytes_of(self.known)[1])[rows]) <= REMEMBERED_BYTES // 2]
+        self.known = self.known.take(pa.array(rows))
         self.ids = tuple(ids.only(rows) for ids in self.ids)
         self.exact, self.uses = self.exact[rows], np.zeros(len(rows), np.int64)
 
-    def learn(self, segments: list[str]) -> None:
-        for lo in range(0, len(segments), ENCODED):
-            self._learn(segments[lo : lo + ENCODED])
-
-    def _learn(self, segments: list[str]) -> None:
+    def learn(self, segments: pa.Array) -> np.ndarray:
+        """Encode and remember new segments; their places in `segments` in the order in which they are remembered.
+
+        Segments that don't end in white space can follow one another in a text, and are encoded together. Those
+        that do, long ones, and those of a joined text whose tokens aren't its bytes are encoded each by itself.
+        """
+        data, offs = _bytes_of(segments)
+        joined = ~_after_white(data, offs[1:]) & (np.diff(offs) <= JOINED_BYTES)
+        alone, order, parts = [np.flatnonzero(~joined)], [], []
+        joined = np.flatnonzero(joined)
+        for lo in range(0, len(joined), ENCODED):
+            rows = joined[lo : lo + ENCODED]
+            good, *ids = self._joined(segments.take(pa.array(rows)))
+            order.append(rows[good])
+            alone.append(rows[~good])
+            parts.append((np.ones(len(order[-1]), bool), *ids))
+        alone = np.concatenate(alone)
+        for lo in range(0, len(alone), ENCODED):
+            order.append(alone[lo : lo + ENCODED])
+            parts.append(self._alone(segments.take(pa.array(order[-1])).to_pylist()))
+        order = np.concatenate(order)
+        self.known = pa.concat_arrays([self.known, segments.take(pa.array(order))])
+        exact, flat_a, size_a, flat_b, size_b = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.exact, self.uses = np.concatenate([self.exact, exact]), np.concatenate([self.uses, np.zeros(len(order), np.int64)])
+        self.ids[0].add(flat_a, size_a)
+        self.ids[1].add(flat_b, size_b)
+        return order
+
+    def _joined(self, segments: pa.Array) -> tuple[np.ndarray, ...]:
+        """Which segments are told by joined texts, the ids of these by either side and how many each has."""
+        data, offs = _bytes_of(segments)
+        raw, cuts = data.tobytes(), np.append(np.arange(0, len(segments), JOINED), len(segments))
+        runs = [raw[i:j] for i, j in pairwise(offs[cuts].tolist())]
+        texts = [r.decode() for r in runs]
+        ids = [side.encode(texts) for side in (self.a, self.b)]
+        right = [all(b"".join(map(side.bytes.__getitem__, x)) == r for side, x in zip((self.a, self.b), xs, strict=True)) for r, *xs in zip(runs, *ids, strict=True)]
+        good = np.repeat(right, np.diff(cuts))
+        ends, out = np.cumsum(np.diff(offs)[good]), []
+        for sizes, rows in zip(self.sizes, ids, strict=True):
+            flat, _ = _flat(list(compress(rows, right)))
+            at = np.cumsum(sizes[flat])
+            last = np.searchsorted(at, ends)
+            if len(ends) and not np.array_equal(at[last], ends):  # a token crosses a border
+                none = np.zeros(0, np.int64)
+                return np.zeros(len(segments), bool), none.astype(np.int32), none, none.astype(np.int32), none
+            out += [flat, np.diff(last + 1, prepend=0)]
+        return good, *out
+
+    def _alone(self, segments: list[str]) -> tuple[np.ndarray, ...]:
+        """Whether each segment's tokens are its bytes, its ids by either side and how many it has."""
         a, b = self.a.encode(segments), self.b.encode(segments)
         raw = [s.encode() for s in segments]
         exact = [b"".join([self.b.bytes[i] for i in y]) == r for y, r in zip(b, raw, strict=True)]
         if self.a.ranked is None:  # that encoder's tokens are always the text's bytes
             exact = [e and b"".join([self.a.bytes[i] for i in x]) == r for e, x, r in zip(exact, a, raw, strict=True)]
-        self.exact = np.concatenate([self.exact, np.array(exact, bool)])
-        self.code.update(zip(segments, range(len(self.code), len(self.code) + len(segments)), strict=True))
-        self.uses = np.concatenate([self.uses, np.zeros(len(segments), np.int64)])
-        self.ids[0].add(a)
-        self.ids[1].add(b)
+        return np.array(exact, bool), *_flat(a), *_flat(b)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids by the first, how many each text has, and the same of the second; texts that can't be tiled have none."""
-        segments: list[str] = []
-        n = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            if t:
-                found = _SEGMENT.findall(" " + t)
-                segments += found
-                n[i] = len(found)
-        if len(self.code) > REMEMBERED:
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        segments, n = segments_of(texts)
+        if len(self.known) > REMEMBERED or self.known.nbytes > REMEMBERED_BYTES + 8 * REMEMBERED:
             self.keep_most_used()
-        new = list(set(segments).difference(self.code))
-        if new:
-            self.learn(new)
-        codes = np.fromiter(map(self.code.__getitem__, segments), np.int64, len(segments))
+        distinct = segments.dictionary_encode()
+        place = pc.index_in(distinct.dictionary, value_set=self.known)
+        new = np.flatnonzero(np.asarray(place.is_null()))
+        place = np.asarray(place.fill_null(0)).astype(np.int64)
+        if len(new):
+            first = len(self.known)
+            order = self.learn(distinct.dictionary.take(pa.array(new)))
+            place[new[order]] = first + np.arange(len(new))
+        codes = place[np.asarray(distinct.indices)]
         self.uses += np.bincount(codes, minlength=len(self.uses))
         ends = np.cumsum(n)
         doc = np.repeat(np.arange(len(texts)), n)
         keep = np.ones(len(texts), bool)
-        for i in np.unique(doc[~self.exact[codes]]):
-            mine, want = codes[ends[i] - n[i] : ends[i]], (" " + texts[i]).encode()
+        for i in np.unique(doc[~self.exact[codes]]).tolist():
+            mine, want = codes[ends[i] - n[i] : ends[i]], b" " + texts[i].as_py().encode()
             keep[i] = all(b"".join([side.bytes[k] for k in ids.take(mine)[0]]) == want for side, ids in zip((self.a, self.b), self.ids, strict=True))
         if not keep.all():
             codes, doc = codes[keep[doc]], doc[keep[doc]]
@@ -198,7 +282,7 @@ def two_tokenizers(a_path: str, b_path: str) -> TwoTokenizers:
 def byte_sizes(a_path: str, b_path: str) -> tuple[np.ndarray, np.ndarray]:
     both = two_tokenizers(a_path, b_path)
     both.forget()  # who asks for sizes doesn't encode
-    return tuple(np.fromiter(map(len, side.bytes), np.int64, len(side.bytes)) for side in (both.a, both.b))
+    return both.sizes
 
 
 def align(a_bytes: np.ndarray, b_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -238,8 +322,8 @@ def encode_two_ways(docs: DataFrame, a_path: str = BYTE_BPE, b_path: str = PIECE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = two_tokenizers(a_path, b_path)
         for batch in batches:
-            a, n_a, b, n_b = both.encode(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(a, n_a), _lists(b, n_b)], ["doc_id", "a_ids", "b_ids"])
+            a, n_a, b, n_b = both.encode(batch.column(1))
+            yield from _parts([pa.RecordBatch.from_arrays([batch.column(0), _lists(a, n_a), _lists(b, n_b)], ["doc_id", "a_ids", "b_ids"])], 1)
 
     return bounded_batches(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, a_ids array<int>, b_ids array<int>")
 
@@ -253,7 +337,7 @@ def _sides(batch: pa.RecordBatch, first: int) -> tuple[np.ndarray, ...]:
     return tuple(out)
 
 
-def _parts(batches: Iterator[pa.RecordBatch], first: int, tokens: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterable[pa.RecordBatch], first: int, tokens: int = 1 << 17) -> Iterator[pa.RecordBatch]:
     """The rows of batches, about so many tokens of the list column `first` at a time; a longer row is a part of its own."""
     for batch in batches:
         ends = np.asarray(batch.column(first).offsets)
@@ -322,24 +406,24 @@ def _held(counts: DataFrame, most: int) -> dict[str, np.ndarray]:
     return {"pair": pair[order], "n": t.column("n").to_numpy()[order], "best": t.column("best").to_numpy(zero_copy_only=False).astype(bool)[order]}
 
 
-def _group_strings(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> list[str]:
-    """All tokens of both sides in order of groups, first side first, each id with the mark that follows it."""
+@lru_cache(maxsize=2)
+def _names(n_a: int, n_b: int) -> pa.Array:
+    """Each id of the first side, then each of the second: with the mark between two of a group, and with the one after a group's last."""
+    return pa.array([f"{i}{mark}" for n, marks in ((n_a, ",|"), (n_b, ",;")) for i in range(n) for mark in marks], pa.large_string())
+
+
+def _group_bytes(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, n_ids: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens of both sides in order of groups, first side first, each id with the mark that follows it: their bytes, and where each token's begin; the last one's end too."""
     size_a, size_b = np.diff(group_a, prepend=0), np.diff(group_b, prepend=0)
     last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
     last_a[group_a - 1], last_b[group_b - 1] = True, True
     out = np.empty(len(a) + len(b), np.int64)
-    out[np.arange(len(a)) + np.repeat(group_b - size_b, size_a)] = a.astype(np.int64) * 4 + last_a
-    out[np.arange(len(b)) + np.repeat(group_a, size_b)] = b.astype(np.int64) * 4 + 2 + last_b
-    return list(map(_marked.__getitem__, out.tolist()))
-
-
-class _Marked(dict):
-    def __missing__(self, code: int) -> str:
-        self[code] = s = str(code >> 2) + ",|,;"[code & 3]
-        return s
-
-
-_marked = _Marked()
+    out[np.arange(len(a)) + np.repeat(group_b - size_b, size_a)] = a.astype(np.int64) * 2 + last_a
+    out[np.arange(len(b)) + np.repeat(group_a, size_b)] = (n_ids[0] + b.astype(np.int64)) * 2 + last_b
+    if not len(out):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, values = _names(*n_ids).take(pa.array(out)).buffers()
+    return np.frombuffer(values, np.uint8), np.frombuffer(offsets, np.int64, len(out) + 1)
 
 
 def alignment_query(docs: DataFrame, a_path: str = BYTE_BPE, b_path: str = PIECE_BPE, held_pairs: int = HELD_PAIRS) -> DataFrame:
@@ -368,12 +452,15 @@ def alignment_query(docs: DataFrame, a_path: str = BYTE_BPE, b_path: str = PIECE
             row_of = np.repeat(np.arange(rows), n_a)
             of_link, n_groups = row_of[link_a], np.bincount(row_of[group_a - 1], minlength=rows)
             n_links = np.bincount(of_link, minlength=rows)
-            strings, ends = _group_strings(a, b, group_a, group_b), np.cumsum(n_a + n_b)
-            shas = [sha256_hex("".join(strings[e - n : e])[:-1].encode()) if n else "" for e, n in zip(ends.tolist(), (n_a + n_b).tolist(), strict=True)]
+            data, starts = _group_bytes(a, b, group_a, group_b, (len(sizes[0]), len(sizes[1])))
+            ends = starts[np.append(0, np.cumsum(n_a + n_b))].tolist()
+            shas = [sha256_hex(data[lo : hi - 1]) if hi > lo else "" for lo, hi in pairwise(ends)]
             pair = a[link_a].astype(np.int64) * len(sizes[1]) + b[link_b]
-            at = np.searchsorted(known["pair"], pair)
+            code, distinct = pd.factorize(pair)
+            at = np.searchsorted(known["pair"], distinct)
             at[at == len(known["pair"])] = 0
-            found = known["pair"][at] == pair if len(known["pair"]) else np.zeros(len(pair), bool)
+            found = known["pair"][at] == distinct if len(known["pair"]) else np.zeros(len(distinct), bool)
+            at, found = at[code], found[code]
             at, mine = at[found], of_link[found]
             n_best, count_sum = np.bincount(mine[known["best"][at]], minlength=rows), np.zeros(rows, np.int64)
             np.add.at(count_sum, mine, known["n"][at])
